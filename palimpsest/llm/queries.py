@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +14,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MIN_SITES = 8
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import summary, without_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return without_boilerplate(docs, MIN_SITES).select(*summary(docs))
+
+
+OP1_SQL = f"""
+WITH docs AS (SELECT doc_id, source, text FROM documents),
+lines AS (
+  SELECT doc_id, source, s.x AS line, s.i AS "at"
+  FROM (SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM docs)
+),
+marks AS (
+  SELECT line, min({{'d': doc_id, 'i': "at"}}) AS keep FROM lines WHERE trim(line) <> ''
+  GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}
+),
+told AS (
+  SELECT l.*, m.line IS NOT NULL AND m.keep <> {{'d': l.doc_id, 'i': l."at"}} AS gone FROM lines l LEFT JOIN marks m ON l.line = m.line
+)
+SELECT d.doc_id, coalesce(count(*) FILTER (trim(t.line) <> ''), 0)::BIGINT AS n_lines, coalesce(count(*) FILTER (t.gone), 0)::BIGINT AS n_removed,
+  md5(coalesce(string_agg(t.line, chr(10) ORDER BY t."at") FILTER (NOT t.gone), '')) AS text_md5
+FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+#: The target mixture of the query; a name that isn't given has weight 1.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
+SEED, MAX_EPOCHS = 17, 2
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """documents with domain, the class of its source's number, and n_tokens, its words."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
+    return docs.withColumns({"domain": F.concat(F.lit("d"), F.coalesce(number % 4, F.lit(0)).cast("string")), "n_tokens": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return mix(docs, WEIGHTS, F.col("tokens"), MAX_EPOCHS, SEED).select("doc_id", "domain", "lang", "source", "epoch", "take")
+
+
+def _deal_sql(name: str, source: str, parent: str, child: str) -> str:
+    order = f"PARTITION BY {parent} ORDER BY cap::DOUBLE / weight, {child}"
+    return f"""
+{name}_a AS (SELECT *, budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+  sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_, row_number() OVER ({order}) AS n FROM ({source})),
+{name}_b AS (SELECT *, cap::HUGEINT * weights_ <= left_::HUGEINT * weight AS full_ FROM {name}_a),
+{name}_c AS (SELECT *, min(CASE WHEN NOT full_ THEN n END) OVER (PARTITION BY {parent}) AS first_ FROM {name}_b),
+{name}_d AS (SELECT *, max(CASE WHEN n = first_ THEN left_ END) OVER (PARTITION BY {parent}) AS l1, max(CASE WHEN n = first_ THEN weights_ END) OVER (PARTITION BY {parent}) AS w1 FROM {name}_c),
+{name} AS (SELECT *, CASE WHEN full_ THEN cap::BIGINT ELSE (l1::HUGEINT * weight // w1)::BIGINT END AS share FROM {name}_d)"""
+
+
+def _weight_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END AS weight"
+
+
+OP4_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4, 0)::VARCHAR AS domain, lang, source,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, {MAX_EPOCHS} * sum(n_tokens)::BIGINT AS cap FROM docs WHERE n_tokens > 0 GROUP BY ALL),
+{_deal_sql("one", "SELECT domain, sum(cap)::BIGINT AS cap, " + _weight_sql("domain") + ", 1 AS one, (SELECT sum(tokens)::BIGINT FROM leaves) AS budget FROM leaves GROUP BY domain", "one", "domain")},
+{_deal_sql("two", "SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, " + _weight_sql("lang").replace("CASE lang", "CASE l.lang") + ", any_value(o.share) AS budget FROM leaves l JOIN one o USING (domain) GROUP BY l.domain, l.lang", "domain", "lang")},
+{_deal_sql("three", "SELECT l.domain, l.lang, l.source, l.tokens, l.cap, " + _weight_sql("source") + ", t.share AS budget FROM leaves l JOIN two t USING (domain, lang)", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, share // tokens AS full_, share % tokens AS rest FROM three),
+placed AS (
+  SELECT d.*, p.full_, p.rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}|' || p.full_::VARCHAR || '|' || doc_id::VARCHAR), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+  FROM docs d JOIN plan p USING (domain, lang, source) WHERE n_tokens > 0
+),
+drawn AS (SELECT *, greatest(0, least(n_tokens, rest - before_))::BIGINT AS part FROM placed),
+times AS (SELECT *, full_ + CASE WHEN part > 0 THEN 1 ELSE 0 END AS times FROM drawn)
+SELECT doc_id, domain, lang, source, epoch::INT AS epoch, CASE WHEN epoch < full_ THEN n_tokens ELSE part END AS take
+FROM (SELECT *, unnest(range(times)) AS epoch FROM times)
+"""
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,9 +122,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
+    "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op4_mixing": OP4_SQL,
+}
