@@ -113,6 +113,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(*columns)
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference import conversation_arrays, format_pairs, neighbour_pairs
+
+    return format_pairs(neighbour_pairs(conversation_arrays(table(spark, sf_dir, "conversations"))))
+
+
+OP7_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+last_ AS (SELECT conv_id, max(n) AS n, arg_max(text, n) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+both_ AS (
+  SELECT t.conv_id, t.n, t.role, t.text AS c, CASE WHEN t.n = l.n THEN coalesce(o.text, '') ELSE t.text END AS r
+  FROM turns t LEFT JOIN last_ l ON l.conv_id = t.conv_id LEFT JOIN last_ o ON o.conv_id = xor(t.conv_id, 1)
+),
+split_ AS (SELECT *, coalesce(min(CASE WHEN c <> r THEN n END) OVER (PARTITION BY conv_id), 1 + max(n) OVER (PARTITION BY conv_id)) - 1 AS k FROM both_),
+heads AS (
+  SELECT *, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(c, '<|', '< |') || '<|end|>' || chr(10) AS cb, replace(r, '<|', '< |') || '<|end|>' || chr(10) AS rb FROM split_
+),
+ends AS (
+  SELECT *, sum(length(head) + length(cb)) OVER w AS ce, sum(length(head) + length(rb)) OVER w AS re
+  FROM heads WINDOW w AS (PARTITION BY conv_id, n > k ORDER BY n)
+)
+SELECT conv_id, any_value(k)::INT AS n_common, coalesce(string_agg(head || cb, '' ORDER BY n) FILTER (n <= k), '') AS prompt,
+  coalesce(string_agg(head || cb, '' ORDER BY n) FILTER (n > k), '') AS chosen, coalesce(string_agg(head || rb, '' ORDER BY n) FILTER (n > k), '') AS rejected,
+  coalesce(string_agg((ce - length(cb))::BIGINT::VARCHAR || ':' || ce::BIGINT::VARCHAR, ',' ORDER BY n) FILTER (n > k AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((re - length(rb))::BIGINT::VARCHAR || ':' || re::BIGINT::VARCHAR, ',' ORDER BY n) FILTER (n > k AND role = 'assistant'), '') AS rejected_mask
+FROM ends GROUP BY conv_id
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -126,10 +159,12 @@ QUERIES: dict[str, Query] = {
     "op2_token_store": op2_token_store,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_preference": op7_preference,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_mixing": OP4_SQL,
+    "op7_preference": OP7_SQL,
 }
