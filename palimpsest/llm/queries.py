@@ -113,6 +113,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(*columns)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .preference import conversation_arrays, format_pairs, neighbour_pairs
 
@@ -159,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_store": op2_token_store,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_preference": op7_preference,
     "op8_byte_bpe": op8_byte_bpe,
 }
