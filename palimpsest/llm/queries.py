@@ -43,6 +43,12 @@ FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import digests, texts_to_media
+
+    return digests(texts_to_media(table(spark, sf_dir, "documents")))
+
+
 #: The target mixture of the query; a name that isn't given has weight 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
 SEED, MAX_EPOCHS = 17, 2
@@ -169,6 +175,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
+    "op3_media": op3_media,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
