@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A blank after white space: only there does cutting at blanks need care.
 _SPACE_THEN_BLANK = re.compile(r"[\s\x1c-\x1f] ")
@@ -59,3 +60,21 @@ def chunked(text: str) -> tuple[list[str], bool]:
         run.append(piece)
     out.append("".join(run))
     return [c for c in out if c], False
+
+
+def joined_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """left with right's columns; right has one row per key of left and weight, the number of left's rows with it.
+
+    Keys with more than one in share of left's rows are at most share in number: they
+    are broadcast. The others' rows are dealt by key; none of those keys is large. Rows of
+    hot keys go along under random-looking keys of their own that match nothing.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    columns = [c for c in right.columns if c != key]
+    hot = right.where(F.col(weight) * share > total)
+    named = hot.select(F.col(key).alias("__key"), F.struct(*columns).alias("__hot"))
+    with_hot = left.join(F.broadcast(named), F.col(key) == F.col("__key"), "left").drop("__key")
+    spread = F.when(F.col("__hot").isNull(), F.concat(F.lit("k"), F.col(key))).otherwise(F.concat(F.lit("h"), F.xxhash64(*left.columns).cast("string")))
+    cold = right.where(F.col(weight) * share <= total).select(F.concat(F.lit("k"), F.col(key)).alias("__key"), F.struct(*columns).alias("__cold"))
+    both = with_hot.withColumn("__at", spread).join(cold, F.col("__at") == F.col("__key"), "left")
+    return both.select(*left.columns, F.coalesce("__hot", "__cold").alias("__got")).select(*left.columns, "__got.*")
