@@ -172,6 +172,12 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
@@ -182,6 +188,7 @@ QUERIES: dict[str, Query] = {
     "op7_preference": op7_preference,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
