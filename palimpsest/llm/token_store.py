@@ -118,7 +118,7 @@ class Shard:
 
 
 class Encoder:
-    """Ids by the tokenizers library; keeps those of chunks seen, max_chunks at most, in flat arrays."""
+    """Ids by the tokenizers library; keeps those of chunks seen after a blank, max_chunks at most, in flat arrays."""
 
     def __init__(self, definition: str, max_chunks: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,6 +126,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        # each character of a byte-level token stands for one byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self.max_chunks = max_chunks
         self._forget()
 
@@ -136,13 +141,13 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks start with a blank and end without: joined, the library cuts them where they are joined."""
-        for k in range(0, len(chunks), 400):
-            group = chunks[k : k + 400]
-            made = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            ends = np.cumsum([len(c) for c in group])
-            # a token lies in the chunk in which it ends
-            places = np.searchsorted(ends, np.array([b for _, b in made.offsets]), side="left")
-            self._add(group, np.array(made.ids, np.uint32), np.bincount(places, minlength=len(group)))
+        groups = [chunks[k : k + 400] for k in range(0, len(chunks), 400)]
+        for group, made in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, np.uint32)
+            # ids stand for bytes, and none for bytes of two chunks: a token lies in the chunk in which it ends
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in group])
+            places = np.searchsorted(ends, np.cumsum(self.n_bytes[ids]), side="left")
+            self._add(group, ids, np.bincount(places, minlength=len(group)))
 
     def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
@@ -154,8 +159,7 @@ class Encoder:
         self.start[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(chunks)] = sizes
         self.used += len(ids)
-        for i, c in enumerate(chunks):
-            self.at[c] = n + i
+        self.at.update(zip((c[1:] for c in chunks), range(n, n + len(chunks))))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -173,7 +177,7 @@ class Encoder:
         try:
             found = list(map(at.__getitem__, rest))
         except KeyError:
-            self._learn_after_blank(list({c for c in rest if c not in at}))
+            self._learn([" " + c for c in {c for c in rest if c not in at}])
             found = list(map(at.__getitem__, rest))
         where = np.array(found, np.int64)
         size = self.size[where]
@@ -182,13 +186,6 @@ class Encoder:
         take = np.repeat(self.start[where] - (ends - size), size) + np.arange(n)
         return np.concatenate([self._whole(chunks[0]), self.flat[take]])
 
-    def _learn_after_blank(self, new: list[str]) -> None:
-        before = len(self.at)
-        self._learn([" " + c for c in new])
-        for i, c in enumerate(new):
-            del self.at[" " + c]
-            self.at[c] = before + i
-
 
 @lru_cache(maxsize=1)
 def encoder(definition: str) -> Encoder:
