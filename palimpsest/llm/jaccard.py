@@ -32,6 +32,8 @@ from .components import components
 SLOT_BITS = 18
 PARITY_WORDS = 8
 STAR_ROUNDS = 2
+#: log2 of the bits of a filter of hashes: 16 MB, whatever the input's size; a filter may let through too many rows, never too few.
+FILTER_BITS = 27
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -77,6 +79,10 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bits, minlength=PARITY_WORDS * 64) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _class(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
+
+
 def _levels(df: DataFrame, text: str, words: int) -> np.ndarray:
     """How crowded each slot is: 0 up to the mean and six of its roots, then the excess's length in bits."""
 
@@ -108,7 +114,7 @@ def _described(df: DataFrame, key: str, text: str, words: int, percent: int, lev
             for t in batch.column(2).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
-                k.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0)
+                k.append(_class(s))
                 first.append(prefix(s, levels.value, 0, percent).view(np.int64))
                 bits.append(parity(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array([b[i] for b in bits], pa.int64()) for i in range(PARITY_WORDS))], names=["id", "th", "n", "k", "prefix", *(f"w{i}" for i in range(PARITY_WORDS))])
@@ -118,22 +124,64 @@ def _described(df: DataFrame, key: str, text: str, words: int, percent: int, lev
     return df.select(F.col(key), F.xxhash64(F.col(text)), F.col(text)).mapInArrow(run, f"id {kind}, th bigint, n bigint, k bigint, prefix array<bigint>, {parts}")
 
 
-def _sets(df: DataFrame, text: str, words: int, percent: int, levels) -> DataFrame:
-    """Per row of df: k, its set and the prefixes of the other orders."""
+def _filter(hashes: DataFrame, column: str):
+    """The first FILTER_BITS bits of each hash as a broadcast bitmap, gathered as 4 KB pieces."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+    pieces = hashes.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()
+    # piece 0 holds the number 0 alone, the others 32,768 numbers each
+    width = 1 << 12
+    table = np.zeros((1 << FILTER_BITS - 15) * width + width, np.uint8)
+    for piece, bits in zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()):
+        table[piece * width : piece * width + width] = np.frombuffer(bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    # a number's piece and its place within: those of bitmap_bucket_number and bitmap_bit_position
+    piece = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
+    place = np.where(slot > 0, (slot - 1) % 32768, 0)
+    return (table[piece * 4096 + place // 8] >> (place % 8).astype(np.uint8) & 1).astype(bool)
+
+
+def _places(classes: DataFrame, shared) -> DataFrame:
+    """A row per class and prefix token that passes the filter: token, k, n and the parity bits."""
+    own = ["k", "n", *(f"w{i}" for i in range(PARITY_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
         for batch in batches:
+            lists = batch.column(0)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            keep = _passes(shared.value, tokens)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep], pa.int64()), *(c.take(at) for c in batch.columns[1:])], names=["token", *own])
+
+    return classes.select("prefix", *own).mapInArrow(run, "token bigint, " + ", ".join(f"{c} bigint" for c in own))
+
+
+def _sets(df: DataFrame, text: str, words: int, percent: int, levels, wanted) -> DataFrame:
+    """For the texts whose hashes pass the filter: k, the set and the prefixes of the other orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, told = Shingler(words), set()
+        for batch in batches:
+            some = np.flatnonzero(_passes(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
             k, columns = [], ([], [], [])
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(1).take(pa.array(some)).to_pylist():
                 s = shingles(t)
-                k.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0)
+                own = _class(s)
+                if not len(s) or own in told:
+                    continue
+                told.add(own)
+                k.append(own)
                 columns[0].append(s.view(np.int64))
                 for order in (1, 2):
                     columns[order].append(prefix(s, levels.value, order, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=["k", "tokens", "second", "third"])
 
-    return df.select(F.col(text)).mapInArrow(run, "k bigint, tokens array<bigint>, second array<bigint>, third array<bigint>")
+    made = df.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t")).mapInArrow(run, "k bigint, tokens array<bigint>, second array<bigint>, third array<bigint>")
+    return made.groupBy("k").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third")))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -168,18 +216,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     levels = spark.sparkContext.broadcast(_levels(df, text, words))
     docs = stored(_described(df, key, text, words, percent, levels), "shingled")
     bits = [f"w{i}" for i in range(PARITY_WORDS)]
-    tokens = docs.where("n > 0").select("k", F.explode("prefix").alias("token"))
+    classes = stored(docs.where("n > 0").groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", *bits, "prefix")), F.min("th").alias("th")), "classes")
+    tokens = classes.select("k", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-    classes = docs.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), *(F.first(c).alias(c) for c in bits), F.min("th").alias("th"))
-    places = stored(tokens.join(shared, "token", "left_semi").distinct().join(classes.drop("th"), "k"), "places")
-    other = places.alias("b")
-    pairable = places.alias("a").join(other, (F.col("a.token") == F.col("b.token")) & (F.col("a.k") != F.col("b.k")) & _may_match("a", "b", percent), "left_semi")
+    places = stored(_places(classes, _filter(shared, "token")), "places")
+    other = F.col("a.token") == F.col("b.token")
+    pairable = places.alias("a").join(places.alias("b"), other & (F.col("a.k") != F.col("b.k")) & _may_match("a", "b", percent), "left_semi")
     places = stored(pairable, "places")
-    wanted = places.select("k").distinct()
-    texts = wanted.join(classes.select("k", "th"), "k").select("th").distinct()
-    found = df.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th")).join(texts, "th", "left_semi")
-    once = found.groupBy("th").agg(F.first("text").alias("text"))
-    sets = stored(_sets(once, "text", words, percent, levels).dropDuplicates(["k"]), "sets")
+    wanted = places.select("k").distinct().join(classes.select("k", "th"), "k").select("th")
+    sets = stored(_sets(df, text, words, percent, levels, _filter(wanted, "th")), "sets")
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
