@@ -1 +1 @@
-
+"""No streams: every input is finite, and no operator keeps state beyond a batch."""
