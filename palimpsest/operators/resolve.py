@@ -25,6 +25,7 @@ def route(df: DataFrame, rules: list[tuple[str, Column]], otherwise: str, name:
 def cascade(entries: DataFrame, resolvers: list[tuple[str, Resolver]], guard: Column | None = None) -> DataFrame:
     """entries (name, value) with new_value, method, confidence and status.
 
+    What each resolver told is kept, as what it left over is read by all that follow.
     A resolution must pass the guard, a condition on value and new_value. status:
     migrated_ and the method, unchanged if the value stays, or unresolved.
     """
@@ -32,6 +33,7 @@ def cascade(entries: DataFrame, resolvers: list[tuple[str, Resolver]], guard: Co
     for label, resolver in resolvers:
         told = resolver(left).select("name", "new_value", "confidence")
         found = left.join(told, "name").where(F.col("new_value").isNotNull() & (guard if guard is not None else F.lit(True)))
+        found = found.persist()
         done.append(found.withColumn("method", F.lit(label)))
         left = left.join(found.select("name"), "name", "left_anti")
     rest = left.withColumns({"new_value": F.lit(None).cast(entries.schema["value"].dataType), "confidence": F.lit(None).cast("double"), "method": F.lit(None).cast("string")})

@@ -298,3 +298,70 @@ def remap_audit(spark, sf):
     calls = rows.select("script", F.lit(-1).alias("old_address"), F.lit(-1).alias("new_address"), F.lit("strict").alias("tier")).limit(0)
     audit = bytecode.remap_audit(rows, natives(spark, sf, "old"), natives(spark, sf, "new"), calls)
     return audit.where("kind = 'native'").groupBy("script", "old", "new", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("listing_roundtrip", "SELECT s_nationkey::VARCHAR AS script, true AS same FROM supplier GROUP BY 1")
+def listing_roundtrip(spark, sf):
+    from ..operators import assembly
+
+    p = programs(spark, sf, "old")
+    texts = assembly.listing(bytecode.instructions(p, TABLE)).groupBy("script", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    back = assembly.assembled(texts, TABLE).select("script", F.col("code").alias("again"))
+    return p.join(back, "script").select("script", (F.col("code") == F.col("again")).alias("same"))
+
+
+@query("delta_overlap_match", """WITH o AS (SELECT DISTINCT l_suppkey % 20 AS g, l_suppkey AS k, l_partkey AS c FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 9 = 0), n AS (SELECT g, k + 1000 AS k, c + 4 AS c FROM o WHERE c % 27 <> 0),
+  oz AS (SELECT g, k, count(*) AS z FROM o GROUP BY ALL HAVING count(*) >= 4), nz AS (SELECT g, k, count(*) AS z FROM n GROUP BY ALL HAVING count(*) >= 4),
+  h AS (SELECT o.g, o.k, oz.z, n.k AS nk, n.c - o.c AS delta, count(*) AS hits FROM o JOIN oz USING (g, k) JOIN n ON n.g = o.g AND abs(n.c - o.c) <= 12 JOIN nz ON nz.g = n.g AND nz.k = n.k GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY hits DESC, abs(delta), delta, nk) AS r FROM h)
+  SELECT g, k, nk AS new_key, delta, hits::BIGINT AS hits, round(hits / z, 6) AS share FROM b WHERE r = 1 AND round(hits / z, 6) >= 0.6""")
+def delta_overlap_match(spark, sf):
+    from ..operators import structure
+
+    o = table(spark, sf, "lineitem").where("l_returnflag = 'A' AND l_partkey % 9 = 0").select((F.col("l_suppkey") % 20).alias("g"), F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("c")).distinct()
+    n = o.where("c % 27 <> 0").select("g", (F.col("k") + 1000).alias("k"), (F.col("c") + 4).alias("c"))
+    sets = lambda df: df.groupBy("g", "k").agg(F.array_sort(F.collect_set("c")).alias("children"))
+    return structure.by_delta(sets(o), sets(n), ["g"], "k", "children")
+
+
+@query("stride_propagation", """WITH p AS (SELECT l_suppkey % 50 AS a, CASE WHEN l_linenumber <= 5 THEN l_suppkey % 50 + 3 ELSE l_linenumber::BIGINT END AS b FROM lineitem), v AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a) AS t, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM v),
+  e AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'X_NEXT_' ELSE 'X_' END || p_partkey::VARCHAR AS name, p_size::BIGINT AS value FROM part)
+  SELECT name, value, CASE WHEN contains(name, 'NEXT') AND w.b IS NOT NULL AND w.b <> value THEN w.b ELSE value END AS new_value FROM e LEFT JOIN w ON w.a = e.value AND r = 1 AND n * 100 >= t * 60""")
+def stride_propagation(spark, sf):
+    from ..operators import structure
+
+    a = F.col("l_suppkey") % 50
+    pairs = table(spark, sf, "lineitem").select(F.array(a).alias("old"), F.array(F.when(F.col("l_linenumber") <= 5, a + 3).otherwise(F.col("l_linenumber").cast("long"))).alias("new"))
+    entries = table(spark, sf, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "X_NEXT_").otherwise("X_"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("long").alias("value"))
+    return structure.propagate_strides(pairs, entries).select("name", "value", "new_value")
+
+
+@query("semantic_extract")
+def semantic_extract(spark, sf):
+    from ..operators import extract
+
+    e = table(spark, sf, "events")
+    k, u = F.regexp_extract("props", "([0-9]+)", 1), F.col("user_id").cast("string")
+    made = e.select("user_id", "event_id", F.concat(F.lit("d"), u, F.lit(" = make_dict(0, \""), F.lit("u"), u, F.lit("\");")).alias("line"))
+    put = e.select("user_id", "event_id", F.concat(F.lit("put_int(d"), u, F.lit(", \""), F.col("event_type"), F.lit("\", Root_"), k, F.lit(".f_1);")).alias("line"))
+    rows = made.withColumn("h", F.lit(0)).unionByName(put.withColumn("h", F.lit(1)))
+    lines = rows.select(F.lit("old").alias("version"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") * 2 + F.col("h")).alias("line_no"), "line")
+    return extract.mappings(lines).groupBy("file", "path").agg(F.min_by("value", "line_no").alias("value"))
+
+
+@query("float_bits")
+def float_bits(spark, sf):
+    from ..functions.binary import float_of_bits
+
+    return table(spark, sf, "orders").select("o_orderkey", float_of_bits(F.col("o_orderkey") + 0x3F800000).alias("x"))
+
+
+@query("variable_cascade")
+def variable_cascade(spark, sf):
+    from ..operators import unnamed
+
+    e = table(spark, sf, "events").where("event_id % 5 = 0")
+    line = lambda shift: F.concat(F.lit("if (iLocal_"), (F.col("event_id") + shift).cast("string"), F.lit(') say("tag'), F.col("event_id").cast("string"), F.lit('");'))
+    rows = lambda v, s: e.select(F.lit(v).alias("version"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line_no"), line(s).alias("line"))
+    entries = e.select(F.concat(F.lit("V_"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("value"))
+    return unnamed.resolve_variables(entries, rows("old", 0).unionByName(rows("new", 20)))

@@ -60,3 +60,48 @@ def test_profiles_and_strides(spark):
     entries = spark.createDataFrame([("A_NEXT", 163), ("A_OTHER", 163), ("B_size", 4141), ("C_SETTINGS", 5)], "name string, value bigint")
     got = {r["name"]: r.new_value for r in structure.propagate_strides(pairs, entries).collect()}
     assert got == {"A_NEXT": 165, "A_OTHER": 163, "B_size": 4201, "C_SETTINGS": 5}
+
+
+def test_variables_by_each_strategy(spark):
+    from palimpsest.operators import unnamed
+
+    old = """int iLocal_50 = 0;
+float fLocal_51;
+
+# note
+struct<7> Local_52;
+void main()
+{
+    Local_60 = { 1, 2, 3, 4, 5, 6 };
+    if (iLocal_61) PED::WALK("tag_one");
+    switch (iLocal_62)
+    {
+        case 1: say("alpha_body"); break;
+        case 2: say("beta_body"); break;
+    }
+%s
+    say("far_anchor");
+    x = iLocal_63;
+}""" % "\n"
+    new = old
+    for a, b in ((50, 70), (51, 71), (52, 72), (60, 85), (61, 81), (62, 82), (63, 99)):
+        new = new.replace(f"Local_{a}", f"Local_{b}")
+    text = lines(spark, {"old": old, "new": new})
+    entries = spark.createDataFrame([(f"V{v}", v) for v in (51, 60, 61, 62, 63, 77)], "name string, value bigint")
+    got = {r["name"]: (r.new_value, r.method) for r in unnamed.resolve_variables(entries, text).collect()}
+    assert got == {"V51": (71, "declaration"), "V60": (85, "initializer"), "V61": (81, "same_line"), "V62": (82, "switch"), "V63": (99, "window"), "V77": (None, None)}
+
+
+def test_assembly():
+    import pytest
+
+    from palimpsest.operators import assembly
+    from palimpsest.plans.resolving import TABLE
+
+    code = assembly.assemble_text("start: PUSH_U8 0x10 ; first\n JUMP end\n PUSH_U32 7\nend: NOP", TABLE)
+    assert code == bytes.fromhex("0110" "050500" "0207000000" "09")
+    assert assembly.tokenize(" L1: CALL 5, 6 ; x") == ("L1", "CALL", ["5", "6"])
+    with pytest.raises(ValueError):
+        assembly.assemble_text("PUSH_U8 256", TABLE)
+    with pytest.raises(ValueError):
+        assembly.assemble_text("WHAT 1", TABLE)
