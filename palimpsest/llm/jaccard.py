@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 #: log2 of the slots of the table of counts; its size is fixed, whatever the input's.
@@ -160,28 +161,24 @@ def _places(classes: DataFrame, shared) -> DataFrame:
     return classes.select("prefix", *own).mapInArrow(run, "token bigint, " + ", ".join(f"{c} bigint" for c in own))
 
 
-def _sets(df: DataFrame, text: str, words: int, percent: int, levels, wanted) -> DataFrame:
-    """For the texts whose hashes pass the filter: k, the set and the prefixes of the other orders."""
+def _texts(df: DataFrame, text: str, words: int, wanted) -> DataFrame:
+    """For the texts whose hashes pass the filter: k and z, the text compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, told = Shingler(words), set()
+        shingles, told, pack = Shingler(words), set(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             some = np.flatnonzero(_passes(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
-            k, columns = [], ([], [], [])
+            k, z = [], []
             for t in batch.column(1).take(pa.array(some)).to_pylist():
-                s = shingles(t)
-                own = _class(s)
-                if not len(s) or own in told:
-                    continue
-                told.add(own)
-                k.append(own)
-                columns[0].append(s.view(np.int64))
-                for order in (1, 2):
-                    columns[order].append(prefix(s, levels.value, order, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=["k", "tokens", "second", "third"])
+                own = _class(shingles(t))
+                if own not in told and t:
+                    told.add(own)
+                    k.append(own)
+                    z.append(pack(t.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(z, pa.binary())], names=["k", "z"])
 
-    made = df.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t")).mapInArrow(run, "k bigint, tokens array<bigint>, second array<bigint>, third array<bigint>")
-    return made.groupBy("k").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third")))
+    made = df.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t")).mapInArrow(run, "k bigint, z binary")
+    return made.groupBy("k").agg(F.min("z").alias("z"))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -192,14 +189,35 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return sizes & (differ * (100 + percent) <= (c(a, "n") + c(b, "n")) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, levels) -> DataFrame:
     """pairs a, b that share prefix tokens under the other orders and reach the similarity."""
-    left = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta"), F.col("second").alias("sa"), F.col("third").alias("ra"))
-    right = sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"), F.col("second").alias("sb"), F.col("third").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ra", "rb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - shared
-    return both.where(shared * 100 >= union * percent).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
+        last: tuple = (None, None, None)
+
+        def described(z: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+            s = shingles(unpack(z).decode("utf-8", "surrogatepass"))
+            return s, [prefix(s, levels.value, order, percent) for order in (1, 2)]
+
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, (x, za, zb) in enumerate(zip(a, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if last[0] != x:
+                    last = (x, *described(za))
+                own, orders = described(zb)
+                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(last[2], orders)):
+                    shared = len(np.intersect1d(last[1], own, assume_unique=True))
+                    if 100 * shared >= percent * (len(last[1]) + len(own) - shared):
+                        keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    left = texts.select(F.col("k").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("k").alias("b"), F.col("z").alias("zb"))
+    # each pair's smaller key first: a text comes once for all its pairs in a task
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,17 +232,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     spark = df.sparkSession
     levels = spark.sparkContext.broadcast(_levels(df, text, words))
-    docs = stored(_described(df, key, text, words, percent, levels), "shingled")
+    shingled = stored(_described(df, key, text, words, percent, levels), "shingled")
     bits = [f"w{i}" for i in range(PARITY_WORDS)]
-    classes = stored(docs.where("n > 0").groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", *bits, "prefix")), F.min("th").alias("th")), "classes")
+    docs = stored(shingled.select("id", "n", "k"), "documents")
+    classes = stored(shingled.where("n > 0").groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", *bits, "prefix")), F.min("th").alias("th")), "classes")
+    discard(shingled)
     tokens = classes.select("k", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
     places = stored(_places(classes, _filter(shared, "token")), "places")
     other = F.col("a.token") == F.col("b.token")
     pairable = places.alias("a").join(places.alias("b"), other & (F.col("a.k") != F.col("b.k")) & _may_match("a", "b", percent), "left_semi")
-    places = stored(pairable, "places")
+    every, places = places, stored(pairable, "places")
+    discard(every)
     wanted = places.select("k").distinct().join(classes.select("k", "th"), "k").select("th")
-    sets = stored(_sets(df, text, words, percent, levels, _filter(wanted, "th")), "sets")
+    texts = stored(_texts(df, text, words, _filter(wanted, "th")), "texts")
+    discard(classes)
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
@@ -232,6 +254,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         named = places.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k")).drop("root")
         split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
         named = stored(named.join(split, "token", "left_semi"), "named")
+        if named.isEmpty():
+            break
         if r < STAR_ROUNDS:
             one = F.min_by(F.struct("k", "n", "c", *bits), F.struct(F.xxhash64("k", "token", F.lit(r)), "k"))
             centre = named.groupBy("token").agg(one.alias("o")).select("token", "o.*")
@@ -242,8 +266,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
             differ = differ & (F.col("a.k") < F.col("b.k"))
         near = named.alias("a").join(centre.alias("b"), differ & _may_match("a", "b", percent))
         pairs = near.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(pairs, sets, percent)), "links")
+        links = stored(links.unionByName(_verified(pairs, texts, words, percent, levels)), "links")
         roots = components(links)
+        discard(named)
     named = docs.select("id", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k"))
     ids = named.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     return named.join(ids.select(F.col("c").alias("c2"), "least"), (F.col("n") > 0) & (F.col("c") == F.col("c2")), "left").select(
