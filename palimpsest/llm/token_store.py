@@ -118,7 +118,7 @@ class Shard:
 
 
 class Encoder:
-    """Ids by the tokenizers library; keeps those of chunks seen after a blank, max_chunks at most, in flat arrays."""
+    """Ids by the tokenizers library; keeps those of chunks seen, max_chunks at most, those after a blank in flat arrays."""
 
     def __init__(self, definition: str, max_chunks: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,6 +136,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.first: dict[str, np.ndarray] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
@@ -167,7 +168,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if len(self.at) > self.max_chunks:
+        if len(self.at) + len(self.first) > self.max_chunks:
             self._forget()
         chunks, regular = chunked(text)
         if not regular:
@@ -184,7 +185,10 @@ class Encoder:
         ends = np.cumsum(size)
         n = int(ends[-1]) if len(ends) else 0
         take = np.repeat(self.start[where] - (ends - size), size) + np.arange(n)
-        return np.concatenate([self._whole(chunks[0]), self.flat[take]])
+        head = self.first.get(chunks[0])
+        if head is None:
+            head = self.first[chunks[0]] = self._whole(chunks[0])
+        return np.concatenate([head, self.flat[take]])
 
 
 @lru_cache(maxsize=1)
@@ -274,7 +278,8 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
             for start, content in zip(frame["start"], frame["content"]):
                 shard = Shard(bytes(content))
                 first = shard.first
-                crc = [zlib.crc32(shard.ids(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(first[:-1], first[1:])]
+                ids = shard.ids(0, shard.n_ids).astype("<u4")
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pd.DataFrame({key: pd.array(shard.doc_ids, "Int64"), "start": start + first[:-1], "n_tokens": np.diff(first), "ids_crc32": np.array(crc, np.int64)})
 
     return rows.mapInPandas(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
