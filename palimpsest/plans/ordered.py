@@ -150,11 +150,11 @@ def dominant_shift(spark, sf):
     return align.best_shift(halves(spark, sf, "A"), halves(spark, sf, "N"), ["g"], "key", 2000)
 
 
-@query("align_runs", """WITH p AS (SELECT DISTINCT event_type AS g, (event_id - event_id % 10) AS k FROM events WHERE event_id % 7 < 3), q AS (SELECT DISTINCT g, k + 30 AS n FROM p WHERE k % 40 <> 0),
+@query("align_runs", """WITH p AS (SELECT DISTINCT event_type AS g, (event_id - event_id % 10) AS k FROM events), q AS (SELECT DISTINCT g, k + 30 AS n FROM p WHERE k % 40 <> 0),
   h AS (SELECT g, n - k AS shift, count(*) AS hits FROM p JOIN q USING (g) WHERE n >= k AND n < k + 100 GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY hits DESC, shift) AS r FROM h) WHERE r = 1), c AS (SELECT g, count(*) AS n FROM p GROUP BY g)
   SELECT p.g, p.k AS key, q.n AS new_key, b.shift FROM p JOIN b USING (g) JOIN c USING (g) JOIN q ON q.g = p.g AND q.n = p.k + b.shift WHERE b.hits >= greatest(1, c.n // 2)""")
 def align_runs(spark, sf):
-    p = table(spark, sf, "events").where("event_id % 7 < 3").select(F.col("event_type").alias("g"), (F.col("event_id") - F.col("event_id") % 10).alias("key")).distinct()
+    p = table(spark, sf, "events").select(F.col("event_type").alias("g"), (F.col("event_id") - F.col("event_id") % 10).alias("key")).distinct()
     q = p.where("key % 40 <> 0").withColumn("key", F.col("key") + 30)
     return align.aligned(p, q, ["g"], "key", 100)
 

@@ -19,14 +19,14 @@ def interval_containment(spark, sf):
     return joins.containing(e.where("event_type = 'click'").select("user_id", "event_id"), i, ["user_id"], "event_id", "lo", "hi", ["section"])
 
 
-TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 3 END AS up, 'n' || (p_partkey % 10)::VARCHAR AS label FROM part WHERE p_partkey < 200"
+TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 3 END AS up, 'n' || (p_partkey % 10)::VARCHAR AS label FROM part"
 
 
 @query("recursive_parent_path", f"""WITH RECURSIVE t AS ({TREE}), w(id, up, path, depth) AS (SELECT id, up, label, 1 FROM t UNION ALL SELECT w.id, t.up, t.label || '.' || w.path, w.depth + 1 FROM w JOIN t ON t.id = w.up)
   SELECT id, arg_max(path, depth) AS path, max(depth)::INT AS depth FROM w GROUP BY id""")
 def recursive_parent_path(spark, sf):
     k = F.col("p_partkey")
-    tree = table(spark, sf, "part").where("p_partkey < 200").select(k.alias("id"), F.when(k > 0, F.floor(k / 3)).alias("up"), F.concat(F.lit("n"), (k % 10).cast("string")).alias("label"))
+    tree = table(spark, sf, "part").select(k.alias("id"), F.when(k > 0, F.floor(k / 3)).alias("up"), F.concat(F.lit("n"), (k % 10).cast("string")).alias("label"))
     return joins.parent_paths(tree, "id", "up", "label")
 
 
@@ -38,11 +38,11 @@ def positional_zip(spark, sf):
     return joins.zipped(a, ["l_orderkey"], "x", "y")
 
 
-@query("callsite_definition_join", """WITH c AS (SELECT o_orderkey, 'func_' || (o_custkey % 40)::VARCHAR AS f, [o_orderpriority, o_orderstatus, o_custkey::VARCHAR] AS args FROM orders), r AS (SELECT 'func_' || p_partkey::VARCHAR AS f, p_size % 4 AS key_at, p_size % 3 AS value_at FROM part WHERE p_partkey < 30)
+@query("callsite_definition_join", """WITH c AS (SELECT o_orderkey, 'func_' || (o_custkey % 40)::VARCHAR AS f, [o_orderpriority, o_orderstatus, o_custkey::VARCHAR] AS args FROM orders), r AS (SELECT 'func_' || p_partkey::VARCHAR AS f, p_size % 4 AS key_at, p_size % 3 AS value_at FROM part)
   SELECT o_orderkey, f, args[key_at + 1] AS key_at, args[value_at + 1] AS value_at FROM c JOIN r USING (f)""")
 def callsite_definition_join(spark, sf):
     calls = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("func_"), (F.col("o_custkey") % 40).cast("string")).alias("f"), F.array("o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string")).alias("args"))
-    roles = table(spark, sf, "part").where("p_partkey < 30").select(F.concat(F.lit("func_"), F.col("p_partkey").cast("string")).alias("f"), (F.col("p_size") % 4).alias("key_at"), (F.col("p_size") % 3).alias("value_at"))
+    roles = table(spark, sf, "part").select(F.concat(F.lit("func_"), F.col("p_partkey").cast("string")).alias("f"), (F.col("p_size") % 4).alias("key_at"), (F.col("p_size") % 3).alias("value_at"))
     return joins.call_arguments(calls, roles, "f", "args", ["key_at", "value_at"]).drop("args")
 
 
@@ -64,14 +64,14 @@ def inverse_lookup(spark, sf):
     return keyed.last_wins(table(spark, sf, "part"), ["p_name"], "p_partkey", [F.col("p_partkey")])
 
 
-@query("identity_fallback", "SELECT DISTINCT a.l_suppkey AS key, b.l_suppkey IS NOT NULL AS same FROM (SELECT * FROM lineitem WHERE l_returnflag = 'A') a LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey % 7 <> 0) b USING (l_suppkey)")
+@query("identity_fallback", "SELECT DISTINCT a.l_suppkey AS key, b.l_suppkey IS NOT NULL AS same FROM (SELECT * FROM lineitem WHERE l_returnflag = 'A') a LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_quantity = 50) b USING (l_suppkey)")
 def identity_fallback(spark, sf):
     li = table(spark, sf, "lineitem")
-    used = li.where("l_returnflag = 'N' AND l_suppkey % 7 <> 0").select("l_suppkey").distinct().withColumn("same", F.lit(True))
+    used = li.where("l_returnflag = 'N' AND l_linestatus = 'O' AND l_quantity = 50").select("l_suppkey").distinct().withColumn("same", F.lit(True))
     return li.where("l_returnflag = 'A'").select("l_suppkey").distinct().join(used, "l_suppkey", "left").select(F.col("l_suppkey").alias("key"), F.coalesce("same", F.lit(False)).alias("same"))
 
 
-WORDS = "SELECT DISTINCT {k} AS k, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]+')) AS token FROM {t}"
+WORDS = "SELECT DISTINCT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM {t}"
 
 
 @query("anchor_vote", f"""WITH a AS (SELECT k AS item_id, token FROM ({WORDS.format(k='item_id', t='benchmark')})), b AS (SELECT k AS doc_id, token FROM ({WORDS.format(k='doc_id', t='documents')})),
@@ -79,7 +79,7 @@ WORDS = "SELECT DISTINCT {k} AS k, unnest(regexp_extract_all(lower(substr(text,
   s AS (SELECT item_id, doc_id, count(*)::BIGINT AS shared, round(sum(1.0::DOUBLE / (fa * fb)), 6) AS score FROM a JOIN fa USING (token) JOIN b USING (token) JOIN fb USING (token) GROUP BY ALL)
   SELECT item_id, doc_id, shared, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def anchor_vote(spark, sf):
-    side = lambda t, k: context.postings(table(spark, sf, t), k, F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("[a-z]+"), F.lit(0)))
+    side = lambda t, k: context.postings(table(spark, sf, t), k, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     return context.anchor_vote(side("benchmark", "item_id"), side("documents", "doc_id"), "item_id", "doc_id")
 
 
@@ -105,8 +105,8 @@ def literal_body_match(spark, sf):
 def fuzzy_context_score(spark, sf):
     near = anchor_vote(spark, sf).select("item_id", "doc_id")
     both = near.join(table(spark, sf, "benchmark").withColumnRenamed("text", "a"), "item_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("b")), "doc_id")
-    line = lambda c: F.get(F.split(F.col(c), "\n"), F.lit(0))
-    scored = both.withColumn("line", context.line_similarity(line("a"), line("b")))
+    each = both.select("item_id", "doc_id", F.explode(F.split("a", "\n")).alias("a"), "b").select("item_id", "doc_id", "a", F.explode(F.split("b", "\n")).alias("b"))
+    scored = each.withColumn("line", context.line_similarity("a", "b")).groupBy("item_id", "doc_id").agg(F.max("line").alias("line"))
     found = scored.select(F.col("item_id").alias("name"), F.col("doc_id").cast("string").alias("value"), F.col("line").alias("confidence"), F.lit("context match").alias("reason"), F.lit(1).alias("source_rank"))
     return context.merge_candidates(found, "name", "value")
 
@@ -183,13 +183,13 @@ def preferred_source_join(spark, sf):
     return keyed.top_k(s, ["lang"], [F.desc("n"), F.asc("source")], 3)
 
 
-@query("fingerprint_tiers", f"""WITH o AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS seq FROM (SELECT * FROM {OLD} WHERE event_id % 3 = 0) GROUP BY 1), n AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS seq FROM (SELECT * FROM {NEW} WHERE event_id % 3 = 0) GROUP BY 1),
-  a AS (SELECT substr(seq, 1, 12) AS p, min(user_id) AS old_id FROM o GROUP BY 1 HAVING count(*) = 1), b AS (SELECT substr(seq, 1, 12) AS p, min(user_id) AS new_id FROM n GROUP BY 1 HAVING count(*) = 1) SELECT p, old_id, new_id FROM a JOIN b USING (p)""")
+@query("fingerprint_tiers", f"""WITH o AS (SELECT user_id, string_agg(event_type, ',' ORDER BY m) AS p FROM (SELECT user_id, event_type, min(event_id) AS m FROM {OLD} GROUP BY ALL) GROUP BY 1), n AS (SELECT user_id, string_agg(event_type, ',' ORDER BY m) AS p FROM (SELECT user_id, event_type, min(event_id) AS m FROM {NEW} GROUP BY ALL) GROUP BY 1),
+  a AS (SELECT p, min(user_id) AS old_id FROM o GROUP BY 1 HAVING count(*) = 1), b AS (SELECT p, min(user_id) AS new_id FROM n GROUP BY 1 HAVING count(*) = 1) SELECT p, old_id, new_id FROM a JOIN b USING (p)""")
 def fingerprint_tiers(spark, sf):
     def side(s, name):
-        e = events(spark, sf, s).where("event_id % 3 = 0")
-        seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",")
-        return e.groupBy("user_id").agg(F.substring(seq, 1, 12).alias("p")).withColumnRenamed("user_id", name)
+        e = events(spark, sf, s).groupBy("user_id", "event_type").agg(F.min("event_id").alias("m"))
+        seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", "event_type"))), lambda x: x["event_type"]), ",")
+        return e.groupBy("user_id").agg(seq.alias("p")).withColumnRenamed("user_id", name)
 
     return keyed.unique_both_ways(side("old", "old_id"), side("new", "new_id"), ["p"])
 
@@ -197,7 +197,7 @@ def fingerprint_tiers(spark, sf):
 #: Every entry's old value, and per resolver the value it tells.
 CASCADE = f"""WITH e AS (SELECT user_id, event_type, user_id::VARCHAR || ':' || event_type AS name, arg_min(round(value)::BIGINT, event_id) AS value FROM {OLD} GROUP BY ALL),
   u AS (SELECT user_id, event_type, min(round(value)::BIGINT) AS v FROM {NEW} GROUP BY ALL HAVING count(DISTINCT round(value)::BIGINT) = 1),
-  f AS (SELECT event_type, user_id, arg_min(round(value)::BIGINT, event_id) AS v FROM {NEW} WHERE event_id % 2 = 0 GROUP BY ALL),
+  f AS (SELECT event_type, user_id, arg_min(round(value)::BIGINT, event_id) AS v FROM {NEW} GROUP BY ALL),
   m AS (SELECT event_type, v FROM (SELECT event_type, round(value)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, round(value)::BIGINT) AS r FROM {NEW} GROUP BY event_type, round(value)::BIGINT) WHERE r = 1),
   c AS (SELECT e.name, e.value, e.event_type, CASE WHEN u.v IS NOT NULL AND abs(u.v - e.value) <= 200 THEN 'unique' WHEN f.v IS NOT NULL AND abs(f.v - e.value) <= 200 THEN 'first' WHEN m.v IS NOT NULL AND abs(m.v - e.value) <= 200 THEN 'consensus' END AS method, u.v AS uv, f.v AS fv, m.v AS mv
     FROM e LEFT JOIN u ON u.user_id = e.user_id AND u.event_type = e.event_type LEFT JOIN f ON f.user_id = e.user_id AND f.event_type = e.event_type LEFT JOIN m ON m.event_type = e.event_type),
@@ -215,7 +215,7 @@ def cascaded(spark, sf):
         entries,
         [
             ("unique", lambda left: told(keyed.unique_map(new, ["name"], "v"), 1.0)),
-            ("first", lambda left: told(keyed.first_wins(new.where("event_id % 2 = 0").select("name", "v", "event_id"), ["name"], [F.col("event_id")]), 0.9)),
+            ("first", lambda left: told(keyed.first_wins(new.select("name", "v", "event_id"), ["name"], [F.col("event_id")]), 0.9)),
             ("consensus", lambda left: told(left.join(consensus, "event_type").select("name", "v"), 0.5)),
         ],
         guard=F.abs(F.col("new_value") - F.col("value")) <= 200,
@@ -292,12 +292,12 @@ def address_map(spark, sf):
     return bytecode.address_map(side("old"), side("new"))
 
 
-@query("remap_audit", "SELECT s_nationkey::VARCHAR AS script, s_suppkey % 50 AS old, s_suppkey % 50 + 5 AS new, 'exact' AS confidence, count(*)::BIGINT AS n FROM supplier GROUP BY ALL")
+@query("remap_audit", "SELECT s_nationkey::VARCHAR AS script, 'native' AS kind, s_suppkey % 50 AS old, s_suppkey % 50 + 5 AS new, 'exact' AS confidence, count(*)::BIGINT AS n FROM supplier GROUP BY ALL UNION ALL SELECT s_nationkey::VARCHAR, 'call', s_suppkey % 250, s_suppkey % 250 + 5, 'strict', count(*) FROM supplier GROUP BY ALL")
 def remap_audit(spark, sf):
     rows = bytecode.instructions(programs(spark, sf, "old"), TABLE)
-    calls = rows.select("script", F.lit(-1).alias("old_address"), F.lit(-1).alias("new_address"), F.lit("strict").alias("tier")).limit(0)
+    calls = rows.where("mnemonic = 'CALL'").select("script", F.col("value").alias("old_address"), (F.col("value") + 5).alias("new_address"), F.lit("strict").alias("tier")).distinct()
     audit = bytecode.remap_audit(rows, natives(spark, sf, "old"), natives(spark, sf, "new"), calls)
-    return audit.where("kind = 'native'").groupBy("script", "old", "new", "confidence").agg(F.count("*").alias("n"))
+    return audit.groupBy("script", "kind", "old", "new", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("listing_roundtrip", "SELECT s_nationkey::VARCHAR AS script, true AS same FROM supplier GROUP BY 1")
@@ -310,7 +310,7 @@ def listing_roundtrip(spark, sf):
     return p.join(back, "script").select("script", (F.col("code") == F.col("again")).alias("same"))
 
 
-@query("delta_overlap_match", """WITH o AS (SELECT DISTINCT l_suppkey % 20 AS g, l_suppkey AS k, l_partkey AS c FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 9 = 0), n AS (SELECT g, k + 1000 AS k, c + 4 AS c FROM o WHERE c % 27 <> 0),
+@query("delta_overlap_match", """WITH o AS (SELECT DISTINCT l_suppkey % 20 AS g, l_suppkey AS k, l_partkey AS c FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT g, k + 1000 AS k, c + 4 AS c FROM o WHERE c % 27 <> 0),
   oz AS (SELECT g, k, count(*) AS z FROM o GROUP BY ALL HAVING count(*) >= 4), nz AS (SELECT g, k, count(*) AS z FROM n GROUP BY ALL HAVING count(*) >= 4),
   h AS (SELECT o.g, o.k, oz.z, n.k AS nk, n.c - o.c AS delta, count(*) AS hits FROM o JOIN oz USING (g, k) JOIN n ON n.g = o.g AND abs(n.c - o.c) <= 12 JOIN nz ON nz.g = n.g AND nz.k = n.k GROUP BY ALL),
   b AS (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY hits DESC, abs(delta), delta, nk) AS r FROM h)
@@ -318,7 +318,7 @@ def listing_roundtrip(spark, sf):
 def delta_overlap_match(spark, sf):
     from ..operators import structure
 
-    o = table(spark, sf, "lineitem").where("l_returnflag = 'A' AND l_partkey % 9 = 0").select((F.col("l_suppkey") % 20).alias("g"), F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("c")).distinct()
+    o = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select((F.col("l_suppkey") % 20).alias("g"), F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("c")).distinct()
     n = o.where("c % 27 <> 0").select("g", (F.col("k") + 1000).alias("k"), (F.col("c") + 4).alias("c"))
     sets = lambda df: df.groupBy("g", "k").agg(F.array_sort(F.collect_set("c")).alias("children"))
     return structure.by_delta(sets(o), sets(n), ["g"], "k", "children")
@@ -360,7 +360,7 @@ def float_bits(spark, sf):
 def variable_cascade(spark, sf):
     from ..operators import unnamed
 
-    e = table(spark, sf, "events").where("event_id % 5 = 0")
+    e = table(spark, sf, "events")
     line = lambda shift: F.concat(F.lit("if (iLocal_"), (F.col("event_id") + shift).cast("string"), F.lit(') say("tag'), F.col("event_id").cast("string"), F.lit('");'))
     rows = lambda v, s: e.select(F.lit(v).alias("version"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line_no"), line(s).alias("line"))
     entries = e.select(F.concat(F.lit("V_"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("value"))

@@ -133,19 +133,20 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"))).alias("hash"))
 
 
-@query("wildcard_scan_health", r"""WITH p AS (SELECT item_id, substr(text, 1, 6) AS a, substr(text, 9, 6) AS b FROM benchmark WHERE item_id < 12 AND regexp_matches(substr(text, 1, 14), '^[A-Za-z .,]+$')),
+@query("wildcard_scan_health", r"""WITH p AS (SELECT item_id, substr(text, 1, 6) AS a, substr(text, 9, 6) AS b FROM benchmark WHERE regexp_matches(substr(text, 1, 14), '^[A-Za-z .,]+$')),
   c AS (SELECT p.item_id, sum(CASE WHEN d.doc_id % 2 = 0 THEN len(regexp_extract_all(d.text, a || '(?s:..)' || b)) ELSE 0 END) AS o, sum(CASE WHEN d.doc_id % 2 = 1 THEN len(regexp_extract_all(d.text, a || '(?s:..)' || b)) ELSE 0 END) AS n FROM p, documents d GROUP BY p.item_id)
   SELECT item_id, o::BIGINT AS n_old, n::BIGINT AS n_new, CASE WHEN o = 0 THEN 'NOT_IN_OLD' WHEN o > 1 THEN 'AMBIG_OLD' WHEN n = 1 THEN 'OK' WHEN n = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS status FROM c""".replace("|| a || '(?s:..)' ||", "").replace("a || '(?s:..)' || b", "replace(a, '.', '[.]') || '(?s:..)' || replace(b, '.', '[.]')"))
 def wildcard_scan_health(spark, sf):
-    b = table(spark, sf, "benchmark").where(F.col("item_id") < 12).where(F.substring("text", 1, 14).rlike("^[A-Za-z .,]+$"))
+    b = table(spark, sf, "benchmark").where(F.substring("text", 1, 14).rlike("^[A-Za-z .,]+$"))
     quoted = lambda at: F.replace(F.substring("text", at, 6), F.lit("."), F.lit("[.]"))
     patterns = {r.item_id: r.p for r in b.select("item_id", F.concat(quoted(1), F.lit("(?s:..)"), quoted(9)).alias("p")).collect()}
     return binary.pattern_health(table(spark, sf, "documents"), "text", patterns, F.col("doc_id") % 2 == 0).withColumnRenamed("pattern", "item_id").withColumn("item_id", F.col("item_id").cast("long"))
 
 
-@query("hex_fields", "SELECT doc_id, upper(hex(encode(substr(text, 1, 4)))) AS prefix_hex FROM documents WHERE regexp_matches(substr(text, 1, 4), '^[A-Za-z .]{4}$')")
+@query("hex_fields", "SELECT doc_id, length(hex(encode(text)))::BIGINT AS digits, md5(upper(hex(encode(text)))) AS hex_md5 FROM documents")
 def hex_fields(spark, sf):
-    return table(spark, sf, "documents").where(F.substring("text", 1, 4).rlike("^[A-Za-z .]{4}$")).select("doc_id", F.hex(F.encode(F.substring("text", 1, 4), "UTF-8")).alias("prefix_hex"))
+    h = F.hex(F.encode("text", "UTF-8"))
+    return table(spark, sf, "documents").select("doc_id", F.length(h).cast("long").alias("digits"), F.md5(h).alias("hex_md5"))
 
 
 @query("hex_literal_parse", "SELECT o_orderkey, o_orderkey % 256 AS low FROM orders")
@@ -200,9 +201,11 @@ def anchor_tokens(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(text.anchors("html"), ",").alias("anchors"))
 
 
-@query("masked_lines", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '"[^"]*"', '"S"', 'g'), '[0-9]+', 'N', 'g'), '[ \t]+', ' ', 'g')) AS line FROM documents""")
+@query("masked_lines", r"""SELECT doc_id, s.i::INT AS line_no, trim(regexp_replace(regexp_replace(regexp_replace(s.x, '"[^"]*"', '"S"', 'g'), '[0-9]+', 'N', 'g'), '[ \t]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'x': x, 'i': i - 1})) AS s FROM documents)""")
 def masked_lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.masked_line(F.get(F.split("text", "\n"), F.lit(0))).alias("line"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line", text.masked_line("line"))
 
 
 @query("root_proximity", "SELECT o_orderkey, CASE WHEN d <= 10 THEN 0.18 WHEN d <= 100 THEN 0.16 WHEN d <= 1000 THEN 0.1 WHEN d <= 5000 THEN 0.05 ELSE 0.0 END::DOUBLE AS bonus FROM (SELECT o_orderkey, abs(o_orderkey - o_custkey) AS d FROM orders)")
