@@ -17,7 +17,7 @@ def parsed_entries(lines: DataFrame, line: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 0) and line of text files; a file is one task's row, as its lines are numbered."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\u0085  ]")).alias("line_no", "line")).where("NOT (line = '' AND line_no = 0)")
+    return whole.select("file", F.posexplode(F.split("value", r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\u0085\u2028\u2029]")).alias("line_no", "line")).where("NOT (line = '' AND line_no = 0)")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
