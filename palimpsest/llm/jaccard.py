@@ -62,16 +62,23 @@ class Shingler:
         return np.unique(out)
 
 
-def ordered(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    """tokens in a global order: uncrowded ones first, then by the order's hash."""
+def ranks(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """The tokens' places in a global order, as numbers: uncrowded ones first, then by the order's hash."""
     x = (tokens ^ np.uint64(0x5851F42D4C957F2D * (order + 1) & 0xFFFFFFFFFFFFFFFF)) * _MIX[order % 3]
     x ^= x >> np.uint64(32)
-    return tokens[np.lexsort((x, level[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))]
+    crowded = level[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+    return crowded << np.uint64(58) | x >> np.uint64(6)
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
+def last_rank(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.uint64:
+    """The rank of the last token of a set's prefix: at least one of so many tokens is shared with any similar set."""
     n = len(tokens)
-    return ordered(tokens, level, order)[: n - -(-percent * n // 100) + 1] if n else tokens
+    at = n - -(-percent * n // 100)
+    return np.partition(ranks(tokens, level, order), at)[at]
+
+
+def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
+    return tokens[ranks(tokens, level, order) <= last_rank(tokens, level, order, percent)] if len(tokens) else tokens
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -161,24 +168,26 @@ def _places(classes: DataFrame, shared) -> DataFrame:
     return classes.select("prefix", *own).mapInArrow(run, "token bigint, " + ", ".join(f"{c} bigint" for c in own))
 
 
-def _texts(df: DataFrame, text: str, words: int, wanted) -> DataFrame:
-    """For the texts whose hashes pass the filter: k and z, the text compressed."""
+def _texts(df: DataFrame, text: str, words: int, percent: int, levels, wanted) -> DataFrame:
+    """For the texts whose hashes pass the filter: k, z (the text compressed), and the ranks that end the other orders' prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, told, pack = Shingler(words), set(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             some = np.flatnonzero(_passes(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
-            k, z = [], []
+            rows = []
             for t in batch.column(1).take(pa.array(some)).to_pylist():
-                own = _class(shingles(t))
-                if own not in told and t:
+                s = shingles(t)
+                own = _class(s)
+                if len(s) and own not in told:
                     told.add(own)
-                    k.append(own)
-                    z.append(pack(t.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(z, pa.binary())], names=["k", "z"])
+                    ends = [int(last_rank(s, levels.value, order, percent).astype(np.int64)) for order in (1, 2)]
+                    rows.append((own, pack(t.encode("utf-8", "surrogatepass")), *ends))
+            k, z, e1, e2 = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(z, pa.binary()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64())], names=["k", "z", "e1", "e2"])
 
-    made = df.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t")).mapInArrow(run, "k bigint, z binary")
-    return made.groupBy("k").agg(F.min("z").alias("z"))
+    made = df.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t")).mapInArrow(run, "k bigint, z binary, e1 bigint, e2 bigint")
+    return made.groupBy("k").agg(*(F.min(c).alias(c) for c in ("z", "e1", "e2")))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -189,34 +198,52 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return sizes & (differ * (100 + percent) <= (c(a, "n") + c(b, "n")) * (100 - percent))
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+class _Sets:
+    """Texts' sets and prefixes under the other orders by class; keeps max_tokens of them."""
+
+    def __init__(self, words: int, level: np.ndarray, max_tokens: int = 4_000_000):
+        self.shingles, self.level, self.max_tokens = Shingler(words), level, max_tokens
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        self.known: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        self.held = 0
+
+    def get(self, k: int, z: pa.Scalar, ends: tuple[int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        if k not in self.known:
+            s = self.shingles(self.unpack(z.as_py()).decode("utf-8", "surrogatepass"))
+            if self.held > self.max_tokens:
+                self.known, self.held = {}, 0
+            self.known[k] = s, [s[ranks(s, self.level, order) <= np.uint64(end & 0xFFFFFFFFFFFFFFFF)] for order, end in zip((1, 2), ends)]
+            self.held += len(s)
+        return self.known[k]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, levels) -> DataFrame:
     """pairs a, b that share prefix tokens under the other orders and reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
-        last: tuple = (None, None, None)
-
-        def described(z: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-            s = shingles(unpack(z).decode("utf-8", "surrogatepass"))
-            return s, [prefix(s, levels.value, order, percent) for order in (1, 2)]
-
+        sets = _Sets(words, levels.value)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b, a1, a2, b1, b2 = (batch.column(c).to_pylist() for c in ("a", "b", "a1", "a2", "b1", "b2"))
+            za, zb = batch.column("za"), batch.column("zb")
             keep = []
-            for i, (x, za, zb) in enumerate(zip(a, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if last[0] != x:
-                    last = (x, *described(za))
-                own, orders = described(zb)
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(last[2], orders)):
-                    shared = len(np.intersect1d(last[1], own, assume_unique=True))
-                    if 100 * shared >= percent * (len(last[1]) + len(own) - shared):
+            for i in range(len(a)):
+                s, own = sets.get(a[i], za[i], (a1[i], a2[i]))
+                t, other = sets.get(b[i], zb[i], (b1[i], b2[i]))
+                if all(_shared(p, q) for p, q in zip(own, other)):
+                    shared = _shared(s, t)
+                    if 100 * shared >= percent * (len(s) + len(t) - shared):
                         keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    left = texts.select(F.col("k").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("k").alias("b"), F.col("z").alias("zb"))
-    # each pair's smaller key first: a text comes once for all its pairs in a task
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
+    named = lambda x: texts.select(F.col("k").alias(x), F.col("z").alias(f"z{x}"), F.col("e1").alias(f"{x}1"), F.col("e2").alias(f"{x}2"))
+    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "za", "zb", "a1", "a2", "b1", "b2")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -245,7 +272,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     every, places = places, stored(pairable, "places")
     discard(every)
     wanted = places.select("k").distinct().join(classes.select("k", "th"), "k").select("th")
-    texts = stored(_texts(df, text, words, _filter(wanted, "th")), "texts")
+    texts = stored(_texts(df, text, words, percent, levels, _filter(wanted, "th")), "texts")
     discard(classes)
 
     links = spark.createDataFrame([], "a bigint, b bigint")
