@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_hot_key, run_dir, stored
+from .lookup import table, write_table
 from .token_store import _put
 
 A, ORDER = 32, 4
@@ -29,6 +30,8 @@ SIZE = A**ORDER
 #: Fixed values of the rules: characters that count as symbols, the fewest words, the window's words, the largest share of repeated words in percent.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
+#: The least spreads of a language, so that near copies or few texts don't make a band of no width: of a long text's log perplexity, and of its deviation times the root of its length.
+MIN_SPREAD, MIN_ROOT_SPREAD = 0.025, 1.0
 _OTHER, _UPPER, _DIGIT, _MARK, _SYMBOL = 31, 27, 28, 29, 30
 _MARKS = ".,;:!?'\"()-–—…¿¡«»’“”"
 
@@ -144,10 +147,24 @@ def _name(lang: str | None) -> str:
     return hashlib.md5((lang or "").encode()).hexdigest()
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
+def _same(text: str, lang: str) -> Column:
+    """The hash by which rows are copies of one text of a language."""
+    return F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("")), F.col(text))
+
+
+def copies(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
+    """A table (see lookup) of how many rows have each text of a language that more than one has; returns the folder."""
+    folder = run_dir(df.sparkSession, "copies")
+    many = stored(df.where(F.col(text) != "").select(_same(text, lang).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "copy-counts")
+    write_table(many, folder, many.count())
+    return folder
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", repeated: str | None = None) -> str:
     """Count the n-grams of every text by language and write a model per language; returns the folder.
 
     Null and empty texts count nothing; a null language is a language of its own.
+    With repeated, a folder of copies(), each of c copies counts 1/c, so that a distinct text counts once.
     """
     folder = run_dir(df.sparkSession, "perplexity")
 
@@ -159,18 +176,20 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
                 at = np.flatnonzero(n)
                 for k in range(0, len(at), 100_000):
                     part = at[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()), pa.array(n[part], pa.int64())], names=["l", "g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()), pa.array(n[part], pa.float64())], names=["l", "g", "n"])
             held.clear()
 
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = batch.column(2).to_numpy().view(np.uint64)
+            share = 1 / np.maximum(table(repeated).find(h)[0].astype(np.float64), 1) if repeated else np.ones(len(h))
+            for name, t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), share.tolist()):
                 if t:
                     g = grams(t)
-                    into = held.setdefault(name, np.zeros(SIZE, np.int64))
+                    into = held.setdefault(name, np.zeros(SIZE))
                     if len(g) > SIZE // 8:
-                        into += np.bincount(g, minlength=SIZE)
+                        into += np.bincount(g, minlength=SIZE) * w
                     else:
-                        np.add.at(into, g, 1)
+                        np.add.at(into, g, w)
                 if len(held) > 12:
                     yield from flush()
         yield from flush()
@@ -184,8 +203,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
 
     fs, at = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(at, recursive=True)
-    parts = df.select(F.md5(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("l"), F.col(text).alias("t")).mapInArrow(count, "l string, g int, n bigint")
-    counts = parts.groupBy("l", "g").agg(F.sum("n").alias("n"))
+    parts = df.select(F.md5(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("l"), F.col(text).alias("t"), _same(text, lang)).mapInArrow(count, "l string, g int, n double")
+    counts = parts.groupBy("l", "g").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
     counts.groupBy("l").applyInPandas(build, "l string, n bigint").write.parquet(f"{folder}/languages")
     return folder
 
@@ -274,10 +293,11 @@ _DROP_BLANKS = dict.fromkeys(map(ord, " \t\n\v\f\r"))
 
 
 def bands(df: DataFrame, folder: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per language: middle, the median log perplexity of its texts, and two spreads.
+    """Per language: middle, the median log perplexity of its distinct texts, and two spreads.
 
     spread is the scaled median deviation from the middle; root_spread that of the
-    deviation times the root of the length, as short texts scatter more.
+    deviation times the root of the length, as short texts scatter more. Both have a
+    least value. Copies of a text count once, however many there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,16 +305,17 @@ def bands(df: DataFrame, folder: str, text: str = "text", lang: str = "lang") ->
         for batch in batches:
             names = batch.column(0).to_pylist()
             x, n = zip(*(surprise(models, name, t) for name, t in zip(names, batch.column(1).to_pylist()))) if names else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array([_name(name) for name in names], pa.string()), pa.array(x, pa.float64()), pa.array(n, pa.int64())], names=["l", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(name) for name in names], pa.string()), batch.column(2), pa.array(x, pa.float64()), pa.array(n, pa.int64())], names=["l", "h", "x", "n"])
 
-    seen = stored(df.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(run, "l string, x double, n bigint").where("x is not null"), "surprise")
+    scored = df.select(F.col(lang).cast("string"), F.col(text), _same(text, lang)).mapInArrow(run, "l string, h bigint, x double, n bigint").where("x is not null")
+    seen = stored(scored.groupBy("l", "h").agg(F.min("x").alias("x"), F.min("n").alias("n")).drop("h"), "surprise")
     accuracy = 10_000
     middle = seen.groupBy("l").agg(F.percentile_approx("x", 0.5, accuracy).alias("middle"))
     middle = middle.join(seen.groupBy("l").agg(F.count("*").alias("texts")), "l")
     off = joined_by_hot_key(seen, middle, "l", "texts").select("l", F.abs(F.col("x") - F.col("middle")).alias("d"), F.sqrt("n").alias("r"))
     spread = off.groupBy("l").agg(
-        (F.percentile_approx("d", 0.5, accuracy) * 1.4826).alias("spread"),
-        (F.percentile_approx(F.col("d") * F.col("r"), 0.5, accuracy) * 1.4826).alias("root_spread"),
+        F.greatest(F.percentile_approx("d", 0.5, accuracy) * 1.4826, F.lit(MIN_SPREAD)).alias("spread"),
+        F.greatest(F.percentile_approx(F.col("d") * F.col("r"), 0.5, accuracy) * 1.4826, F.lit(MIN_ROOT_SPREAD)).alias("root_spread"),
     )
     return stored(middle.drop("texts").join(spread, "l"), "bands")
 
@@ -311,7 +332,7 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"]
     df = df.drop(*(c for c in made if c not in (key, text, lang)))
-    folder = fit(df, text, lang)
+    folder = fit(df, text, lang, copies(df, text, lang))
     limits = bands(df, folder, text, lang)
     at, at_lang = df.columns.index(text), df.columns.index(lang)
     own = ["__l", "__x", "__n"]

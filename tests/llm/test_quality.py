@@ -61,3 +61,13 @@ def test_operator_separates_labelled_documents_and_takes_odd_rows(spark, sf):
     got = q.assess(odd).collect()
     assert sorted((r.n_words, r.base_failed, r.kept) for r in got) == [(0, True, False), (0, True, False), (12, False, True), (12, False, True)]
     assert q.assess(odd.limit(0)).count() == 0
+
+
+def test_copies_of_one_text_do_not_narrow_a_language(spark):
+    import duckdb
+
+    rows = duckdb.sql("select d.doc_id, d.text, d.lang from '/root/testdata/sf0.01/documents.parquet' d join '/root/testdata/sf0.01/labels.parquet' l using (doc_id) where l.quality = 1 and d.lang = 'de' order by doc_id limit 120").fetchall()
+    copies = [(10_000_000 + i, rows[0][1], "de") for i in range(3 * len(rows))]
+    kept = {r.doc_id: r.kept for r in q.assess(spark.createDataFrame(rows + copies, "doc_id bigint, text string, lang string")).where("not base_failed").collect()}
+    own = [kept[d] for d, *_ in rows[1:] if d in kept]
+    assert np.mean(own) > 0.9 and kept[10_000_000]
