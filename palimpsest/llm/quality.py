@@ -1,11 +1,12 @@
 """Quality rules: counts of words, symbols and repeats, and a perplexity band per language.
 
-The language model is a modified Kneser-Ney model of order four over a folded
-alphabet of 32 character classes. All documents' n-grams are counted by Spark; a
-language has at most 32 ** 4 of them, whatever the input's size. A model is stored
-as arrays sorted by the n-grams' hashes, in one file per language in the shared folder; a
-worker reads the files of the languages it meets. Bands lie around each
-language's median log perplexity, their width from its spread over all documents.
+The rules' language model is that of ngrams, over unfolded characters. Bands lie around
+each language's median log perplexity, their width from its spread over all distinct texts.
+
+The model of this module is for telling languages alone (see language): a modified
+Kneser-Ney model of order four over a folded alphabet of 32 character classes, at most
+32 ** 4 n-grams a language. It is stored as arrays sorted by the n-grams' hashes, in one
+file per language in the shared folder; a worker reads the files of the languages it meets.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ngrams
 from .common import joined_by_hot_key, run_dir, stored
-from .lookup import table, write_table
+from .lookup import write_table
+from .ngrams import scorer
 from .token_store import _put
 
 A, ORDER = 32, 4
@@ -160,11 +163,10 @@ def copies(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
     return folder
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", repeated: str | None = None) -> str:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
     """Count the n-grams of every text by language and write a model per language; returns the folder.
 
     Null and empty texts count nothing; a null language is a language of its own.
-    With repeated, a folder of copies(), each of c copies counts 1/c, so that a distinct text counts once.
     """
     folder = run_dir(df.sparkSession, "perplexity")
 
@@ -176,20 +178,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", repeated: str | N
                 at = np.flatnonzero(n)
                 for k in range(0, len(at), 100_000):
                     part = at[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()), pa.array(n[part], pa.float64())], names=["l", "g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()), pa.array(n[part], pa.int64())], names=["l", "g", "n"])
             held.clear()
 
         for batch in batches:
-            h = batch.column(2).to_numpy().view(np.uint64)
-            share = 1 / np.maximum(table(repeated).find(h)[0].astype(np.float64), 1) if repeated else np.ones(len(h))
-            for name, t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), share.tolist()):
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t:
                     g = grams(t)
-                    into = held.setdefault(name, np.zeros(SIZE))
+                    into = held.setdefault(name, np.zeros(SIZE, np.int64))
                     if len(g) > SIZE // 8:
-                        into += np.bincount(g, minlength=SIZE) * w
+                        into += np.bincount(g, minlength=SIZE)
                     else:
-                        np.add.at(into, g, w)
+                        np.add.at(into, g, 1)
                 if len(held) > 12:
                     yield from flush()
         yield from flush()
@@ -203,8 +203,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", repeated: str | N
 
     fs, at = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(at, recursive=True)
-    parts = df.select(F.md5(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("l"), F.col(text).alias("t"), _same(text, lang)).mapInArrow(count, "l string, g int, n double")
-    counts = parts.groupBy("l", "g").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
+    parts = df.select(F.md5(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("l"), F.col(text).alias("t")).mapInArrow(count, "l string, g int, n bigint")
+    counts = parts.groupBy("l", "g").agg(F.sum("n").alias("n"))
     counts.groupBy("l").applyInPandas(build, "l string, n bigint").write.parquet(f"{folder}/languages")
     return folder
 
@@ -237,14 +237,17 @@ def _models(folder: str) -> Models:
     return _MODELS[folder]
 
 
-def surprise(models: Models, lang: str | None, text: str | None) -> tuple[float | None, int]:
-    """The log perplexity of a word character (what other characters cost is shared among them) and the number of word characters."""
-    if not text:
-        return None, 0
-    g = grams(text)
-    c = g & A - 1
-    n = max(1, int(((c > 0) & (c < _MARK) | (c == _OTHER)).sum()))
-    return -float(models.get(_name(lang))[g].sum(dtype=np.float64)) / n, n
+def _word_characters() -> np.ndarray:
+    """By code point, whether it counts as part of a word."""
+    global _WORD
+    if _WORD is None:
+        c = _classes()
+        _WORD = np.ones(0x110000, bool)
+        _WORD[: len(c)] = (c > 0) & (c < _MARK) | (c == _OTHER)
+    return _WORD
+
+
+_WORD: np.ndarray | None = None
 
 
 # ---- the rules -----------------------------------------------------------------------
@@ -301,10 +304,9 @@ def bands(df: DataFrame, folder: str, text: str = "text", lang: str = "lang") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(folder)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            x, n = zip(*(surprise(models, name, t) for name, t in zip(names, batch.column(1).to_pylist()))) if names else ((), ())
+            x, n = scorer(folder).surprises(names, batch.column(1).to_pylist(), _word_characters())
             yield pa.RecordBatch.from_arrays([pa.array([_name(name) for name in names], pa.string()), batch.column(2), pa.array(x, pa.float64()), pa.array(n, pa.int64())], names=["l", "h", "x", "n"])
 
     scored = df.select(F.col(lang).cast("string"), F.col(text), _same(text, lang)).mapInArrow(run, "l string, h bigint, x double, n bigint").where("x is not null")
@@ -332,18 +334,17 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"]
     df = df.drop(*(c for c in made if c not in (key, text, lang)))
-    folder = fit(df, text, lang, copies(df, text, lang))
+    folder = ngrams.fit(df, text, lang, _same(text, lang), copies(df, text, lang))
     limits = bands(df, folder, text, lang)
     at, at_lang = df.columns.index(text), df.columns.index(lang)
     own = ["__l", "__x", "__n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(folder)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             names = [None if n is None else str(n) for n in batch.column(at_lang).to_pylist()]
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            x, n = zip(*map(lambda name, t: surprise(models, name, t), names, texts)) if names else ((), ())
+            x, n = scorer(folder).surprises(names, texts, _word_characters())
             more = [*(pa.array(c, pa.int64()) for c in counts.T), pa.array([_name(name) for name in names], pa.string()), pa.array(x, pa.float64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *made[:5], *own])
 

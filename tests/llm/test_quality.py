@@ -71,3 +71,31 @@ def test_copies_of_one_text_do_not_narrow_a_language(spark):
     kept = {r.doc_id: r.kept for r in q.assess(spark.createDataFrame(rows + copies, "doc_id bigint, text string, lang string")).where("not base_failed").collect()}
     own = [kept[d] for d, *_ in rows[1:] if d in kept]
     assert np.mean(own) > 0.9 and kept[10_000_000]
+
+
+def test_shuffled_texts_of_any_script_are_rejected_and_tables_grow(spark):
+    from palimpsest.llm import ngrams
+    from palimpsest.llm.lookup import Table
+
+    rnd = random.Random(3)
+    syllables = [c + v for c in "бвгдклмнпрст" for v in "аеиоу"]
+    words = ["".join(rnd.choices(syllables, k=rnd.randrange(1, 5))) for _ in range(300)]
+    clean = [" ".join(rnd.choices(words, k=200)) for _ in range(150)]
+    bad = ["".join(rnd.sample(t, len(t))) for t in clean[:10]]
+    rows = [(i, t, "ru") for i, t in enumerate(clean + bad)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id: r.kept for r in q.assess(df).where("not base_failed").collect()}
+    assert np.mean([kept[i] for i in range(150)]) > 0.95
+    assert not any(kept.get(150 + i, False) for i in range(10))
+    n = []
+    for part in (df.limit(20), df):
+        t = Table(ngrams.fit(part, "text", "lang", q._same("text", "lang"), q.copies(part)))
+        n.append(sum(len(t._part(p)[0]) for p in range(1 << t.bits)))
+        points = np.frombuffer((ngrams.PAD + clean[0][:40]).encode("utf-32-le"), "<u4")
+        seen = sorted({ord(c) for r in part.collect() for c in r.text})
+        every = np.array([*seen, 0x1F600], np.uint32)
+        s = ngrams.Scorer(t)
+        for i in range(0, 40, 7):
+            p = s.probabilities(np.array([ngrams.seed("ru")], np.uint64), [*(np.full(len(every), c) for c in points[i : i + 3]), every])
+            assert abs(p.sum() - 1) < 1e-4 and p.min() > 0, (i, p.sum(), p.min())
+    assert n[1] > n[0]
