@@ -56,13 +56,13 @@ def containers(lines: DataFrame, g: Grammar, by: list[str]) -> DataFrame:
     return first_wins(_keyed(made, labels(lines, g, by), by), [*by, "container"], [F.col("line_no")])
 
 
-def container_paths(found: DataFrame, by: list[str], max_depth: int = 16) -> DataFrame:
+def container_paths(found: DataFrame, by: list[str]) -> DataFrame:
     """by, container, path, dynamic: keys from the outermost container down; a cycle's walk ends."""
     from .joins import parent_paths
 
     name = lambda c: F.concat_ws("\x00", *by, c)
     nodes = found.select(name("container").alias("id"), name("parent").alias("up"), "key")
-    paths = parent_paths(nodes.where("key is not null"), "id", "up", "key", ".", max_depth)
+    paths = parent_paths(nodes.where("key is not null"), "id", "up", "key", ".")
     return found.withColumn("id", name("container")).join(paths, "id", "left").select(*by, "container", "path", "dynamic")
 
 

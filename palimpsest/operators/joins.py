@@ -41,8 +41,11 @@ def with_fallback(df: DataFrame, exact: DataFrame, loose: DataFrame, key: str, l
     return df.join(a, key, "left").join(b, loose_key, "left").withColumn(value, F.coalesce("__exact", "__loose")).drop("__exact", "__loose")
 
 
-def parent_paths(nodes: DataFrame, node: str, parent: str, label: str, sep: str = ".", max_depth: int = 32) -> DataFrame:
-    """Each node's labels from the root down, joined by sep, and depth; a cycle's walk ends where it would repeat."""
+def parent_paths(nodes: DataFrame, node: str, parent: str, label: str, sep: str = ".") -> DataFrame:
+    """Each node's labels from the root down, joined by sep, and depth; a cycle's walk ends where it would repeat.
+
+    Chains deeper than spark.sql.cteRecursionLevelLimit are an error, never cut short.
+    """
     spark = nodes.sparkSession
     nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(label).alias("label")).createOrReplaceTempView("__nodes")
     return spark.sql(f"""
@@ -50,7 +53,7 @@ def parent_paths(nodes: DataFrame, node: str, parent: str, label: str, sep: str
           SELECT node, parent, cast(label AS string), 1, array(node) FROM __nodes
           UNION ALL
           SELECT w.node, n.parent, concat(n.label, '{sep}', w.path), w.depth + 1, array_append(w.seen, n.node)
-          FROM walk w JOIN __nodes n ON n.node = w.up WHERE w.depth < {max_depth} AND NOT array_contains(w.seen, n.node)
+          FROM walk w JOIN __nodes n ON n.node = w.up WHERE NOT array_contains(w.seen, n.node)
         )
         SELECT node AS {node}, max_by(path, depth) AS path, cast(max(depth) AS int) AS depth FROM walk GROUP BY node""")
 

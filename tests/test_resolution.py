@@ -105,3 +105,11 @@ def test_assembly():
         assembly.assemble_text("PUSH_U8 256", TABLE)
     with pytest.raises(ValueError):
         assembly.assemble_text("WHAT 1", TABLE)
+
+
+def test_parent_paths_of_deep_chains_are_whole(spark):
+    from palimpsest.operators.joins import parent_paths
+
+    chain = spark.createDataFrame([(i, i - 1, f"k{i}") for i in range(36)] + [(100, 101, "a"), (101, 100, "b")], "id int, up int, label string").coalesce(1)
+    got = {r.id: (r.path, r.depth) for r in parent_paths(chain, "id", "up", "label").collect()}
+    assert got[35] == (".".join(f"k{i}" for i in range(36)), 36) and got[0] == ("k0", 1) and got[100] == ("b.a", 2)
