@@ -40,12 +40,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Removes the files of a df that stored() gave, once what was made of it is stored itself.
-
-    Shuffle files of finished jobs go when the driver's JVM finds them to be garbage, so it is asked to look.
-    """
+    """Removes the files of a df that stored() gave, once what was made of it is stored itself."""
     sc = df.sparkSession.sparkContext
-    sc._jvm.System.gc()
     for file in df.inputFiles()[:1]:
         folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
