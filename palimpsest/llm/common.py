@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,17 @@ _SPACE_THEN_BLANK = re.compile(r"[\s\x1c-\x1f] ")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, which must be set on a cluster.
+
+    Where it is unset and all runs in this one process's JVM, as in tests, a temporary folder.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -47,6 +55,19 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """texts in slices of so many bytes; a longer text is alone, and whole."""
+    held = start = 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield texts.slice(start, i - start)
+            held, start = 0, i
+        held += n
+    if start < len(sizes):
+        yield texts.slice(start)
+
+
 def chunked(text: str) -> tuple[list[str], bool]:
     """text cut at blanks, so that no match of the pre-token pattern is cut apart.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, joined_by_hot_key, stored
+from .common import byte_slices, discard, joined_by_hot_key, stored
 from .components import components
 
 #: Of the hash space, the share in percent, beyond the prefix's own, whose tokens come first.
@@ -38,24 +38,12 @@ SPARE_PERCENT = 10
 #: 64-bit words of the parity that goes with every prefix token; bits of a class's own parity for each of its tokens.
 PARITY_WORDS, PARITY_SHARE = 8, 0.5
 STAR_ROUNDS = 2
-#: Bytes of text whose words are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    held = start = 0
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    for i, n in enumerate(sizes.tolist()):
-        held += n
-        if held >= SLICE_BYTES or i == len(texts) - 1:
-            yield texts.slice(start, i + 1 - start)
-            held, start = 0, i + 1
-
-
 def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Each text's distinct word n-grams as sorted 64-bit hashes; A-Z are lower-cased, ASCII white space parts words."""
-    for part in _slices(texts):
+    for part in byte_slices(texts):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary.cast(pa.large_binary()).to_pylist()

@@ -23,11 +23,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, run_dir
+from .common import byte_slices, chunked, run_dir
 
 MAGIC = b"DACIDS01"
 RANK_BITS = 512
@@ -101,6 +102,24 @@ class Shard:
             i = self._rank(level, i)
         return value
 
+    def get_all(self, places: np.ndarray) -> np.ndarray:
+        """The ids at these places, as get() finds each."""
+        out = np.zeros(len(places), np.uint32)
+        on, at = np.arange(len(places)), places.astype(np.int64)
+        for level, (codes, bitmap, directory) in enumerate(self.levels):
+            out[on] |= codes[at].astype(np.uint32) << 8 * level
+            more = (bitmap[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
+            on, at = on[more], at[more]
+            if not len(on):
+                break
+            # set bits before the place: those before its block, of the block's whole bytes, and of its byte
+            width = RANK_BITS // 8
+            block = at // RANK_BITS
+            bytes_at = block[:, None] * width + np.arange(width)
+            ones = np.where(bytes_at < (at // 8)[:, None], _ONES[bitmap[np.minimum(bytes_at, len(bitmap) - 1)]], 0).sum(axis=1, dtype=np.int64)
+            at = directory[block].astype(np.int64) + ones + _ONES[bitmap[at // 8] & ((1 << at % 8) - 1).astype(np.uint8)].astype(np.int64)
+        return out
+
     def ids(self, lo: int, hi: int, level: int = 0) -> np.ndarray:
         """Ids lo to hi - 1."""
         codes, bitmap, _ = self.levels[level]
@@ -114,18 +133,69 @@ class Shard:
         return out
 
 
+class Ranges:
+    """A stored file read by byte ranges: an id costs a few bytes of each of its levels, whatever the file's size."""
+
+    def __init__(self, file):
+        self.file = file
+        if bytes(file.read_at(8, 0)) != MAGIC:
+            raise ValueError("not a file of token ids")
+        self.n_docs, self.n_ids, n_levels = (int(x) for x in self._take("<u8", 3, 8))
+        counts = [int(x) for x in self._take("<u8", n_levels, 32)]
+        self.known = 32 + 8 * n_levels
+        self.first = self.known + 8 * self.n_docs + -(-self.n_docs // 8)
+        at = self.first + 8 * (self.n_docs + 1)
+        self.levels = []
+        for n in counts:
+            bits = -(-n // 8)
+            self.levels.append((at, at + n, at + n + bits))
+            at += n + bits + 4 * -(-bits // (RANK_BITS // 8))
+
+    def _take(self, kind: str, n: int, at: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(n * np.dtype(kind).itemsize, at), kind)
+
+    def get(self, i: int) -> int:
+        """Id i."""
+        return int(self.ids(i, i + 1)[0])
+
+    def ids(self, lo: int, hi: int, level: int = 0) -> np.ndarray:
+        """Ids lo to hi - 1."""
+        codes, bitmap, directory = self.levels[level]
+        out = self._take("u1", hi - lo, codes + lo).astype(np.uint32)
+        if hi > lo:
+            block = lo // RANK_BITS * (RANK_BITS // 8)
+            held = self._take("u1", -(-hi // 8) - block, bitmap + block)
+            bits = np.unpackbits(held, bitorder="little")
+            before, own = bits[: lo - 8 * block], bits[lo - 8 * block : hi - 8 * block].astype(bool)
+            n = int(own.sum())
+            if n:
+                start = int(self._take("<u4", 1, directory + 4 * (lo // RANK_BITS))[0]) + int(before.sum())
+                out[own] |= self.ids(start, start + n, level + 1) << 8
+        return out
+
+    def document(self, d: int) -> np.ndarray:
+        """The ids of the file's document d, with its end id."""
+        lo, hi = (int(x) for x in self._take("<u8", 2, self.first + 8 * d))
+        return self.ids(lo, hi)
+
+
 # ---- encoding ----------------------------------------------------------------------
 
 
 class Encoder:
-    """Ids by the tokenizers library; keeps those of chunks seen, max_chunks at most, those after a blank in flat arrays."""
+    """Ids by the tokenizers library; keeps those of chunks seen, max_chunks at most, in flat arrays.
+
+    Added tokens are read wherever a text spells them out, as the library does; one that
+    holds a blank would be cut apart, so a tokenizer with such a token is refused.
+    """
 
     def __init__(self, definition: str, max_chunks: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        if any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token reaches over a blank")
         # each character of a byte-level token stands for one byte
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -135,60 +205,88 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.first: dict[str, np.ndarray] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.after: dict[str, int] = {}  # chunks that follow a blank, without it
+        self.first: dict[str, int] = {}  # chunks at a text's start
+        self.flat, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 0
         self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks start with a blank and end without: joined, the library cuts them where they are joined."""
-        groups = [chunks[k : k + 400] for k in range(0, len(chunks), 400)]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(made.ids, np.uint32)
+        """Each chunk after a blank: joined, the library cuts them where they are joined."""
+        for k in range(0, len(chunks), 400):
+            group = [" " + c for c in chunks[k : k + 400]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, np.uint32)
             # ids stand for bytes, and none for bytes of two chunks: a token lies in the chunk in which it ends
             ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in group])
             places = np.searchsorted(ends, np.cumsum(self.n_bytes[ids]), side="left")
-            self._add(group, ids, np.bincount(places, minlength=len(group)))
+            n = self._add(ids, np.bincount(places, minlength=len(group)))
+            self.after.update(zip(chunks[k : k + 400], range(n, n + len(group))))
 
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.at)
-        while n + len(chunks) > len(self.start):
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        n = self.n
+        while n + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(chunks)] = sizes
+        self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(sizes)] = sizes
         self.used += len(ids)
-        self.at.update(zip((c[1:] for c in chunks), range(n, n + len(chunks))))
+        self.n += len(sizes)
+        return n
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if len(self.at) + len(self.first) > self.max_chunks:
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are cut at every blank, one after the other, and how many each has."""
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if self.n + len(names) > self.max_chunks:
             self._forget()
-        chunks, regular = chunked(text)
-        if not regular:
-            return np.concatenate([self._whole(c) for c in chunks])
-        rest = chunks[1:]
-        at = self.at
-        try:
-            found = list(map(at.__getitem__, rest))
-        except KeyError:
-            self._learn([" " + c for c in {c for c in rest if c not in at}])
-            found = list(map(at.__getitem__, rest))
-        where = np.array(found, np.int64)
-        size = self.size[where]
+        heads = np.zeros(len(codes), bool)
+        heads[offsets[:-1]] = True
+        used = np.flatnonzero(np.bincount(codes[~heads], minlength=len(names))).tolist()
+        self._learn([names[c] for c in used if names[c] not in self.after])
+        where = np.zeros(len(names), np.int64)
+        where[used] = [self.after[names[c]] for c in used]
+        at = where[codes]
+        for i, c in zip(offsets[:-1].tolist(), codes[offsets[:-1]].tolist()):
+            found = self.first.get(names[c])
+            if found is None:
+                ids = self._whole(names[c])
+                found = self.first[names[c]] = self._add(ids, np.array([len(ids)]))
+            at[i] = found
+        size = self.size[at]
         ends = np.cumsum(size)
-        n = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.start[where] - (ends - size), size) + np.arange(n)
-        head = self.first.get(chunks[0])
-        if head is None:
-            head = self.first[chunks[0]] = self._whole(chunks[0])
-        return np.concatenate([head, self.flat[take]])
+        take = np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]))
+        return self.flat[take], np.add.reduceat(size, offsets[:-1])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after the other, and how many each has."""
+        uncut = pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
+        if len(texts) and not uncut.any():
+            return self._regular(texts)
+        pieces: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        regular = np.flatnonzero(~uncut)
+        if len(regular):
+            ids, n = self._regular(texts.take(pa.array(regular)))
+            for i, part in zip(regular.tolist(), np.split(ids, np.cumsum(n)[:-1])):
+                pieces[i] = part
+        for i in np.flatnonzero(uncut).tolist():
+            text = texts[i].as_py()
+            chunks, by_blank = chunked(text)
+            pieces[i] = np.concatenate([np.zeros(0, np.uint32), *map(self._whole, [text] if by_blank else chunks)])
+        return np.concatenate([np.zeros(0, np.uint32), *pieces]), np.array([len(p) for p in pieces], np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+#: Texts that aren't cut at every blank: empty ones, and those with a blank at an end or after white space (fixed values: Unicode's white space with the separators 1C to 1F).
+_UNCUT = r"^$|^ | $|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 @lru_cache(maxsize=1)
@@ -200,20 +298,26 @@ def encoder(definition: str) -> Encoder:
 
 
 def _put(path: str, data: bytes) -> None:
-    """Written under a name of its own and then moved: a repeated task leaves the same file."""
+    """Written under a name of its own and then moved, over what an earlier attempt of the task may have left."""
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
     part = f"{at}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(part) as f:
         f.write(data)
-    fs.move(part, at)
+    try:
+        fs.move(part, at)
+    except OSError:  # not every store moves over a file
+        if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
+            raise
+        fs.delete_file(at)
+        fs.move(part, at)
 
 
 def write(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = 1 << 22) -> DataFrame:
     """Encode every text, append end_id, and write the ids in ascending key order to files in folder.
 
     Null keys come first; rows of one key follow by their texts' hash and text; a
-    null text counts as empty and has the end id alone. A file takes whole
-    documents until it has shard_ids ids. Returns the manifest, read back: part, seq,
+    null text counts as empty and has the end id alone. A file takes slices of
+    whole documents until it has shard_ids ids. Other columns play no part. Returns the manifest, read back: part, seq,
     n_docs, n_ids and start, the number of ids in all files before.
     """
     spark = df.sparkSession
@@ -229,23 +333,27 @@ def write(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text:
         part, enc = TaskContext.get().partitionId(), encoder(definition.value)
         keys: list[int | None] = []
         pieces: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = seq = 0
-        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, seq, keys, pieces
-            first = np.cumsum([0, *map(len, pieces)])
+            nonlocal held, seq, keys, pieces, sizes
+            first = np.cumsum(np.concatenate([[0], *sizes]))
             _put(f"{folder}/ids/{part:06d}-{seq:06d}.dac", pack(np.concatenate(pieces), keys, first))
             out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(keys), "n_ids": held}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-            held, seq, keys, pieces = 0, seq + 1, [], []
+            held, seq, keys, pieces, sizes = 0, seq + 1, [], [], []
             return out
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([enc.encode(t), end])
-                keys.append(k)
-                pieces.append(ids)
-                held += len(ids)
+            done = 0
+            for texts in byte_slices(batch.column(1), min(4 << 20, 4 * shard_ids)):
+                ids, n = enc.encode_all(texts)
+                ends = np.cumsum(n)
+                keys += batch.column(0).slice(done, len(texts)).to_pylist()
+                pieces.append(np.insert(ids, ends, end_id))
+                sizes.append(n + 1)
+                held += len(pieces[-1])
+                done += len(texts)
                 if held >= shard_ids:
                     yield flush()
         if keys:
@@ -265,7 +373,10 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """Per document of the files: key, start (ids before it in the store), n_tokens (with the end id), ids_crc32."""
+    """Per document of the files: key, start (ids before it in the store), n_tokens (with the end id), ids_crc32, first_id.
+
+    first_id, the document's first id (its end id where it is empty), is read by its place alone.
+    """
     files = spark.read.format("binaryFile").load(f"{folder}/ids/*.dac").select(
         F.regexp_extract("path", r"(\d+)-\d+\.dac$", 1).cast("int").alias("part"),
         F.regexp_extract("path", r"-(\d+)\.dac$", 1).cast("int").alias("seq"),
@@ -280,9 +391,31 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 first = shard.first
                 ids = shard.ids(0, shard.n_ids).astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pd.DataFrame({key: pd.array(shard.doc_ids, "Int64"), "start": start + first[:-1], "n_tokens": np.diff(first), "ids_crc32": np.array(crc, np.int64)})
+                yield pd.DataFrame({key: pd.array(shard.doc_ids, "Int64"), "start": start + first[:-1], "n_tokens": np.diff(first), "ids_crc32": np.array(crc, np.int64), "first_id": shard.get_all(first[:-1]).astype(np.int64)})
+
+    return rows.mapInPandas(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint")
+
+
+def read_places(wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted: part, seq, place (a file and an id's place in it). Returns these and id, read by byte ranges; null where there is no such place.
+
+    Rows of one file may be dealt to any tasks: none reads more than it asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(folder)
+        name, ranges = None, None
+        for batch in batches:
+            found: list[int | None] = []
+            for part, seq, place in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, seq) != name:
+                    path = f"{at}/ids/{part or 0:06d}-{seq or 0:06d}.dac"
+                    there = part is not None and seq is not None and fs.get_file_info(path).type == pyarrow.fs.FileType.File
+                    name, ranges = (part, seq), Ranges(fs.open_input_file(path)) if there else None
+                found.append(ranges.get(place) if ranges and place is not None and 0 <= place < ranges.n_ids else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["part", "seq", "place", "id"])
 
-    return rows.mapInPandas(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return wanted.select(F.col("part").cast("int"), F.col("seq").cast("int"), F.col("place").cast("long")).mapInArrow(run, "part int, seq int, place bigint, id bigint")
 
 
 def store_and_read(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -292,5 +425,5 @@ def store_and_read(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     write(df, tokenizer, folder, key, text, **how)
     fs, at = pyarrow.fs.FileSystem.from_uri(folder)
     if not fs.get_file_info(pyarrow.fs.FileSelector(f"{at}/ids")):
-        return spark.createDataFrame([], f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        return spark.createDataFrame([], f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint")
     return read(spark, folder, key)
