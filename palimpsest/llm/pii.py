@@ -1,10 +1,12 @@
 """Personal data: base patterns, then contextual extraction bootstrapped from them.
 
-Base entities are found by four patterns. The words before them and their shapes induce
-lexical patterns; patterns and instances then score each other over a few rounds of
-grouped sums: a pattern is as good as the share of its instances that are good, an
-instance that isn't seeded as good as its best pattern, damped. Patterns of high confidence
-mark the identifiers of their shape that the base patterns miss.
+Base entities are found by four patterns and are the seeds. The word before an entity and
+the word after it are lexical patterns. Patterns and instances score each other by grouped
+sums: a pattern's confidence in a kind is the sum of its instances' scores for that kind over the number
+of its instances of any kind and of the places where an ordinary word stands instead; unknown
+instances count neither way. Unknown instances of confident patterns become
+instances of that kind with a damped score, and may lift further patterns, until no new one
+is found. What confident patterns mark and the base patterns miss is reported as well.
 """
 
 from __future__ import annotations
@@ -23,36 +25,51 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit, the unit that induced patterns extract.
-MENTION = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A word with a digit or an at sign, the unit that induced patterns extract; all others are ordinary words.
+MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 INDUCED = "id"
 #: What must stand in a text for a pattern to match at all.
 _NEEDLE = {"email": "@", "phone": "+"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-ROUNDS, DAMPING = 3, 0.9
+DAMPING = 0.9
 MIN_CONFIDENCE, MIN_SEEDS = 0.8, 5
-CONTEXT_CHARS = 64
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """The matches in order: start, end (code points, end exclusive), value, and gap, the end of what stands before.
+def _normal(word: Column) -> Column:
+    """Lower-cased and without punctuation around it; a word of punctuation alone stays; one with a digit or an at sign is none."""
+    bare = F.regexp_replace(word, r"^\p{P}++|\p{P}++$", "")
+    return F.when(F.contains(word, F.lit("@")) | word.rlike("[0-9]"), F.lit("")).otherwise(F.lower(F.when(bare == "", word).otherwise(bare)))
+
+
+def spans_of(text: Column, pattern: str, around: bool = False) -> Column:
+    """The matches in order: start, end (code points, end exclusive), value, and if around, left and right, the words before and after.
 
     The pieces between the matches and the matches themselves tile the text, so
     their lengths give the places.
     """
+    fields = ["left", "right"] if around else []
+    kind = "array<struct<" + ",".join(["start:int", "end:int", "value:string", *(f"{c}:string" for c in fields)]) + ">>"
+
+    def gap(g: Column) -> Column:
+        words = (F.regexp_extract(g, r"(?<!\S)(\S++)\s*+$", 1).alias("left"), F.regexp_extract(g, r"^\s*+(\S++)", 1).alias("right"))
+        return F.struct(F.length(g).alias("n"), *words) if around else F.struct(F.length(g).alias("n"))
+
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT_CHARS)).alias("gap")))
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("v"), g["n"].alias("n"), g["gap"].alias("gap")))
-    kind = "array<struct<start:int,end:int,value:string,gap:string>>"
+    gaps = F.transform(F.split(text, pattern, -1), gap)
+    n = F.size(values)
+    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), n), lambda v, g: F.struct(v.alias("v"), g.alias("before")))
+    if around:
+        pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), n), lambda x, g: F.struct(x["v"].alias("v"), x["before"].alias("before"), g.alias("after")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["n"]
+        start = acc["at"] + x["before"]["n"]
         end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), x["gap"].alias("gap"))).alias("out"))
+        words = (_normal(x["before"]["left"]).alias("left"), _normal(x["after"]["right"]).alias("right")) if around else ()
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), *words)).alias("out"))
 
     folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(values) > 0, folded).otherwise(F.array().cast(kind))
+    return F.when(n > 0, folded).otherwise(F.array().cast(kind))
 
 
 def luhn(digits: Column) -> Column:
@@ -90,64 +107,76 @@ def base_entities(text: Column) -> Column:
     return F.array_sort(F.concat(*(_entities(text, rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def shape(value: Column) -> Column:
-    """Runs of letters become a, runs of digits 9."""
-    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "9")
+def _described(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: row (a number of its own), the key, base entities, and instances: these and mentions without any (start, end, value, kind, left, right)."""
+    one = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    one = one.withColumn("base", base_entities(F.col("t"))).withColumn("mentions", spans_of(F.col("t"), MENTION, around=True)).drop("t")
 
+    def instance(start: Column, end: Column, value: Column, kind: Column, left: Column, right: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), kind.cast("int").alias("kind"), left.alias("left"), right.alias("right"))
 
-def _before(gap: Column) -> Column:
-    """The last word of what stands before, lower-cased, without punctuation around it."""
-    return F.lower(F.regexp_replace(F.regexp_extract(gap, r"(\S+)\s*$", 1), r"^\p{P}+|\p{P}+$", ""))
+    def seed(b: Column) -> Column:
+        held = F.filter("mentions", lambda m: (m["start"] < b["end"]) & (b["start"] < m["end"]))
+        return instance(b["start"], b["end"], b["value"], b["rank"], F.get(held, F.lit(0))["left"], F.get(held, F.size(held) - 1)["right"])
 
+    alone = F.filter("mentions", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    unknown = F.transform(alone, lambda m: instance(m["start"], m["end"], m["value"], F.lit(None), m["left"], m["right"]))
+    return one.select("row", "id", "base", F.concat(F.transform("base", seed), unknown).alias("instances"))
 
-def _described(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: row (a number of its own), the key, base entities and mentions (start, end, value, pattern, seeded)."""
-    one = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    one = one.withColumn("base", base_entities(F.col("t")))
 
-    def mention(s: Column) -> Column:
-        seeded = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        pattern = F.concat_ws("\t", _before(s["gap"]), shape(s["value"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), pattern.alias("pattern"), seeded.alias("seeded"))
+def _contexts(instances: DataFrame) -> DataFrame:
+    """A row per instance and pattern: side (the word before or after) and word."""
+    both = F.expr("inline(array(struct('left' AS side, left AS word), struct('right' AS side, right AS word)))")
+    return instances.select("row", "start", "end", "value", "kind", both).where("word <> ''")
+
 
-    return one.withColumn("mentions", F.transform(spans_of(F.col("t"), MENTION), mention)).drop("t")
+def ordinary_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """word and n: how often each word without a digit or an at sign stands in the texts, as patterns name it."""
+    words = df.select(F.explode(F.split(F.col(text), r"\s+")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    return words.select(_normal(F.col("raw")).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """mentions: pattern, value, seeded. Returns pattern and confidence of the patterns to trust.
+def confident_patterns(contexts: DataFrame, words: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """contexts: side, word, value, kind (null: unknown), a row per occurrence; words: see ordinary_words. Returns side, word, kind and confidence of the patterns to trust.
 
-    Confidence is the sum of a pattern's distinct instances' confidences over their number
-    and one more; a seeded instance has 1. Only patterns with at least min_seeds distinct
-    seeded instances are scored, so the graph holds no others.
+    A value that is an entity anywhere is one everywhere, of the least kind. A pattern
+    needs min_seeds distinct values of a kind; its places without an instance are those of its word less those
+    beside an instance. Of kinds equally good the least counts.
     """
-    edges = mentions.groupBy("pattern", "value").agg(F.max("seeded").alias("seeded"))
-    known = edges.groupBy("value").agg(F.max("seeded").alias("known"))
-    # an instance that is seeded anywhere is seeded in every pattern
-    edges = edges.join(known, "value").select("pattern", "value", "known")
-    worth = edges.groupBy("pattern").agg(F.count_if("known").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
-    edges = stored(edges.join(worth, "pattern", "left_semi"), "pattern-graph")
-    scored = edges.withColumn("c", F.col("known").cast("double"))
-    for r in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("confidence"))
-        if r == rounds - 1:
-            break
-        best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
-        scored = stored(edges.join(best, "value").withColumn("c", F.when(F.col("known"), F.lit(1.0)).otherwise(F.col("best") * DAMPING)).drop("best"), "pattern-graph")
-    return stored(patterns.where(F.col("confidence") >= min_confidence), "patterns")
+    edges = contexts.groupBy("side", "word", "value").agg(F.min("kind").alias("kind"), F.count("*").alias("n"))
+    known = edges.groupBy("value").agg(F.min("kind").alias("kind")).where("kind IS NOT NULL")
+    beside = edges.groupBy("side", "word").agg(F.sum("n").alias("beside"))
+    elsewhere = stored(beside.join(words, "word", "left").select("side", "word", F.greatest(F.coalesce("n", F.lit(0)) - F.col("beside"), F.lit(0)).alias("elsewhere")), "pattern-places")
+    edges = stored(edges.select("side", "word", "value"), "pattern-edges")
+    scored = stored(known.withColumn("score", F.lit(1.0)), "instances")
+    while True:
+        held = edges.join(scored, "value").groupBy("side", "word", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("seeds"))
+        best = held.groupBy("side", "word").agg(F.sum("seeds").alias("all"), F.max_by(F.struct("score", "seeds", "kind"), F.struct("score", -F.col("kind"))).alias("b"))
+        confidence = F.col("b.score") / (F.col("all") + F.col("elsewhere"))
+        judged = best.where(F.col("b.seeds") >= min_seeds).join(elsewhere, ["side", "word"]).select("side", "word", F.col("b.kind").alias("kind"), confidence.alias("confidence"))
+        trusted = stored(judged.where(F.col("confidence") >= min_confidence), "patterns")
+        marked = edges.join(trusted, ["side", "word"]).groupBy("value").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", -F.col("kind"))).alias("b"))
+        fresh = marked.join(scored, "value", "left_anti").select("value", F.col("b.kind").alias("kind"), (F.col("b.confidence") * DAMPING).alias("score"))
+        fresh = stored(fresh, "instances")
+        if fresh.isEmpty():
+            return trusted
+        scored = stored(scored.unionByName(fresh), "instances")
 
 
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Per row: key, n_email, n_ip, n_card, n_phone (long), base_sha256, spans.
+    """Per row: key, n_email, n_ip, n_card, n_phone (long), base_sha256, spans, n_id and n_found (long).
 
     spans lists kind:start:end by start, then kind, comma-joined; base_sha256 is the
-    digest of that list of base entities alone. Induced identifiers, of kind id, never
-    replace base ones. A null text is empty; a null key stays; repeated rows count
-    once as instances and each get their spans. how: see confident_patterns.
+    digest of that list of base entities alone. What patterns find besides, of kind id (n_id), never
+    replaces or overlaps base ones; n_found counts all. A null text is empty; a null
+    key stays; repeated rows count once as instances and each get their spans; other columns
+    play no part. how: see confident_patterns.
     """
     rows = stored(_described(df, key, text), "personal-data")
-    mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    trusted = confident_patterns(mentions, **how)
-    found = mentions.where("not seeded").join(trusted, "pattern").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("more"))
+    contexts = stored(_contexts(rows.select("row", F.explode("instances").alias("m")).select("row", "m.*")), "contexts")
+    trusted = confident_patterns(contexts, ordinary_words(df, text), **how)
+    unknown = contexts.where("kind IS NULL").select("row", "start", "end", "side", "word")
+    found = unknown.join(trusted.select("side", "word"), ["side", "word"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("more"))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end")))
     names = F.array(*map(F.lit, (*KINDS, INDUCED)))
 
@@ -161,5 +190,6 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", *
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return rows.join(found, "row", "left").select(
-        F.col("id").alias(key), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.array_sort(F.concat(base, more))).alias("spans")
-    )
+        F.col("id").alias(key), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.array_sort(F.concat(base, more))).alias("spans"),
+        F.size(more).cast("long").alias("n_id"), (F.size("base") + F.size(more)).cast("long").alias("n_found"),
+    )
