@@ -22,17 +22,35 @@ from pyspark.sql import functions as F
 from .common import joined_by_hot_key, stored
 from .quality import _models, _name, fit, grams
 
-#: A text counts for so many characters at most, as neighbouring n-grams aren't independent.
-TEXT_CHARS = 60
+#: More languages than there are; labels of more names than this aren't languages.
+MAX_LANGUAGES = 1000
 #: Weights, in pages, of the level above when a host's or a domain's prior is smoothed.
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_OPENS = re.compile(r"<!--|<(script|style|noscript|template)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+_DECLARED = re.compile(r"""<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b|<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 
 
 def visible_text(page: str) -> str:
-    return " ".join(markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))).split())
+    """What stands outside tags, comments and hidden elements; what isn't closed hides nothing. Each kind's end is looked for once more only beyond where it was found."""
+    closes: dict[str, re.Pattern] = {}
+    unclosed: set[str] = set()
+    parts, at = [], 0
+    while m := _OPENS.search(page, at):
+        kind = (m[1] or "--").lower()
+        if kind not in closes:
+            closes[kind] = re.compile("-->" if kind == "--" else rf"</{kind}\s*>", re.I)
+        end = None if kind in unclosed else closes[kind].search(page, m.end())
+        if end:
+            parts += [page[at : m.start()], " "]
+            at = end.end()
+        else:
+            unclosed.add(kind)
+            parts.append(page[at : m.end()])
+            at = m.end()
+    rest = "".join([*parts, page[at:]])
+    last = rest.rfind(">") + 1
+    return " ".join(markup.unescape(_TAG.sub(" ", rest[:last]) + rest[last:]).split())
 
 
 def declared(page: str) -> str:
@@ -40,10 +58,18 @@ def declared(page: str) -> str:
     return (m[1] or m[2]).lower() if m else ""
 
 
-def _languages(df: DataFrame, lang: str) -> list[str]:
-    """The labels in use; names of two or three letters alone, so their number is bounded."""
-    names = df.select(F.col(lang).alias("l")).where(F.col("l").rlike("^[a-z]{2,3}$")).distinct()
-    return sorted(r.l for r in names.collect())
+def language_of(label: Column) -> Column:
+    """A label's language: its first subtag, lower-cased (pt of pt-BR); null where there is none."""
+    first = F.lower(F.regexp_extract(label.cast("string"), r"^\s*([^\s_-]+)", 1))
+    return F.when(first != "", first)
+
+
+def _languages(names: DataFrame) -> list[str]:
+    """The languages in use; their number doesn't grow with the texts, and more than MAX_LANGUAGES is an error."""
+    found = names.where("l IS NOT NULL").distinct().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"labels of more than {MAX_LANGUAGES} languages")
+    return sorted(r.l for r in found)
 
 
 def _described(pages: DataFrame, folder: str, languages: list[str], key: str, url: str, page: str) -> DataFrame:
@@ -80,20 +106,23 @@ def _argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", text: str = "text", lang: str = "lang", text_chars: int = 60) -> DataFrame:
     """Per page: key, lang, probability, text_lang (by the text alone), declared, host.
 
-    labelled: texts with their languages, all of which fit the models. A page
+    labelled: texts with their languages, by the first subtag of the label; all that have
+    one fit the models. text_chars: a longer text counts for as many characters, as
+    neighbouring n-grams aren't independent and hosts and declarations would never tell. A page
     without text is judged by the other evidence; one without any gets the most
     common language. Null addresses share one nameless host; repeated pages count each
     time. No labels or no pages: no rows to tell, and lang is null without labels.
     """
-    languages = _languages(labelled, lang)
+    texts = labelled.select(language_of(F.col(lang)).alias("l"), F.col(text).alias("t"))
+    languages = _languages(texts.select("l"))
     if not languages:
         none = F.lit(None).cast("string")
         return pages.select(F.col(key), none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), none.alias("declared"), none.alias("host"))
     k = len(languages)
-    folder = fit(labelled.where(F.col(lang).isin(languages)), text, lang)
+    folder = fit(texts.where("l IS NOT NULL"), "t", "l")
     rows = _described(pages, folder, languages, key, url, page)
     rows = stored(rows.withColumn("best", F.when(F.col("n") > 0, _argmax(F.col("likely")))), "page-evidence")
     names = F.array(*map(F.lit, languages))
@@ -105,11 +134,9 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
     top = F.array(*map(F.lit, share))
 
     # declarations and suffixes: few names, whatever the pages' number, but their tables join by key all the same
-    rows = joined_by_hot_key(rows, _counts(rows, "declared", k), "declared", "declared_pages")
-    rows = joined_by_hot_key(rows, _counts(rows, "suffix", k), "suffix", "suffix_pages")
-    domains = _counts(rows.select("domain", "best"), "domain", k)
-    rows = joined_by_hot_key(rows, domains, "domain", "domain_pages")
-    rows = joined_by_hot_key(rows, _counts(rows.select("host", "best"), "host", k), "host", "host_pages")
+    seen = rows.select("declared", "suffix", "domain", "host", "best")
+    for by in ("declared", "suffix", "domain", "host"):
+        rows = joined_by_hot_key(rows, stored(_counts(seen, by, k), f"{by}-counts"), by, f"{by}_pages")
 
     def others(counts: str) -> Column:
         """The counts without the page's own."""
@@ -122,7 +149,7 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
     prior = smoothed(others("host_counts"), smoothed(others("domain_counts"), top, DOMAIN_WEIGHT), HOST_WEIGHT)
     weights = F.array(*(F.lit(float(c) + k) for c in total))
     given = lambda counts: F.zip_with(others(counts), weights, lambda c, n: F.log((c + 1) / n))
-    evidence = F.transform("likely", lambda x: x * F.least(F.col("n"), F.lit(TEXT_CHARS)))
+    evidence = F.transform("likely", lambda x: x * F.least(F.col("n"), F.lit(text_chars)))
     score = F.zip_with(evidence, F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b)
     told = F.when(F.col("declared") == "", F.transform("likely", lambda x: F.lit(0.0))).otherwise(given("declared_counts"))
     score = F.zip_with(score, told, lambda a, b: a + b)

@@ -1,3 +1,9 @@
+import math
+import random
+import time
+from collections import defaultdict
+
+from palimpsest.llm import language
 from palimpsest.llm.common import joined_by_hot_key
 from palimpsest.llm.language import declared, identify, visible_text
 from palimpsest.llm.queries import op10_language_id
@@ -21,6 +27,64 @@ def test_parts():
     assert declared('<meta http-equiv="content-language" content="fr">') == "fr" and declared("") == ""
 
 
+def test_long_and_broken_pages():
+    start = time.time()
+    assert visible_text("<!-- " * 200_000) == "<!-- " * 199_999 + "<!--"
+    assert visible_text("<script>a" * 100_000 + "</script>b") == "b"
+    assert len(visible_text("<" * 300_000)) == 300_000 and visible_text("<style>x <b>y</b>") == "x y"
+    assert declared("<html " * 100_000 + "<meta " * 100_000) == ""
+    assert visible_text("word " * 500_000) == ("word " * 500_000).strip()
+    assert time.time() - start < 20
+
+
+def fused(rows, k, text_chars=60):
+    """The best language and its probability by page, by plain loops over what each page shows."""
+    best = {i: r.likely.index(max(r.likely)) if r.n else None for i, r in rows.items()}
+    total = [sum(b == j for b in best.values()) for j in range(k)]
+    top = [(c + 1) / (sum(total) + k) for c in total]
+    tally = {by: defaultdict(lambda: [0] * k) for by in ("host", "domain", "declared", "suffix")}
+    for i, r in rows.items():
+        for by, held in tally.items():
+            if best[i] is not None:
+                held[getattr(r, by)][best[i]] += 1
+    out = {}
+    for i, r in rows.items():
+        others = lambda by: [c - (best[i] == j) for j, c in enumerate(tally[by][getattr(r, by)])]
+        prior = top
+        for by, weight in (("domain", 20.0), ("host", 5.0)):
+            own = others(by)
+            prior = [(c + p * weight) / (sum(own) + weight) for c, p in zip(own, prior)]
+        score = [x * min(r.n, text_chars) + math.log(p) for x, p in zip(r.likely, prior)]
+        for by in ("declared", "suffix"):
+            if by == "suffix" or r.declared:
+                score = [s + math.log((c + 1) / (n + k)) for s, c, n in zip(score, others(by), total)]
+        out[i] = (score.index(max(score)), 1 / sum(math.exp(s - max(score)) for s in score))
+    return out
+
+
+def test_fusion_equals_a_plain_version(spark):
+    rnd = random.Random(6)
+    words = {"en": "the cat and dog went to house by river".split(), "de": "der hund und die katze gehen zu dem haus".split(), "pt-BR": "o gato não está na casa das mães então".split()}
+    sentence = lambda name, n: " ".join(rnd.choice(words[name]) for _ in range(n))
+    labelled = spark.createDataFrame([(sentence(x, 60), x if i else x.upper()) for x in words for i in range(6)] + [("zz", None), ("zz", " "), (None, "en")], "text string, lang string")
+    pages = []
+    for i in range(300):
+        name = rnd.choice(list(words))
+        told = rnd.choice(["", f'<html lang="{rnd.choice(list(words))}">'])
+        host = "big.site.org" if i % 3 == 0 else f"h{rnd.randrange(9)}.d{rnd.randrange(4)}.{rnd.choice(['de', 'com', 'br'])}"
+        pages.append((i, f"http://{host}/", told + "<p>" + sentence(name, rnd.choice([0, 1, 2, 30])) + "</p>"))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    texts = labelled.select(language.language_of(labelled["lang"]).alias("l"), labelled["text"].alias("t")).where("l IS NOT NULL")
+    names = language._languages(texts.select("l"))
+    assert names == ["de", "en", "pt"]
+    rows = {r.id: r for r in language._described(df, language.fit(texts, "t", "l"), names, "page_id", "url", "html").collect()}
+    want = fused(rows, 3)
+    got = {r.page_id: r for r in identify(df, labelled).collect()}
+    assert len(got) == 300 and "pt" in {r.lang for r in got.values()}
+    for i, (best, probability) in want.items():
+        assert got[i].lang == names[best] and math.isclose(got[i].probability, probability, rel_tol=1e-6)
+
+
 def test_evidence_fills_in_and_odd_rows(spark):
     docs = [(i, "the cat and the dog went to the house by the river " * 3, "en") for i in range(5)] + [(9, "der hund und die katze gehen zu dem haus an dem fluss " * 3, "de"), (10, None, "de"), (11, "x", None)]
     labelled = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
