@@ -71,23 +71,24 @@ def order_hash(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: Column, max_epochs: int, seed: int, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: Column, max_epochs: int, seed: int, key: str = "doc_id", order: str | None = None) -> DataFrame:
     """docs: key, domain, lang, source, n_tokens (long). Returns key, the leaf, n_tokens, epoch (int) and take (long).
 
     One row for each time that a document is drawn; take is the number of its first
     tokens to use, less than n_tokens only for the document in which the leaf's
     budget ends. Null names form a name of their own, the empty string; documents without
     tokens are never drawn; repeated keys are drawn one by one, in the order of
-    their tokens.
+    their tokens. order: the column whose hash is the order, if not the key. The budgets
+    of the domains, which are few names, are dealt in one task.
     """
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS]
-    counted = docs.select(F.col(key).alias("k"), *names, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
+    counted = docs.select(F.col(key).alias("k"), F.col(order or key).alias("o"), *names, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
     rows = stored(counted.where("n_tokens > 0"), "token-counts")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, weights, total, max_epochs)
     plan = plan.select(*LEVELS, F.expr("cast(budget div tokens as int)").alias("full"), F.expr("budget % tokens").alias("rest"))
     # the leaves are counted by their names; Spark broadcasts the plan only below its own limit
-    at = rows.join(plan, list(LEVELS)).withColumn("h", order_hash(seed, F.col("full"), F.col("k"))).withColumn("bucket", F.substring("h", 1, 3))
+    at = rows.join(plan, list(LEVELS)).withColumn("h", order_hash(seed, F.col("full"), F.col("o"))).withColumn("bucket", F.substring("h", 1, 3))
     own = [*LEVELS, "bucket"]
     sums = at.groupBy(*own).agg(F.sum("n_tokens").alias("in_bucket"))
     over = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
