@@ -6,6 +6,8 @@ columns of documents; the last returns their token ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +20,56 @@ from palimpsest.llm.quality import assess
 from palimpsest.llm.queries import MIN_SITES, SEED, WEIGHTS, with_domain
 
 
+def _aside(docs: DataFrame, names: set[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step's rows with the columns of docs, of which those of these names are put aside meanwhile."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return step(docs.withColumnsRenamed(clash)).select(*(F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of each row's own: docs is a table that was written, so it is the same at each reading."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return assess(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules reject go, those with null or empty texts among them; repeated rows are judged alike, a null language is a language."""
+    return _aside(docs, {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"}, lambda d: assess(d).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources share go, but for their first occurrence; every document stays, n_chars follows its text."""
-    return without_boilerplate(docs, MIN_SITES).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Lines that many sources share go, but for their first occurrence; every document stays, n_chars follows its text.
+
+    A null text stays null, with a null n_chars; a null source is a source; rows with one id and one
+    text keep the same lines.
+    """
+    return _aside(docs, {"n_lines", "n_removed"}, lambda d: without_boilerplate(d, MIN_SITES).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the least id stays; those without words stay."""
-    found = near_duplicates(docs, words=5, percent=80)
-    stay = found.where("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of each group of near duplicates, one row stays: that of the least id (null after all others), of rows with one id any one.
+
+    Rows without words are linked with nothing, and all stay.
+    """
+    rows = _numbered(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("__key"), "text")
+    found = near_duplicates(keyed, key="__key", words=5, percent=80)
+    stay = found.where("n_shingles = 0 OR __key = component_id").select(F.col("__key.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of all tokens, by target weights; documents drawn stay whole, that in which a budget ends too."""
-    counted = with_domain(docs.select("doc_id", "lang", "source", "text"))
-    drawn = mix(counted, WEIGHTS, F.expr("tokens * 9 div 10"), 1, SEED).where("take > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Nine tenths of all tokens, by target weights; documents drawn stay whole, that in which a budget ends too.
+
+    Each row is drawn or not by itself; rows without tokens are never drawn; null names are a name of their own.
+    """
+    rows = _numbered(docs)
+    counted = with_domain(rows.select("__row", "doc_id", "lang", "source", "text"))
+    drawn = mix(counted, WEIGHTS, F.expr("tokens * 9 div 10"), 1, SEED, key="__row", order="doc_id").where("take > 0").select("__row").distinct()
+    return rows.join(drawn, "__row", "left_semi").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids."""
+    """doc_id, lang, source, n_tokens and the token ids, none for null and empty texts; a row for each row."""
     coded = encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
