@@ -33,9 +33,11 @@ def prefixes(items: Column, sep: str) -> Column:
 
 
 def stripped_reference(expr: Column | str) -> Column:
-    """A reference without its address or pointer sign and enclosing parentheses."""
-    bare = F.regexp_replace(F.trim(_c(expr)), r"^[&*]+\s*", "")
-    return F.trim(F.regexp_replace(bare, r"^\((.*)\)$", "$1"))
+    """A reference without its address sign (and the parentheses after it), then one pointer sign, then enclosing parentheses."""
+    bare = F.trim(_c(expr))
+    for pattern in (r"^&(?:\(([\s\S]*)\)$|([\s\S]*))", r"^\*([\s\S]*)()", r"^\(([\s\S]*)\)$()"):
+        bare = F.trim(F.regexp_replace(bare, pattern, "$1$2"))
+    return bare
 
 
 def masked_line(line: Column | str) -> Column:

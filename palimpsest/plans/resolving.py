@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import bytecode, context, joins, keyed, metrics, paths, resolve
 from .keyed import NEW, OLD, SPLIT, events
 from .registry import query, table
@@ -111,26 +112,43 @@ def fuzzy_context_score(spark, sf):
     return context.merge_candidates(found, "name", "value")
 
 
-@query("index_variants")
+@query("index_variants", """WITH v AS (SELECT l_orderkey, l_linenumber, 'Root_' || l_suppkey || '.f_' || l_linenumber AS a, ' /*' || (l_partkey % 97) || '*/]' AS s, l_partkey % 4 AS k FROM lineitem),
+  c AS (SELECT *, CASE k WHEN 0 THEN a || '[i' || s || '.f_2[j]' WHEN 1 THEN a || '[i' || s || '.f_2[j' || s WHEN 2 THEN a || '[7]' ELSE a || '[a + 1][i]' END AS canonical,
+    CASE k WHEN 0 THEN [a || '[i' || s || '.f_2', a || '.f_2'] WHEN 1 THEN [a || '[i' || s || '.f_2[j' || s, a || '[i' || s || '.f_2', a || '.f_2'] WHEN 2 THEN [a || '[7]'] ELSE [a || '[a + 1]'] END AS variants FROM v)
+  SELECT l_orderkey, l_linenumber, canonical, (i - 1)::INT AS place, variants[i] AS variant FROM (SELECT *, unnest(range(1, len(variants) + 1)) AS i FROM c)""")
 def index_variants(spark, sf):
-    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Root_"), F.col("l_suppkey").cast("string"), F.lit(".f_"), F.col("l_linenumber").cast("string"), F.lit("[iVar0 /*"), (F.col("l_partkey") % 97).cast("string"), F.lit("*/].f_2[iVar1]")).alias("value"))
-    c = p.withColumn("canonical", paths.canonical("value"))
+    root, stride, k = F.concat(F.lit("Root_"), F.col("l_suppkey"), F.lit(".f_"), F.col("l_linenumber")), F.concat(F.lit("/*"), F.col("l_partkey") % 97, F.lit("*/")), F.col("l_partkey") % 4
+    value = F.when(k == 0, F.concat(root, F.lit("[ iVar0  "), stride, F.lit("].f_2[iVar1]"))).when(k == 1, F.concat(root, F.lit("[iVar0 "), stride, F.lit("].f_2[x "), stride, F.lit(" ]"))).when(k == 2, F.concat(root, F.lit("[7]"))).otherwise(F.concat(root, F.lit("[a + 1][n]")))
+    c = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", paths.canonical(value).alias("canonical"))
     return c.select("l_orderkey", "l_linenumber", "canonical", F.posexplode(paths.variants("canonical")).alias("place", "variant"))
 
 
-@query("notation_align")
+@query("notation_align", """WITH v AS (SELECT p_partkey, 'Root_' || p_partkey AS r, p_size AS n, p_partkey % 3 AS k FROM part)
+  SELECT p_partkey, r || '.f_3[j /*9*/]' || CASE WHEN k = 0 THEN '' ELSE '.f_' || k * n END || '.f_1' AS offsets, r || ' +3 *9 +' || (k * n + 1) AS loose,
+    r || '.f_3' || CASE WHEN k = 1 THEN '[j /*9*/]' ELSE '' END || '[' || k || ' /*' || n || '*/].f_1' AS aligned, 'y' || p_partkey AS unread, NULL::VARCHAR AS unread_loose FROM v""")
 def notation_align(spark, sf):
-    v = F.concat(F.lit("Root_"), F.col("p_partkey").cast("string"), F.lit(".f_3[2 /*"), F.col("p_size").cast("string"), F.lit("*/].f_1"))
-    p = table(spark, sf, "part").select("p_partkey", "p_size", v.alias("value"))
-    return p.select("p_partkey", paths.offset_notation("value").alias("offsets"), F.array_join(paths.loose("value"), " ").alias("loose"), paths.in_notation_of(F.col("value"), F.lit("Root_1[2]")).alias("bare"))
+    k = F.col("p_partkey") % 3
+    value = F.concat(F.lit("Root_"), F.col("p_partkey"), F.lit(".f_3[j /*9*/]["), k, F.lit(" /*"), F.col("p_size"), F.lit("*/].f_1[i]"))
+    like = F.when(k == 1, F.lit("Root_1.f_2[i /*4*/].f_3")).otherwise(F.lit("Root_1.f_2.f_3.f_9"))
+    p = table(spark, sf, "part").select("p_partkey", value.alias("value"), like.alias("like"), F.concat(F.lit("y"), F.col("p_partkey")).alias("other"))
+    return p.select("p_partkey", paths.offset_notation("value").alias("offsets"), F.array_join(paths.loose("value"), " ").alias("loose"), paths.in_notation_of("value", "like").alias("aligned"), paths.offset_notation("other").alias("unread"), F.array_join(paths.loose("other"), " ").alias("unread_loose"))
 
 
-@query("args_split")
+@query("args_split", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['f(a, b)', '"x, \\" y"', 'g[' || event_id || ', 2]', event_type] WHEN 1 THEN [event_type, 'h(a], b), c' || event_id] ELSE [event_type || '[(1, 2), ' || event_id || ']', ''] END AS args FROM events""")
 def args_split(spark, sf):
-    call = F.concat(F.lit('f(a, b), "x, y", g['), F.col("event_id").cast("string"), F.lit(", 2], "), F.col("props"))
+    n, kind = F.col("event_id"), F.col("event_type")
+    call = F.when(n % 3 == 0, F.concat(F.lit('f(a, b) , "x, \\" y",g['), n, F.lit(", 2], "), kind))
+    call = call.when(n % 3 == 1, F.concat(kind, F.lit(", h(a], b), c"), n)).otherwise(F.concat(kind, F.lit("[(1, 2), "), n, F.lit("], ")))
     return table(spark, sf, "events").select("event_id", paths.split_arguments(call).alias("args"))
 
 
+@query("stripped_reference", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN 'x.f_' || event_id WHEN 2 THEN '(y)' WHEN 3 THEN 'a' || event_id ELSE 'b' END AS bare FROM events""")
+def stripped_reference(spark, sf):
+    n, kind = F.col("event_id"), F.col("event_type")
+    forms = F.when(n % 5 == 0, F.concat(F.lit(" &"), kind)).when(n % 5 == 1, F.concat(F.lit("&(*(x.f_"), n, F.lit(")) "))).when(n % 5 == 2, F.lit("((y))")).when(n % 5 == 3, F.concat(F.lit("*( a"), n, F.lit(" )"))).otherwise(F.lit("b"))
+    return table(spark, sf, "events").select("event_id", text.stripped_reference(forms).alias("bare"))
+
+
 @query("stride_only_change", """WITH v AS (SELECT l_orderkey, l_linenumber, 'Root_1.f_' || l_linenumber::VARCHAR || '[i /*' || (l_partkey % 5)::VARCHAR || '*/].f_2' AS a, 'Root_1.f_' || (l_linenumber + l_suppkey % 2)::VARCHAR || '[i /*' || (l_partkey % 3)::VARCHAR || '*/].f_2' AS b FROM lineitem)
   SELECT l_orderkey, l_linenumber, regexp_replace(a, '\\s*/\\*\\s*[0-9]+\\s*\\*/', '', 'g') = regexp_replace(b, '\\s*/\\*\\s*[0-9]+\\s*\\*/', '', 'g') AS stride_only FROM v""".replace("\\\\", "\\"))
 def stride_only_change(spark, sf):

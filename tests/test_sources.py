@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from palimpsest.functions import binary
+from palimpsest.functions import binary, text
 from palimpsest.operators import bytecode, paths, resolve
 from palimpsest.plans.resolving import TABLE
 from palimpsest.sources import corpus, dumps, entries, sinks, versions
@@ -76,10 +76,20 @@ def test_dumps_and_programs(spark, tmp_path):
 
 
 def test_paths_and_bytes(spark):
-    assert paths.canonical_one("Root_1.f_2[iVar3 /*5*/][7][x]") == "Root_1.f_2[i /*5*/][7][j]"
-    assert paths.variants_one("Root_1[i /*5*/].f_2[j /*3*/]") == ["Root_1[i /*5*/].f_2[j /*3*/]", "Root_1[i /*5*/].f_2", "Root_1.f_2"]
-    assert paths.loose_one("Root_1.f_2[3 /*10*/].f_1") == paths.loose_one("Root_1.f_33") == ["Root_1", "+33"] and paths.loose_one("x?") is None
-    assert paths.offset_notation_one("Root_1[2 /*4*/][i]") == "Root_1.f_8[i]"
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    assert one(paths.canonical(lit("Root_1.f_2[iVar3 /*5*/][7][x][a + 1]"))) == "Root_1.f_2[i /*5*/][7][j][a + 1]"
+    assert one(paths.canonical(lit("R" + "[x]" * 11))) == "R" + "".join(f"[{c}]" for c in "ijklmnopqii")
+    assert one(paths.variants(lit("Root_1[i /*5*/].f_2[j /*3*/]"))) == ["Root_1[i /*5*/].f_2[j /*3*/]", "Root_1[i /*5*/].f_2", "Root_1.f_2"]
+    assert one(paths.variants(lit("Root_1[3].f_2[j]"))) == ["Root_1[3].f_2"] and one(paths.variants(lit("Root_1[j]"))) == ["Root_1[j]", "Root_1"]
+    assert one(paths.loose(lit("Root_1.f_2[3 /*10*/].f_1"))) == one(paths.loose(lit("Root_1.f_33"))) == ["Root_1", "+33"]
+    assert one(paths.loose(lit("Root_1.f_2[i /*4*/][2][j].f_1[k /*6*/]"))) == ["Root_1", "+2", "*4", "+3", "*6", "+0"]
+    assert [one(paths.loose(lit(x))) for x in ("x?", "Root_1.60", "Root_1[a + 1]", "")] == [None] * 4
+    assert one(paths.offset_notation(lit("Root_1[2 /*4*/][0 /*3*/][5][i]"))) == "Root_1.f_8[5]" and one(paths.offset_notation(lit("x[2 /*4*/]"))) == "x[2 /*4*/]"
+    assert one(paths.in_notation_of(lit("Root_9.f_7[j /*27*/].f_2[k /*3*/]"), lit("Root_1.f_9.f_2"))) == "Root_9.f_7.f_2"
+    assert one(paths.in_notation_of(lit("Root_9.f_7[j /*27*/].f_2[1 /*3*/]"), lit("Root_1.f_9[i /*2*/]"))) == "Root_9.f_7[j /*27*/].f_2[1 /*3*/]"
+    assert one(text.stripped_reference(lit("&(*(x))"))) == "x" and one(text.stripped_reference(lit("**a"))) == "*a"
+    assert paths.split_arguments_one("a,") == ["a"] and paths.split_arguments_one("a, ") == ["a", ""] and paths.split_arguments_one("f(a], b") == ["f(a], b"]
     assert paths.split_arguments_one('a, f(b, "c,)"), d[1, 2]') == ["a", 'f(b, "c,)")', "d[1, 2]"] and paths.split_arguments_one("") == []
     d = spark.createDataFrame([(bytes.fromhex("0102030405"),)], "b binary")
     r = d.select(binary.integer("b", 2, 2).alias("u"), binary.with_integer("b", 2, 2, F.lit(0xABCD)).alias("w"), binary.hex_text("b").alias("h"), binary.count_bytes("b", "02 ? 04").alias("c"), binary.float_of_bits(F.lit(0x3F800000)).alias("f"), paths.next_field(F.lit("R_1.f_9[i /*3*/]"), 2, 8).alias("n")).first()
