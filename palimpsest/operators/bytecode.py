@@ -12,9 +12,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staged import staged
+
 Table = dict[int, tuple[str, str]]
 SIZES = {"": 0, "u8": 1, "u16": 2, "s16": 2, "rel16": 2, "u24": 3, "u32": 4, "f32": 4, "native": 3, "leave": 2}
 ROW = "script string, version string, seq int, offset int, op int, mnemonic string, kind string, operands binary, value bigint"
@@ -88,30 +90,34 @@ def assemble(rows: DataFrame) -> DataFrame:
     return rows.groupBy("script", "version").agg(joined.alias("code"))
 
 
+def in_functions(rows: DataFrame) -> DataFrame:
+    """rows with idx, the function each stands in: from an enter to the next; what stands before the first goes."""
+    w = Window.partitionBy("script", "version").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("idx", (F.count_if(F.col("kind") == "enter").over(w) - 1).cast("int")).where("idx >= 0")
+
+
+def _function() -> list[Column]:
+    leave = F.col("kind") == "leave"
+    returns = F.max_by(F.when(leave, F.conv(F.hex(F.substring("operands", 2, 1)), 16, 10).cast("int")), F.when(leave, F.col("seq")))
+    return [F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min("offset").alias("start_offset"), F.min_by("value", "seq").cast("int").alias("params"), returns.alias("returns")]
+
+
 def functions(rows: DataFrame) -> DataFrame:
-    """The functions that tile each program: idx, start_seq, end_seq, start_offset, params, returns. From enter to the next; returns of the last leave."""
-    by = ["script", "version"]
-    w = Window.partitionBy(*by).orderBy("seq")
-    idx = F.sum(F.when(F.col("kind") == "enter", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    marked = rows.withColumn("idx", idx.cast("int")).where("idx >= 0")
-    returns = F.get(F.max_by(F.when(F.col("kind") == "leave", F.array(F.conv(F.hex(F.substring("operands", 2, 1)), 16, 10).cast("int"))), F.when(F.col("kind") == "leave", F.col("seq"))), F.lit(0))
-    return marked.groupBy(*by, "idx").agg(
-        F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min("offset").alias("start_offset"), F.min_by("value", "seq").cast("int").alias("params"), returns.alias("returns")
-    )
+    """The functions that tile each program: script, version, idx, start_seq, end_seq, start_offset, params, returns (of the last leave)."""
+    return in_functions(rows).groupBy("script", "version", "idx").agg(*_function())
 
 
-def fingerprints(rows: DataFrame, funcs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """funcs with natives (the hashes called, in order), constants (u32 and f32, sorted) and strict and loose prints.
+def fingerprints(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """functions with natives (the hashes called, in order), constants (u32 and f32, sorted) and strict and loose prints.
 
-    hashes: script, version, index and hash of natives.
+    hashes: script, version, index and hash of natives. Rows know their function, so one
+    aggregate gives all.
     """
     by = ["script", "version"]
-    inside = rows.join(funcs.select(*by, "idx", "start_seq", "end_seq"), by).where(F.col("seq").between(F.col("start_seq"), F.col("end_seq")))
-    told = inside.join(hashes.select(*by, F.col("index").cast("long").alias("value"), "hash"), [*by, "value"], "left")
+    told = in_functions(rows).join(hashes.select(*by, F.col("index").cast("long").alias("value"), "hash"), [*by, "value"], "left")
     natives = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "native", F.struct("seq", F.coalesce("hash", "value").alias("h"))))), lambda x: x["h"].cast("string")), ",")
-    constants = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin("u32", "f32"), F.hex("operands")))), lambda x: x), ",")
-    body = told.groupBy(*by, "idx").agg(natives.alias("natives"), constants.alias("constants"))
-    out = funcs.join(body, [*by, "idx"], "left")
+    constants = F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind").isin("u32", "f32"), F.hex("operands")))), ",")
+    out = told.groupBy(*by, "idx").agg(*_function(), natives.alias("natives"), constants.alias("constants"))
     loose = F.concat_ws("|", F.col("params").cast("string"), F.coalesce(F.col("returns").cast("string"), F.lit("-")), "natives")
     return out.withColumn("loose", loose).withColumn("strict", F.concat_ws("|", "loose", "constants"))
 
@@ -123,15 +129,16 @@ def address_map(old: DataFrame, new: DataFrame) -> DataFrame:
     consecutive matches at equal distances, if parameters, returns and about the length agree.
     """
     own = lambda df, s: df.select("script", F.col("idx").alias(f"{s}_idx"), "strict", "loose", "params", "returns", (F.col("end_seq") - F.col("start_seq")).alias(f"{s}_len"))
-    o, n = own(old, "old"), own(new, "new")
+    o, n = staged(own(old, "old")), staged(own(new, "new"))
 
     def tier(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
         once = lambda d, c: d.groupBy("script", by).agg(F.count("*").alias("c"), F.min(c).alias(c)).where("c = 1").drop("c")
         return once(a, "old_idx").join(once(b, "new_idx"), ["script", by]).select("script", "old_idx", "new_idx", F.lit(by).alias("tier"))
 
     strict = tier(o, n, "strict")
-    loose = tier(o.join(strict, ["script", "old_idx"], "left_anti"), n, "loose")
-    known = strict.unionByName(loose)
+    left = lambda d, c: d.join(strict.select("script", c), ["script", c], "left_anti")
+    loose = tier(left(o, "old_idx"), left(n, "new_idx"), "loose")
+    known = staged(strict.unionByName(loose))
     w = Window.partitionBy("script").orderBy("old_idx")
     gaps = known.withColumns({"o2": F.lead("old_idx").over(w), "n2": F.lead("new_idx").over(w)}).where("o2 - old_idx = n2 - new_idx AND o2 - old_idx > 1")
     places = gaps.select("script", "old_idx", "new_idx", F.explode(F.sequence(F.lit(1), F.col("o2") - F.col("old_idx") - 1)).alias("i")).select("script", (F.col("old_idx") + F.col("i")).alias("old_idx"), (F.col("new_idx") + F.col("i")).alias("new_idx"))

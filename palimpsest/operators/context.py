@@ -7,21 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staged import staged
+
 
 def postings(df: DataFrame, key: str, tokens) -> DataFrame:
     """key, token, n: how often a row holds each of its tokens."""
     return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def rare(posted: DataFrame, most: int) -> DataFrame:
-    """posted with df, a token's rows, for tokens of at most so many; this bounds the joins that follow."""
-    freq = posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
-    return posted.join(freq, "token")
+def tokens_of(df: DataFrame, key: str, tokens) -> DataFrame:
+    """key and token: each of a row's tokens once, without any shuffle."""
+    return df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+
+
+def rare(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, token) with df, a token's rows, for tokens of at most so many; this bounds the joins that follow."""
+    freq = rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+    return rows.join(freq, "token")
 
 
 def anchor_vote(old: DataFrame, new: DataFrame, old_key: str, new_key: str, most: int = 25) -> DataFrame:
-    """Each old row's best new row by shared rare tokens: a token counts one over its frequencies on both sides. Adds votes to six places, and score."""
-    a, b = rare(old, most), rare(new, most)
+    """Each old row's best new row by shared rare tokens: a token counts one over its frequencies on both sides. Adds votes to six places, and score.
+
+    old, new: see tokens_of. Of new, only tokens that are rare in old are counted at all.
+    """
+    a = staged(rare(old, most))
+    b = rare(staged(new.join(a.select("token").distinct(), "token", "left_semi")), most)
     met = a.select(old_key, "token", F.col("df").alias("fa")).join(b.select(new_key, "token", F.col("df").alias("fb")), "token")
     scores = met.groupBy(old_key, new_key).agg(F.count("*").alias("shared"), F.round(F.sum(1.0 / (F.col("fa") * F.col("fb"))), 6).alias("score"))
     best = F.min_by(F.struct(F.col(new_key), "shared", "score"), F.struct((-F.col("score")).alias("s"), F.col(new_key).alias("k")))

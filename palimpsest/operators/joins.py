@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staged import staged
+
 
 def present_by_prefix(requested: DataFrame, value: str, corpus: DataFrame, items: Column, sep: str) -> DataFrame:
     """The requested values that equal some prefix of a corpus row's items."""
@@ -44,18 +46,23 @@ def with_fallback(df: DataFrame, exact: DataFrame, loose: DataFrame, key: str, l
 def parent_paths(nodes: DataFrame, node: str, parent: str, label: str, sep: str = ".") -> DataFrame:
     """Each node's labels from the root down, joined by sep, and depth; a cycle's walk ends where it would repeat.
 
-    Chains deeper than spark.sql.cteRecursionLevelLimit are an error, never cut short.
+    Pointers are doubled: each round hangs what is known of a node's next ancestor onto
+    its own walk, so rounds grow with the logarithm of the longest chain, and none is cut
+    short. A node with a null id is left out; of several rows of one node the least by parent and label
+    counts; a null label is empty.
     """
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(label).alias("label")).createOrReplaceTempView("__nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, up, path, depth, seen) AS (
-          SELECT node, parent, cast(label AS string), 1, array(node) FROM __nodes
-          UNION ALL
-          SELECT w.node, n.parent, concat(n.label, '{sep}', w.path), w.depth + 1, array_append(w.seen, n.node)
-          FROM walk w JOIN __nodes n ON n.node = w.up WHERE NOT array_contains(w.seen, n.node)
-        )
-        SELECT node AS {node}, max_by(path, depth) AS path, cast(max(depth) AS int) AS depth FROM walk GROUP BY node""")
+    one = F.struct(F.col(parent).alias("up"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"))
+    known = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(one).alias("x"))
+    walks = staged(known.select("node", F.col("x.up").alias("next"), F.array("node").alias("seen"), F.array("x.label").alias("labels")))
+    while not walks.where("next IS NOT NULL").isEmpty():
+        beyond = walks.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("seen").alias("__seen"), F.col("labels").alias("__labels"))
+        # of what lies beyond, as much as the walk hasn't met
+        again = F.array_position(F.transform("__seen", lambda x: F.array_contains("seen", x)), True)
+        fresh = F.when(F.col("__seen").isNull(), 0).when(F.arrays_overlap("seen", "__seen"), again - 1).otherwise(F.size("__seen")).cast("int")
+        more = lambda own, other: F.concat(F.col(own), F.when(F.col("__seen").isNull(), F.slice(own, 1, 0)).otherwise(F.slice(other, F.lit(1), fresh)))
+        ends = F.when(fresh == F.size("__seen"), F.col("__next"))
+        walks = staged(walks.join(beyond, "next", "left").select("node", ends.alias("next"), more("seen", "__seen").alias("seen"), more("labels", "__labels").alias("labels")))
+    return walks.select(F.col("node").alias(node), F.array_join(F.reverse("labels"), sep).alias("path"), F.size("labels").alias("depth"))
 
 
 def zipped(df: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:

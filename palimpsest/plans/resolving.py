@@ -80,7 +80,7 @@ WORDS = "SELECT DISTINCT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z]
   s AS (SELECT item_id, doc_id, count(*)::BIGINT AS shared, round(sum(1.0::DOUBLE / (fa * fb)), 6) AS score FROM a JOIN fa USING (token) JOIN b USING (token) JOIN fb USING (token) GROUP BY ALL)
   SELECT item_id, doc_id, shared, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def anchor_vote(spark, sf):
-    side = lambda t, k: context.postings(table(spark, sf, t), k, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    side = lambda t, k: context.tokens_of(table(spark, sf, t), k, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     return context.anchor_vote(side("benchmark", "item_id"), side("documents", "doc_id"), "item_id", "doc_id")
 
 
@@ -301,12 +301,31 @@ def function_table(spark, sf):
     return bytecode.functions(bytecode.instructions(programs(spark, sf, "old"), TABLE)).select("script", "idx", "params")
 
 
-@query("address_map", "SELECT s_nationkey::VARCHAR AS script, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS old_idx, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS new_idx, 'strict' AS tier FROM supplier")
+def versioned(spark, sf, version):
+    """A program per nation's customers, by what becomes of each in the new version: number % 12 is 0: other constant; 1: other native and constant; 2: gone; 3: the same body as all of that kind; 5: longer, and other native and constant; others stay."""
+    k, new = F.col("c_custkey"), version == "new"
+    kind = k % 12
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    native = F.when(kind == 3, 1).when(kind.isin(1, 5) & F.lit(new), k * 2 % 32749 + 2).otherwise(k * 2 % 32749 + 3)
+    constant = F.when(kind == 3, 9).when(kind.isin(0, 1, 5) & F.lit(new), k % 1_000_000 + 1_000_000).otherwise(k % 1_000_000)
+    # a u32 is written lowest byte first
+    low_first = F.concat(*(wide(F.shiftright(constant, 8 * i) % 256, 2) for i in range(4)))
+    filler = F.when((kind == 5) & F.lit(new), F.repeat(F.lit("09"), 40)).otherwise("")
+    body = F.concat(F.lit("06"), wide(kind % 3, 2), F.lit("02000003"), F.lit("08"), wide(native, 4), F.lit("02"), low_first, filler, F.lit("07"), wide(kind % 3, 2), F.lit("01"))
+    rows = table(spark, sf, "customer").where((kind != 2) | F.lit(not new))
+    code = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", body.alias("b")))), lambda x: x["b"]), ""))
+    return rows.groupBy(F.col("c_nationkey").cast("string").alias("script")).agg(code.alias("code")).withColumn("version", F.lit(version))
+
+
+@query("address_map", """WITH o AS (SELECT c_nationkey::VARCHAR AS script, c_custkey AS k, c_custkey % 12 AS kind, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS old_idx FROM customer),
+  n AS (SELECT script, k, (row_number() OVER (PARTITION BY script ORDER BY k) - 1)::INT AS new_idx FROM o WHERE kind <> 2), alone AS (SELECT script FROM o WHERE kind = 3 GROUP BY script HAVING count(*) = 1),
+  m AS (SELECT o.script, old_idx, new_idx, CASE WHEN kind = 0 THEN 'loose' ELSE 'strict' END AS tier FROM o JOIN n ON n.script = o.script AND n.k = o.k WHERE kind NOT IN (1, 3, 5) OR (kind = 3 AND o.script IN (FROM alone))),
+  g AS (SELECT *, lead(old_idx) OVER (PARTITION BY script ORDER BY old_idx) - old_idx AS a, lead(new_idx) OVER (PARTITION BY script ORDER BY old_idx) - new_idx AS b FROM m),
+  p AS (SELECT script, (old_idx + i)::INT AS old_idx, (new_idx + i)::INT AS new_idx FROM (SELECT *, unnest(range(1, a)) AS i FROM g WHERE a = b AND a > 1))
+  SELECT * FROM m UNION ALL SELECT p.script, p.old_idx, p.new_idx, 'positional' FROM p JOIN o USING (script, old_idx) JOIN n ON n.script = p.script AND n.new_idx = p.new_idx JOIN o q ON q.script = n.script AND q.k = n.k WHERE o.kind % 3 = q.kind % 3 AND q.kind <> 5""")
 def address_map(spark, sf):
-    def side(v):
-        rows = bytecode.instructions(programs(spark, sf, v), TABLE)
-        return bytecode.fingerprints(rows, bytecode.functions(rows), natives(spark, sf, v)).drop("version")
-
+    none = spark.createDataFrame([], "script string, version string, index int, hash bigint")
+    side = lambda v: bytecode.fingerprints(bytecode.instructions(versioned(spark, sf, v), TABLE), none).drop("version")
     return bytecode.address_map(side("old"), side("new"))
 
 
