@@ -103,13 +103,15 @@ def cumulative_offsets(spark, sf):
     return sequence.cumulative(c, ["conv_id"], [F.col("turn")], "n").drop("n")
 
 
-@query("run_length_args", f"""WITH r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY at_) AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY at_) THEN 0 ELSE 1 END AS brk FROM {N()}))
-  SELECT user_id, max(n)::BIGINT AS longest, count(*)::BIGINT AS runs FROM (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY user_id""")
+@query("run_length_args", f"""WITH r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY at_) AS run, lead(event_type, 2) OVER (PARTITION BY user_id ORDER BY at_) AS nxt FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY at_) THEN 0 ELSE 1 END AS brk FROM {N()})),
+  g AS (SELECT user_id, run, count(*) AS n, min(event_type) AS event_type, arg_max(coalesce(nxt, ''), at_) AS after FROM r GROUP BY ALL),
+  b AS (SELECT user_id, event_type, n, after, count(*) OVER (PARTITION BY user_id) AS runs, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, run) AS i FROM g),
+  z AS (SELECT user_id, arg_max(event_type, at_) AS last, arg_max(coalesce(p, ''), at_) AS previous FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY at_) AS p FROM {N()}) GROUP BY user_id)
+  SELECT user_id, event_type, n::BIGINT AS longest, runs::BIGINT AS runs, nullif(after, '') AS after, last, nullif(previous, '') AS previous FROM b JOIN z USING (user_id) WHERE i = 1""")
 def run_length_args(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("at")
-    d = numbered(spark, sf).withColumn("brk", F.when(F.col("event_type") == F.lag("event_type").over(w), 0).otherwise(1))
-    runs = d.withColumn("run", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy("user_id").agg(F.max("n").alias("longest"), F.count("*").alias("runs"))
+    from ..operators.evidence import longest_run
+
+    return longest_run(numbered(spark, sf), ["user_id"], "at", "event_type", 2)
 
 
 @query("nearest_within_w", f"""WITH e AS (SELECT * FROM {N()}), j AS (SELECT a.user_id, a.at_, p.event_id, abs(p.at_ - a.at_) AS d, row_number() OVER (PARTITION BY a.user_id, a.at_ ORDER BY abs(p.at_ - a.at_), p.at_) AS r

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bytecode, context, joins, keyed, metrics, paths, resolve
+from ..operators import bytecode, candidates, context, evidence, joins, keyed, metrics, paths, resolve, routing
 from .keyed import NEW, OLD, SPLIT, events
 from .registry import query, table
 
@@ -49,9 +49,9 @@ def callsite_definition_join(spark, sf):
 
 @query("override_dimension", "SELECT c_custkey, CASE WHEN c_nationkey IN (1, 5, 9) THEN 'verified_' || c_nationkey::VARCHAR ELSE c_mktsegment END AS segment, c_nationkey IN (1, 5, 9) AS overridden FROM customer")
 def override_dimension(spark, sf):
-    fixed = spark.createDataFrame([(n, f"verified_{n}") for n in (1, 5, 9)], "c_nationkey int, fixed string")
-    j = table(spark, sf, "customer").join(F.broadcast(fixed), "c_nationkey", "left")
-    return j.select("c_custkey", F.coalesce("fixed", "c_mktsegment").alias("segment"), F.col("fixed").isNotNull().alias("overridden"))
+    fixed = spark.createDataFrame([(n, f"verified_{n}") for n in (1, 5, 9)], "c_nationkey int, segment string")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
+    return evidence.overridden(c, "c_nationkey", fixed, "segment").select("c_custkey", "segment", "overridden")
 
 
 @query("crosswalk_default", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS mapped FROM nation")
@@ -157,24 +157,92 @@ def stride_only_change(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (paths.without_strides(make(n, p % 5)) == paths.without_strides(make(n + F.col("l_suppkey") % 2, p % 3))).alias("stride_only"))
 
 
-@query("weighted_role_score", """WITH w(event_type, weight, least) AS (VALUES ('purchase', 5.0::DOUBLE, 1), ('click', 1.0::DOUBLE, 1), ('error', -0.5::DOUBLE, 0)), s AS (SELECT user_id, round(sum(weight * n), 6) AS score, count(*)::BIGINT AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) JOIN w USING (event_type) GROUP BY 1)
-  SELECT user_id % 10 AS g, arg_max(user_id, (score, -user_id)) AS user_id, max(score) AS score FROM s GROUP BY 1""".replace("arg_max(user_id, (score, -user_id))", "arg_max(user_id, {'s': score, 'u': -user_id})"))
+@query("weighted_role_score", """WITH w(event_type, weight) AS (VALUES ('purchase', 5.0::DOUBLE), ('click', 1.0::DOUBLE), ('error', -0.5::DOUBLE)), s AS (SELECT user_id, round(sum(weight * n), 6) AS score, count(*)::BIGINT AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) JOIN w USING (event_type) GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3)
+  SELECT user_id % 10 AS g, arg_max(user_id, {'s': score, 'u': -user_id}) AS user_id, max(score) AS score FROM s GROUP BY 1""")
 def weighted_role_score(spark, sf):
     w = spark.createDataFrame([("purchase", 5.0), ("click", 1.0), ("error", -0.5)], "event_type string, weight double")
-    hits = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).join(F.broadcast(w), "event_type")
-    s = hits.groupBy("user_id").agg(F.round(F.sum(F.col("weight") * F.col("n")), 6).alias("score"))
-    return keyed.first_wins(s.withColumn("g", F.col("user_id") % 10), ["g"], [-F.col("score"), F.col("user_id")])
+    s = evidence.weighted_score(table(spark, sf, "events"), ["user_id"], "event_type", w, (2, 3))
+    return keyed.first_wins(s.withColumn("g", F.col("user_id") % 10), ["g"], [-F.col("score"), F.col("user_id")]).select("g", "user_id", "score")
 
 
-@query("state_statistics", "SELECT user_id, count(DISTINCT event_type)::BIGINT AS states, max((props->>'k')::BIGINT) AS top, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS names FROM events GROUP BY user_id")
+@query("state_statistics", """WITH a AS (SELECT user_id, event_type AS state FROM events WHERE event_id % 3 > 0 UNION ALL SELECT user_id + 1, 'set_' || event_type FROM events WHERE event_id % 3 = 0)
+  SELECT user_id, count(DISTINCT state)::BIGINT AS states, max(state) AS top, string_agg(DISTINCT state, ',' ORDER BY state) AS names FROM a GROUP BY user_id""")
 def state_statistics(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("states"), F.max(F.get_json_object("props", "$.k").cast("long")).alias("top"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"))
+    e = table(spark, sf, "events")
+    calls = e.where("event_id % 3 = 0").select(F.concat(F.lit("f"), F.col("user_id")).alias("function"), F.concat(F.lit("set_"), "event_type").alias("state"))
+    setters = e.select(F.concat(F.lit("f"), F.col("user_id")).alias("function"), (F.col("user_id") + 1).alias("user_id")).distinct()
+    return evidence.state_statistics(e.where("event_id % 3 > 0").withColumnRenamed("event_type", "state"), "user_id", "state", setters, calls)
 
 
-@query("cooccurrence_counts", "SELECT source, count(*) FILTER (contains(text, 'License') AND contains(text, 'the'))::BIGINT AS both_, count(*) FILTER (contains(text, '@'))::BIGINT AS at_sign FROM documents GROUP BY source")
+@query("cooccurrence_counts", "SELECT source, count(*) FILTER (contains(text, 'License') AND contains(text, 'the'))::BIGINT AS both_, count(*) FILTER (contains(text, '@'))::BIGINT AS at_sign FROM documents WHERE doc_id BETWEEN 100 AND 900 GROUP BY source")
 def cooccurrence_counts(spark, sf):
-    has = lambda w: F.contains("text", F.lit(w))
-    return table(spark, sf, "documents").groupBy("source").agg(F.count_if(has("License") & has("the")).alias("both_"), F.count_if(has("@")).alias("at_sign"))
+    return evidence.cooccurrences(table(spark, sf, "documents"), ["source"], "text", {"both_": ["License", "the"], "at_sign": ["@"]}, "doc_id", 100, 900)
+
+
+@query("containers_by_access", "WITH c AS (SELECT user_id % 20 AS g, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT g, event_type, n::BIGINT AS n, row_number() OVER (PARTITION BY g ORDER BY n DESC, f, event_type)::INT AS rank FROM c")
+def containers_by_access(spark, sf):
+    return evidence.by_access(table(spark, sf, "events").withColumn("g", F.col("user_id") % 20), ["g"], "event_type", "event_id")
+
+
+@query("routed_resolve", """WITH e AS (SELECT p_partkey, 'KEY_' || replace(p_brand, '#', '_') || '_' || p_partkey AS name, CASE p_partkey % 4 WHEN 0 THEN 'Root_' || p_partkey || '.f_' || p_size WHEN 1 THEN 'iVar' || p_size WHEN 2 THEN 'f_' || p_size ELSE p_size::VARCHAR END AS value FROM part)
+  SELECT name, value, CASE WHEN p_partkey % 50 = 0 THEN 'anchor' WHEN starts_with(name, 'KEY_Brand_11') THEN 'skip' ELSE CASE p_partkey % 4 WHEN 0 THEN 'global' WHEN 1 THEN 'local' WHEN 2 THEN 'field' ELSE 'static' END END AS route,
+    CASE WHEN p_partkey % 50 = 0 THEN 'told' WHEN starts_with(name, 'KEY_Brand_11') OR p_partkey % 4 = 3 THEN value WHEN p_partkey % 4 = 0 AND p_partkey % 3 > 0 THEN value || '.f_1' WHEN p_partkey % 4 = 1 THEN value END AS new_value,
+    CASE WHEN p_partkey % 50 = 0 OR starts_with(name, 'KEY_Brand_11') OR p_partkey % 4 = 3 THEN 1.0 WHEN p_partkey % 4 = 0 AND p_partkey % 3 > 0 THEN 0.9 WHEN p_partkey % 4 = 1 THEN 0.7 END::DOUBLE AS confidence,
+    CASE WHEN p_partkey % 50 = 0 THEN 'anchored' WHEN starts_with(name, 'KEY_Brand_11') THEN 'skipped' WHEN p_partkey % 4 = 3 THEN 'static' WHEN p_partkey % 4 = 0 AND p_partkey % 3 > 0 THEN 'migrated' WHEN p_partkey % 4 = 1 THEN 'unchanged' ELSE 'unresolved' END AS status FROM e""")
+def routed_resolve(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    value = F.when(k % 4 == 0, F.concat(F.lit("Root_"), k, F.lit(".f_"), size)).when(k % 4 == 1, F.concat(F.lit("iVar"), size)).when(k % 4 == 2, F.concat(F.lit("f_"), size)).otherwise(size.cast("string"))
+    e = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("KEY_"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("_"), k).alias("name"), value.alias("value"))
+    told = lambda df, v, c: df.select("name", v.alias("new_value"), F.lit(c).alias("confidence"))
+    resolvers = {"global": told(e.where(k % 3 > 0), F.concat("value", F.lit(".f_1")), 0.9), "local": told(e, F.col("value"), 0.7)}
+    return routing.routed(e.select("name", "value"), told(e.where(k % 50 == 0), F.lit("told"), 1.0), ["KEY_Brand_11"], paths.shapes("Root"), resolvers)
+
+
+@query("candidate_files", """WITH m AS (SELECT doc_id AS name, lang AS kind, source AS file FROM documents WHERE doc_id % 5 = 0), f AS (SELECT DISTINCT source AS file FROM documents WHERE doc_id % 7 = 1), p(kind, file) AS (VALUES ('en', 'src1'), ('en', 'src2'), ('de', 'src3'), ('fr', 'none'))
+  SELECT name, file, min(source_rank)::INT AS source_rank FROM (SELECT name, p.file, 0 AS source_rank FROM m JOIN p USING (kind) UNION ALL SELECT name, file, 1 FROM m) WHERE file IN (FROM f) GROUP BY ALL""")
+def candidate_files(spark, sf):
+    d = table(spark, sf, "documents")
+    p = spark.createDataFrame([("en", "src1"), ("en", "src2"), ("de", "src3"), ("fr", "none")], "kind string, file string")
+    matches = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("name"), F.col("lang").alias("kind"), F.col("source").alias("file"))
+    return candidates.candidate_files(matches, d.where("doc_id % 7 = 1").select(F.col("source").alias("file")), p)
+
+
+@query("semantic_path_join", r"""WITH s AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS file, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '')[1:1] AS path FROM pages), n AS (SELECT file, path, min(page_id) AS new_value, count(DISTINCT page_id)::BIGINT AS n FROM s WHERE page_id % 2 = 1 AND len(path) > 0 GROUP BY ALL)
+  SELECT s.page_id AS name, n.new_value, n.n FROM s JOIN n ON n.file = s.file AND n.path = s.path WHERE s.page_id % 2 = 0""")
+def semantic_path_join(spark, sf):
+    s = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("file"), F.slice(text.segments("url"), 1, 1).alias("path"))
+    old, new = s.where("page_id % 2 = 0").withColumnRenamed("page_id", "name"), s.where("page_id % 2 = 1").withColumnRenamed("page_id", "value")
+    return candidates.by_path(old, new)
+
+
+@query("context_candidates", """WITH e AS (SELECT c_custkey AS k, c_nationkey::VARCHAR AS file, c_custkey % 9 = 0 AS deep FROM customer WHERE c_custkey % 3 > 0)
+  SELECT 'KEY_' || k AS name, 'Root_' || (k + 5) || CASE WHEN deep THEN '.f_2' ELSE '.f_1' END AS value, 0.99::DOUBLE AS confidence, k::BIGINT AS line_no FROM e""")
+def context_candidates(spark, sf):
+    c = table(spark, sf, "customer")
+    k, deep = F.col("c_custkey"), F.col("c_custkey") % 9 == 0
+    own = F.concat(F.lit("set "), "c_name", F.lit(" to VALUE"))
+
+    def side(df, shift):
+        value = F.concat(F.lit("Root_"), k + shift, F.when(deep, ".f_2").otherwise(".f_1"))
+        near, wide = F.concat(F.lit("before\n"), own, F.lit("\nafter")), F.concat(F.lit("far\nbefore\n"), own, F.lit("\nafter\nfar"))
+        return df.select(F.col("c_nationkey").cast("string").alias("file"), F.lit("global").alias("kind"), value.alias("value"), own.alias("line"), near.alias("near"), wide.alias("wide"), F.lit(False).alias("assigns"), F.lit(False).alias("returns"), F.lit(False).alias("bare"), k.cast("long").alias("line_no"), "c_name")
+
+    old = side(c.where("c_custkey % 3 > 0"), 0)
+    old = old.select(F.concat(F.lit("KEY_"), F.col("line_no")).alias("name"), *(x for x in old.columns if x not in ("line_no", "c_name")), F.array("c_name").alias("anchors"))
+    new = side(c, 5)
+    new = new.select(*(x for x in new.columns if x != "c_name"), F.array("c_name", F.lit("far")).alias("tokens"))
+    root = lambda v: F.regexp_extract(F.col(v), r"_([0-9]+)", 1).cast("long")
+    return candidates.by_context(old, new, lambda v: F.regexp_replace(v, "[0-9]+", "N"), root("a_value") - root("b_value"), [(10, 0.18), (100, 0.16)])
+
+
+@query("candidate_order", """WITH c AS (SELECT l_orderkey % 200 AS name, l_suppkey AS value, CASE l_linenumber % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'shape' ELSE 'other' END AS reason, l_linenumber % 2 AS source_rank, l_discount AS confidence, abs(l_suppkey - l_partkey) AS d, l_orderkey, l_linenumber FROM lineitem)
+  SELECT name, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE reason WHEN 'path' THEN 1 WHEN 'shape' THEN 2 ELSE 3 END, source_rank, confidence DESC, d, value)::INT AS rank, count(*) OVER (PARTITION BY name, reason, source_rank, confidence, d, value) AS ties FROM c) WHERE ties = 1 AND rank <= 3""")
+def candidate_order(spark, sf):
+    li = table(spark, sf, "lineitem")
+    reason = F.when(F.col("l_linenumber") % 3 == 0, "path").when(F.col("l_linenumber") % 3 == 1, "shape").otherwise("other")
+    c = li.select((F.col("l_orderkey") % 200).alias("name"), F.col("l_suppkey").alias("value"), reason.alias("reason"), (F.col("l_linenumber") % 2).alias("source_rank"), F.col("l_discount").alias("confidence"), F.abs(F.col("l_suppkey") - F.col("l_partkey")).alias("d"), "l_orderkey", "l_linenumber")
+    ties = F.count("*").over(Window.partitionBy("name", "reason", "source_rank", "confidence", "d", "value"))
+    return candidates.ranked(c.withColumn("ties", ties), "name", ["path", "shape"], F.col("d")).where("ties = 1 AND rank <= 3").select("name", "l_orderkey", "l_linenumber", "rank")
 
 
 @query("multiset_sum", f"SELECT event_type, sum(n)::BIGINT AS n FROM (SELECT event_type, count(*) AS n FROM {OLD} GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM {NEW} GROUP BY 1) GROUP BY event_type")
@@ -195,10 +263,12 @@ def ordered_source_union(spark, sf):
     return part(1, "documents", F.col("doc_id")).unionByName(part(2, "benchmark", F.col("item_id"))).unionByName(part(3, "conversations", F.col("conv_id") * 100 + F.col("turn")))
 
 
-@query("preferred_source_join", "WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, source, n::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source)::INT AS rank FROM s QUALIFY rank <= 3")
+@query("preferred_source_join", """WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), p(lang, source, ord) AS (VALUES ('en', 'src9', 1), ('en', 'src7', 0), ('de', 'src4', 0))
+  SELECT lang, source, n::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY ord NULLS LAST, n DESC, source)::INT AS rank FROM s LEFT JOIN p USING (lang, source) QUALIFY rank <= 3""")
 def preferred_source_join(spark, sf):
     s = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return keyed.top_k(s, ["lang"], [F.desc("n"), F.asc("source")], 3)
+    p = spark.createDataFrame([("en", "src9", 1), ("en", "src7", 0), ("de", "src4", 0)], "lang string, source string, ord int")
+    return evidence.preferred(s, "lang", "source", "n", p, 3)
 
 
 @query("fingerprint_tiers", f"""WITH o AS (SELECT user_id, string_agg(event_type, ',' ORDER BY m) AS p FROM (SELECT user_id, event_type, min(event_id) AS m FROM {OLD} GROUP BY ALL) GROUP BY 1), n AS (SELECT user_id, string_agg(event_type, ',' ORDER BY m) AS p FROM (SELECT user_id, event_type, min(event_id) AS m FROM {NEW} GROUP BY ALL) GROUP BY 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary, text
-from ..operators import joins, keyed
+from ..operators import evidence, joins, keyed, routing
 from .registry import query, table
 
 
@@ -16,8 +16,7 @@ def token_extract_links(spark, sf):
 
 @query("token_measure", r"""SELECT doc_id, len(regexp_extract_all(text, '[a-z]+'))::BIGINT AS words, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS numbers, length(text)::BIGINT AS n, length(text) < 100 AND NOT regexp_matches(text, '[0-9]') AS stub FROM documents""")
 def token_measure(spark, sf):
-    c = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, sf, "documents").select("doc_id", c("[a-z]+").alias("words"), c("[0-9]+").alias("numbers"), F.length("text").cast("long").alias("n"), ((F.length("text") < 100) & ~F.col("text").rlike("[0-9]")).alias("stub"))
+    return evidence.measures(table(spark, sf, "documents"), "doc_id", "text", {"words": "[a-z]+", "numbers": "[0-9]+"}, 100, "[0-9]")
 
 
 #: Tiers in order: name, globs on the source, least characters.
@@ -53,11 +52,12 @@ def canonicalize_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.without_tracking("url").alias("bare"), text.skeleton("url").alias("skeleton"))
 
 
-@query("prefix_closure_presence", r"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS p FROM pages), c AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM s, range(1, 9) t(i) WHERE i <= len(p) AND page_id % 2 = 1)
-  SELECT page_id, array_to_string(p, '/') AS path FROM s WHERE page_id % 2 = 0 AND array_to_string(p[1:1], '/') IN (SELECT path FROM c) AND len(p) > 0""".replace("array_to_string(p, '/') AS path FROM s WHERE", "array_to_string(p[1:1], '/') AS path FROM s WHERE"))
+@query("prefix_closure_presence", r"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS p FROM pages),
+  c AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM s WHERE page_id % 2 = 1)),
+  w AS (SELECT page_id, array_to_string(p[1:i], '/') AS path FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM s WHERE page_id % 2 = 0)) SELECT page_id, path FROM w WHERE path IN (FROM c)""")
 def prefix_closure_presence(spark, sf):
     p = table(spark, sf, "pages").withColumn("p", text.segments("url"))
-    wanted = p.where("page_id % 2 = 0").where(F.size("p") > 0).select("page_id", F.get("p", F.lit(0)).alias("path"))
+    wanted = p.where("page_id % 2 = 0").select("page_id", F.explode(text.prefixes(F.col("p"), "/")).alias("path"))
     return joins.present_by_prefix(wanted, "path", p.where("page_id % 2 = 1"), F.col("p"), "/").select("page_id", "path")
 
 
@@ -66,16 +66,13 @@ def prefix_closure_presence(spark, sf):
 def most_specific_anchor(spark, sf):
     h = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
     h = h.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    hosts = h.groupBy("host").agg(F.count("*").alias("n")).where("n >= 3").select("host", F.col("host").alias("anchor"))
-    domains = h.select("domain").distinct().withColumn("anchor", F.col("domain"))
-    return joins.with_fallback(h, hosts, domains, "host", "domain", "anchor").select("page_id", "anchor")
+    hosts = h.groupBy("host").agg(F.count("*").alias("n")).where("n >= 3").select(F.col("host").alias("anchor"))
+    return evidence.most_specific(h, "page_id", [F.col("host"), F.col("domain")], hosts.unionByName(h.select(F.col("domain").alias("anchor"))))
 
 
 @query("shared_multi_pattern", "SELECT d.doc_id, w.word FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) d JOIN (VALUES ('the'), ('and'), ('der'), ('que'), ('les'), ('von')) w(word) USING (word)")
 def shared_multi_pattern(spark, sf):
-    wanted = spark.createDataFrame([(w,) for w in ("the", "and", "der", "que", "les", "von")], "word string")
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
-    return words.join(F.broadcast(wanted), "word", "left_semi").distinct()
+    return evidence.present_words(table(spark, sf, "documents"), "doc_id", F.split(F.lower("text"), " "), ["the", "and", "der", "que", "les", "von"])
 
 
 @query("needle_prefilter", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+=?'))::BIGINT AS tokens FROM documents WHERE contains(text, 'License')")
@@ -107,15 +104,27 @@ def delimited_crosswalk(spark, sf):
     return crosswalk(lines, "line").select("n_nationkey", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))
 
 
-@query("statement_filters", "SELECT conv_id, turn, contains(text, '?') AS asks, text LIKE '%.' AS ends, role = 'assistant' AND contains(text, chr(10)) AS long_answer FROM conversations")
+@query("statement_filters", """WITH l AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'x = ' || o_custkey WHEN 1 THEN '  return ' || o_custkey WHEN 2 THEN ' f(' || o_custkey || '); ' ELSE 'x == ' || o_custkey END AS line FROM orders)
+  SELECT o_orderkey, o_orderkey % 4 = 0 AS assigns, o_orderkey % 4 = 1 AS returns, o_orderkey % 4 = 2 AS calls FROM l""")
 def statement_filters(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.contains("text", F.lit("?")).alias("asks"), F.endswith("text", F.lit(".")).alias("ends"), ((F.col("role") == "assistant") & F.contains("text", F.lit("\n"))).alias("long_answer"))
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    line = F.when(k == 0, F.concat(F.lit("x = "), c)).when(k == 1, F.concat(F.lit("  return "), c)).when(k == 2, F.concat(F.lit(" f("), c, F.lit("); "))).otherwise(F.concat(F.lit("x == "), c))
+    return table(spark, sf, "orders").select("o_orderkey", line.alias("line")).select("o_orderkey", *evidence.statement_kinds(F.col("line")))
 
 
 @query("gate_blocks", "SELECT conv_id, bool_or(role = 'system') AND bool_or(role = 'user') AND bool_or(role = 'assistant' AND length(text) > 500) AS gated FROM conversations GROUP BY conv_id")
 def gate_blocks(spark, sf):
     r = F.col("role")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg((F.bool_or(r == "system") & F.bool_or(r == "user") & F.bool_or((r == "assistant") & (F.length("text") > 500))).alias("gated"))
+    return evidence.gated(table(spark, sf, "conversations"), ["conv_id"], [r == "system", r == "user", (r == "assistant") & (F.length("text") > 500)])
+
+
+@query("kind_by_suffix", """WITH n AS (SELECT p_partkey, 'KEY_' || replace(p_brand, '#', '_') || '_' || p_size || CASE p_size % 3 WHEN 0 THEN '_max_speed' WHEN 1 THEN '_speed' ELSE '' END AS name FROM part)
+  SELECT p_partkey, CASE WHEN ends_with(name, '_max_speed') THEN 'limit' WHEN ends_with(name, '_speed') THEN 'motion' END AS kind, starts_with(name, 'KEY_Brand_1') AND NOT starts_with(name, 'KEY_Brand_13') AS allowed, 'KEY_Brand' AS family FROM n""")
+def kind_by_suffix(spark, sf):
+    k = F.col("p_size") % 3
+    name = F.concat(F.lit("KEY_"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("_"), F.col("p_size"), F.when(k == 0, "_max_speed").when(k == 1, "_speed").otherwise(""))
+    n = table(spark, sf, "part").select("p_partkey", name.alias("name"))
+    return n.select("p_partkey", routing.kind_of("name", {"_speed": "motion", "_max_speed": "limit"}).alias("kind"), routing.allowed("name", ["KEY_Brand_1"], ["KEY_Brand_13"]).alias("allowed"), routing.family_of("name").alias("family"))
 
 
 @query("value_shape_route", """WITH v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Root_' || p_partkey::VARCHAR || '.f_' || p_size::VARCHAR WHEN 1 THEN 'Root_' || p_partkey::VARCHAR WHEN 2 THEN 'iVar' || p_size::VARCHAR WHEN 3 THEN 'f_' || p_size::VARCHAR WHEN 4 THEN p_size::VARCHAR || '.f_1' ELSE p_size::VARCHAR END AS value FROM part)
@@ -218,15 +227,14 @@ def root_proximity(spark, sf):
   SELECT a.lang, CASE WHEN a.n = 1 AND b.n = 1 THEN b.title END AS title, a.n::BIGINT AS n_old, b.n::BIGINT AS n_new FROM u a JOIN u b ON a.lang = b.lang AND a.v = 0 AND b.v = 1""")
 def anchored_single_value(spark, sf):
     m = table(spark, sf, "pages").select((F.col("page_id") % 2).alias("v"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    u = keyed.agreed(m, ["v", "lang"], "title")
-    a, b = (u.where(F.col("v") == v).select("lang", F.col("title").alias(f"t{v}"), F.col("n_values").alias(f"n{v}")) for v in (0, 1))
-    return a.join(b, "lang").select("lang", F.when(F.col("t0").isNotNull() & F.col("t1").isNotNull(), F.col("t1")).alias("title"), F.col("n0").alias("n_old"), F.col("n1").alias("n_new"))
+    return evidence.single_in_each(m.where("v = 0"), m.where("v = 1"), "lang", "title")
 
 
-@query("shape_equi_join", r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[0-9]+', 'N', 'g') AS shape FROM pages) SELECT a.page_id AS old_id, b.page_id AS new_id, shape FROM s a JOIN s b USING (shape) WHERE a.page_id % 2 = 0 AND b.page_id % 2 = 1""")
+@query("shape_equi_join", r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[0-9]+', 'N', 'g') AS shape FROM pages)
+  SELECT shape, count(*) FILTER (page_id % 2 = 0)::BIGINT AS n_old, count(*) FILTER (page_id % 2 = 1)::BIGINT AS n_new, min(page_id) FILTER (page_id % 2 = 0) AS old_key, min(page_id) FILTER (page_id % 2 = 1) AS new_key FROM s GROUP BY shape HAVING count(*) FILTER (page_id % 2 = 0) > 0 AND count(*) FILTER (page_id % 2 = 1) > 0""")
 def shape_equi_join(spark, sf):
     s = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[0-9]+", "N").alias("shape"))
-    return s.where("page_id % 2 = 0").withColumnRenamed("page_id", "old_id").join(s.where("page_id % 2 = 1").withColumnRenamed("page_id", "new_id"), "shape")
+    return evidence.shape_matches(s.where("page_id % 2 = 0"), s.where("page_id % 2 = 1"), "shape", "page_id")
 
 
 @query("levenshtein_ascii", "WITH p AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT a.p_brand, a.p_name, b.p_name AS other, levenshtein(a.p_name, b.p_name)::INT AS d FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 4")
