@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _c(x: Column | str) -> Column:
@@ -28,9 +24,9 @@ def _reversed(data: Column, n: int) -> Column:
     return F.concat(*(F.substring(data, i, 1) for i in range(n, 0, -1)))
 
 
-def integer(data: Column | str, start: int, n: int, big: bool = False) -> Column:
+def integer(data: Column | str, start: int | Column, n: int, big: bool = False) -> Column:
     """The unsigned number in n <= 8 bytes from start, counted from 1; of eight bytes, the bit pattern. Little-endian unless big."""
-    part = F.substring(_c(data), start, n)
+    part = F.substr(_c(data), start if isinstance(start, Column) else F.lit(start), F.lit(n))
     return F.conv(F.hex(part if big else _reversed(part, n)), 16, -10 if n == 8 else 10).cast("long")
 
 
@@ -58,10 +54,14 @@ def rotate_left(x: Column | str, k: int) -> Column:
     return F.shiftleft(_c(x), k).bitwiseOR(F.shiftrightunsigned(_c(x), 64 - k)) if k else _c(x)
 
 
-@F.pandas_udf(T.DoubleType())
-def float_of_bits(x: pd.Series) -> pd.Series:
-    """The 32-bit float with the bits of a number."""
-    return x.map(lambda v: None if pd.isna(v) else struct.unpack("<f", struct.pack("<I", int(v) & 0xFFFFFFFF))[0])
+def float_of_bits(x: Column | str) -> Column:
+    """The 32-bit float with the bits of a number, as a double: sign, exponent and fraction by arithmetic."""
+    bits = _c(x).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(0xFF))
+    fraction = bits.bitwiseAND(F.lit(0x7FFFFF)).cast("double")
+    sign = F.when(bits >= 1 << 31, -1.0).otherwise(1.0)
+    size = F.when(exponent == 0, fraction * 2.0**-149).when(exponent < 255, (fraction + 8388608.0) * F.pow(F.lit(2.0), exponent - 150))
+    return sign * size.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
 
 
 def wildcard(pattern: str) -> str:
@@ -74,6 +74,16 @@ def count_bytes(data: Column | str, pattern: str) -> Column:
     return F.regexp_count(F.decode(_c(data), "ISO-8859-1"), F.lit(wildcard(pattern)))
 
 
+def positions(data: Column | str, pattern: str) -> Column:
+    """Where, from 0, the non-overlapping matches of a wildcard pattern begin in bytes."""
+    text = F.decode(_c(data), "ISO-8859-1")
+    width = len(pattern.split())
+    gaps = F.transform(F.split(text, wildcard(pattern), -1), F.length)
+    before = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
+    step = lambda acc, n: F.struct((acc["at"] + n + width).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out"))
+    return F.aggregate(before, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
 def health(n_old: Column, n_new: Column) -> Column:
     """What became of a pattern that should be found once on each side."""
     return F.when(n_old == 0, "NOT_IN_OLD").when(n_old > 1, "AMBIG_OLD").when(n_new == 1, "OK").when(n_new == 0, "BROKEN").otherwise("AMBIG_NEW")

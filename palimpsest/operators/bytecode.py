@@ -149,15 +149,64 @@ def address_map(old: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(filled.join(known, ["script", "old_idx"], "left_anti"))
 
 
-def remap_audit(rows: DataFrame, old_natives: DataFrame, new_natives: DataFrame, calls: DataFrame) -> DataFrame:
-    """What each native or call operand of old rows becomes: script, seq, kind, old, new, confidence.
+def mined_strides(rows: DataFrame, roots: list[str], field: str, array: str) -> DataFrame:
+    """script, version, root, field and stride: of an array step that follows a field that follows a root, the most frequent, the first of several.
+
+    roots, field and array name the instructions.
+    """
+    by = ["script", "version"]
+    each = _array_steps(rows, roots, field, array).where("root IS NOT NULL").groupBy(*by, "root", "field", F.col("value").alias("stride")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return each.groupBy(*by, "root", "field").agg(F.max_by("stride", F.struct("n", -F.col("first"))).alias("stride"))
+
+
+def _array_steps(rows: DataFrame, roots: list[str], field: str, array: str) -> DataFrame:
+    """The array instructions, with root and field where these stand right before them."""
+    w = Window.partitionBy("script", "version").orderBy("seq")
+    back = lambda c, n: F.lag(c, n).over(w)
+    told = rows.withColumns({"__m1": back("mnemonic", 1), "__m2": back("mnemonic", 2), "__v1": back("value", 1), "__v2": back("value", 2)})
+    known = (F.col("__m1") == field) & F.col("__m2").isin(roots)
+    return told.where(F.col("mnemonic") == array).select(*rows.columns, F.when(known, F.col("__v2")).alias("root"), F.when(known, F.col("__v1")).alias("field"))
+
+
+def remap_audit(rows: DataFrame, old_natives: DataFrame, new_natives: DataFrame, calls: DataFrame, spans: DataFrame | None = None, strides: tuple[DataFrame, DataFrame] | None = None, names: tuple[list[str], str, str] | None = None) -> DataFrame:
+    """What each native, call or stride operand of old rows becomes: script, seq, kind, old, new, confidence.
 
     natives: script, index, hash. calls: script, old_address, new_address, tier. A native
-    goes by its hash, a call by the map; what can't be told has a null new and review.
+    goes by its hash, a call by the map; what can't be told has a null new and review. spans: script, old_base,
+    new_base, length: calls into the span move with it (internal). strides: old and new mined_strides; names: those it was mined by.
+    A stride that is its place's old one takes the new one; another that isn't the new one either needs review.
     """
     o = old_natives.select("script", F.col("index").cast("long").alias("value"), "hash")
     n = new_natives.groupBy("script", "hash").agg(F.max("index").cast("long").alias("new"))
     natives = rows.where("kind = 'native'").join(o, ["script", "value"], "left").join(n, ["script", "hash"], "left").select("script", "seq", "kind", F.col("value").alias("old"), "new", F.when(F.col("new").isNull(), "review").otherwise("exact").alias("confidence"))
     m = calls.select("script", F.col("old_address").cast("long").alias("value"), F.col("new_address").cast("long").alias("new"), "tier")
-    external = rows.where("mnemonic = 'CALL'").join(m, ["script", "value"], "left").select("script", "seq", F.lit("call").alias("kind"), F.col("value").alias("old"), "new", F.coalesce("tier", F.lit("review")).alias("confidence"))
-    return natives.unionByName(external)
+    called = rows.where("mnemonic = 'CALL'").select("script", "seq", "value")
+    moved = None
+    if spans is not None:
+        at = called.join(spans.select("script", F.col("old_base").cast("long").alias("lo"), F.col("new_base").cast("long").alias("to"), F.col("length").cast("long").alias("size")), "script", "left")
+        inside = F.coalesce((F.col("value") >= F.col("lo")) & (F.col("value") < F.col("lo") + F.col("size")), F.lit(False))
+        moved = at.where(inside).select("script", "seq", F.lit("call").alias("kind"), F.col("value").alias("old"), (F.col("value") - F.col("lo") + F.col("to")).alias("new"), F.lit("internal").alias("confidence"))
+        called = at.where(~inside).select("script", "seq", "value")
+    external = called.join(m, ["script", "value"], "left").select("script", "seq", F.lit("call").alias("kind"), F.col("value").alias("old"), "new", F.coalesce("tier", F.lit("review")).alias("confidence"))
+    out = natives.unionByName(external)
+    if moved is not None:
+        out = out.unionByName(moved)
+    if strides and names:
+        side = lambda df, c: df.select("script", "root", "field", F.col("stride").alias(c))
+        steps = _array_steps(rows, *names).where("root IS NOT NULL").join(side(strides[0], "__o"), ["script", "root", "field"], "left").join(side(strides[1], "__n"), ["script", "root", "field"], "left")
+        other = F.col("__n").isNotNull() & (F.col("__n") != F.col("value"))
+        taken = F.col("__o").eqNullSafe(F.col("value"))
+        new = F.when(~F.coalesce(other, F.lit(False)), F.col("value")).when(taken, F.col("__n"))
+        out = out.unionByName(steps.select("script", "seq", F.lit("stride").alias("kind"), F.col("value").alias("old"), new.alias("new"), F.when(new.isNull(), "review").otherwise("exact").alias("confidence")))
+    return out
+
+
+def remapped(rows: DataFrame, audit: DataFrame) -> DataFrame:
+    """rows with the operands of natives, calls and strides written anew, where the audit tells a new value."""
+    from ..functions.binary import with_integer
+
+    j = rows.join(audit.where("new IS NOT NULL").select("script", "seq", "new"), ["script", "seq"], "left")
+    big = F.unhex(F.lpad(F.hex("new"), 4, "0"))
+    native = F.concat(F.substring("operands", 1, 1), big)
+    written = F.when(F.col("kind") == "native", native).when(F.col("kind") == "u24", with_integer("operands", 1, 3, F.col("new"))).when(F.col("kind") == "u16", with_integer("operands", 1, 2, F.col("new")))
+    return j.withColumn("operands", F.when(F.col("new").isNotNull(), F.coalesce(written, "operands")).otherwise(F.col("operands"))).select(*rows.columns)

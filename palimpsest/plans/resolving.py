@@ -340,7 +340,7 @@ def consensus_outliers(spark, sf):
 
 
 #: A small instruction set for programs made from the tables.
-TABLE = {0x01: ("PUSH_U8", "u8"), 0x02: ("PUSH_U32", "u32"), 0x03: ("NATIVE", "native"), 0x04: ("CALL", "u24"), 0x05: ("JUMP", "rel16"), 0x06: ("ENTER", "enter"), 0x07: ("LEAVE", "leave"), 0x08: ("FIELD", "s16"), 0x09: ("NOP", "")}
+TABLE = {0x01: ("PUSH_U8", "u8"), 0x02: ("PUSH_U32", "u32"), 0x03: ("NATIVE", "native"), 0x04: ("CALL", "u24"), 0x05: ("JUMP", "rel16"), 0x06: ("ENTER", "enter"), 0x07: ("LEAVE", "leave"), 0x08: ("FIELD", "s16"), 0x09: ("NOP", ""), 0x0A: ("ROOT", "u24"), 0x0B: ("ARRAY", "u16"), 0x0C: ("SWITCH", "switch")}
 
 
 def programs(spark, sf, version):
@@ -399,22 +399,91 @@ def address_map(spark, sf):
     return bytecode.address_map(side("old"), side("new"))
 
 
-@query("remap_audit", "SELECT s_nationkey::VARCHAR AS script, 'native' AS kind, s_suppkey % 50 AS old, s_suppkey % 50 + 5 AS new, 'exact' AS confidence, count(*)::BIGINT AS n FROM supplier GROUP BY ALL UNION ALL SELECT s_nationkey::VARCHAR, 'call', s_suppkey % 250, s_suppkey % 250 + 5, 'strict', count(*) FROM supplier GROUP BY ALL")
+def payloads(spark, sf, version):
+    """A program per nation's suppliers with natives, calls and strides; in the new version natives are 5 further, calls 1000, and the strides of even roots one more."""
+    new = version == "new"
+    k = F.col("s_suppkey")
+    hex2 = lambda c: F.lpad(F.hex(c), 2, "0")
+    low = lambda c, n: F.concat(*(hex2(F.shiftright(c, 8 * i) % 256) for i in range(n)))
+    stride = k % 5 * 7 + k % 3 + 300 + F.when((k % 2 == 0) & F.lit(new), 1).otherwise(0)
+    # calls whose number is divisible by 9 keep their address, natives 7 of 50 their index: nothing tells where these go
+    call = k % 250 + F.when((k % 250 % 9 != 0) & F.lit(new), 1000).otherwise(0)
+    native = k % 50 + F.when((k % 50 != 7) & F.lit(new), 5).otherwise(0)
+    body = F.concat(F.lit("06"), hex2(k % 3), F.lit("020000"), F.lit("0A"), low(k % 10, 3), F.lit("08"), low(k % 15, 2), F.lit("0B"), low(stride, 2), F.lit("0308"), F.lpad(F.hex(native), 4, "0"), F.lit("04"), low(call, 3), F.lit("07"), hex2(k % 3), F.lit("01"))
+    code = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", body.alias("b")))), lambda x: x["b"]), ""))
+    return table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("script")).agg(code.alias("code")).withColumn("version", F.lit(version))
+
+
+def audited(spark, sf):
+    rows = {v: bytecode.instructions(payloads(spark, sf, v), TABLE) for v in ("old", "new")}
+    calls = rows["old"].where("mnemonic = 'CALL' AND value % 9 <> 0").select("script", F.col("value").alias("old_address"), (F.col("value") + 1000).alias("new_address"), F.lit("strict").alias("tier")).distinct()
+    names = (["ROOT"], "FIELD", "ARRAY")
+    strides = tuple(bytecode.mined_strides(rows[v], *names) for v in ("old", "new"))
+    new_natives = natives(spark, sf, "new").where("hash <> 7 * 1000 + 7")
+    return rows["old"], bytecode.remap_audit(rows["old"], natives(spark, sf, "old"), new_natives, calls, None, strides, names)
+
+
+@query("remap_audit", """SELECT s_nationkey::VARCHAR AS script, 'native' AS kind, s_suppkey % 50 AS old, CASE WHEN s_suppkey % 50 <> 7 THEN s_suppkey % 50 + 5 END AS new, CASE WHEN s_suppkey % 50 <> 7 THEN 'exact' ELSE 'review' END AS confidence, count(*)::BIGINT AS n FROM supplier GROUP BY ALL
+  UNION ALL SELECT s_nationkey::VARCHAR, 'call', s_suppkey % 250, CASE WHEN s_suppkey % 250 % 9 <> 0 THEN s_suppkey % 250 + 1000 END, CASE WHEN s_suppkey % 250 % 9 <> 0 THEN 'strict' ELSE 'review' END, count(*) FROM supplier GROUP BY ALL
+  UNION ALL SELECT s_nationkey::VARCHAR, 'stride', s_suppkey % 5 * 7 + s_suppkey % 3 + 300, s_suppkey % 5 * 7 + s_suppkey % 3 + 301 - s_suppkey % 2, 'exact', count(*) FROM supplier GROUP BY ALL""")
 def remap_audit(spark, sf):
-    rows = bytecode.instructions(programs(spark, sf, "old"), TABLE)
-    calls = rows.where("mnemonic = 'CALL'").select("script", F.col("value").alias("old_address"), (F.col("value") + 5).alias("new_address"), F.lit("strict").alias("tier")).distinct()
-    audit = bytecode.remap_audit(rows, natives(spark, sf, "old"), natives(spark, sf, "new"), calls)
+    _, audit = audited(spark, sf)
     return audit.groupBy("script", "kind", "old", "new", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("listing_roundtrip", "SELECT s_nationkey::VARCHAR AS script, true AS same FROM supplier GROUP BY 1")
+@query("remap_bytes", "SELECT s_nationkey::VARCHAR AS script, true AS same FROM supplier GROUP BY 1")
+def remap_bytes(spark, sf):
+    rows, audit = audited(spark, sf)
+    back = bytecode.assemble(bytecode.remapped(rows, audit)).select("script", F.col("code").alias("again"))
+    return payloads(spark, sf, "new").join(back, "script").select("script", (F.col("code") == F.col("again")).alias("same"))
+
+
+@query("audit_report", """SELECT s_nationkey::VARCHAR AS script, s_nationkey::VARCHAR || ': ' || 3 * count(*) || ' operands, ' || count(*) FILTER (s_suppkey % 50 = 7) + count(*) FILTER (s_suppkey % 250 % 9 = 0) || ' need review' AS line FROM supplier GROUP BY s_nationkey""")
+def audit_report(spark, sf):
+    from ..sources.patches import audit_report as report
+
+    return report(audited(spark, sf)[1]).where("place = 1").select("script", "line")
+
+
+@query("patch_health", """WITH s AS (SELECT s_suppkey AS k, s_nationkey::VARCHAR AS script, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier), t AS (SELECT * FROM s WHERE i = 1),
+  h AS (SELECT t.k AS patch, t.script, count(*) FILTER (s.k % 50 = t.k % 50) AS o, count(*) FILTER (s.k % 50 + CASE WHEN s.k % 50 <> 7 THEN 5 ELSE 0 END = t.k % 50) AS n, count(*) FILTER (s.k % 250 = t.k % 250) AS vo, count(*) FILTER (s.k % 250 + CASE WHEN s.k % 250 % 9 <> 0 THEN 1000 ELSE 0 END = t.k % 250) AS vn FROM t JOIN s USING (script) GROUP BY ALL),
+  c AS (SELECT *, CASE WHEN o > 1 THEN 'AMBIG_OLD' WHEN n = 1 THEN 'OK' WHEN n = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS a, CASE WHEN vo > 1 THEN 'AMBIG_OLD' WHEN vn = 1 THEN 'OK' WHEN vn = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS b FROM h)
+  SELECT patch::INT AS patch, script, o::BIGINT AS n_old, n::BIGINT AS n_new, CASE WHEN a = 'OK' AND b <> 'OK' THEN 'BROKEN' ELSE a END AS status, b AS value_status FROM c""")
+def patch_health(spark, sf):
+    from ..sources.patches import patch_health as health
+
+    first = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"))
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    native = F.concat(F.lit("03 ? 00 "), two(F.col("k") % 50), F.lit(" 04"))
+    call = F.concat(F.lit("04 "), two(F.col("k") % 250), F.lit(" 00 00 07"))
+    rows = first.select(F.col("k").cast("int").alias("patch"), F.lit("p").alias("patch_name"), F.col("s_nationkey").cast("string").alias("script_name"), native.alias("pattern"), F.array(F.struct(F.lit(1).alias("id"), call.alias("pattern"))).alias("values"))
+    both = payloads(spark, sf, "old").unionByName(payloads(spark, sf, "new"))
+    return health(rows, both).select("patch", "script", "n_old", "n_new", "status", F.get("values", F.lit(0))["status"].alias("value_status"))
+
+
+def switching(spark, sf):
+    """A program per nation's suppliers with named functions, jumps, switches, floats and natives."""
+    k = F.col("s_suppkey")
+    hex2 = lambda c: F.lpad(F.hex(c), 2, "0")
+    name = F.concat(F.lit("fn"), k.cast("string"))
+    # enter 5+n bytes, u8 2, switch 14, jump 3, nop 1, native 4, nop 1, leave 3: the jump and the cases go to places behind
+    body = F.concat(
+        F.lit("06"), hex2(k % 3), F.lit("0200"), hex2(F.length(name)), F.hex(name), F.lit("01"), hex2(k % 200),
+        F.lit("0C02"), F.lit("05000000"), F.lit("0900"), F.lit("FFFFFFFF"), F.lit("0400"), F.lit("050100"), F.lit("09"), F.lit("0308"), F.lpad(F.hex(k % 50), 4, "0"), F.lit("09"), F.lit("07"), hex2(k % 3), F.lit("01"),
+    )
+    code = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", body.alias("b")))), lambda x: x["b"]), ""))
+    return table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("script")).agg(code.alias("code")).withColumn("version", F.lit("old"))
+
+
+@query("listing_roundtrip", "SELECT s_nationkey::VARCHAR AS script, true AS same, (2 * count(*))::BIGINT AS labels FROM supplier GROUP BY 1")
 def listing_roundtrip(spark, sf):
     from ..operators import assembly
 
-    p = programs(spark, sf, "old")
+    p = switching(spark, sf)
     texts = assembly.listing(bytecode.instructions(p, TABLE)).groupBy("script", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    labels = texts.select("script", F.regexp_count("text", F.lit(r"(?m)^L[0-9]+: ")).cast("long").alias("labels"))
     back = assembly.assembled(texts, TABLE).select("script", F.col("code").alias("again"))
-    return p.join(back, "script").select("script", (F.col("code") == F.col("again")).alias("same"))
+    return p.join(back, "script").join(labels, "script").select("script", (F.col("code") == F.col("again")).alias("same"), "labels")
 
 
 @query("delta_overlap_match", """WITH o AS (SELECT DISTINCT l_suppkey % 20 AS g, l_suppkey AS k, l_partkey AS c FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT g, k + 1000 AS k, c + 4 AS c FROM o WHERE c % 27 <> 0),
@@ -456,11 +525,13 @@ def semantic_extract(spark, sf):
     return extract.mappings(lines).groupBy("file", "path").agg(F.min_by("value", "line_no").alias("value"))
 
 
-@query("float_bits")
+@query("float_bits", "SELECT o_orderkey, (1 + (o_orderkey % 8388608) / 8388608.0::DOUBLE) * power(2.0::DOUBLE, o_custkey % 200 - 100) * (CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END) AS x FROM orders")
 def float_bits(spark, sf):
     from ..functions.binary import float_of_bits
 
-    return table(spark, sf, "orders").select("o_orderkey", float_of_bits(F.col("o_orderkey") + 0x3F800000).alias("x"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    bits = k % 8388608 + F.shiftleft(c % 200 + 27, 23) + F.when(c % 2 == 0, 0).otherwise(F.lit(1 << 31))
+    return table(spark, sf, "orders").select("o_orderkey", float_of_bits(bits).alias("x"))
 
 
 @query("variable_cascade")

@@ -1,14 +1,15 @@
 """Program dumps: a header of pointers, code in pages, and a table of 64-bit hashes.
 
-The layout here is our own: all numbers little-endian. Header: magic PDMP, code length
-(u32), native count (u32), name offset, page table offset and natives offset (u32 each). The page
-table holds one u32 offset per 16 KiB page of code; the name ends in a zero byte.
+All numbers are little-endian. Layouts say where a header's fields stand: LONG is that of the
+dumps in use, SHORT a layout of our own. The page table holds an offset per 16 KiB page of
+code; the name ends in a zero byte.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,43 @@ PAGE = 1 << 14
 HEADER = "<4s5I"
 
 
-def parse(data: bytes) -> tuple[str, bytes, list[int]]:
-    """name, code and hashes (as signed bit patterns)."""
-    magic, n_code, n_natives, name_at, pages_at, natives_at = struct.unpack_from(HEADER, data)
-    if magic != b"PDMP":
-        raise ValueError("not a program dump")
-    pages = struct.unpack_from(f"<{-(-n_code // PAGE)}I", data, pages_at)
-    code = b"".join(data[p : p + PAGE] for p in pages)[:n_code]
+@dataclass(frozen=True)
+class Layout:
+    """Offsets of a header's fields, bytes of a page table's entry, the bits of a pointer that count, and by magic number how far all is shifted."""
+
+    pages: int
+    code_length: int
+    n_natives: int
+    natives: int
+    name: int
+    entry: int
+    mask: int
+    shifts: dict[int, int]
+
+
+# The fields' offsets, the magic numbers and the length of the header before them in LONG's format.
+LONG = Layout(pages=0x10, code_length=0x1C, n_natives=0x2C, natives=0x40, name=0x60, entry=8, mask=0xFFFFFF, shifts={0x37435352: 0x10, 0x38435352: 0x10})
+SHORT = Layout(pages=16, code_length=4, n_natives=8, natives=20, name=12, entry=4, mask=0xFFFFFFFF, shifts={})
+
+
+def parse(data: bytes, layout: Layout | None = None) -> tuple[str, bytes, list[int]]:
+    """name, code and hashes (as signed bit patterns); without a layout, SHORT if the magic is its own, else LONG."""
+    layout = layout or (SHORT if data[:4] == b"PDMP" else LONG)
+    u32 = lambda at: struct.unpack_from("<I", data, at)[0]
+    try:
+        shift = layout.shifts.get(u32(0), 0)
+        pointer = lambda at: (u32(at) & layout.mask) + shift
+        n_code, n_natives = u32(shift + layout.code_length), u32(shift + layout.n_natives)
+        table, natives, name = (pointer(shift + x) for x in (layout.pages, layout.natives, layout.name))
+        pages = [pointer(table + i * layout.entry) for i in range(-(-n_code // PAGE))]
+        hashes = list(struct.unpack_from(f"<{n_natives}q", data, natives))
+    except struct.error:
+        raise ValueError("not a program dump") from None
+    code = b"".join(data[p : p + min(PAGE, n_code - i * PAGE)] for i, p in enumerate(pages))
     if len(code) != n_code:
         raise ValueError("a page is cut off")
-    return data[name_at : data.index(b"\0", name_at)].decode(), code, list(struct.unpack_from(f"<{n_natives}q", data, natives_at))
+    end = data.find(b"\0", name)
+    return data[name : end if end >= 0 else len(data)].decode("latin-1"), code, hashes
 
 
 def build(name: str, code: bytes, natives: list[int]) -> bytes:
