@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import align
+from .paths import without_strides
+from .sequence import islands
+from .staged import staged
 
 #: Roots: how far children may move together, the fewest children, the least share of them that must meet.
 REACH, LEAST_CHILDREN, LEAST_SHARE = 12, 4, 0.6
 
 
 def profiles(paths: DataFrame) -> DataFrame:
-    """paths: base, root, stride, child. One row per base and root; the stride is the most frequent, the least of several."""
+    """paths: base, root, stride, perhaps stride2, child. One row per base and root; a stride is the most frequent, the least of several."""
     from .keyed import votes
 
-    strides = votes(paths.where("stride is not null"), ["base", "root"], "stride").select("base", "root", "stride")
-    children = paths.groupBy("base", "root").agg(F.array_sort(F.collect_set("child")).alias("children"))
-    return children.join(strides, ["base", "root"], "left").select("base", "root", "stride", "children")
+    out = paths.groupBy("base", "root").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    names = [c for c in ("stride", "stride2") if c in paths.columns]
+    for c in names:
+        out = out.join(votes(paths.where(F.col(c).isNotNull()), ["base", "root"], c).select("base", "root", c), ["base", "root"], "left")
+    return out.select("base", "root", *names, "children")
 
 
 def by_delta(old: DataFrame, new: DataFrame, by: list[str], key: str, children: str, reach: int = REACH) -> DataFrame:
@@ -89,6 +94,86 @@ def resolve_arrays(entries: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     return j.select(*entries.columns, "new_root", F.coalesce("ns", "stride").alias("new_stride"), F.when(F.col("new_root").isNotNull(), moved).alias("new_leaf"), "phase")
 
 
+def resolve_scalars(entries: DataFrame, old: DataFrame, new: DataFrame, anchors: DataFrame, gap: int = 64, reach: int = 1200) -> DataFrame:
+    """entries (name, base, field) that can be told: name, new_field and phase.
+
+    old, new: base and field of scalars. aligned: the field's run, cut where neighbours lie over gap apart, moves by
+    the shift that meets most of new's fields, and the image isn't the field itself. bracketed: the anchors (base, field, shift)
+    next below and above agree on a shift; nothing is told beyond them.
+    """
+    o = islands(old.select("base", "field").distinct(), ["base"], "field", gap).withColumn("run", F.concat_ws("|", "base", "island"))
+    width = F.lit(reach)
+    span = o.groupBy("base", "run").agg(F.min("field").alias("lo"), F.max("field").alias("hi"))
+    span = span.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") + reach) / width))))
+    n = new.select("base", "field").distinct().withColumn("b", F.floor(F.col("field") / width))
+    near = n.join(span, ["base", "b"]).where((F.col("field") >= F.col("lo")) & (F.col("field") < F.col("hi") + reach)).select("run", "field")
+    moved = align.aligned(o.select("run", "field"), near, ["run"], "field", reach).join(o.select("base", "run", "field"), ["run", "field"]).select("base", "field", F.col("new_key").alias("__moved"))
+    known = anchors.groupBy("base", "field").agg(F.min("shift").alias("shift"))
+    asked = entries.select("base", "field").distinct().join(known.select("base", "field"), ["base", "field"], "left_anti")
+    between = align.bracketed(asked, known, ["base"], "field", "shift", "__shift").where("__shift IS NOT NULL")
+    j = entries.join(moved, ["base", "field"], "left").join(between, ["base", "field"], "left")
+    hit = F.col("__moved").isNotNull() & (F.col("__moved") != F.col("field"))
+    out = j.select("name", F.when(hit, F.col("__moved")).otherwise(F.col("field") + F.col("__shift")).alias("new_field"), F.when(hit, "aligned").otherwise("bracketed").alias("phase"))
+    return out.where("new_field IS NOT NULL")
+
+
+#: A path's parts: base, first field and the rest; of the rest, one or two array steps and what follows; of that, a sub-array's field and step, or a field, and what follows.
+_HEAD = r"^([A-Za-z]+_[0-9]+)\.f_([0-9]+)(.*)$"
+_STEPS = r"^\[(\w+) /\*([0-9]+)\*/\](?:\[(\w+) /\*([0-9]+)\*/\])?(.*)$"
+_SUB = r"^\.f_([0-9]+)\[(\w+) /\*([0-9]+)\*/\](.*)$"
+_LEAF = r"^\.f_([0-9]+)(.*)$"
+
+
+def resolve_paths(values: DataFrame, arrays: tuple[DataFrame, DataFrame], subs: tuple[DataFrame, DataFrame], scalars: tuple[DataFrame, DataFrame], conservative: bool = False, scalar_only: bool = False, reach: int = 1200) -> DataFrame:
+    """values (name, value) with new_value and phase, null where nothing is told.
+
+    arrays, old and new: base, root, stride, stride2, child. subs: base, root, sub, stride, leaf. scalars: base, field.
+    A known root moves as match_roots tells, its strides become the new ones, and its first leaf moves along if the root
+    was matched by a shift of its children; a sub-array within it is matched likewise by its leaves. A root that
+    isn't an array's moves as resolve_scalars tells. conservative: only paths whose strides alone change;
+    scalar_only: no path with an array step. reach: how far scalars may move.
+    """
+    old, new = staged(profiles(arrays[0])), staged(profiles(arrays[1]))
+    roots = staged(match_roots(old, new))
+    part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    number = lambda c, pattern, i: part(c, pattern, i).cast("long")
+    v = values.select("name", "value", part("value", _HEAD, 1).alias("base"), number("value", _HEAD, 2).alias("root"), F.regexp_extract("value", _HEAD, 3).alias("rest"))
+    v = v.withColumn("tail", F.when(F.col("rest").rlike(_STEPS), F.regexp_extract("rest", _STEPS, 5)).otherwise(F.col("rest")))
+    v = v.withColumns({"sub": number("tail", _SUB, 1), "leaf": number("tail", _LEAF, 1)})
+    strides = new.select("base", F.col("root").alias("new_root"), F.col("stride").alias("n1"), F.col("stride2").alias("n2"))
+    moved = roots.where("phase = 'delta'").join(old.select("base", "root", F.col("children").cast("array<bigint>").alias("oc")), ["base", "root"]).join(new.select("base", F.col("root").alias("new_root"), F.col("children").cast("array<bigint>").alias("nc")), ["base", "new_root"])
+    leaves = align.greedy_leaves(moved, "oc", "nc").select("base", "root", F.explode("leaves").alias("l")).select("base", "root", F.col("l.o").alias("leaf"), F.col("l.n").alias("new_leaf"))
+    # sub-arrays are matched within their old root, by the old root's name on both sides
+    within = lambda root: F.concat_ws("|", "base", root).alias("base")
+    rows = lambda df, root: df.select(within(root), F.col("sub").alias("root"), "stride", F.lit(None).cast("bigint").alias("stride2"), F.col("leaf").alias("child"))
+    new_subs = subs[1].withColumnRenamed("root", "new_root").join(roots.select("base", "root", "new_root"), ["base", "new_root"])
+    so, sn = staged(profiles(rows(subs[0], "root"))), staged(profiles(rows(new_subs, "root")))
+    matched = match_roots(so, sn).join(sn.select("base", F.col("root").alias("new_root"), F.col("stride").alias("ns")), ["base", "new_root"])
+    matched = matched.select(F.col("base").alias("inside"), F.col("root").alias("sub"), F.col("new_root").alias("new_sub"), "ns")
+    j = v.join(roots, ["base", "root"], "left").join(strides, ["base", "new_root"], "left").join(leaves, ["base", "root", "leaf"], "left")
+    j = j.withColumn("inside", F.concat_ws("|", "base", "root")).join(matched, ["inside", "sub"], "left")
+    anchors = roots.select("base", F.col("root").alias("field"), (F.col("new_root") - F.col("root")).alias("shift"))
+    alone = staged(j.where(F.col("base").isNotNull() & F.col("new_root").isNull() & ~F.startswith("rest", F.lit("["))).select("name", "base", F.col("root").alias("field")))
+    told = resolve_scalars(alone, scalars[0], scalars[1], anchors, reach=reach).select("name", F.col("new_field").alias("__field"), F.col("phase").alias("__phase"))
+    j = j.join(told, "name", "left")
+    text = lambda c: c.cast("string")
+    step = lambda index, stride: F.concat(F.lit("["), index, F.lit(" /*"), text(stride), F.lit("*/]"))
+    r = lambda i: F.regexp_extract("rest", _STEPS, i)
+    first = step(r(1), F.coalesce(text(F.col("n1")), r(2)))
+    second = F.when(r(3) != "", step(r(3), F.coalesce(text(F.col("n2")), r(4)))).otherwise("")
+    steps = F.when(F.col("rest").rlike(_STEPS), F.concat(first, second)).otherwise("")
+    s = lambda i: F.regexp_extract("tail", _SUB, i)
+    inner = F.concat(F.lit(".f_"), text(F.coalesce("new_sub", "sub")), step(s(2), F.coalesce(text(F.col("ns")), s(3))), s(4))
+    ending = F.when(F.col("sub").isNotNull(), inner).when(F.col("new_leaf").isNotNull(), F.concat(F.lit(".f_"), text(F.col("new_leaf")), F.regexp_extract("tail", _LEAF, 2))).otherwise(F.col("tail"))
+    head = lambda c: F.concat(F.col("base"), F.lit(".f_"), text(F.col(c)))
+    made = F.when(F.col("new_root").isNotNull(), F.concat(head("new_root"), steps, ending)).when(F.col("__field").isNotNull(), F.concat(head("__field"), "rest"))
+    if scalar_only:
+        made = F.when(~F.contains("value", F.lit("[")), made)
+    if conservative:
+        made = F.when(without_strides("value") == without_strides(made), made)
+    return j.withColumn("new_value", made).select("name", "value", "new_value", F.when(F.col("new_value").isNotNull(), F.coalesce("phase", "__phase")).alias("phase"))
+
+
 def propagate_strides(pairs: DataFrame, entries: DataFrame, names: str = "(?i)next|size|settings", percent: int = 60) -> DataFrame:
     """pairs: two arrays of strides, old and new. entries: name, value (integers). Adds new_value: where the name fits and the pairs of strides agree on another value.
 

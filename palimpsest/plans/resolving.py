@@ -512,6 +512,41 @@ def stride_propagation(spark, sf):
     return structure.propagate_strides(pairs, entries).select("name", "value", "new_value")
 
 
+#: By a part's number: 0 an array with children of its own, 1 one whose children move by 3, 2 a scalar that moves, 3 a scalar that isn't seen in the new version. Roots move by 7, strides by 1.
+_PARTS = "(SELECT p_partkey AS k, p_partkey % 4 AS kind, 'Root_' || p_partkey % 5 AS base, p_partkey * 10 AS root, 10 + p_partkey % 9 AS stride FROM part)"
+
+
+def structured(spark, sf, version):
+    new = version == "new"
+    k = F.col("p_partkey")
+    base, root = F.concat(F.lit("Root_"), k % 5), k * 10 + (7 if new else 0)
+    p = table(spark, sf, "part").select(k.alias("k"), (k % 4).alias("kind"), base.alias("base"), root.alias("root"), (10 + k % 9 + (1 if new else 0)).alias("stride"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: 100_000 + F.col("k") * 40 + i * i + (3 if new else 0))
+    children = F.when(F.col("kind") == 0, F.array(F.lit(1).cast("long"), F.col("k") + 2)).otherwise(spread)
+    arrays = p.where("kind < 2").select("base", "root", "stride", (F.col("stride") + 50).alias("stride2"), F.explode(children).alias("child"))
+    subs = p.where("k % 8 = 0").select("base", "root", F.lit(21 if new else 20).cast("long").alias("sub"), F.lit(5 if new else 4).cast("long").alias("stride"), F.explode(F.array("k", F.col("k") + 1)).alias("leaf"))
+    scalars = p.where("kind = 2" if new else "kind >= 2").select("base", F.col("root").alias("field"))
+    return arrays, subs, scalars, p
+
+
+@query("structural_resolve", f"""WITH p AS {_PARTS}, e AS (SELECT base, min(root) AS lo, max(root) AS hi FROM p WHERE kind < 2 GROUP BY base),
+  v AS (SELECT k, 'K_' || k AS name, CASE kind WHEN 0 THEN base || '.f_' || root || '[i /*' || stride || '*/]' || CASE WHEN k % 8 = 0 THEN '.f_20[j /*4*/].f_9' WHEN k % 3 = 0 THEN '[j /*9*/].f_1' ELSE '.f_1' END WHEN 1 THEN base || '.f_' || root || '[i /*' || stride || '*/].f_' || 100000 + k * 40 + 4 || '.f_2' ELSE base || '.f_' || root END AS value,
+    CASE kind WHEN 0 THEN base || '.f_' || root + 7 || '[i /*' || stride + 1 || '*/]' || CASE WHEN k % 8 = 0 THEN '.f_21[j /*5*/].f_9' WHEN k % 3 = 0 THEN '[j /*' || stride + 51 || '*/].f_1' ELSE '.f_1' END WHEN 1 THEN base || '.f_' || root + 7 || '[i /*' || stride + 1 || '*/].f_' || 100000 + k * 40 + 7 || '.f_2'
+      WHEN 2 THEN base || '.f_' || root + 7 ELSE CASE WHEN root > e.lo AND root < e.hi THEN base || '.f_' || root + 7 END END AS new_value,
+    CASE kind WHEN 0 THEN 'signature' WHEN 1 THEN 'delta' WHEN 2 THEN 'aligned' ELSE CASE WHEN root > e.lo AND root < e.hi THEN 'bracketed' END END AS phase FROM p JOIN e USING (base)) SELECT name, value, new_value, phase FROM v""")
+def structural_resolve(spark, sf):
+    from ..operators import structure
+
+    old, new = structured(spark, sf, "old"), structured(spark, sf, "new")
+    k, root, kind = F.col("k"), F.col("root"), F.col("kind")
+    head = F.concat("base", F.lit(".f_"), root)
+    step = F.concat(F.lit("[i /*"), "stride", F.lit("*/]"))
+    ends = F.when(k % 8 == 0, ".f_20[j /*4*/].f_9").when(k % 3 == 0, "[j /*9*/].f_1").otherwise(".f_1")
+    value = F.when(kind == 0, F.concat(head, step, ends)).when(kind == 1, F.concat(head, step, F.lit(".f_"), 100_000 + k * 40 + 4, F.lit(".f_2"))).otherwise(head)
+    values = old[3].select(F.concat(F.lit("K_"), k).alias("name"), value.alias("value"))
+    return structure.resolve_paths(values, (old[0], new[0]), (old[1], new[1]), (old[2], new[2]), reach=64)
+
+
 @query("semantic_extract")
 def semantic_extract(spark, sf):
     from ..operators import extract
