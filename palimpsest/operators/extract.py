@@ -18,9 +18,14 @@ from . import sequence
 class Grammar:
     """Patterns of a line; groups are numbered as told."""
 
-    create: str = r'^\s*(\w+) = make_dict\((\w+), (&?\w+|"[^"]*")\);'  # container, parent, key
+    create: str = r'^\s*(\w+) = make_(?:dict|list)\((\w+), (&?\w+|"[^"]*")\);'  # container, parent, key
     put: str = r'^\s*put_(\w+)\((\w+), (&?\w+|"[^"]*"), (.+)\);'  # type, container, key, value
     append: str = r"^\s*push_(\w+)\((\w+), (.+)\);"  # type, container, value
+    load: str = r'^\s*copy\(&\((.+)\), get_(\w+)\((\w+), (&?\w+|"[^"]*")\)\);'  # value, type, container, key
+    call: str = r"^\s*(\w+)\((.*)\);\s*$"  # function, arguments
+    header: str = r"^\w+ (\w+)\((.*)\)\s*$"  # function, parameters
+    forward: str = r"^\s*put_\w+\((\w+), (\w+), (\w+)\);"  # container, key, value
+    build: str = r"^\s*set_label\(&?(\w+), (\w+)\);"  # label, text
     assign: str = r'^\s*set_label\(&(\w+), "([^"]*)"\);'  # label, text
     extend: str = r'^\s*add_label\(&(\w+), "([^"]*)"\);'  # label, text
     address: str = r"^[A-Za-z]+_[0-9]+"
@@ -31,12 +36,47 @@ def _part(line: Column, pattern: str, i: int) -> Column:
 
 
 def labels(lines: DataFrame, g: Grammar, by: list[str]) -> DataFrame:
-    """by, line_no, label, text: what a label holds from a line on: an assignment starts it, extensions add to it."""
+    """by, line_no, label, text: what a label holds from a line on: an assignment starts it, extensions add to it.
+
+    A call of a function that only assigns a label it is given assigns it too.
+    """
     line = F.col("line")
-    changes = lines.select(*by, "line_no", F.coalesce(_part(line, g.assign, 1), _part(line, g.extend, 1)).alias("label"), line.rlike(g.assign).alias("reset"), F.coalesce(_part(line, g.assign, 2), _part(line, g.extend, 2)).alias("piece")).where("label is not null")
+    own = lines.select(*by, "line_no", F.coalesce(_part(line, g.assign, 1), _part(line, g.extend, 1)).alias("label"), line.rlike(g.assign).alias("reset"), F.coalesce(_part(line, g.assign, 2), _part(line, g.extend, 2)).alias("piece"))
+    built = called(lines, g, by, g.build, ["label", "piece"])
+    built = built.select(*by, "line_no", F.regexp_extract("label", r"^&(\w+)$", 1).alias("label"), F.lit(True).alias("reset"), F.regexp_extract("piece", r'^"([^"]*)"$', 1).alias("piece")).where("label <> '' AND piece <> ''")
+    changes = own.where("label is not null").unionByName(built)
     return sequence.running_label(changes, [*by, "label"], [F.col("line_no")], F.col("reset"), F.col("piece"), "", "text").select(*by, "line_no", "label", "text")
 
 
+def forwarding(lines: DataFrame, by: list[str], header: str, body: str, names: list[str]) -> DataFrame:
+    """Functions that hand their parameters to what body matches: by, function and, per name, the place (from 0) of the parameter in body's group; null where it is none.
+
+    A function's lines go from its header to the next; its first match whose last two groups are both parameters counts.
+    """
+    from .keyed import first_wins
+
+    line = F.col("line")
+    head = F.when(line.rlike(header), F.struct(F.regexp_extract(line, header, 1).alias("f"), F.split(F.regexp_extract(line, header, 2), r",\s*").alias("args")))
+    own = sequence.last_before(lines, by, [F.col("line_no")], head, "own")
+    held = own.where(line.rlike(body) & F.col("own").isNotNull()).select(*by, "line_no", F.col("own.f").alias("function"), F.transform(F.col("own.args"), lambda a: F.regexp_extract(a, r"(\w+)$", 1)).alias("args"), *(F.regexp_extract(line, body, i).alias(f"p{i}") for i in range(1, len(names) + 1)))
+    places = held.withColumns({f"{n}_at": F.nullif(F.array_position("args", F.col(f"p{i}")), F.lit(0)) - 1 for i, n in enumerate(names, 1)})
+    some = places.where(F.col(f"{names[-1]}_at").isNotNull() & F.col(f"{names[-2]}_at").isNotNull())
+    return first_wins(some.select(*by, "function", "line_no", *(f"{n}_at" for n in names)), [*by, "function"], [F.col("line_no")]).drop("line_no")
+
+
+def called(lines: DataFrame, g: Grammar, by: list[str], body: str, names: list[str]) -> DataFrame:
+    """by, line_no and, per name, the argument that a call of a forwarding function of the file gives."""
+    from .joins import call_arguments
+    from .paths import split_arguments
+
+    line = F.col("line")
+    roles = forwarding(lines, by, g.header, body, names).withColumn("__f", F.concat_ws("\x00", *by, "function")).select("__f", *(F.col(f"{n}_at").cast("int").alias(n) for n in names))
+    calls = lines.where(line.rlike(g.call)).select(*by, "line_no", F.concat_ws("\x00", *by, F.regexp_extract(line, g.call, 1)).alias("__f"), F.regexp_extract(line, g.call, 2).alias("text"))
+    # only calls of these functions are cut into arguments
+    some = calls.join(roles.select("__f"), "__f", "left_semi").withColumn("__args", split_arguments("text")).drop("text")
+    return call_arguments(some, roles, "__f", "__args", names).select(*by, "line_no", *names)
+
+
 def _keyed(rows: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
     """rows with a raw key to key and dynamic: a quoted key is itself, &label the label's text at that line."""
     literal = rows.withColumn("literal", F.regexp_extract("raw", r'^"([^"]*)"$', 1)).withColumn("label", F.regexp_extract("raw", r"^&(\w+)$", 1))
@@ -69,14 +109,16 @@ def container_paths(found: DataFrame, by: list[str]) -> DataFrame:
 def mappings(lines: DataFrame, g: Grammar | None = None, by: tuple[str, ...] = ("version", "file")) -> DataFrame:
     """lines: by, line_no, line. Returns by, line_no, key, path, value, type, dynamic of values set under keys or appended to containers.
 
-    A value that isn't an address is left out; a key without a known container is a path of its own.
+    Values are set, loaded back, or handed to a function of the file that sets them. A value that isn't an address is left out; a key without a known container is a path of its own.
     """
     g, by = g or Grammar(), list(by)
     line = F.col("line")
     held = labels(lines, g, by)
     paths = container_paths(containers(lines, g, by), by).select(*by, "container", F.col("path").alias("parent"), F.col("dynamic").alias("outer"))
     put = lines.select(*by, "line_no", _part(line, g.put, 1).alias("type"), _part(line, g.put, 2).alias("container"), _part(line, g.put, 3).alias("raw"), _part(line, g.put, 4).alias("value")).where("type is not null")
-    put = _keyed(put, held, by).join(paths, [*by, "container"], "left").withColumn("path", F.when(F.col("parent").isNull(), F.col("key")).otherwise(F.concat_ws(".", "parent", "key")))
+    loaded = lines.select(*by, "line_no", _part(line, g.load, 2).alias("type"), _part(line, g.load, 3).alias("container"), _part(line, g.load, 4).alias("raw"), _part(line, g.load, 1).alias("value")).where("type is not null")
+    forwarded = called(lines, g, by, g.forward, ["container", "raw", "value"]).select(*by, "line_no", F.lit("call").alias("type"), "container", "raw", "value")
+    put = _keyed(put.unionByName(loaded).unionByName(forwarded), held, by).join(paths, [*by, "container"], "left").withColumn("path", F.when(F.col("parent").isNull(), F.col("key")).otherwise(F.concat_ws(".", "parent", "key")))
     pushed = lines.select(*by, "line_no", _part(line, g.append, 1).alias("type"), _part(line, g.append, 2).alias("container"), _part(line, g.append, 3).alias("value")).where("type is not null")
     pushed = pushed.join(paths, [*by, "container"]).select(*by, "line_no", "type", "value", F.regexp_extract("parent", r"([^.]*)$", 1).alias("key"), F.col("parent").alias("path"), F.col("outer").alias("dynamic"))
     out = put.select(*by, "line_no", "type", "value", "key", "path", (F.col("dynamic") | F.coalesce("outer", F.lit(False))).alias("dynamic")).unionByName(pushed)
@@ -91,16 +133,15 @@ def forward_and_backward(found: DataFrame, order: list[str]) -> tuple[DataFrame,
     return forward, specific_over_generic(found.select("value", "path").distinct(), ["value"], F.contains("path", F.lit(".")))
 
 
-def wrapper_roles(lines: DataFrame, by: list[str], header: str = r"^\w+ (\w+)\((.*)\)$", put: str = r"^\s*put_\w+\((\w+), (\w+), (\w+)\);") -> DataFrame:
-    """Functions that forward their parameters to a put: by, function, container_at, key_at, value_at (places from 0, null where it isn't a parameter).
+def with_variants(backward: DataFrame) -> DataFrame:
+    """backward (value, path) with the other ways in which values are written (see paths.variants); a way that a value has itself is that value's alone."""
+    from .paths import canonical, variants
 
-    A function's lines go from its header to the next; its first put whose key and value are both parameters counts.
-    """
-    from .keyed import first_wins
+    told = backward.select(F.posexplode(variants(canonical("value"))).alias("__at", "value"), "path")
+    own = backward.select(canonical("value").alias("value")).distinct().withColumn("__own", F.lit(True))
+    return told.join(own, "value", "left").where((F.col("__at") == 0) | F.col("__own").isNull()).select("value", "path").distinct()
 
-    line = F.col("line")
-    own = sequence.last_before(lines, by, [F.col("line_no")], F.when(line.rlike(header), F.struct(F.regexp_extract(line, header, 1).alias("f"), F.split(F.regexp_extract(line, header, 2), r",\s*").alias("args"))), "own")
-    puts = own.where(line.rlike(put) & F.col("own").isNotNull()).select(*by, "line_no", F.col("own.f").alias("function"), F.transform(F.col("own.args"), lambda a: F.regexp_extract(a, r"(\w+)$", 1)).alias("args"), *(F.regexp_extract(line, put, i).alias(f"p{i}") for i in (1, 2, 3)))
-    at = lambda c: F.nullif(F.array_position("args", F.col(c)), F.lit(0)) - 1
-    roles = puts.withColumns({"container_at": at("p1"), "key_at": at("p2"), "value_at": at("p3")}).where("key_at is not null and value_at is not null")
-    return first_wins(roles.select(*by, "function", "line_no", "container_at", "key_at", "value_at"), [*by, "function"], [F.col("line_no")]).drop("line_no")
+
+def wrapper_roles(lines: DataFrame, by: list[str], header: str = Grammar.header, put: str = Grammar.forward) -> DataFrame:
+    """Functions that forward their parameters to a put: by, function, container_at, key_at, value_at; see forwarding."""
+    return forwarding(lines, by, header, put, ["container", "key", "value"])

@@ -547,17 +547,56 @@ def structural_resolve(spark, sf):
     return structure.resolve_paths(values, (old[0], new[0]), (old[1], new[1]), (old[2], new[2]), reach=64)
 
 
-@query("semantic_extract")
+def code_lines(spark, sf):
+    """A file per user and version: values of event types set directly, by a function that forwards them, loaded back, or under a built label."""
+    made = []
+    for v in ("old", "new"):
+        e = events(spark, sf, v).select("user_id", "event_id", "event_type", F.concat(F.lit("Root_"), "user_id", F.lit(".f_"), F.length("event_type"), F.get_json_object("props", "$.k").cast("long") % 3, F.lit("[x /*4*/]")).alias("value"))
+        k, name, value = F.col("event_id") % 4, F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("value")
+        one = F.when(k == 0, F.array(F.concat(F.lit("put_int(d, "), name, F.lit(", "), value, F.lit(");"))))
+        one = one.when(k == 1, F.array(F.concat(F.lit("save("), name, F.lit(", 5, "), value, F.lit(", d);"))))
+        one = one.when(k == 2, F.array(F.concat(F.lit("copy(&("), value, F.lit("), get_int(d, "), name, F.lit("));"))))
+        one = one.otherwise(F.array(F.concat(F.lit("named(&lbl, "), name, F.lit(");")), F.concat(F.lit("put_int(d, &lbl, "), value, F.lit(");"))))
+        body = e.select("user_id", (F.col("event_id") * 2 + 10).alias("line_no"), F.posexplode(one).alias("i", "line")).select("user_id", (F.col("line_no") + F.col("i")).alias("line_no"), "line")
+        head = F.array(*map(F.lit, ("void save(char* k, int n, int v, int d)", "    put_int(d, k, v);", "void named(int b, char* k)", "    set_label(&b, k);", "void main()")), F.concat(F.lit('d = make_dict(0, "u'), "user_id", F.lit('");')))
+        start = e.select("user_id").distinct().select("user_id", F.posexplode(head).alias("line_no", "line"))
+        made.append(body.unionByName(start.select("user_id", F.col("line_no").cast("long"), "line")).select(F.lit(v).alias("version"), F.concat(F.lit("f"), "user_id").alias("file"), "line_no", "line"))
+    return made[0].unionByName(made[1])
+
+
+_VALUE = "'Root_' || user_id || '.f_' || length(event_type) || (props->>'k')::BIGINT % 3 || '[i /*4*/]'"
+
+
+@query("semantic_extract", f"SELECT 'f' || user_id AS file, 'u' || user_id || '.' || event_type AS path, arg_min({_VALUE}, event_id) AS value, count(*)::BIGINT AS n, bool_or(event_id % 4 = 3) AS dynamic FROM {OLD} GROUP BY user_id, event_type")
 def semantic_extract(spark, sf):
     from ..operators import extract
 
-    e = table(spark, sf, "events")
-    k, u = F.regexp_extract("props", "([0-9]+)", 1), F.col("user_id").cast("string")
-    made = e.select("user_id", "event_id", F.concat(F.lit("d"), u, F.lit(" = make_dict(0, \""), F.lit("u"), u, F.lit("\");")).alias("line"))
-    put = e.select("user_id", "event_id", F.concat(F.lit("put_int(d"), u, F.lit(", \""), F.col("event_type"), F.lit("\", Root_"), k, F.lit(".f_1);")).alias("line"))
-    rows = made.withColumn("h", F.lit(0)).unionByName(put.withColumn("h", F.lit(1)))
-    lines = rows.select(F.lit("old").alias("version"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") * 2 + F.col("h")).alias("line_no"), "line")
-    return extract.mappings(lines).groupBy("file", "path").agg(F.min_by("value", "line_no").alias("value"))
+    found = extract.mappings(code_lines(spark, sf).where("version = 'old'"))
+    return found.groupBy("file", "path").agg(F.min_by(paths.canonical("value"), "line_no").alias("value"), F.count("*").alias("n"), F.bool_or("dynamic").alias("dynamic"))
+
+
+@query("semantic_resolve", f"""WITH o AS (SELECT user_id, event_type, {_VALUE} AS value, event_id FROM {OLD}), n AS (SELECT user_id, event_type, arg_min({_VALUE}, event_id) AS value FROM {NEW} GROUP BY ALL),
+  b AS (SELECT value, list(DISTINCT event_type ORDER BY event_type) AS types, any_value(user_id) AS user_id FROM o GROUP BY value), e AS (SELECT value, user_id, types[1] AS event_type FROM b WHERE len(types) = 1)
+  SELECT replace(e.value, '[i /*4*/]', CASE WHEN user_id % 2 = 0 THEN '' ELSE '[i /*4*/]' END) AS name, CASE WHEN n.value IS NULL THEN 'path_removed_in_new' WHEN n.value = e.value THEN 'unchanged' ELSE 'migrated' END AS status, replace(n.value, '[i /*4*/]', CASE WHEN user_id % 2 = 0 THEN '' ELSE '[i /*4*/]' END) AS new_value FROM e LEFT JOIN n USING (user_id, event_type)
+  UNION ALL SELECT 'Root_0.f_0', 'not_found_in_old', NULL""")
+def semantic_resolve(spark, sf):
+    """Entries are written with or without their index; values come back as each is written."""
+    from ..operators import extract
+    from ..operators.staged import staged
+
+    found = staged(extract.mappings(code_lines(spark, sf)).withColumn("value", paths.canonical("value")))
+    old, new = found.where("version = 'old'"), found.where("version = 'new'")
+    _, backward = extract.forward_and_backward(old, ["line_no"])
+    forward, _ = extract.forward_and_backward(new, ["line_no"])
+    single = old.groupBy("value").agg(F.count_distinct("path").alias("n")).where("n = 1").select("value")
+    even = F.regexp_extract("value", "_([0-9]+)", 1).cast("long") % 2 == 0
+    entries = single.select(F.when(even, F.regexp_replace("value", r"\[.*$", "")).otherwise(F.col("value")).alias("value"))
+    entries = entries.unionByName(spark.createDataFrame([("Root_0.f_0",)], "value string")).withColumn("name", F.col("value"))
+    done = keyed.two_hop(entries, extract.with_variants(backward), forward)
+    shown = paths.in_notation_of(paths.offset_notation("new_value"), "name")
+    # a value that stays is told by its whole form on both sides
+    same = F.col("new_value").eqNullSafe(F.col("value")) | (paths.in_notation_of("new_value", "name") == F.col("name"))
+    return done.select("name", F.when((F.col("status") == "migrated") & same, "unchanged").otherwise(F.col("status")).alias("status"), shown.alias("new_value"))
 
 
 @query("float_bits", "SELECT o_orderkey, (1 + (o_orderkey % 8388608) / 8388608.0::DOUBLE) * power(2.0::DOUBLE, o_custkey % 200 - 100) * (CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END) AS x FROM orders")
