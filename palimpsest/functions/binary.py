@@ -89,10 +89,17 @@ def health(n_old: Column, n_new: Column) -> Column:
     return F.when(n_old == 0, "NOT_IN_OLD").when(n_old > 1, "AMBIG_OLD").when(n_new == 1, "OK").when(n_new == 0, "BROKEN").otherwise("AMBIG_NEW")
 
 
-def pattern_health(corpus: DataFrame, text: str, patterns: dict, is_old: Column) -> DataFrame:
-    """pattern, n_old, n_new, status. patterns is a configured list: one scan counts them all."""
-    each = F.array(*(F.struct(F.lit(name).alias("pattern"), F.regexp_count(text, F.lit(p)).alias("n")) for name, p in patterns.items()))
-    rows = corpus.select(is_old.alias("old"), F.explode(each).alias("x"))
-    side = lambda old: F.sum(F.when(F.col("old") == old, F.col("x.n")).otherwise(0)).cast("long")
-    found = rows.groupBy(F.col("x.pattern").alias("pattern")).agg(side(True).alias("n_old"), side(False).alias("n_new"))
-    return found.withColumn("status", health(F.col("n_old"), F.col("n_new")))
+def pattern_health(corpus: DataFrame, text: str, patterns: DataFrame, mask: list[bool], is_old: Column) -> DataFrame:
+    """pattern, n_old, n_new, status of patterns of words: how often each stands in the texts of either side.
+
+    patterns: pattern and words, an array as long as mask; where mask is false any word fits. A text's
+    sequences of words and the patterns meet in one join by the words that count, so patterns may be as many as texts.
+    """
+    own = lambda words, i: F.concat_ws("\x00", *(F.get(words, i + k) for k, fixed in enumerate(mask) if fixed))
+    asked = patterns.where(F.size("words") == len(mask)).select("pattern", own(F.col("words"), F.lit(0)).alias("__k"))
+    words = F.split(F.col(text), r"\s+")
+    n = F.size("__w") - len(mask) + 1
+    each = corpus.select(is_old.alias("old"), words.alias("__w")).where(n > 0).select("old", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: own(F.col("__w"), i))).alias("__k"))
+    counted = each.join(asked.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(F.count_if(F.col("old")).alias("n_old"), F.count_if(~F.col("old")).alias("n_new"))
+    found = asked.join(counted, "__k", "left").na.fill(0, ["n_old", "n_new"])
+    return found.select("pattern", "n_old", "n_new", health(F.col("n_old"), F.col("n_new")).alias("status"))

@@ -142,14 +142,13 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"))).alias("hash"))
 
 
-@query("wildcard_scan_health", r"""WITH p AS (SELECT item_id, substr(text, 1, 6) AS a, substr(text, 9, 6) AS b FROM benchmark WHERE regexp_matches(substr(text, 1, 14), '^[A-Za-z .,]+$')),
-  c AS (SELECT p.item_id, sum(CASE WHEN d.doc_id % 2 = 0 THEN len(regexp_extract_all(d.text, a || '(?s:..)' || b)) ELSE 0 END) AS o, sum(CASE WHEN d.doc_id % 2 = 1 THEN len(regexp_extract_all(d.text, a || '(?s:..)' || b)) ELSE 0 END) AS n FROM p, documents d GROUP BY p.item_id)
-  SELECT item_id, o::BIGINT AS n_old, n::BIGINT AS n_new, CASE WHEN o = 0 THEN 'NOT_IN_OLD' WHEN o > 1 THEN 'AMBIG_OLD' WHEN n = 1 THEN 'OK' WHEN n = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS status FROM c""".replace("|| a || '(?s:..)' ||", "").replace("a || '(?s:..)' || b", "replace(a, '.', '[.]') || '(?s:..)' || replace(b, '.', '[.]')"))
+@query("wildcard_scan_health", r"""WITH p AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark), d AS (SELECT doc_id % 2 = 0 AS old, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents)),
+  g AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 3] AS c, count(*) FILTER (old) AS o, count(*) FILTER (NOT old) AS n FROM d GROUP BY ALL),
+  j AS (SELECT item_id, coalesce(o, 0)::BIGINT AS n_old, coalesce(n, 0)::BIGINT AS n_new FROM p LEFT JOIN g ON g.a = p.w[1] AND g.b = p.w[2] AND g.c = p.w[4] WHERE len(p.w) >= 4)
+  SELECT item_id, n_old, n_new, CASE WHEN n_old = 0 THEN 'NOT_IN_OLD' WHEN n_old > 1 THEN 'AMBIG_OLD' WHEN n_new = 1 THEN 'OK' WHEN n_new = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS status FROM j""")
 def wildcard_scan_health(spark, sf):
-    b = table(spark, sf, "benchmark").where(F.substring("text", 1, 14).rlike("^[A-Za-z .,]+$"))
-    quoted = lambda at: F.replace(F.substring("text", at, 6), F.lit("."), F.lit("[.]"))
-    patterns = {r.item_id: r.p for r in b.select("item_id", F.concat(quoted(1), F.lit("(?s:..)"), quoted(9)).alias("p")).collect()}
-    return binary.pattern_health(table(spark, sf, "documents"), "text", patterns, F.col("doc_id") % 2 == 0).withColumnRenamed("pattern", "item_id").withColumn("item_id", F.col("item_id").cast("long"))
+    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern"), F.slice(F.split("text", r"\s+"), 1, 4).alias("words"))
+    return binary.pattern_health(table(spark, sf, "documents"), "text", p, [True, True, False, True], F.col("doc_id") % 2 == 0).withColumnRenamed("pattern", "item_id")
 
 
 @query("hex_fields", "SELECT doc_id, length(hex(encode(text)))::BIGINT AS digits, md5(upper(hex(encode(text)))) AS hex_md5 FROM documents")
