@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 #: log2 of a sketch's registers: a relative standard error of 1.04 / 64.
 LG_REGISTERS = 12
@@ -29,7 +29,10 @@ def _lines(df: DataFrame, key: str, text: str, site: str) -> DataFrame:
 
 
 def boilerplate(df: DataFrame, min_sites: int, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """Hashes a, b of the lines on at least min_sites distinct sites, and first: the occurrence that stays."""
+    """Hashes a, b of the lines on at least min_sites distinct sites, and first: the occurrence that stays.
+
+    Lines whose estimate is further than three standard errors from min_sites are settled by it alone.
+    """
     lines = _lines(df, key, text, site)
     place = F.struct("k", "th", "at")
     sketches = lines.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"), F.min(place).alias("first"))
@@ -44,7 +47,9 @@ def boilerplate(df: DataFrame, min_sites: int, key: str = "doc_id", text: str =
         lines.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
         .groupBy("a", "b").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
     )
-    return stored(sure.unionByName(near.join(exact, ["a", "b"]).select("a", "b", "first")), "boilerplate")
+    out = stored(sure.unionByName(near.join(exact, ["a", "b"]).select("a", "b", "first")), "boilerplate")
+    discard(spread)
+    return out
 
 
 def without_boilerplate(df: DataFrame, min_sites: int = 8, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_dir, stored
+from .common import discard, run_dir, stored
 from .lookup import Table, table, write_table
 
 ORDER, BITS = 4, 21
@@ -109,7 +109,7 @@ def fit(df: DataFrame, text: str, lang: str, same, repeated: str) -> str:
 
     parts = df.select(F.col(lang).cast("string"), F.col(text), same).mapInArrow(count, "l bigint, a bigint, b bigint, n double")
     counts = stored(parts.groupBy("l", "a", "b").agg(F.round(F.sum("n")).cast("bigint").alias("n")), "n-grams")
-    rows = None
+    rows, written = None, [counts]
     for k in range(ORDER, 0, -1):
         more = counts.selectExpr(
             "l",
@@ -122,6 +122,7 @@ def fit(df: DataFrame, text: str, lang: str, same, repeated: str) -> str:
         if k > 1:
             shorter = counts.selectExpr("l", f"a & {LOW if k == 4 else 0}L AS a", f"b & {LOW if k == 2 else -1}L AS b")
             counts = stored(shorter.groupBy("l", "a", "b").agg(F.count("*").alias("n")), "n-grams")
+            written.append(counts)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,10 @@ def fit(df: DataFrame, text: str, lang: str, same, repeated: str) -> str:
 
     summed = rows.groupBy("l", "k", "a", "b").agg(*(F.sum(c).alias(c) for c in VALUES))
     entries = stored(summed.mapInArrow(keyed, "h bigint, " + ", ".join(f"{c} bigint" for c in VALUES)), "n-gram-rows")
+    for x in written:
+        discard(x)
     write_table(entries, folder, entries.count())
+    discard(entries)
     return folder
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns in a form that neither backtracks nor recurses on long runs. A match of the
@@ -159,8 +159,12 @@ def confident_patterns(contexts: DataFrame, words: DataFrame, min_confidence: fl
         fresh = marked.join(scored, "value", "left_anti").select("value", F.col("b.kind").alias("kind"), (F.col("b.confidence") * DAMPING).alias("score"))
         fresh = stored(fresh, "instances")
         if fresh.isEmpty():
+            for x in (fresh, scored, edges, elsewhere):
+                discard(x)
             return trusted
-        scored = stored(scored.unionByName(fresh), "instances")
+        last, scored = scored, stored(scored.unionByName(fresh), "instances")
+        for x in (last, fresh, trusted):
+            discard(x)
 
 
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

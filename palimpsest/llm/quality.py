@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import joined_by_hot_key, run_dir, stored
+from .common import discard, joined_by_hot_key, run_dir, stored
 from .lookup import write_table
 from .ngrams import scorer
 from .token_store import _put
@@ -160,6 +160,7 @@ def copies(df: DataFrame, text: str = "text", lang: str = "lang") -> str:
     folder = run_dir(df.sparkSession, "copies")
     many = stored(df.where(F.col(text) != "").select(_same(text, lang).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "copy-counts")
     write_table(many, folder, many.count())
+    discard(many)
     return folder
 
 
@@ -319,7 +320,9 @@ def bands(df: DataFrame, folder: str, text: str = "text", lang: str = "lang") ->
         F.greatest(F.percentile_approx("d", 0.5, accuracy) * 1.4826, F.lit(MIN_SPREAD)).alias("spread"),
         F.greatest(F.percentile_approx(F.col("d") * F.col("r"), 0.5, accuracy) * 1.4826, F.lit(MIN_ROOT_SPREAD)).alias("root_spread"),
     )
-    return stored(middle.drop("texts").join(spread, "l"), "bands")
+    out = stored(middle.drop("texts").join(spread, "l"), "bands")
+    discard(seen)
+    return out
 
 
 def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", lower: float = 3.5, upper: float = 5.0) -> DataFrame:
