@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staged import staged
+
 Resolver = Callable[[DataFrame], DataFrame]
 
 
@@ -33,7 +35,7 @@ def cascade(entries: DataFrame, resolvers: list[tuple[str, Resolver]], guard: Co
     for label, resolver in resolvers:
         told = resolver(left).select("name", "new_value", "confidence")
         found = left.join(told, "name").where(F.col("new_value").isNotNull() & (guard if guard is not None else F.lit(True)))
-        found = found.persist()
+        found = staged(found)
         done.append(found.withColumn("method", F.lit(label)))
         left = left.join(found.select("name"), "name", "left_anti")
     rest = left.withColumns({"new_value": F.lit(None).cast(entries.schema["value"].dataType), "confidence": F.lit(None).cast("double"), "method": F.lit(None).cast("string")})

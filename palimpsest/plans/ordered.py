@@ -183,7 +183,10 @@ def bracketed_step(spark, sf):
     return align.bracketed(rows, anchors, ["o_custkey"], "k", "d")
 
 
-@query("greedy_monotone")
+@query("greedy_monotone", """WITH RECURSIVE g AS (SELECT l_suppkey, list_sort(coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'A'), [])) AS o, list_sort(coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'N'), [])) AS n FROM lineitem GROUP BY l_suppkey),
+  w AS (SELECT l_suppkey, o, n, 1 AS i, 0::BIGINT AS shift, []::VARCHAR[] AS leaves FROM g
+    UNION ALL SELECT l_suppkey, o, n, i + 1, coalesce(hit - o[i], shift), CASE WHEN hit IS NULL THEN leaves ELSE list_append(leaves, o[i] || '>' || hit) END FROM (SELECT *, list_min(list_filter(n, lambda x: x >= o[i] + shift AND x <= o[i] + shift + 25)) AS hit FROM w WHERE i <= len(o)))
+  SELECT l_suppkey, len(leaves)::INT AS n, array_to_string(leaves, ',') AS leaves FROM w WHERE i = len(o) + 1""")
 def greedy_monotone(spark, sf):
     li = table(spark, sf, "lineitem")
     keys = lambda flag: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_partkey"))))
@@ -200,10 +203,11 @@ def gap_fill_between_anchors(spark, sf):
     return align.gap_fill(old, new, anchors, ["user_id"], "at", "event_type")
 
 
-@query("greedy_one_to_one")
+@query("greedy_one_to_one", "SELECT s_nationkey::BIGINT AS parent, i AS old, i + 1 AS new, CASE WHEN i % 2 = 0 THEN 0.95 ELSE 0.7 END::DOUBLE AS score FROM (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)")
 def greedy_one_to_one(spark, sf):
-    s = table(spark, sf, "lineitem").select("l_returnflag", "l_suppkey", "l_partkey")
-    pairs = align.overlaps(s.where("l_returnflag = 'A'"), s.where("l_returnflag = 'N'"), "l_suppkey", "l_partkey")
-    score = F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))
-    found = pairs.where((F.col("a_key") % 10) == (F.col("b_key") % 10)).select((F.col("a_key") % 10).alias("parent"), F.col("a_key").alias("old"), F.col("b_key").alias("new"), score.alias("score"))
-    return align.one_to_one(found, ["parent"], "parent bigint, old bigint, new bigint, score double")
+    """Even rows like the next best; odd rows like what the row before has taken, and get their second choice."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    r = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("parent"), (F.row_number().over(w) - 1).cast("long").alias("old"))
+    even = F.col("old") % 2 == 0
+    two = F.array(F.struct(F.col("old").alias("new"), F.when(even, 0.9).otherwise(0.8).alias("score")), F.struct((F.col("old") + 1).alias("new"), F.when(even, 0.95).otherwise(0.7).alias("score")))
+    return align.one_to_one(r.select("parent", "old", F.explode(two).alias("c")).select("parent", "old", "c.new", "c.score"), ["parent"], "parent bigint, old bigint, new bigint, score double")

@@ -608,12 +608,22 @@ def float_bits(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", float_of_bits(bits).alias("x"))
 
 
-@query("variable_cascade")
+@query("variable_cascade", """WITH o AS (SELECT event_id AS v, event_id % 5 AS kind FROM events)
+  SELECT 'V_' || v AS name, v AS value, CASE WHEN kind < 4 THEN v + 20_000_000 END AS new_value, CASE kind WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.95 WHEN 3 THEN 0.6 END::DOUBLE AS confidence, CASE WHEN kind < 3 THEN 'same_line' WHEN kind = 3 THEN 'window' END AS method, CASE WHEN kind < 3 THEN 'migrated_same_line' WHEN kind = 3 THEN 'migrated_window' ELSE 'unresolved' END AS status FROM o""")
 def variable_cascade(spark, sf):
+    """A variable per event: beside a tag of its own, some lines below one, or without any."""
     from ..operators import unnamed
 
     e = table(spark, sf, "events")
-    line = lambda shift: F.concat(F.lit("if (iLocal_"), (F.col("event_id") + shift).cast("string"), F.lit(') say("tag'), F.col("event_id").cast("string"), F.lit('");'))
-    rows = lambda v, s: e.select(F.lit(v).alias("version"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line_no"), line(s).alias("line"))
-    entries = e.select(F.concat(F.lit("V_"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("value"))
-    return unnamed.resolve_variables(entries, rows("old", 0).unionByName(rows("new", 20)))
+    k = F.col("event_id")
+
+    def rows(version, shift):
+        name, tag = F.concat(F.lit("iLocal_"), k + shift), F.concat(F.lit('say("tag'), k, F.lit('");'))
+        alone, bare = F.concat(F.lit("x = "), name, F.lit(";")), F.concat(F.lit("y = "), name, F.lit(";"))
+        one = F.when(k % 5 < 3, F.array(F.concat(F.lit("if ("), name, F.lit(") "), tag))).when(k % 5 == 3, F.array(tag, F.lit(""), F.lit(""), alone)).otherwise(F.array(bare))
+        # files are far apart in lines, so that no tag of another event lies near
+        lines = e.select(F.concat(F.lit("f"), k % 50).alias("file"), k, F.posexplode(one).alias("i", "line"))
+        return lines.select(F.lit(version).alias("version"), "file", (k * 1000 + F.col("i")).alias("line_no"), "line")
+
+    entries = e.select(F.concat(F.lit("V_"), k).alias("name"), k.alias("value"))
+    return unnamed.resolve_variables(entries, rows("old", 0).unionByName(rows("new", 20_000_000)))
