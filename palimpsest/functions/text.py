@@ -47,6 +47,14 @@ def masked_line(line: Column | str) -> Column:
     return F.trim(F.regexp_replace(s, r"[ \t]+", " "))
 
 
+def normal_line(line: Column | str, target: Column | None = None, stems: tuple[str, ...] = ("func_", "Root_", "Local_", r"\.f_", "Var")) -> Column:
+    """A line for comparison: the target's text becomes one mark, the numbers after the stems N, and white space single blanks."""
+    s = _c(line)
+    if target is not None:
+        s = F.when(target != "", F.replace(s, target, F.lit("__TARGET__"))).otherwise(s)
+    return F.trim(F.regexp_replace(F.regexp_replace(s, rf"({'|'.join(stems)})[0-9]+", "$1N"), r"\s+", " "))
+
+
 def anchors(line: Column | str) -> Column:
     """The distinct quoted strings of three characters or more and namespaced calls of a line, in order."""
     quoted = F.regexp_extract_all(_c(line), F.lit(r'"([^"]{3,})"'), F.lit(1))

@@ -39,11 +39,15 @@ def anchor_vote(old: DataFrame, new: DataFrame, old_key: str, new_key: str, most
     return scores.groupBy(old_key).agg(best.alias("b")).select(old_key, "b.*")
 
 
-def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, new_key: str) -> DataFrame:
-    """Per pair within by: the sum over shared tokens of the lesser count over the token's frequency in new, to six places."""
+def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, new_key: str, near: bool = False) -> DataFrame:
+    """Per pair within by: the sum over shared tokens of the lesser count over the token's frequency in new, to six places.
+
+    near: keys are numbers, and a thousandth over one and their distance is added, which decides between equals.
+    """
     freq = new.groupBy(*by, "token").agg(F.count("*").alias("f"))
     met = old.select(*by, old_key, "token", F.col("n").alias("na")).join(new.select(*by, new_key, "token", F.col("n").alias("nb")), [*by, "token"]).join(freq, [*by, "token"])
-    return met.groupBy(*by, old_key, new_key).agg(F.round(F.sum(F.least("na", "nb") / F.col("f")), 6).alias("score"))
+    bonus = 0.001 / (1 + F.abs(F.col(old_key) - F.col(new_key))) if near else F.lit(0.0)
+    return met.groupBy(*by, old_key, new_key).agg(F.sum(F.least("na", "nb") / F.col("f")).alias("__s")).withColumn("score", F.round(F.col("__s") + bonus, 6)).drop("__s")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -142,6 +142,21 @@ def with_variants(backward: DataFrame) -> DataFrame:
     return told.join(own, "value", "left").where((F.col("__at") == 0) | F.col("__own").isNull()).select("value", "path").distinct()
 
 
+def loose_resolve(entries: DataFrame, backward: DataFrame, forward: DataFrame) -> DataFrame:
+    """entries (name, value) told by their loose identity: name and new_value, in the entry's notation.
+
+    All paths of old values of the same identity are followed; they must lead to one new value.
+    """
+    from .paths import canonical, in_notation_of, loose, offset_notation
+
+    known = backward.select(loose(canonical("value")).alias("__k"), "path").where("__k IS NOT NULL").distinct()
+    asked = entries.select("name", "value", loose(canonical("value")).alias("__k")).where("__k IS NOT NULL")
+    told = asked.join(known, "__k").join(forward.select("path", "new_value"), "path")
+    shown = offset_notation(in_notation_of(canonical("new_value"), canonical("value")))
+    one = told.withColumn("__n", shown).groupBy("name").agg(F.count_distinct("__n").alias("n"), F.min("__n").alias("new_value"))
+    return one.where("n = 1").select("name", "new_value")
+
+
 def wrapper_roles(lines: DataFrame, by: list[str], header: str = Grammar.header, put: str = Grammar.forward) -> DataFrame:
     """Functions that forward their parameters to a put: by, function, container_at, key_at, value_at; see forwarding."""
     return forwarding(lines, by, header, put, ["container", "key", "value"])

@@ -16,6 +16,16 @@ def present_by_prefix(requested: DataFrame, value: str, corpus: DataFrame, items
     return requested.join(seen, value, "left_semi")
 
 
+def present_or_parent(requested: DataFrame, value: str, seen: DataFrame, parent: Column) -> DataFrame:
+    """The requested values that seen (a column of the same name) has, or whose parent it has; found_by tells which."""
+    held = seen.select(F.col(value).alias("__v")).distinct()
+    asked = requested.withColumn("__parent", parent)
+    own = asked.join(held.withColumn("__own", F.lit(True)), F.col(value) == F.col("__v"), "left").drop("__v")
+    both = own.join(held.withColumn("__up", F.lit(True)), F.col("__parent") == F.col("__v"), "left").drop("__v")
+    by = F.when(F.col("__own"), "value").when(F.col("__up"), "parent")
+    return both.withColumn("found_by", by).where("found_by IS NOT NULL").select(*requested.columns, "found_by")
+
+
 def containing(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, names: list[str]) -> DataFrame:
     """points with names from the interval of their group that holds them (start inclusive, end exclusive), null without one.
 

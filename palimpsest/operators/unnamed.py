@@ -116,3 +116,17 @@ def resolve_fields(entries: DataFrame, aligned: DataFrame, contextual: DataFrame
         j = j.join(df.select("value", F.col("new_value").alias(c)), "value", "left")
     method = F.when(F.col("__a") == F.col("__c"), "agreed").when(F.col("__a").isNotNull(), "aligned").when(F.col("__c").isNotNull(), "context").when(F.col("__s").isNotNull(), "step")
     return j.withColumns({"method": method, "new_value": F.coalesce("__a", "__c", "__s")}).drop("__a", "__c", "__s")
+
+
+def resolve_local_fields(entries: DataFrame, variables: DataFrame, fields: DataFrame, pattern: str = r"^([A-Za-z]*Local_)([0-9]+)\.f_([0-9]+)(.*)$") -> DataFrame:
+    """entries (name, value) of a variable and a field of it: new_value and confidence, the lesser of both; only where both are told.
+
+    variables: value, new_value and confidence by a variable's number; fields: variable, value, new_value and confidence.
+    """
+    part = lambda i: F.regexp_extract("value", pattern, i)
+    e = entries.where(F.col("value").rlike(pattern)).select("name", "value", part(1).alias("__stem"), part(2).cast("long").alias("__var"), part(3).cast("long").alias("__field"), part(4).alias("__rest"))
+    v = variables.select(F.col("value").alias("__var"), F.col("new_value").alias("__v"), F.col("confidence").alias("__cv"))
+    f = fields.select(F.col("variable").alias("__var"), F.col("value").alias("__field"), F.col("new_value").alias("__f"), F.col("confidence").alias("__cf"))
+    j = e.join(v, "__var").join(f, ["__var", "__field"]).where("__v IS NOT NULL AND __f IS NOT NULL")
+    made = F.concat("__stem", F.col("__v").cast("string"), F.lit(".f_"), F.col("__f").cast("string"), "__rest")
+    return j.select("name", "value", made.alias("new_value"), F.least("__cv", "__cf").cast("double").alias("confidence"))

@@ -599,6 +599,45 @@ def semantic_resolve(spark, sf):
     return done.select("name", F.when((F.col("status") == "migrated") & same, "unchanged").otherwise(F.col("status")).alias("status"), shown.alias("new_value"))
 
 
+@query("loose_resolve", """WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 5 AS kind FROM part)
+  SELECT 'K_' || k AS name, 'Root_' || k || '.f_' || n + 9 || CASE WHEN kind = 1 THEN '[i /*4*/]' ELSE '' END || '.f_1' AS new_value FROM p WHERE kind IN (0, 1, 2)""")
+def loose_resolve(spark, sf):
+    """Old values are told as a number times a stride; entries as the sum, with or without the index; kind 3 has two paths, kind 4 none in new."""
+    from ..operators import extract
+
+    k, n, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 5
+    text_of = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    p = table(spark, sf, "part")
+    old = text_of("Root_", k, "[", n, " /*2*/]", F.when(kind == 1, "[x /*4*/]").otherwise(""), ".f_1")
+    backward = p.select(old.alias("value"), text_of("a.", k).alias("path")).unionByName(p.where(kind == 3).select(old.alias("value"), text_of("b.", k).alias("path")))
+    new = text_of("Root_", k, ".f_", n + 9, F.when(kind == 1, "[y /*4*/]").otherwise(F.when(kind == 0, "[y]").otherwise("")), ".f_1")
+    forward = p.where(kind < 4).select(text_of("a.", k).alias("path"), new.alias("new_value")).unionByName(p.where(kind == 3).select(text_of("b.", k).alias("path"), F.lit("Root_0.f_1").alias("new_value")))
+    entries = p.select(text_of("K_", k).alias("name"), text_of("Root_", k, ".f_", n * 2, F.when(kind == 1, "[j /*4*/]").otherwise(""), ".f_1").alias("value"))
+    return extract.loose_resolve(entries, backward, forward)
+
+
+@query("local_field_resolve", """WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part),
+  f AS (SELECT k, n, k % 10 <> 0 AS a, k % 4 > 0 AS c, k >= (SELECT min(k) FROM p WHERE k % 7 = 0) AND k <= (SELECT max(k) FROM p WHERE k % 7 = 0) AS s FROM p)
+  SELECT 'K_' || k AS name, CASE WHEN a AND c THEN 'agreed' WHEN a THEN 'aligned' WHEN c THEN 'context' WHEN s THEN 'step' END AS method, CASE WHEN (a OR c OR s) AND n % 2 = 0 THEN 'iLocal_' || n + 100 || '.f_' || k + 3 || '.f_1' END AS new_value, CASE WHEN (a OR c OR s) AND n % 2 = 0 THEN 0.8 END::DOUBLE AS confidence FROM f""")
+def local_field_resolve(spark, sf):
+    """Fields of variables: told by alignment, by their tokens, or between anchors; variables of odd numbers aren't told."""
+    from ..operators import align, unnamed
+
+    k, n = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf, "part").select(k.alias("k"), n.alias("n"), F.lit("c").alias("container"))
+    a = align.aligned(p.select("container", F.col("k").alias("field")), p.where("k % 10 <> 0").select("container", (F.col("k") + 3).alias("field")), ["container"], "field", 25)
+    tokens = lambda shift, name: p.where("k % 4 > 0").select("container", (F.col("k") + shift).alias(name), F.concat(F.lit("tag"), F.col("k")).alias("token"), F.lit(1).alias("n"))
+    met = keyed.first_wins(context.multiset_overlap(tokens(0, "o"), tokens(3, "w"), ["container"], "o", "w", near=True), ["o"], [-F.col("score"), F.col("w")])
+    steps = align.bracketed(p.select("container", "k"), p.where("k % 7 = 0").select("container", "k", F.lit(3).cast("long").alias("shift")), ["container"], "k", "shift")
+    stepped = steps.where("bracketed IS NOT NULL").select(F.col("k").alias("value"), (F.col("k") + F.col("bracketed")).alias("new_value"))
+    told = unnamed.resolve_fields(p.select(F.concat(F.lit("K_"), "k").alias("name"), F.col("k").alias("value"), "n"), a.select(F.col("field").alias("value"), F.col("new_key").alias("new_value")), met.select(F.col("o").alias("value"), F.col("w").alias("new_value")), stepped)
+    fields = told.select(F.col("n").cast("long").alias("variable"), "value", "new_value", F.lit(0.8).alias("confidence"))
+    variables = p.where("n % 2 = 0").select(F.col("n").cast("long").alias("value"), (F.col("n") + 100).alias("new_value"), F.lit(0.95).alias("confidence")).distinct()
+    entries = p.select(F.concat(F.lit("K_"), "k").alias("name"), F.concat(F.lit("iLocal_"), "n", F.lit(".f_"), "k", F.lit(".f_1")).alias("value"))
+    both = unnamed.resolve_local_fields(entries, variables, fields).select("name", "new_value", "confidence")
+    return told.select("name", "method").join(both, "name", "left")
+
+
 @query("float_bits", "SELECT o_orderkey, (1 + (o_orderkey % 8388608) / 8388608.0::DOUBLE) * power(2.0::DOUBLE, o_custkey % 200 - 100) * (CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END) AS x FROM orders")
 def float_bits(spark, sf):
     from ..functions.binary import float_of_bits

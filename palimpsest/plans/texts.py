@@ -216,6 +216,26 @@ def masked_lines(spark, sf):
     return lines.withColumn("line", text.masked_line("line"))
 
 
+@query("normal_lines", "SELECT o_orderkey, 'x = __TARGET__ + Root_N.f_N[iVarN]; // ' || o_orderstatus AS line FROM orders")
+def normal_lines(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    value = F.concat(F.lit("Root_"), k, F.lit(".f_9"))
+    line = F.concat(F.lit("  x =  "), value, F.lit(" + Root_"), c, F.lit(".f_"), k, F.lit("[iVar"), c, F.lit("];\t// "), "o_orderstatus")
+    # a target that is the beginning of a longer number stays within it: targets end at a step here
+    return table(spark, sf, "orders").select("o_orderkey", text.normal_line(line, value).alias("line"))
+
+
+@query("present_or_parent", """WITH v AS (SELECT p_partkey, 'Root_' || p_size || '.f_' || p_partkey % 30 AS up, 'Root_' || p_size || '.f_' || p_partkey % 30 || '[' || p_partkey % 3 || ' /*3*/]' AS value FROM part), s AS (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN up ELSE value END AS v FROM v WHERE p_partkey % 7 = 0)
+  SELECT p_partkey, CASE WHEN value IN (FROM s) THEN 'value' ELSE 'parent' END AS found_by FROM v WHERE value IN (FROM s) OR up IN (FROM s)""")
+def present_or_parent(spark, sf):
+    k = F.col("p_partkey")
+    up = F.concat(F.lit("Root_"), "p_size", F.lit(".f_"), k % 30)
+    value = F.concat(up, F.lit("["), k % 3, F.lit(" /*3*/]"))
+    v = table(spark, sf, "part").select("p_partkey", value.alias("value"))
+    seen = table(spark, sf, "part").where(k % 7 == 0).select(F.when(k % 2 == 0, up).otherwise(value).alias("value"))
+    return joins.present_or_parent(v, "value", seen, F.regexp_replace("value", r"\[[0-9]+ /\*[0-9]+\*/\]$", "")).select("p_partkey", "found_by")
+
+
 @query("root_proximity", "SELECT o_orderkey, CASE WHEN d <= 10 THEN 0.18 WHEN d <= 100 THEN 0.16 WHEN d <= 1000 THEN 0.1 WHEN d <= 5000 THEN 0.05 ELSE 0.0 END::DOUBLE AS bonus FROM (SELECT o_orderkey, abs(o_orderkey - o_custkey) AS d FROM orders)")
 def root_proximity(spark, sf):
     steps = [(10, 0.18), (100, 0.16), (1000, 0.1), (5000, 0.05)]
