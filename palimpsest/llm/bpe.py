@@ -83,7 +83,7 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with one model; keeps the ids of frequent chunks, max_chunks at most."""
+    """Encodes and decodes with one model; keeps what became of chunks, max_chunks at most: their ids, these as decimal digits, and the bytes they decode to."""
 
     def __init__(self, model: bytes, pattern: str, max_chunks: int = 250_000):
         import sentencepiece
@@ -92,36 +92,56 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = [bytes(map(_BYTE.__getitem__, self.sp.id_to_piece(i))) for i in range(self.sp.get_piece_size() - 1)]
         self.max_chunks = max_chunks
-        self.words: dict[str, list[int]] = {}
-        self.raw: dict[str, list[int]] = {}
-        self.after_blank: dict[str, list[int]] = {}
+        self._forget()
 
-    def _learn(self, into: dict[str, list[int]], chunks: list[str], before: str) -> None:
-        """The ids of chunks not seen yet, by one call of the library for all their new pre-tokens."""
+    def _forget(self) -> None:
+        self.words: dict[str, list[int]] = {}
+        self.raw: dict[str, int] = {}
+        self.after_blank: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.digits: list[bytes] = []
+        self.decoded: list[bytes] = []
+
+    def _learn(self, into: dict[str, int], chunks: list[str], before: str) -> None:
+        """Chunks not seen yet, by one call of the library for all their new pre-tokens."""
         split = {c: self.find(before + c) for c in chunks}
         new = list({w for ws in split.values() for w in ws if w not in self.words})
         for w, ids in zip(new, self.sp.encode([shown(w.encode("utf-8")) for w in new], num_threads=1)):
             self.words[w] = ids
         words = self.words
         for c, ws in split.items():
-            into[c] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
-
-    def encode(self, text: str) -> list[int]:
+            ids = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+            into[c] = len(self.ids)
+            self.ids.append(ids)
+            self.digits.append(" ".join(map(str, ids)).encode())
+            self.decoded.append(self.decode(ids))
+
+    def _chunks(self, text: str) -> list[int]:
+        """The numbers of a text's chunks, each of which has ids."""
         if not text:
             return []
-        if len(self.words) + len(self.raw) + len(self.after_blank) > self.max_chunks:
-            self.words, self.raw, self.after_blank = {}, {}, {}
+        if len(self.words) + len(self.ids) > self.max_chunks:
+            self._forget()
         chunks, regular = chunked(text)
         if not regular:
             if new := [c for c in set(chunks) if c not in self.raw]:
                 self._learn(self.raw, new, "")
-            return list(chain.from_iterable(map(self.raw.__getitem__, chunks)))
+            return list(map(self.raw.__getitem__, chunks))
         first, rest = chunks[0], chunks[1:]
         if first not in self.raw:
             self._learn(self.raw, [first], "")
         if new := [c for c in set(rest) if c not in self.after_blank]:
             self._learn(self.after_blank, new, " ")
-        return self.raw[first] + list(chain.from_iterable(map(self.after_blank.__getitem__, rest)))
+        return [self.raw[first], *map(self.after_blank.__getitem__, rest)]
+
+    def encode(self, text: str) -> list[int]:
+        at = self._chunks(text)
+        return list(chain.from_iterable(map(self.ids.__getitem__, at)))
+
+    def round_trip(self, text: str) -> tuple[bytes, bytes]:
+        """The ids as decimal digits between single blanks, and the bytes that they decode to: a chunk's ids decode by themselves."""
+        at = self._chunks(text)
+        return b" ".join(map(self.digits.__getitem__, at)), b"".join(map(self.decoded.__getitem__, at))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -168,14 +188,13 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value, pattern)
-        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for t in batch.column(1).to_pylist():
-                ids = c.encode(t or "")
-                counts.append(len(ids))
-                of_ids.append(sha(" ".join(map(str, ids)).encode()))
-                of_bytes.append(sha(c.decode(ids)))
+                ids, decoded = c.round_trip(t or "")
+                counts.append(ids.count(b" ") + 1 if ids else 0)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_bytes.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -26,6 +26,7 @@ def test_same_ids_as_byte_level_bpe_and_round_trip():
         ids = c.encode(t)
         assert ids == enc.encode_ordinary(t), repr(t)
         assert c.decode(ids) == t.encode()
+        assert c.round_trip(t) == (" ".join(map(str, ids)).encode(), t.encode())
 
 
 def test_operator_handles_null_empty_repeated_and_extra_columns(spark):
