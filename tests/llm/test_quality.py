@@ -1,5 +1,8 @@
+import math
 import random
 import re
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 
@@ -99,3 +102,66 @@ def test_shuffled_texts_of_any_script_are_rejected_and_tables_grow(spark):
             p = s.probabilities(np.array([ngrams.seed("ru")], np.uint64), [*(np.full(len(every), c) for c in points[i : i + 3]), every])
             assert abs(p.sum() - 1) < 1e-4 and p.min() > 0, (i, p.sum(), p.min())
     assert n[1] > n[0]
+
+
+def plain_model(texts):
+    """log p of a character after three others: modified Kneser-Ney over distinct texts, in plain dictionaries."""
+    counts = {}
+    counts[4] = Counter(p[i : i + 4] for t in set(texts) for p in ["\n\n\n" + t] for i in range(len(p) - 3))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d, after = {}, [defaultdict(list) for _ in range(5)]
+    for k in range(1, 5):
+        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
+        d[k] = [0.0] + [min(max(j - (j + 1) * y * (n[j] / n[j - 1] if n[j - 1] else 0.5), 0.1), j - 0.1) for j in (1, 2, 3)]
+        for g, c in counts[k].items():
+            after[k][g[:-1]].append(c)
+
+    def p(g):
+        below = 1 / (1 + len(counts[1]))
+        for k in range(1, 5):
+            own = g[4 - k :]
+            held = after[k].get(own[:-1])
+            if held:
+                c = counts[k].get(own, 0)
+                below = (c - d[k][min(c, 3)]) / sum(held) + sum(d[k][min(x, 3)] for x in held) / sum(held) * below
+        return below
+
+    return p
+
+
+def test_perplexity_and_verdicts_equal_a_plain_model(spark):
+    rnd = random.Random(12)
+    vocabulary = {"en": "the river house water old runs near bridge town light".split(), "ru": "река дом вода старый мост город свет течёт рядом и".split(), None: "𝔞𝔟 𝔠𝔡 漢字 かな".split()}
+    rows = []
+    for i in range(150):
+        lang = rnd.choice(list(vocabulary))
+        w = [rnd.choice(vocabulary[lang]) + str(rnd.randrange(30)) * (rnd.random() < 0.2) for _ in range(rnd.randrange(8, 60))]
+        if i % 15 == 0:
+            w = ["".join(rnd.sample("".join(w), 6)) for _ in w]
+        rows.append((i, " ".join(w), lang))
+    rows += [(200 + i, rows[3][1], rows[3][2]) for i in range(90)] + [(300, "", "en"), (301, None, "en"), (302, " ".join(rnd.choice(vocabulary["en"]) for _ in range(60_000)), "en")]
+    got = {r.doc_id: r for r in q.assess(spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    word = q._word_characters()
+    median = lambda v: sorted(v)[-(-len(v) // 2) - 1]
+    rejected = 0
+    for lang in vocabulary:
+        texts = sorted({t for _, t, name in rows if t and name == lang})
+        p = plain_model(texts)
+        n = {t: max(1, sum(bool(word[ord(c)]) for c in t)) for t in texts}
+        cost = lru_cache(None)(lambda g: -math.log(p(g)))
+        x = {t: sum(cost(("\n\n\n" + t)[i : i + 4]) for i in range(len(t))) / n[t] for t in texts}
+        middle = median(x.values())
+        spread = max(1.4826 * median([abs(v - middle) for v in x.values()]), 0.025)
+        root = max(1.4826 * median([abs(v - middle) * n[t] ** 0.5 for t, v in x.items()]), 1.0)
+        for d, t, name in rows:
+            if t and name == lang:
+                wide = math.sqrt(spread**2 + root**2 / n[t])
+                off = (x[t] - middle) / wide
+                assert math.isclose(math.log(got[d].perplexity), x[t], rel_tol=1e-4, abs_tol=1e-4)
+                if abs(off + 3.5) > 0.01 and abs(off - 5) > 0.01:
+                    assert got[d].kept == (not got[d].base_failed and -3.5 <= off <= 5)
+                    rejected += not got[d].kept and not got[d].base_failed
+    assert rejected > 2 and not got[300].kept and not got[301].kept and got[302].n_words == 60_000
