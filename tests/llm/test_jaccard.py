@@ -67,3 +67,34 @@ def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 999), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1000] == got[999] == 999
+
+
+def test_hot_groups_and_very_long_texts(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocabulary) for _ in range(80)]
+    rows = [(i, " ".join(base)) for i in range(4000)] + [(i, None if i % 2 else " \n") for i in range(4000, 8000)]
+    # a hub: near copies that link with the copies, and a chain that hangs on by one of them
+    chain = list(base)
+    for i in range(300):
+        w = list(base)
+        w[rnd.randrange(80)] = f"new{i}"
+        rows.append((8000 + i, " ".join(w)))
+    for i in range(12):
+        chain[i * 6] = f"step{i}"
+        rows.append((9000 + i, " ".join(chain)))
+    long = [rnd.choice(vocabulary) for _ in range(300_000)]
+    rows += [(9100, " ".join(long)), (9101, " ".join([*long[:150_000], "other", *long[150_000:]])), (9102, " ".join(long[:200_000])), (9103, "x" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, words=3, percent=90).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i][1] == 0 for i in range(4000)) and all(got[i] == (0, i) for i in range(4000, 8000))
+    for d, n, c in by_hand([r for r in rows if r[0] >= 8000 or r[0] == 0], 3, 90):
+        assert got[int(d)] == (n, int(c)), d
+    assert got[9101][1] == 9100 and got[9102][1] == 9102 and got[9103] == (1, 9103)
+
+
+def test_components_of_a_hub(spark):
+    links = [(5, i) for i in range(100, 5100)] + [(i, i + 10_000) for i in range(100, 1100)] + [(2, 5), (70_000, 80_000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert len(got) == 6004 and all(c == (2 if n < 70_000 else 70_000) for n, c in got.items())
