@@ -179,6 +179,55 @@ def cooccurrence_counts(spark, sf):
     return evidence.cooccurrences(table(spark, sf, "documents"), ["source"], "text", {"both_": ["License", "the"], "at_sign": ["@"]}, "doc_id", 100, 900)
 
 
+@query("role_root", """WITH a AS (SELECT l_suppkey % 20 AS file, l_partkey % 50 AS root, l_linenumber AS field FROM lineitem WHERE l_linenumber <> 3), w(field, weight) AS (VALUES (1, 4.0::DOUBLE), (2, 1.5::DOUBLE), (5, 0.5::DOUBLE)),
+  s AS (SELECT file, root, root * 7 % 40 + 800 AS size, round(sum(weight), 6) AS score, count(DISTINCT field) AS fields FROM a JOIN w USING (field) WHERE root * 7 % 40 + 800 BETWEEN 805 AND 830 GROUP BY ALL)
+  SELECT file, root AS value, score, fields::BIGINT AS fields, round(least(0.92 + score * 0.00005 + fields * 0.001, 0.999), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, fields DESC, size DESC, root) AS r FROM s) WHERE r = 1""")
+def role_root(spark, sf):
+    from ..operators import roles
+
+    a = table(spark, sf, "lineitem").where("l_linenumber <> 3").select((F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 50).alias("root"), F.col("l_linenumber").alias("field"))
+    sizes = a.select("file", "root", (F.col("root") * 7 % 40 + 800).alias("size")).distinct()
+    w = spark.createDataFrame([(1, 4.0), (2, 1.5), (5, 0.5)], "field int, weight double")
+    return roles.root_role(a, sizes, w, (805, 830), per_score=0.00005, per_field=0.001)
+
+
+@query("role_argument", """WITH c AS (SELECT p_partkey AS k, p_size % 8 AS n, p_partkey % 4 AS rule FROM part)
+  SELECT k AS file, CASE rule WHEN 0 THEN CASE WHEN n >= 5 THEN 'a' || k END WHEN 1 THEN CASE WHEN n >= 4 THEN 'b' || k END WHEN 2 THEN 'c' || k ELSE 'z' || k END AS value FROM c""")
+def role_argument(spark, sf):
+    """Calls of the form u, worker, some p, u, u, other, u."""
+    from ..operators import roles
+
+    k, n = F.col("p_partkey"), F.col("p_size") % 8
+    one = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(name), k).alias("root"))
+    run = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("p").alias("kind"), F.concat(F.lit("p"), i).alias("root")))
+    args = F.concat(F.array(one("u", "z"), one("o", "worker")), F.when(n > 0, run).otherwise(F.slice(run, 1, 0)), F.array(one("u", "a"), one("u", "b"), one("o", "x"), one("u", "c")))
+    rule = F.when(k % 4 == 0, "after_run").when(k % 4 == 1, "second_after_run").when(k % 4 == 2, "last").otherwise("previous")
+    calls = table(spark, sf, "part").select(k.alias("file"), args.alias("args"), F.concat(F.lit("worker"), k).alias("worker"), rule.alias("rule"), F.when(k % 4 == 0, 5).otherwise(4).alias("least"))
+    return roles.argument_role(calls, F.col("worker"), F.col("rule"), F.col("least")).select("file", "value")
+
+
+@query("role_state", """WITH s AS (SELECT o_custkey % 30 AS file, o_custkey % 7 AS variable, o_orderkey % 40 AS state FROM orders), t AS (SELECT file, variable, count(DISTINCT state) AS states, max(state) AS top FROM s GROUP BY ALL HAVING count(DISTINCT state) >= 8),
+  w AS (SELECT file, variable, count(*) % 9 AS cases, count(*) AS uses FROM s GROUP BY ALL), r AS (SELECT file, variable, round(states * 5.0 + cases * 1.5 + least(uses, 25) * 0.15 + top * 0.01 + CASE WHEN (file + variable) % 5 = 0 THEN 250.0 ELSE 0 END, 6)::DOUBLE AS score FROM w JOIN t USING (file, variable))
+  SELECT file, arg_max(variable, {'s': score, 'v': variable}) AS value, max(score) AS score FROM r GROUP BY file""")
+def role_state(spark, sf):
+    from ..operators import roles
+
+    s = table(spark, sf, "orders").select((F.col("o_custkey") % 30).alias("file"), (F.col("o_custkey") % 7).alias("variable"), (F.col("o_orderkey") % 40).alias("state"))
+    switches = s.groupBy("file", "variable").agg((F.count("*") % 9).alias("cases"), F.count("*").alias("uses")).withColumn("function", F.col("file") + F.col("variable"))
+    return roles.state_role(switches, s, switches.where("function % 5 = 0"))
+
+
+@query("role_gate", """WITH b AS (SELECT user_id % 25 AS file, user_id AS block, 'v' || user_id % 3 AS v, count(*) FILTER (event_type = 'click') > 0 AS c, count(*) FILTER (event_type = 'purchase') > 0 AS s, count(*) FILTER (event_type = 'error') > 0 AS r, count(*) FILTER (event_type = 'signup') > 0 AS n FROM events GROUP BY user_id),
+  h AS (SELECT file, v, count(*) AS blocks FROM b WHERE c AND s AND r AND n GROUP BY ALL) SELECT file, v AS value, blocks::BIGINT AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY blocks DESC, v) AS i FROM h) WHERE i = 1""")
+def role_gate(spark, sf):
+    from ..operators import roles
+
+    t, v = F.col("event_type"), F.concat(F.lit("v"), F.col("user_id") % 3)
+    line = F.when(t == "click", F.concat(F.lit("  if ("), v, F.lit(" == 1)"))).when(t == "purchase", F.concat(v, F.lit(" = 1;"))).when(t == "error", F.concat(F.lit("  "), v, F.lit(" = 0;"))).when(t == "signup", F.lit("copy(pre, worker);")).otherwise("other();")
+    lines = table(spark, sf, "events").select((F.col("user_id") % 25).alias("file"), F.col("user_id").alias("block"), v.alias("variable"), line.alias("line"))
+    return roles.gate_role(lines, "variable", "line", ["pre", "worker"])
+
+
 @query("containers_by_access", "WITH c AS (SELECT user_id % 20 AS g, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT g, event_type, n::BIGINT AS n, row_number() OVER (PARTITION BY g ORDER BY n DESC, f, event_type)::INT AS rank FROM c")
 def containers_by_access(spark, sf):
     return evidence.by_access(table(spark, sf, "events").withColumn("g", F.col("user_id") % 20), ["g"], "event_type", "event_id")
