@@ -9,13 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staged import staged
+
+
+def ordinals(df: DataFrame, by: list[str], key: str, name: str = "ordinal", buckets: int = 1024) -> DataFrame:
+    """df with the place (from 1) of each row's key, an integer, in its group: places within a range of keys, after the sums of the ranges before.
+
+    A group of any size is so spread over many tasks.
+    """
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    at = df.withColumn("__b", F.floor((F.col(key) - lo) / F.lit(max(1, -(-(hi - lo + 1) // buckets)))))
+    sums = at.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(key))
+    return at.join(starts, [*by, "__b"]).withColumn(name, (F.col("__start") + inside).cast("int")).drop("__b", "__start")
+
 
 def signature_ordinal(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
-    """Groups with equal non-empty member sets, the k-th of old with the k-th of new: old_key, new_key, signature, ordinal."""
+    """Groups (integers) with equal non-empty member sets, the k-th of old with the k-th of new: old_key, new_key, signature, ordinal."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         sets = df.where(F.col(member).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(member)), ",").alias("signature"))
-        return sets.withColumn("ordinal", F.row_number().over(Window.partitionBy("signature").orderBy(group))).withColumnRenamed(group, name)
+        return ordinals(staged(sets), ["signature"], group).withColumnRenamed(group, name)
 
     return side(old, "old_key").join(side(new, "new_key"), ["signature", "ordinal"])
 

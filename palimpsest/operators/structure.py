@@ -53,9 +53,7 @@ def match_roots(old: DataFrame, new: DataFrame) -> DataFrame:
     same: the same number. delta: children that moved together.
     """
     signed = lambda df, k: df.where(F.size("children") > 0).select("base", F.col("root").alias(k), F.array_join("children", ",").alias("sig"))
-    from pyspark.sql import Window
-
-    nth = lambda df, k: signed(df, k).withColumn("i", F.row_number().over(Window.partitionBy("base", "sig").orderBy(k)))
+    nth = lambda df, k: align.ordinals(signed(df, k), ["base", "sig"], k, "i")
     done = nth(old, "root").join(nth(new, "new_root"), ["base", "sig", "i"]).select("base", "root", "new_root", F.lit("signature").alias("phase"))
 
     def left() -> tuple[DataFrame, DataFrame]:
