@@ -95,16 +95,18 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     """Frames' histograms, each of sum 1: the shots as first frame and end.
 
-    Within a shot, the mean and deviation of its differences so far set the threshold for the next.
+    Within a shot, the mean and deviation of its differences so far set the threshold for the next; a shot's first
+    difference is held against twice the median of all, if there are more than two.
     """
     if not len(histograms):
         return []
     change = (np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2).tolist()
     cuts, n, total, squares = [0], 0, 0.0, 0.0
+    prior = 2 * sorted(change)[len(change) // 2] if len(change) > 2 else 0.0
     for i, d in enumerate(change, 1):
-        mean = total / n if n else 0.0
+        mean = total / n if n else prior
         deviation = max(squares / n - mean * mean, 0.0) ** 0.5 if n else 0.0
-        if d > FLOOR and d > mean + DEVIATIONS * deviation and n >= 1:
+        if d > FLOOR and d > mean + DEVIATIONS * deviation:
             cuts.append(i)
             n, total, squares = 0, 0.0, 0.0
         else:
@@ -177,10 +179,10 @@ def texts_to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, media binary")
 
 
-def decode_samples(files: list[bytes]) -> list[tuple[list[np.ndarray], float]]:
-    """Per file: its frames' first components at one sample per block, and frames per second."""
+def decode_samples(files: list[bytes], scale: int = 8) -> list[tuple[list[np.ndarray], float]]:
+    """Per file: its frames' first components, at one sample per block if scale is 8, and frames per second."""
     parsed = [read_avi(f) for f in files]
-    planes = iter(jpeg.decode([f for frames, _ in parsed for f in frames], scale=8))
+    planes = iter(jpeg.decode([f for frames, _ in parsed for f in frames], scale=scale))
     return [([next(planes)[0] for _ in frames], fps) for frames, fps in parsed]
 
 
@@ -197,7 +199,7 @@ def clip_rows(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
             keys, files = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             some = [(k, f) for k, f in zip(keys, files) if f]
             for part in _batches([len(f) for _, f in some]):
-                rows = [(k, i, *c) for (k, _), (planes, fps) in zip(some[part], decode_samples([f for _, f in some[part]])) for i, c in enumerate(clips(planes, fps))]
+                rows = [(k, i, *c) for (k, _), (planes, fps) in zip(some[part], decode_samples([f for _, f in some[part]], 1)) for i, c in enumerate(clips(planes, fps))]
                 yield _emit(names, kinds, rows)
 
     kind = df.schema[key].dataType.simpleString()

@@ -117,6 +117,8 @@ def test_shots_follow_planted_scenes():
     scene = lambda lo, n: [np.clip(rnd.normal(lo, 6, (8, 64)), 0, 255).astype(np.uint8) for _ in range(n)]
     planes = scene(40, 6) + scene(150, 5) + scene(90, 7)
     assert [(a, b) for a, b, *_ in media.clips(planes, 25.0)] == [(0, 6), (6, 11), (11, 18)]
+    assert [(a, b) for a, b, *_ in media.clips(scene(40, 1) + scene(150, 1), 25.0)] == [(0, 1), (1, 2)]
+    assert [(a, b) for a, b, *_ in media.clips(scene(40, 5) + scene(150, 1) + scene(90, 5), 25.0)] == [(0, 5), (5, 6), (6, 11)]
     assert media.clips(planes, 25.0)[1][2:4] == (240, 440) and media.clips([], 25.0) == []
 
 
