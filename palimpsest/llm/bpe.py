@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked
+from .common import chunked, hold
 
 
 def byte_characters() -> str:
@@ -148,10 +148,16 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(model: bytes, pattern: str) -> Codec:
+def _codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
+def codec(model: bytes, pattern: str) -> Codec:
+    """The worker's codec."""
+    hold("bpe", _codec.cache_clear)
+    return _codec(model, pattern)
+
+
 def _model(df: DataFrame, vocabulary: str):
     """The model as a broadcast; its size is that of the vocabulary, whatever the input's."""
     with open(vocabulary, "rb") as f:

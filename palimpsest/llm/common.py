@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,6 +68,19 @@ def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
         yield texts.slice(start)
 
 
+_HOLDER: list = ["", lambda: None]
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """In a worker: owner's caches may stay from now on; those of the operator that held some before are released.
+
+    Workers outlive tasks, and what one operator keeps is memory that the next one lacks.
+    """
+    if _HOLDER[0] != owner:
+        _HOLDER[1]()
+        _HOLDER[:] = [owner, release]
+
+
 def chunked(text: str) -> tuple[list[str], bool]:
     """text cut at blanks, so that no match of the pre-token pattern is cut apart.
 

@@ -14,6 +14,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold
 from .token_store import _put
 
 PART_ROWS, LEAST_BITS = 1 << 15, 6
@@ -79,10 +80,18 @@ class Table:
 
 
 _TABLES: dict[str, Table] = {}
+#: What else keeps tables, to be cleared with them.
+KEEPERS: list[dict] = [_TABLES]
+
+
+def _release() -> None:
+    for held in KEEPERS:
+        held.clear()
 
 
 def table(folder: str) -> Table:
     """The worker's table of a folder; those of two folders are held."""
+    hold("look-up", _release)
     if folder not in _TABLES:
         while len(_TABLES) > 1:
             _TABLES.pop(next(iter(_TABLES)))

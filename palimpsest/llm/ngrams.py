@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, run_dir, stored
-from .lookup import Table, table, write_table
+from .common import byte_slices, discard, run_dir, stored
+from .lookup import KEEPERS, Table, table, write_table
 
 ORDER, BITS = 4, 21
 LOW = (1 << BITS) - 1
 #: What stands before a text's first character.
 PAD = "\n" * (ORDER - 1)
-#: Characters worked on at once, n-grams held by a task before they are passed on, and results held by a worker.
-SLICE, HELD, RESULTS_BITS = 1 << 21, 1 << 21, 20
+#: Characters or bytes of text worked on at once, and log2 of the results held by a worker.
+SLICE, RESULTS_BITS = 1 << 21, 20
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, ORDER + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Of a row: the n-gram's count; as a context, the sum of its followers' counts and how many have 1, 2, more. In a row of discounts: n-grams of counts 1 to 4.
 VALUES = ["c", "t", "n1", "n2", "n3"]
@@ -64,6 +64,14 @@ def slices(texts: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np
             start, held = i + 1, 0
 
 
+def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Where the slices of about most bytes begin, and their rows: what is made of a part is all that is held at once."""
+    at = 0
+    for part in byte_slices(texts, most):
+        yield at, len(part)
+        at += len(part)
+
+
 def counted(points: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams that end at real places: the first two and the last two code points, packed, and counts."""
     alphabet = np.flatnonzero(np.bincount(points))
@@ -94,7 +102,7 @@ def fit(df: DataFrame, text: str, lang: str, same, repeated: str) -> str:
     folder = run_dir(df.sparkSession, "perplexity")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(at, n) for batch in batches for at, n in parts_of(batch.column(1), SLICE)):
             copies = np.maximum(table(repeated).find(batch.column(2).to_numpy().view(np.uint64))[0], 1)
             groups: dict[tuple, list[str]] = {}
             for name, t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), copies.tolist()):
@@ -214,6 +222,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
+KEEPERS.append(_SCORERS)
 
 
 def scorer(folder: str) -> Scorer:

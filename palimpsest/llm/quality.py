@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import discard, joined_by_hot_key, run_dir, stored
+from .common import discard, hold, joined_by_hot_key, run_dir, stored
 from .lookup import write_table
-from .ngrams import scorer
+from .ngrams import SLICE, parts_of, scorer
 from .token_store import _put
 
 A, ORDER = 32, 4
@@ -232,6 +232,7 @@ _MODELS: dict[str, Models] = {}
 
 
 def _models(folder: str) -> Models:
+    hold("language", _MODELS.clear)
     if folder not in _MODELS:
         _MODELS.clear()
         _MODELS[folder] = Models(folder)
@@ -305,7 +306,7 @@ def bands(df: DataFrame, folder: str, text: str = "text", lang: str = "lang") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(at, n) for batch in batches for at, n in parts_of(batch.column(1), SLICE)):
             names = batch.column(0).to_pylist()
             x, n = scorer(folder).surprises(names, batch.column(1).to_pylist(), _word_characters())
             yield pa.RecordBatch.from_arrays([pa.array([_name(name) for name in names], pa.string()), batch.column(2), pa.array(x, pa.float64()), pa.array(n, pa.int64())], names=["l", "h", "x", "n"])
@@ -343,7 +344,7 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     own = ["__l", "__x", "__n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(start, n) for batch in batches for start, n in parts_of(batch.column(at), SLICE)):
             texts = batch.column(at).to_pylist()
             names = [None if n is None else str(n) for n in batch.column(at_lang).to_pylist()]
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, chunked, run_dir
+from .common import byte_slices, chunked, hold, run_dir
 
 MAGIC = b"DACIDS01"
 RANK_BITS = 512
@@ -290,10 +290,16 @@ _UNCUT = r"^$|^ | $|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}
 
 
 @lru_cache(maxsize=1)
-def encoder(definition: str) -> Encoder:
+def _encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
+def encoder(definition: str) -> Encoder:
+    """The worker's encoder."""
+    hold("token store", _encoder.cache_clear)
+    return _encoder(definition)
+
+
 # ---- writing and reading -----------------------------------------------------------
 
 
