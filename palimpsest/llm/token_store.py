@@ -32,6 +32,8 @@ from .common import byte_slices, chunked, hold, run_dir
 
 MAGIC = b"DACIDS01"
 RANK_BITS = 512
+#: Chunks given to the library at once: a call has a cost of its own, and so does each text.
+GROUP = 10_000
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -212,14 +214,14 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Each chunk after a blank: joined, the library cuts them where they are joined."""
-        for k in range(0, len(chunks), 400):
-            group = [" " + c for c in chunks[k : k + 400]]
+        for k in range(0, len(chunks), GROUP):
+            group = [" " + c for c in chunks[k : k + GROUP]]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, np.uint32)
             # ids stand for bytes, and none for bytes of two chunks: a token lies in the chunk in which it ends
             ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in group])
             places = np.searchsorted(ends, np.cumsum(self.n_bytes[ids]), side="left")
             n = self._add(ids, np.bincount(places, minlength=len(group)))
-            self.after.update(zip(chunks[k : k + 400], range(n, n + len(group))))
+            self.after.update(zip(chunks[k : k + GROUP], range(n, n + len(group))))
 
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         n = self.n
