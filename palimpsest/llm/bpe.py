@@ -83,24 +83,22 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with one model; keeps what became of chunks, max_chunks at most: their ids, these as decimal digits, and the bytes they decode to."""
+    """Encodes and decodes with one model; keeps what became of chunks, max_chunks at most: their ids, or if spelled, these as decimal digits and the bytes they decode to."""
 
-    def __init__(self, model: bytes, pattern: str, max_chunks: int = 250_000):
+    def __init__(self, model: bytes, pattern: str, spelled: bool = False, max_chunks: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(pattern).findall
         self.pieces = [bytes(map(_BYTE.__getitem__, self.sp.id_to_piece(i))) for i in range(self.sp.get_piece_size() - 1)]
-        self.max_chunks = max_chunks
+        self.spelled, self.max_chunks = spelled, max_chunks
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, list[int]] = {}
         self.raw: dict[str, int] = {}
         self.after_blank: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.digits: list[bytes] = []
-        self.decoded: list[bytes] = []
+        self.held: list = []
 
     def _learn(self, into: dict[str, int], chunks: list[str], before: str) -> None:
         """Chunks not seen yet, by one call of the library for all their new pre-tokens."""
@@ -111,16 +109,14 @@ class Codec:
         words = self.words
         for c, ws in split.items():
             ids = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
-            into[c] = len(self.ids)
-            self.ids.append(ids)
-            self.digits.append(" ".join(map(str, ids)).encode())
-            self.decoded.append(self.decode(ids))
+            into[c] = len(self.held)
+            self.held.append((" ".join(map(str, ids)).encode(), self.decode(ids)) if self.spelled else ids)
 
     def _chunks(self, text: str) -> list[int]:
         """The numbers of a text's chunks, each of which has ids."""
         if not text:
             return []
-        if len(self.words) + len(self.ids) > self.max_chunks:
+        if len(self.words) + len(self.held) > self.max_chunks:
             self._forget()
         chunks, regular = chunked(text)
         if not regular:
@@ -135,27 +131,29 @@ class Codec:
         return [self.raw[first], *map(self.after_blank.__getitem__, rest)]
 
     def encode(self, text: str) -> list[int]:
+        """A text's ids, of a codec that isn't spelled."""
         at = self._chunks(text)
-        return list(chain.from_iterable(map(self.ids.__getitem__, at)))
+        return list(chain.from_iterable(map(self.held.__getitem__, at)))
 
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
-        """The ids as decimal digits between single blanks, and the bytes that they decode to: a chunk's ids decode by themselves."""
+        """Of a spelled codec, the ids as decimal digits between single blanks, and the bytes that they decode to: a chunk's ids decode by themselves."""
         at = self._chunks(text)
-        return b" ".join(map(self.digits.__getitem__, at)), b"".join(map(self.decoded.__getitem__, at))
+        digits, decoded = zip(*map(self.held.__getitem__, at)) if at else ((), ())
+        return b" ".join(digits), b"".join(decoded)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @lru_cache(maxsize=1)
-def _codec(model: bytes, pattern: str) -> Codec:
-    return Codec(model, pattern)
+def _codec(model: bytes, pattern: str, spelled: bool) -> Codec:
+    return Codec(model, pattern, spelled)
 
 
-def codec(model: bytes, pattern: str) -> Codec:
+def codec(model: bytes, pattern: str, spelled: bool = False) -> Codec:
     """The worker's codec."""
     hold("bpe", _codec.cache_clear)
-    return _codec(model, pattern)
+    return _codec(model, pattern, spelled)
 
 
 def _model(df: DataFrame, vocabulary: str):
@@ -193,7 +191,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     model = _model(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model.value, pattern)
+        c = codec(model.value, pattern, spelled=True)
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for t in batch.column(1).to_pylist():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -79,6 +81,9 @@ def hold(owner: str, release: Callable[[], None]) -> None:
     if _HOLDER[0] != owner:
         _HOLDER[1]()
         _HOLDER[:] = [owner, release]
+        gc.collect()
+        # what was freed goes back to the system, where the C library can do that
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 def chunked(text: str) -> tuple[list[str], bool]:

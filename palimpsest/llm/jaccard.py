@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, joined_by_hot_key, stored
+from .common import byte_slices, discard, hold, joined_by_hot_key, stored
 from .components import components
 
 #: Of the hash space, the share in percent, beyond the prefix's own, whose tokens come first.
@@ -43,6 +43,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Each text's distinct word n-grams as sorted 64-bit hashes; A-Z are lower-cased, ASCII white space parts words."""
+    hold("sets", lambda: None)
     for part in byte_slices(texts):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
         coded = split.flatten().dictionary_encode()
