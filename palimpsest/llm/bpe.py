@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, hold
+from .common import chunked, hold, small_batches
 
 
 def byte_characters() -> str:
@@ -158,6 +158,7 @@ def codec(model: bytes, pattern: str, spelled: bool = False) -> Codec:
 
 def _model(df: DataFrame, vocabulary: str):
     """The model as a broadcast; its size is that of the vocabulary, whatever the input's."""
+    small_batches(df.sparkSession)
     with open(vocabulary, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(f.read())))
 

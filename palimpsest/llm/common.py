@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 _SPACE_THEN_BLANK = re.compile(r"[\s\x1c-\x1f] ")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold 4 MB from now on, or one row: thousands of rows of text would count twice, in the JVM and in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, which must be set on a cluster.
 
     Where it is unset and all runs in this one process's JVM, as in tests, a temporary folder.
     """
+    small_batches(spark)
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import small_batches
 
 FRAMES_PER_SECOND = 25
 BINS = 16
@@ -175,6 +176,7 @@ def texts_to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 n = [len((t or "").encode("utf-8", "surrogatepass")) for t in own]
                 yield pa.RecordBatch.from_arrays([keys[part], pa.array(n, pa.int64()), pa.array(map(len, payloads), pa.int64()), pa.array(store_payloads(payloads), pa.binary())], names=[key, "n_bytes", "payload_bytes", "media"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, media binary")
 

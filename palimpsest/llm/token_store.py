@@ -191,7 +191,7 @@ class Encoder:
     holds a blank would be cut apart, so a tokenizer with such a token is refused.
     """
 
-    def __init__(self, definition: str, max_chunks: int = 900_000):
+    def __init__(self, definition: str, max_chunks: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
