@@ -178,6 +178,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress, with_label_errors
+
+    codes, books = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .cross_tokens import align
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return align(table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
@@ -189,6 +211,9 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
