@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import MOST, running
 from .staged import staged
 
 
@@ -72,27 +73,28 @@ def aligned(old: DataFrame, new: DataFrame, by: list[str], key: str, reach: int)
     return moved.join(new.select(*by, F.col(key).alias("new_key")).distinct(), [*by, "new_key"], "left_semi").select(*by, key, "new_key", "shift")
 
 
-def as_of(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "as_of") -> DataFrame:
-    """rows with name: the value of the group's greatest anchor at or below key, null below the least; beyond the greatest anchor too: no extrapolation."""
-    both = rows.withColumn("__anchor", F.lit(None).cast(anchors.schema[value].dataType)).withColumn("__is", F.lit(0)).unionByName(
+def _among(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """rows and anchors together: __anchor is an anchor's value, __is 1 for anchors, which stand before rows of the same key."""
+    return rows.withColumn("__anchor", F.lit(None).cast(anchors.schema[value].dataType)).withColumn("__is", F.lit(0)).unionByName(
         anchors.select(*by, key, F.col(value).alias("__anchor")).withColumn("__is", F.lit(1)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(F.col(key), F.desc("__is"))
-    last = F.last("__anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    top = F.max(F.when(F.col("__is") == 1, F.col(key))).over(Window.partitionBy(*by))
-    out = both.withColumn("__last", last).withColumn("__top", top).where("__is = 0")
-    return out.withColumn(name, F.when(F.col(key) <= F.col("__top"), F.col("__last"))).drop("__anchor", "__is", "__last", "__top")
 
 
-def bracketed(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "bracketed") -> DataFrame:
+def as_of(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "as_of", most: int = MOST) -> DataFrame:
+    """rows with name: the value of the group's greatest anchor at or below key, null below the least; beyond the greatest anchor too: no extrapolation."""
+    anchor = F.col("__is") == 1
+    # an anchor's own value may be null, so that there is one is told apart
+    lasts = {"__last": F.col("__anchor"), "__at": F.when(anchor, F.col(key))}
+    out = running(_among(rows, anchors, by, key, value), by, [F.col(key), F.desc("__is")], lasts=lasts, nexts={"__more": F.when(anchor, True)}, most=most).where("__is = 0")
+    return out.withColumn(name, F.when(F.col("__more") | (F.col("__at") == F.col(key)), F.col("__last"))).drop("__anchor", "__is", "__last", "__more", "__at")
+
+
+def bracketed(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "bracketed", most: int = MOST) -> DataFrame:
     """rows with name: the nearest anchors' value if those at or below and at or above key agree, else null."""
-    both = rows.withColumn("__anchor", F.lit(None).cast(anchors.schema[value].dataType)).withColumn("__is", F.lit(0)).unionByName(
-        anchors.select(*by, key, F.col(value).alias("__anchor")).withColumn("__is", F.lit(1)), allowMissingColumns=True
-    )
-    up, down = (Window.partitionBy(*by).orderBy(o, F.desc("__is")) for o in (F.asc(key), F.desc(key)))
-    seen = lambda w: F.last("__anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__below", seen(up)).withColumn("__above", seen(down)).where("__is = 0")
-    return out.withColumn(name, F.when(F.col("__below") == F.col("__above"), F.col("__below"))).drop("__anchor", "__is", "__below", "__above")
+    order, anchor = [F.col(key), F.desc("__is")], F.col("__is") == 1
+    out = running(_among(rows, anchors, by, key, value), by, order, lasts={"__below": F.col("__anchor"), "__at": F.when(anchor, F.struct(F.col(key).alias("k"), F.col("__anchor").alias("v")))}, nexts={"__above": F.col("__anchor")}, most=most).where("__is = 0")
+    above = F.when(F.col("__at.k") == F.col(key), F.coalesce(F.col("__at.v"), F.col("__above"))).otherwise(F.col("__above"))
+    return out.withColumn(name, F.when(F.col("__below") == above, F.col("__below"))).drop("__anchor", "__is", "__below", "__at", "__above")
 
 
 def nearest(rows: DataFrame, targets: DataFrame, by: list[str], at: str, window: int, target: str) -> DataFrame:
@@ -120,18 +122,21 @@ def greedy_leaves(groups: DataFrame, old: str, new: str, ahead: int = 25) -> Dat
     return groups.withColumn("leaves", F.aggregate(F.col(old), start, step, lambda acc: acc["leaves"]))
 
 
-def gap_fill(old: DataFrame, new: DataFrame, anchors: DataFrame, by: list[str], at: str, label: str) -> DataFrame:
+def gap_fill(old: DataFrame, new: DataFrame, anchors: DataFrame, by: list[str], at: str, label: str, most: int = MOST) -> DataFrame:
     """Rows between consecutive anchors whose gaps are of one length, matched by place if their labels agree.
 
-    anchors: by, old_at, new_at. Returns by, old_at, new_at, label.
+    anchors: by, old_at, new_at. Returns by, old_at, new_at, label. A row finds its gap in
+    one ordered pass, so gaps may be of any width.
     """
-    w = Window.partitionBy(*by).orderBy("old_at")
-    gaps = anchors.withColumns({"next_old": F.lead("old_at").over(w), "next_new": F.lead("new_at").over(w)})
-    gaps = gaps.where((F.col("next_old") - F.col("old_at") == F.col("next_new") - F.col("new_at")) & (F.col("next_old") - F.col("old_at") > 1))
-    places = gaps.select(*by, F.explode(F.sequence(F.lit(1), F.col("next_old") - F.col("old_at") - 1)).alias("i"), "old_at", "new_at").select(*by, (F.col("old_at") + F.col("i")).alias("old_at"), (F.col("new_at") + F.col("i")).alias("new_at"))
-    o = old.select(*by, F.col(at).alias("old_at"), label)
+    from .joins import containing
+
+    gaps = running(anchors.select(*by, "old_at", "new_at"), by, [F.col("old_at")], shifts={"__next_old": (F.col("old_at"), -1), "__next_new": (F.col("new_at"), -1)}, most=most)
+    gaps = gaps.where(F.col("__next_old") - F.col("old_at") == F.col("__next_new") - F.col("new_at"))
+    spans = gaps.select(*by, (F.col("old_at") + 1).alias("__start"), F.col("__next_old").alias("__end"), (F.col("new_at") - F.col("old_at")).alias("__shift"))
+    o = containing(old.select(*by, F.col(at).alias("old_at"), label), spans, by, "old_at", "__start", "__end", ["__shift"], most).where("__shift IS NOT NULL")
     n = new.select(*by, F.col(at).alias("new_at"), F.col(label).alias("__label"))
-    return places.join(o, [*by, "old_at"]).join(n, [*by, "new_at"]).where(F.col(label) == F.col("__label")).select(*by, "old_at", "new_at", label)
+    moved = o.withColumn("new_at", F.col("old_at") + F.col("__shift"))
+    return moved.join(n, [*by, "new_at"]).where(F.col(label) == F.col("__label")).select(*by, "old_at", "new_at", label)
 
 
 def one_to_one(candidates: DataFrame, by: list[str], schema: str) -> DataFrame:

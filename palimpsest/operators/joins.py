@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import MOST, running
 from .staged import staged
 
 
@@ -26,7 +27,7 @@ def present_or_parent(requested: DataFrame, value: str, seen: DataFrame, parent:
     return both.withColumn("found_by", by).where("found_by IS NOT NULL").select(*requested.columns, "found_by")
 
 
-def containing(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, names: list[str]) -> DataFrame:
+def containing(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, names: list[str], most: int = MOST) -> DataFrame:
     """points with names from the interval of their group that holds them (start inclusive, end exclusive), null without one.
 
     Intervals of a group don't overlap: the last start at or below a point is found in one ordered pass.
@@ -35,8 +36,7 @@ def containing(points: DataFrame, intervals: DataFrame, by: list[str], at: str,
     both = points.withColumns({"__i": F.lit(None).cast(intervals.select(own.alias("x")).schema["x"].dataType), "__is": F.lit(0)}).unionByName(
         intervals.select(*by, F.col(start).alias(at), own.alias("__i"), F.lit(1).alias("__is")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(F.col(at), F.desc("__is")).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__last", F.last("__i", ignorenulls=True).over(w)).where("__is = 0")
+    out = running(both, by, [F.col(at), F.desc("__is")], lasts={"__last": F.col("__i")}, most=most).where("__is = 0")
     inside = F.col(at) < F.col("__last.e")
     return out.select(*points.columns, *(F.when(inside, F.col(f"__last.{n}")).alias(n) for n in names))
 
