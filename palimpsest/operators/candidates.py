@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .context import line_similarity
+from .similarity import bag, band, bound, common, line_similarity
+from .staged import staged
 
 #: Shares of the line and of its near and wide context in a score, bonuses for an equal signature, an equal depth and shared anchors, and bounds.
 LINE, NEAR, WIDE = 0.25, 0.45, 0.20
@@ -33,37 +34,62 @@ def by_path(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.where(F.size("path") > 0).select("name", "file", "path").join(held, ["file", "path"]).select("name", "new_value", "n")
 
 
-def by_context(old: DataFrame, new: DataFrame, signature, distance: Column, steps: list[tuple[int, float]]) -> DataFrame:
-    """Candidates of a line's context: name, value, confidence, line_no.
+def context_scores(old: DataFrame, new: DataFrame, signature, distance: Column, steps: list[tuple[int, float]]) -> DataFrame:
+    """a, b and confidence: the ids of old and new rows whose contexts are alike.
 
-    Both: file, kind, value, line, near and wide (the lines around, masked and joined), assigns, returns, bare (the value is a
-    root alone); old: name and anchors (array), new: line_no and tokens (array) as well. Lines are compared within a file
+    Both: id, file, kind, value, line, near and wide (the lines around, masked and joined), assigns, returns, bare (the value is a
+    root alone); old: anchors (array), new: tokens (array) as well. Lines are compared within a file
     and kind, if the statement is of the same kind and, where the old context has anchors, one is
-    shared: pairs come from a join by anchor, never from all lines. signature: a function of a value's column;
+    shared. Pairs come from a join by anchor; without anchors, from one by the class of the line's length
+    or by the signature. signature: a function of a value's column;
     distance: between the roots a.value and b.value; steps: its bonus. A score is capped at MOST; below LEAST it is
     no candidate, nor is a line less alike than LEAST_LINE with another signature.
+
+    Ids meet, texts come back for those that the guards leave. Then bounds from lengths and characters prune, first the
+    line's, then the score's; only what they leave is matched, the line first, and the contexts where the line's
+    own similarity still allows the score.
     """
-    a = old.select(*(F.col(c).alias(f"a_{c}") for c in old.columns))
-    b = new.select(*(F.col(c).alias(f"b_{c}") for c in new.columns)).withColumn("__b", F.xxhash64("b_file", "b_line_no", "b_value"))
+    own = ["id", "file", "kind", "value", "assigns", "returns", "bare", F.length("line").alias("n"), signature(F.col("value")).alias("sig")]
+    a = staged(old.select(*own, F.array_distinct("anchors").alias("anchors")))
+    b = staged(new.select(*own, F.array_distinct("tokens").alias("tokens")))
+    left = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns))
+    right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns if c != "tokens"))
     same = (F.col("a_file") == F.col("b_file")) & (F.col("a_kind") == F.col("b_kind"))
-    anchored = a.where(F.size("a_anchors") > 0).withColumn("__t", F.explode("a_anchors"))
-    met = anchored.join(b.withColumn("__t", F.explode(F.array_distinct("b_tokens"))).withColumnRenamed("__t", "__u"), same & (F.col("__t") == F.col("__u"))).drop("__t", "__u")
-    shared = met.groupBy(*a.columns, *(c for c in b.columns if c != "b_tokens")).agg(F.count("*").alias("hits"))
-    free = a.where(F.size("a_anchors") == 0).join(b.drop("b_tokens"), same).withColumn("hits", F.lit(0).cast("long"))
-    pairs = shared.unionByName(free.select(*shared.columns))
     guards = (~F.col("a_assigns") | F.col("b_assigns")) & (~F.col("a_returns") | F.col("b_returns")) & (~F.col("a_bare") | F.col("b_bare"))
-    equal = signature(F.col("a_value")) == signature(F.col("b_value"))
+
+    tokens = b.select(F.col("file").alias("t_file"), F.col("kind").alias("t_kind"), F.col("id").alias("t_id"), F.explode("tokens").alias("t"))
+    asked = left.where(F.size("a_anchors") > 0).select("a_id", "a_file", "a_kind", F.size("a_anchors").alias("anchors"), F.explode("a_anchors").alias("t"))
+    hits = asked.join(tokens, (F.col("a_file") == F.col("t_file")) & (F.col("a_kind") == F.col("t_kind")) & (asked["t"] == tokens["t"])).groupBy("a_id", F.col("t_id").alias("b_id")).agg((F.count("*") / F.max("anchors")).alias("share"))
+    plain = left.where(F.size("a_anchors") == 0)
+    by_length = plain.withColumn("band", F.explode(F.array(*(band(F.col("a_n"), LEAST_LINE) + i for i in (-1, 0, 1))))).join(right.withColumn("__band", band(F.col("b_n"), LEAST_LINE)), same & (F.col("band") == F.col("__band")))
+    by_form = plain.join(right, same & (F.col("a_sig") == F.col("b_sig")))
+    free = by_length.select("a_id", "b_id").unionByName(by_form.select("a_id", "b_id")).distinct().withColumn("share", F.lit(0.0))
+
+    met = hits.unionByName(free).join(left.drop("a_anchors"), "a_id").join(right, "b_id").where(guards)
+    texts = lambda df, x: df.select(F.col("id").alias(f"{x}_id"), *(c for t in ("line", "near", "wide") for c in (F.col(t).alias(f"{x}_{t}"), bag(t).alias(f"{x}_{t}_bag"))))
+    met = met.join(texts(old, "a"), "a_id").join(texts(new, "b"), "b_id")
+    limit = lambda t: bound(common(f"a_{t}_bag", f"b_{t}_bag"), F.length(f"a_{t}"), F.length(f"b_{t}"))
+    equal = F.col("a_sig") == F.col("b_sig")
     depth = lambda v: F.regexp_count(v, F.lit(r"\.f_"))
-    line = line_similarity("a_line", "b_line")
-    told = pairs.where(guards).withColumn("__line", line).where((F.col("__line") >= LEAST_LINE) | equal)
-    share = F.least(F.col("hits") / F.greatest(F.size("a_anchors"), F.lit(1)), F.lit(1.0))
-    score = (
-        LINE * F.col("__line") + NEAR * line_similarity("a_near", "b_near") + WIDE * line_similarity("a_wide", "b_wide")
-        + F.when(equal, SIGNATURE).otherwise(0.0) + F.when(depth(F.col("a_value")) == depth(F.col("b_value")), DEPTH).otherwise(0.0)
-        + ANCHORS * share + text.proximity(distance, F.lit(0), steps)
-    )
-    out = told.select(F.col("a_name").alias("name"), F.col("b_value").alias("value"), F.round(F.least(score, F.lit(MOST)), 6).alias("confidence"), F.col("b_line_no").alias("line_no"))
-    return out.where(F.col("confidence") >= LEAST).groupBy("name", "value").agg(F.max("confidence").alias("confidence"), F.min_by("line_no", -F.col("confidence")).alias("line_no"))
+    bonus = F.when(equal, SIGNATURE).otherwise(0.0) + F.when(depth(F.col("a_value")) == depth(F.col("b_value")), DEPTH).otherwise(0.0) + ANCHORS * F.least("share", F.lit(1.0)) + text.proximity(distance, F.lit(0), steps)
+    slack = 1e-6  # similarities are rounded to six places
+    told = met.withColumns({"equal": equal, "bonus": bonus, "line_most": limit("line"), "near_most": limit("near"), "wide_most": limit("wide")})
+    told = told.where((F.col("line_most") >= LEAST_LINE - slack) | F.col("equal")).where(F.col("bonus") + LINE * F.col("line_most") + NEAR * F.col("near_most") + WIDE * F.col("wide_most") >= LEAST - slack)
+    told = told.withColumn("line", line_similarity("a_line", "b_line")).where((F.col("line") >= LEAST_LINE) | F.col("equal"))
+    told = told.where(F.col("bonus") + LINE * F.col("line") + NEAR * F.col("near_most") + WIDE * F.col("wide_most") >= LEAST - slack)
+    told = told.withColumn("near", line_similarity("a_near", "b_near")).where(F.col("bonus") + LINE * F.col("line") + NEAR * F.col("near") + WIDE * F.col("wide_most") >= LEAST - slack)
+    score = F.col("bonus") + LINE * F.col("line") + NEAR * F.col("near") + WIDE * line_similarity("a_wide", "b_wide")
+    out = told.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(F.least(score, F.lit(MOST)), 6).alias("confidence"))
+    return out.where(F.col("confidence") >= LEAST)
+
+
+def by_context(old: DataFrame, new: DataFrame, signature, distance: Column, steps: list[tuple[int, float]]) -> DataFrame:
+    """Candidates of a line's context: name, value, confidence, line_no; see context_scores, whose columns but id both sides have, old name and new line_no as well."""
+    a = old.withColumn("id", F.xxhash64("name", "file", "value", "line"))
+    b = new.withColumn("id", F.xxhash64("file", "line_no", "value"))
+    told = context_scores(a, b, signature, distance, steps)
+    out = told.join(a.select(F.col("id").alias("a"), "name"), "a").join(b.select(F.col("id").alias("b"), "value", "line_no"), "b")
+    return out.groupBy("name", "value").agg(F.max("confidence").alias("confidence"), F.min_by("line_no", F.struct(-F.col("confidence"), "line_no")).alias("line_no"))
 
 
 def ranked(candidates: DataFrame, name: str, reasons: list[str], distance: Column) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .staged import staged
 
@@ -50,25 +48,19 @@ def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str
     return met.groupBy(*by, old_key, new_key).agg(F.sum(F.least("na", "nb") / F.col("f")).alias("__s")).withColumn("score", F.round(F.col("__s") + bonus, 6)).drop("__s")
 
 
-@F.pandas_udf(T.DoubleType())
-def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two strings, to six places; the built-in edit distance isn't equivalent."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([None if x is None or y is None else round(SequenceMatcher(None, x, y).ratio(), 6) for x, y in zip(a, b)])
-
-
 def merge_candidates(candidates: DataFrame, key: str, value: str) -> DataFrame:
-    """candidates: key, value, confidence, reason, source_rank. One row per key and value: the best confidence with a bonus for further mentions, all reasons.
+    """candidates: key, value, confidence, reason, source_rank, and place, by which they came. One row per key and value: the best confidence with a bonus for further mentions, at most 1, and all reasons as they came.
 
     Numbered by rank: confidence, then the source's rank, then the value.
     """
     from pyspark.sql import Window
 
-    merged = candidates.groupBy(key, value).agg(
-        F.round(F.max("confidence") + 0.02 * F.least(F.count("*") - 1, F.lit(3)), 6).alias("confidence"),
-        F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"),
+    # first by reason, so that no value's mentions are gathered
+    of_reason = candidates.groupBy(key, value, "reason").agg(F.max("confidence").alias("confidence"), F.min("source_rank").alias("source_rank"), F.min("place").alias("place"), F.count("*").alias("mentions"))
+    merged = of_reason.groupBy(key, value).agg(
+        F.round(F.least(F.max("confidence") + 0.02 * F.least(F.sum("mentions") - 1, F.lit(3)), F.lit(1.0)), 6).alias("confidence"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda x: x["reason"]), "; ").alias("reason"),
         F.min("source_rank").alias("source_rank"),
-        F.count("*").alias("mentions"),
+        F.sum("mentions").alias("mentions"),
     )
     return merged.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "source_rank", value)))
