@@ -48,6 +48,53 @@ def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str
     return met.groupBy(*by, old_key, new_key).agg(F.sum(F.least("na", "nb") / F.col("f")).alias("__s")).withColumn("score", F.round(F.col("__s") + bonus, 6)).drop("__s")
 
 
+def best_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, new_key: str, near: bool = False, places: int = 6, first: int = 16) -> DataFrame:
+    """by, old_key, new_key, score: of all that share a token with an old row, that of the greatest multiset_overlap, the least new_key of several.
+
+    old, new: by, key, token, n; a key's tokens are distinct. Tokens are met rare ones first: those in at most first rows of new
+    within by, then in at most first times as many, and so on. Each new row met has a part of its score; what all
+    tokens to come could add to one not yet met is known from old alone. Where that is less than the best part, no more are met: those
+    that may still win get the rest of their score, by their own tokens. So a token that all rows hold makes
+    pairs only where nothing rarer decides. The score is that of multiset_overlap, and the choice the same.
+    """
+    keys = [*by, old_key]
+    freq = new.groupBy(*by, "token").agg(F.count("*").alias("f"))
+    a = staged(old.select(*keys, "token", F.col("n").alias("na")).join(freq, [*by, "token"]))
+    b = new.select(*by, new_key, "token", F.col("n").alias("nb"))
+    slack = 2 * 10.0**-places + (0.001 if near else 0.0)
+    part = F.sum(F.least("na", "nb") / F.col("f"))
+    most = a.agg(F.max("f")).first()[0] or 0
+    active, met, done = a.select(*keys).distinct(), None, []
+    low, high = 0, first
+    while True:
+        last = high >= most
+        asked = a.join(active, keys, "left_semi")
+        pairs = asked.where((F.col("f") > low) & (F.col("f") <= high)).join(b, [*by, "token"]).groupBy(*keys, new_key).agg(part.alias("part"))
+        if met is not None:
+            pairs = pairs.unionByName(met.join(active, keys, "left_semi")).groupBy(*keys, new_key).agg(F.sum("part").alias("part"))
+        met = staged(pairs)
+        rest = asked.where(F.col("f") > high).groupBy(*keys).agg(F.sum(F.col("na") / F.col("f")).alias("rest"))
+        told = met.groupBy(*keys).agg(F.max("part").alias("best")).join(rest, keys, "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+        ended = told if last else told.where(F.col("rest") + slack < F.col("best"))
+        ended = staged(ended)
+        left = met.join(ended, keys).where(F.col("part") + F.col("rest") + slack >= F.col("best")).select(*keys, new_key, "part")
+        more = left.join(a.where(F.col("f") > high), keys).join(b, [*by, new_key, "token"]).groupBy(*keys, new_key).agg(part.alias("part"))
+        done.append(staged(left.unionByName(more).groupBy(*keys, new_key).agg(F.sum("part").alias("part"))))
+        if last:
+            break
+        active = staged(active.join(ended, keys, "left_anti"))
+        low, high = high, high * first
+        if active.isEmpty():
+            break
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    bonus = 0.001 / (1 + F.abs(F.col(old_key) - F.col(new_key))) if near else F.lit(0.0)
+    scored = every.withColumn("score", F.round(F.col("part") + bonus, places))
+    best = F.min_by(F.struct(new_key, "score"), F.struct((-F.col("score")).alias("s"), F.col(new_key).alias("k")))
+    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
 def merge_candidates(candidates: DataFrame, key: str, value: str) -> DataFrame:
     """candidates: key, value, confidence, reason, source_rank, and place, by which they came. One row per key and value: the best confidence with a bonus for further mentions, at most 1, and all reasons as they came.
 

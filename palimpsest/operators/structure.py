@@ -92,6 +92,18 @@ def resolve_arrays(entries: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     return j.select(*entries.columns, "new_root", F.coalesce("ns", "stride").alias("new_stride"), F.when(F.col("new_root").isNotNull(), moved).alias("new_leaf"), "phase")
 
 
+def aligned_fields(old: DataFrame, new: DataFrame, gap: int = 64, reach: int = 1200) -> DataFrame:
+    """base, field, new_field: runs of old fields, cut where neighbours lie over gap apart, each moved by the shift below reach that meets most of new's fields; those that meet one."""
+    o = islands(old.select("base", "field").distinct(), ["base"], "field", gap).withColumn("run", F.concat_ws("|", "base", "island"))
+    width = F.lit(reach)
+    span = o.groupBy("base", "run").agg(F.min("field").alias("lo"), F.max("field").alias("hi"))
+    span = span.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") + reach) / width))))
+    n = new.select("base", "field").distinct().withColumn("b", F.floor(F.col("field") / width))
+    near = n.join(span, ["base", "b"]).where((F.col("field") >= F.col("lo")) & (F.col("field") < F.col("hi") + reach)).select("run", "field")
+    moved = align.aligned(o.select("run", "field"), near, ["run"], "field", reach)
+    return moved.join(o.select("base", "run", "field"), ["run", "field"]).select("base", "field", F.col("new_key").alias("new_field"))
+
+
 def resolve_scalars(entries: DataFrame, old: DataFrame, new: DataFrame, anchors: DataFrame, gap: int = 64, reach: int = 1200) -> DataFrame:
     """entries (name, base, field) that can be told: name, new_field and phase.
 
@@ -99,13 +111,7 @@ def resolve_scalars(entries: DataFrame, old: DataFrame, new: DataFrame, anchors:
     the shift that meets most of new's fields, and the image isn't the field itself. bracketed: the anchors (base, field, shift)
     next below and above agree on a shift; nothing is told beyond them.
     """
-    o = islands(old.select("base", "field").distinct(), ["base"], "field", gap).withColumn("run", F.concat_ws("|", "base", "island"))
-    width = F.lit(reach)
-    span = o.groupBy("base", "run").agg(F.min("field").alias("lo"), F.max("field").alias("hi"))
-    span = span.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") + reach) / width))))
-    n = new.select("base", "field").distinct().withColumn("b", F.floor(F.col("field") / width))
-    near = n.join(span, ["base", "b"]).where((F.col("field") >= F.col("lo")) & (F.col("field") < F.col("hi") + reach)).select("run", "field")
-    moved = align.aligned(o.select("run", "field"), near, ["run"], "field", reach).join(o.select("base", "run", "field"), ["run", "field"]).select("base", "field", F.col("new_key").alias("__moved"))
+    moved = aligned_fields(old, new, gap, reach).withColumnRenamed("new_field", "__moved")
     known = anchors.groupBy("base", "field").agg(F.min("shift").alias("shift"))
     asked = entries.select("base", "field").distinct().join(known.select("base", "field"), ["base", "field"], "left_anti")
     between = align.bracketed(asked, known, ["base"], "field", "shift", "__shift").where("__shift IS NOT NULL")

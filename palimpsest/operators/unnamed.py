@@ -70,10 +70,15 @@ def by_initializer(entries: DataFrame, lines: DataFrame, confidence: float = 0.9
 
 
 def by_switch(entries: DataFrame, lines: DataFrame, anch: DataFrame, confidence: float = 0.9) -> DataFrame:
-    """A switch over the variable whose body shares most rare anchors; the least of several."""
-    over = r"switch \([a-z]*Local_([0-9]+)\)"
-    heads = lines.where(F.col("line").rlike(over)).select("version", "file", F.col("line_no").alias("at"), F.regexp_extract("line", over, 1).cast("long").alias("var"))
-    body = within(heads, anch.select("version", "file", F.col("line_no").alias("al"), "anchor", "freq"), ["version", "file"], "at", "al", 0, SWITCH_LINES)
+    """A switch over the variable, or over a field or call of it, whose body shares most rare anchors; the least of several.
+
+    An old switch is one of each variable in its parentheses, a new one of the last.
+    """
+    over = r"switch \(([^)]*)"
+    inside = F.regexp_extract_all(F.regexp_extract("line", over, 1), F.lit(VARIABLE), F.lit(1))
+    found = lines.where(F.col("line").rlike(over)).select("version", "file", F.col("line_no").alias("at"), inside.alias("vars")).where(F.size("vars") > 0)
+    heads = found.select("version", "file", "at", F.explode(F.when(F.col("version") == "old", F.array_distinct("vars")).otherwise(F.array(F.element_at("vars", -1)))).alias("v")).withColumn("var", F.col("v").cast("long")).drop("v")
+    body = within(heads, anch.select("version", "file", F.col("line_no").alias("al"), "anchor", "freq"), ["version", "file"], "at", "al", 0, SWITCH_LINES).where("al > at")
     marks = body.groupBy("version", "file", "var", "anchor").agg(F.min("freq").alias("freq"))
     old = marks.where("version = 'old'").select("file", "anchor", F.col("var").alias("value"), "freq")
     new = marks.where("version = 'new'").select("file", "anchor", F.col("var").alias("new_var"))
@@ -109,6 +114,62 @@ def resolve_variables(entries: DataFrame, lines: DataFrame, pattern: str = VARIA
     )
 
 
+#: A field of a variable, and what it is compared with or set to.
+_ACCESS = r"\b[a-z]*Local_([0-9]+)\.f_([0-9]+)\b(?:\s*(==|!=|<=|>=|=|<|>)\s*(-?[0-9]+))?"
+
+
+def field_accesses(lines: DataFrame) -> DataFrame:
+    """version, file, container, field, tokens: each field of a variable where it stands, with what marks the place: the number it meets, a switch before it, the line's calls and strings."""
+    part = lambda i: F.regexp_extract_all("line", F.lit(_ACCESS), F.lit(i))
+    found = lines.where(F.col("line").rlike(_ACCESS)).select("version", "file", "line", F.split("line", _ACCESS, -1).alias("pieces"), F.posexplode(F.arrays_zip(part(1).alias("c"), part(2).alias("f"), part(3).alias("op"), part(4).alias("n"))).alias("i", "z"))
+    before = F.array_join(F.slice("pieces", F.lit(1), F.col("i") + 1), "")
+    calls = F.transform(F.regexp_extract_all("line", F.lit(r"([A-Za-z_]+::[A-Za-z_]+)"), F.lit(1)), lambda x: F.concat(F.lit("nat:"), x))
+    texts = F.transform(F.regexp_extract_all("line", F.lit(r'"([^"]{3,})"'), F.lit(1)), lambda x: F.concat(F.lit("str:"), x))
+    own = F.filter(F.array(F.when(F.col("z.n") != "", F.concat(F.lit("op"), "z.op", "z.n")), F.when(F.contains(before, F.lit("switch (")), "#switch")), lambda x: x.isNotNull())
+    return found.select("version", "file", F.col("z.c").cast("long").alias("container"), F.col("z.f").cast("long").alias("field"), F.concat(own, calls, texts).alias("tokens"))
+
+
+def field_signatures(accesses: DataFrame) -> DataFrame:
+    """version, file, container, field, token, n: how often each token marks a field."""
+    return accesses.select("version", "file", "container", "field", F.explode("tokens").alias("token")).groupBy("version", "file", "container", "field", "token").agg(F.count("*").alias("n"))
+
+
+def resolve_struct_fields(entries: DataFrame, lines: DataFrame, containers: DataFrame, reach: int = 2000) -> DataFrame:
+    """entries (name, file, value: a field's number) with container (the old variable), new_value and method; null where nothing tells.
+
+    containers: file, container, new_container, ord: variables that are told already. A field's container is found among them: that
+    with most direct accesses to the field, in the order of ord where equal, and the next one if it tells nothing: by alignment of
+    all fields and by what marks the accesses where both agree, else by alignment, else by the marks, else by the step of the next aligned field below.
+    Without any direct access, by the first container's step that tells one. Steps end at the highest aligned field.
+    """
+    from . import align
+    from .context import best_overlap
+    from .staged import staged
+    from .structure import aligned_fields
+
+    acc = staged(field_accesses(lines))
+    pairs = staged(containers.select("file", "container", "new_container", "ord", F.concat_ws("|", "file", "container", "new_container").alias("base")))
+    old = acc.where("version = 'old'").join(pairs, ["file", "container"])
+    new = acc.where("version = 'new'").join(pairs.drop("container"), (acc["file"] == pairs["file"]) & (acc["container"] == F.col("new_container")))
+    direct = old.groupBy("base", "field").agg(F.count("*").alias("uses"))
+    moved = staged(aligned_fields(old.select("base", "field"), new.select("base", "field"), 64, reach))
+
+    asked = entries.join(pairs, "file").join(direct.withColumnRenamed("field", "value"), ["base", "value"], "left")
+    marks = lambda df, k: df.select("base", F.col("field").alias(k), F.explode("tokens").alias("token")).groupBy("base", k, "token").agg(F.count("*").alias("n"))
+    wanted = asked.where("uses > 0").select("base", F.col("value").alias("field")).distinct()
+    met = best_overlap(marks(old.join(wanted, ["base", "field"], "left_semi"), "o"), marks(new, "w"), ["base"], "o", "w", near=True).select("base", F.col("o").alias("value"), F.col("w").alias("__context"))
+    steps = align.as_of(asked.select("base", F.col("value").alias("field")).distinct(), moved.withColumn("shift", F.col("new_field") - F.col("field")), ["base"], "field", "shift")
+    stepped = steps.where("as_of IS NOT NULL").select("base", F.col("field").alias("value"), (F.col("field") + F.col("as_of")).alias("__step"))
+
+    j = asked.join(moved.select("base", F.col("field").alias("value"), F.col("new_field").alias("__aligned")), ["base", "value"], "left").join(met, ["base", "value"], "left").join(stepped, ["base", "value"], "left")
+    used = F.col("uses") > 0
+    method = F.when(used & (F.col("__aligned") == F.col("__context")), "agreed").when(used & F.col("__aligned").isNotNull(), "aligned").when(used & F.col("__context").isNotNull(), "context").when(F.col("__step").isNotNull(), "step")
+    told = j.withColumn("method", method).withColumn("new_value", F.when(F.col("method") == "step", F.col("__step")).when(F.col("method").isNotNull(), F.coalesce("__aligned", "__context")))
+    order = F.struct(F.coalesce(-F.col("uses"), F.lit(0)).alias("u"), "ord", "container")
+    best = told.groupBy("name").agg(F.min_by(F.struct("container", "new_value", "method"), F.when(F.col("new_value").isNotNull(), order)).alias("b"))
+    return entries.join(best, "name", "left").select(*entries.columns, "b.container", "b.new_value", "b.method")
+
+
 def resolve_fields(entries: DataFrame, aligned: DataFrame, contextual: DataFrame, stepped: DataFrame) -> DataFrame:
     """entries: name, value. By alignment and context where both agree, else alignment, else context, else the step function; each: value, new_value."""
     j = entries
