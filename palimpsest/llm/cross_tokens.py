@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices, chunked, discard, hold, small_batches, stored
 
 #: Bytes of text in a block, if more than one document; salts of the first stage; chunks that go to a library at once.
-BLOCK_BYTES, SALTS, GROUP = 16 << 20, 16, 20_000
+BLOCK_BYTES, SALTS, GROUP = 8 << 20, 16, 10_000
 BLANK = "▁"
 
 
@@ -57,7 +57,8 @@ class Alignment:
 
     def __init__(self, lengths_a: np.ndarray, lengths_b: np.ndarray, whole_groups: bool = False):
         ends_a, ends_b = np.cumsum(lengths_a), np.cumsum(lengths_b)
-        self.cuts = np.intersect1d(ends_a, ends_b)
+        # ends ascend, and repeat only where a token is empty
+        self.cuts = np.intersect1d(ends_a, ends_b, assume_unique=bool((lengths_a > 0).all() and (lengths_b > 0).all()))
         self.group_a, self.group_b = (np.searchsorted(self.cuts, e, side="left") for e in (ends_a, ends_b))
         some_a, some_b = np.arange(len(ends_a)), np.arange(len(ends_b))
         if not whole_groups:
@@ -77,10 +78,23 @@ def _bytes_of_characters() -> dict[str, int]:
     return {chr(b if b in visible else next(hidden)): b for b in range(256)}
 
 
+class _Grown:
+    """A flat array that grows."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Aligner:
-    """Aligns texts by two tokenizers; keeps what became of chunks, max_chunks at most between blocks."""
+    """Aligns texts by two tokenizers; keeps what became of chunks in flat arrays, max_chunks at most between blocks."""
 
-    def __init__(self, definition: str, model: bytes, whole_groups: bool = False, max_chunks: int = 200_000):
+    def __init__(self, definition: str, model: bytes, whole_groups: bool = False, max_chunks: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -98,59 +112,98 @@ class Aligner:
             raise ValueError("a piece reaches over a blank")
         self.bytes_b = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # an id's digits with what may follow them: a further token of its side, the other side, the next group
+        self.ids = max(len(self.bytes_a), len(self.bytes_b))
+        self.digits = [b"%d%c" % (i, c) for c in b",|;" for i in range(self.ids)]
+        self.digit_sizes = np.array([len(d) for d in self.digits], np.int64)
         self.whole_groups, self.max_chunks = whole_groups, max_chunks
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}  # a chunk without the blank that it starts with
-        self.numbers: list[tuple[int, int, int, int]] = []  # tokens of A and B, groups, links; tokens -1 where bytes differ
-        self.spelled: list[bytes] = []
-        self.pairs: list[np.ndarray] = []
+        #: per chunk: tokens of A (-1 where bytes differ), of B, groups, links; where its spelling and its links begin
+        self.numbers, self.spelled_at, self.pairs_at = (_Grown(np.int32), _Grown(np.int32), _Grown(np.int32), _Grown(np.int32)), _Grown(np.int64), _Grown(np.int64)
+        self.spelled, self.spelled_sizes, self.pairs = _Grown(np.uint8), _Grown(np.int32), _Grown(np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), GROUP):
-            self._learn(chunks[k : k + GROUP])
+        """Chunks that aren't known. Where the next one's blank follows a character other than white space, they are encoded joined; the others by themselves."""
+        plain = [c for c in chunks if c and not c[-1].isspace() and BLANK not in c]
+        rest = [c for c in chunks if not c or c[-1].isspace() or BLANK in c]
+        for k in range(0, len(plain), GROUP):
+            some = plain[k : k + GROUP]
+            text = " ".join(some)
+            data = (" " + text).encode()
+            a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+            b = np.array(self.b.encode(text, num_threads=1), np.int64)  # this library puts the blank in front
+            if self._bytes(a, b) == (data, data):
+                sizes = np.fromiter(map(len, some), np.int64, len(some)) if text.isascii() else np.array([len(c.encode()) for c in some], np.int64)
+                self._add(some, np.cumsum(sizes + 1), np.ones(len(some), bool), a, b)
+            else:
+                rest += some
+        for k in range(0, len(rest), GROUP):
+            self._learn_apart(rest[k : k + GROUP])
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _bytes(self, a: Sequence[int], b: Sequence[int]) -> tuple[bytes, bytes]:
+        return b"".join(map(self.bytes_a.__getitem__, a)), b"".join(map(self.bytes_b.__getitem__, b))
+
+    def _learn_apart(self, chunks: list[str]) -> None:
         data = [b" " + c.encode() for c in chunks]
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        # this library puts the blank in front, but of nothing; a blank alone is one piece
+        # the blank comes in front of something only; alone it is one piece
         ids_b = [b if c else [self.b.piece_to_id(BLANK)] for c, b in zip(chunks, self.b.encode(chunks, num_threads=1))]
-        same = [b"".join(map(self.bytes_a.__getitem__, a)) == d == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, d in zip(ids_a, ids_b, data)]
+        same = [self._bytes(a, b) == (d, d) for a, b, d in zip(ids_a, ids_b, data)]
         real = [i for i, s in enumerate(same) if s]
-        a = np.array([x for i in real for x in ids_a[i]], np.int64)
-        b = np.array([x for i in real for x in ids_b[i]], np.int64)
+        flat = (np.array([x for i in real for x in ids[i]], np.int64) for ids in (ids_a, ids_b))
+        self._add(chunks, np.cumsum([len(data[i]) for i in real]), np.array(same, bool), *flat)
+
+    def _add(self, chunks: list[str], ends: np.ndarray, same: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Chunks, of which those that are the same have these ends and tokens."""
         found = Alignment(self.lengths_a[a], self.lengths_b[b], self.whole_groups)
         # a chunk's end is a cut, so groups and links lie within chunks
-        ends = np.cumsum([len(data[i]) for i in real])
         groups = np.searchsorted(found.cuts, ends, side="left") + 1
         links = np.searchsorted(found.at, groups, side="left")
-        codes = a[found.left] << 32 | b[found.right]
-        spelled = self._spelled(a, b, found)
-        group = link = 0
-        places = iter(zip(groups.tolist(), links.tolist()))
-        for i, c in enumerate(chunks):
-            self.known[c] = len(self.numbers)
-            if same[i]:
-                to_group, to_link = next(places)
-                self.numbers.append((len(ids_a[i]), len(ids_b[i]), to_group - group, to_link - link))
-                self.spelled.append(b";".join(spelled[group:to_group]))
-                self.pairs.append(codes[link:to_link])
-                group, link = to_group, to_link
-            else:
-                self.numbers.append((-1, -1, 0, 0))
-                self.spelled.append(b"")
-                self.pairs.append(codes[:0])
-
-    @staticmethod
-    def _spelled(a: np.ndarray, b: np.ndarray, found: Alignment) -> list[bytes]:
-        """Each group as a1,a2|b1,b2."""
-        sides = []
-        for ids, of in ((a, found.group_a), (b, found.group_b)):
-            digits = list(map(str, ids.tolist()))
-            cut = np.searchsorted(of, np.arange(len(found.cuts) + 1), side="left").tolist()
-            sides.append([",".join(digits[lo:hi]) for lo, hi in zip(cut, cut[1:])])
-        return [f"{x}|{y}".encode() for x, y in zip(*sides)]
+        of_group = [np.bincount(g, minlength=len(found.cuts)) for g in (found.group_a, found.group_b)]
+        numbers = [np.diff(np.concatenate([[0], np.cumsum(n)])[groups], prepend=0) for n in of_group] + [np.diff(groups, prepend=0), np.diff(links, prepend=0)]
+        spelled, sizes = self._spelled(a, b, found)
+        spelled_ends = np.concatenate([[0], np.cumsum(sizes)])[groups]
+
+        def spread(values: np.ndarray, otherwise: int = 0) -> np.ndarray:
+            out = np.full(len(chunks), otherwise, np.int64)
+            out[same] = values
+            return out
+
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        for held, values, otherwise in zip(self.numbers, numbers, (-1, 0, 0, 0)):
+            held.add(spread(values, otherwise))
+        own_links, own_bytes = spread(numbers[3]), spread(np.diff(spelled_ends, prepend=0))
+        self.spelled_at.add(self.spelled.n + np.cumsum(own_bytes) - own_bytes)
+        self.pairs_at.add(self.pairs.n + np.cumsum(own_links) - own_links)
+        self.spelled_sizes.add(own_bytes)
+        self.spelled.add(np.frombuffer(spelled, np.uint8))
+        self.pairs.add(a[found.left] << 32 | b[found.right])
+
+    def _spelled(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> tuple[bytes, np.ndarray]:
+        """All groups as a1,a2|b1,b2; and each one's length."""
+        group = np.concatenate([found.group_a, found.group_b])
+        order = np.argsort(group * 2 + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        last = [np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (found.group_a, found.group_b)]
+        coded = np.concatenate([a + np.where(last[0], self.ids, 0), b + np.where(last[1], 2 * self.ids, 0)])[order]
+        sizes = np.bincount(group[order], weights=self.digit_sizes[coded], minlength=len(found.cuts)).astype(np.int64)
+        return b"".join(map(self.digits.__getitem__, coded.tolist())), sizes
+
+    def digest(self, chunks: np.ndarray) -> str:
+        """SHA-256 of a text's groups; empty without any."""
+        if not len(chunks):
+            return ""
+        out = hashlib.sha256()
+        for k in range(0, len(chunks), GROUP):
+            some = chunks[k : k + GROUP]
+            begin = self.spelled_at.held[some]
+            sizes = self.spelled_sizes.held[some]
+            at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            # what parts groups follows each of them, but for a text's last
+            out.update(self.spelled.held[at][: len(at) - (k + GROUP >= len(chunks))])
+        return out.hexdigest()
 
     def chunks(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's chunks; a text without any has none."""
@@ -161,7 +214,7 @@ class Aligner:
                 cut = [c[1:] for c in chunked(" " + t)[0]]
             parts.append(cut)
         self.learn(list({c for cut in parts for c in cut if c not in self.known}))
-        return [np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut)) for cut in parts]
+        return [np.fromiter(map(self.known.__getitem__, cut), np.int32, len(cut)) for cut in parts]
 
 
 @lru_cache(maxsize=1)
@@ -182,35 +235,29 @@ _BLOCK = "block bigint, ids array<{kind}>, n_a array<bigint>, n_b array<bigint>,
 
 def _block(number: int, ids: list, chunks: list[np.ndarray], known: Aligner, schema: pa.Schema) -> pa.RecordBatch:
     """A block's one row: its documents, their chunks as places among the block's, these chunks' links as places among the block's pairs, and each pair's count."""
-    flat = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
-    used, own = np.unique(flat, return_inverse=True)
-    used_list = used.tolist()
-    numbers = np.array([known.numbers[i] for i in used_list], np.int64).reshape(-1, 4)
+    flat = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
     sizes = np.array([len(c) for c in chunks], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     # a text with a chunk whose bytes differ has no tokens, and so no chunks
-    bad = _summed(numbers[own, 0] < 0, starts) > 0
+    bad = _summed(known.numbers[0].held[flat] < 0, starts) > 0
     if bad.any():
-        keep = ~np.repeat(bad, sizes)
-        flat, own, sizes = flat[keep], own[keep], np.where(bad, 0, sizes)
+        flat, sizes = flat[~np.repeat(bad, sizes)], np.where(bad, 0, sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-    sums = [_summed(numbers[own, k], starts).tolist() for k in range(4)]
-    shas = []
-    for lo, hi in zip(starts.tolist(), starts[1:].tolist()):
-        shas.append(hashlib.sha256(b";".join(map(known.spelled.__getitem__, flat[lo:hi].tolist()))).hexdigest() if hi > lo else "")
+    sums = [_summed(n.held[flat], starts).tolist() for n in known.numbers]
+    shas = [known.digest(flat[lo:hi]) for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
+    used = np.flatnonzero(np.bincount(flat, minlength=len(known.known)))
+    place = np.zeros(len(known.known), np.int32)
+    place[used] = np.arange(len(used))
+    own = place[flat]
     times = np.bincount(own, minlength=len(used)).astype(np.int64)
-    codes = np.concatenate([known.pairs[i] for i in used_list]) if used_list else np.zeros(0, np.int64)
-    n_links = numbers[:, 3]
-    pairs, links = np.unique(codes, return_inverse=True)
+    n_links = known.numbers[3].held[used].astype(np.int64)
+    at = np.repeat(known.pairs_at.held[used] - (np.cumsum(n_links) - n_links), n_links) + np.arange(int(n_links.sum()))
+    pairs, links = np.unique(known.pairs.held[at], return_inverse=True)
     counts = np.zeros(len(pairs), np.int64)
     np.add.at(counts, links, np.repeat(times, n_links))
     link_starts = np.concatenate([[0], np.cumsum(n_links)])
-    real = counts > 0  # of documents without tokens nothing counts
     packed = [x.astype("<u4").tobytes() for x in (starts, own, link_starts, links)]
-    row = [number, ids, *sums, shas, *packed, pairs[real], counts[real]]
-    # places of pairs that don't count are never asked for; the others move down
-    if not real.all():
-        row[-3] = np.where(real[links], (np.cumsum(real) - 1)[links], 0).astype("<u4").tobytes()
+    row = [number, ids, *sums, shas, *packed, pairs, counts]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
 
@@ -239,7 +286,7 @@ def blocks(df: DataFrame, definition: str, model: bytes, key: str, text: str, wh
                 if held and held + texts.nbytes > BLOCK_BYTES:
                     yield _block(first + n, ids, chunks, known, schema)
                     ids, chunks, held, n = [], [], 0, n + 1
-                    if len(known.numbers) > known.max_chunks:
+                    if len(known.known) > known.max_chunks:
                         known.forget()
                 chunks += known.chunks([t or "" for t in texts.to_pylist()])
                 ids += batch.column(0).slice(at, len(texts)).to_pylist()
@@ -247,7 +294,7 @@ def blocks(df: DataFrame, definition: str, model: bytes, key: str, text: str, wh
                 held += texts.nbytes
         if ids:
             yield _block(first + n, ids, chunks, known, schema)
-            if len(known.numbers) > known.max_chunks:
+            if len(known.known) > known.max_chunks:
                 known.forget()
 
     return rows.mapInArrow(run, _BLOCK.format(kind=kind))
@@ -289,29 +336,25 @@ def align(df: DataFrame, definition: str, model: bytes, key: str = "doc_id", tex
     """
     held = stored(blocks(df, definition, model, key, text, whole_groups), "aligned")
     totals = stored(pair_counts(held), "pair-totals")
-    asked = held.select("block", F.explode("pairs").alias("pair"))
-    told = asked.join(totals, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("t"))
-    told = told.select("block", F.col("t.n").alias("totals"), F.col("t.best").alias("bests"))
+    asked = held.select("block", F.explode("pairs").alias("pair")).join(totals, "pair").select("block", "pair", "n", "best")
     wanted = ["ids", "n_a", "n_b", "n_groups", "n_links", "shas", "starts", "chunks", "link_starts", "links"]
-    joined = held.select("block", *wanted).join(told, "block", "left").select(*wanted, "totals", "bests")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
         hold("aligned", lambda: None)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, n_a, n_b, n_groups, n_links, shas = (batch.column(k)[i].values for k in range(6))
-                starts, own, link_starts, links = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u4").astype(np.int64) for k in range(6, 10))
-                sums = []
-                for k in (11, 10):
-                    cell = batch.column(k)[i]
-                    of_pair = cell.values.cast(pa.int64()).to_numpy() if cell.is_valid else np.zeros(1, np.int64)
-                    of_chunk = _summed(of_pair[links], link_starts)
-                    sums.append(pa.array(_summed(of_chunk[own], starts)))
-                yield pa.RecordBatch.from_arrays([ids, n_a, n_b, n_groups, n_links, *sums, shas], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        cell = lambda name: block.column(name)[0]
+        starts, own, link_starts, links = (np.frombuffer(cell(c).as_buffer(), "<u4").astype(np.int64) for c in wanted[6:])
+        order = np.argsort(told.column("pair").to_numpy())
+        sums = []
+        for name in ("best", "n"):
+            of_pair = told.column(name).cast(pa.int64()).to_numpy()[order]
+            of_chunk = _summed(of_pair[links] if len(links) else links, link_starts)
+            sums.append(pa.array(_summed(of_chunk[own], starts)))
+        return pa.Table.from_arrays([cell(c).values for c in wanted[:5]] + sums + [cell("shas").values], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
     longs = ", ".join(f"{c} bigint" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
-    return joined.mapInArrow(run, f"id {kind}, {longs}, groups_sha256 string").withColumnRenamed("id", key)
+    joined = held.select("block", *wanted).groupBy("block").cogroup(asked.withColumnRenamed("block", "of").groupBy("of"))
+    return joined.applyInArrow(run, f"id {kind}, {longs}, groups_sha256 string").withColumnRenamed("id", key)
 
 
 def links(df: DataFrame, definition: str, model: bytes, key: str = "doc_id", text: str = "text", whole_groups: bool = False) -> DataFrame:
