@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import encode_texts
+from palimpsest.llm.common import stored
 from palimpsest.llm.jaccard import near_duplicates
 from palimpsest.llm.line_dedup import without_boilerplate
 from palimpsest.llm.mixing import mix
@@ -27,8 +29,14 @@ def _aside(docs: DataFrame, names: set[str], step: Callable[[DataFrame], DataFra
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of each row's own: docs is a table that was written, so it is the same at each reading."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    """docs with __row, a name of each row's own that stays the same at each reading, however files are cut into tasks: its file and its place there.
+
+    What isn't read from files as it is gets numbers, which are stored before they are read twice.
+    """
+    try:
+        return docs.select("*", F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias("__row"))
+    except AnalysisException:
+        return stored(docs.withColumn("__row", F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +90,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's rows written to the shared folder and read again."""
-    from palimpsest.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
