@@ -77,5 +77,18 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert len(out["byte_bpe"]) == len(rows) and all((r.n_tokens == 0) == (r.doc_id in (100, 101)) for r in out["byte_bpe"])
 
 
+def test_rows_keep_their_names_however_files_are_cut(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(6).write.option("parquet.block.size", 64 << 10).parquet(f"{tmp_path}/in")
+    read = lambda: {r["__row"]: r.doc_id for r in corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/in")).collect()}
+    names, size = read(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        assert read() == names and len(names) == 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    made = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id bigint, _metadata string")
+    assert corpus_pipeline._numbered(made).select("__row").distinct().count() == 3
+
+
 def test_run_gives_the_stages_rows(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
