@@ -80,12 +80,14 @@ def _among(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value:
     )
 
 
-def as_of(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "as_of", most: int = MOST) -> DataFrame:
-    """rows with name: the value of the group's greatest anchor at or below key, null below the least; beyond the greatest anchor too: no extrapolation."""
+def as_of(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, value: str, name: str = "as_of", most: int = MOST, beyond: bool = False) -> DataFrame:
+    """rows with name: the value of the group's greatest anchor at or below key, null below the least; and above the greatest, unless beyond is set."""
     anchor = F.col("__is") == 1
     # an anchor's own value may be null, so that there is one is told apart
     lasts = {"__last": F.col("__anchor"), "__at": F.when(anchor, F.col(key))}
     out = running(_among(rows, anchors, by, key, value), by, [F.col(key), F.desc("__is")], lasts=lasts, nexts={"__more": F.when(anchor, True)}, most=most).where("__is = 0")
+    if beyond:
+        return out.withColumn(name, F.col("__last")).drop("__anchor", "__is", "__last", "__more", "__at")
     return out.withColumn(name, F.when(F.col("__more") | (F.col("__at") == F.col(key)), F.col("__last"))).drop("__anchor", "__is", "__last", "__more", "__at")
 
 

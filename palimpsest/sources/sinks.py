@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .entries import ENTRY
@@ -36,3 +38,58 @@ def write_keep_list(verdicts: DataFrame, path: str) -> None:
 def verified(df: DataFrame, original: str, again: str) -> DataFrame:
     """Only the rows whose round trip is exact."""
     return df.where(F.col(original).eqNullSafe(F.col(again)))
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Shares that rows must reach before they are published: of resolved among eligible ones, and of agreeing among compared ones; and how many may stay unresolved."""
+
+    eligible: Column
+    resolved: Column
+    compared: Column | None = None
+    agree: Column | None = None
+    least_coverage: float = 0.0
+    least_agreement: float = 0.0
+    most_unresolved: int | None = None
+
+
+class NotPublished(Exception):
+    """A gate that wasn't passed, with what was measured."""
+
+    def __init__(self, why: str, measured: dict):
+        super().__init__(f"{why}: {measured}")
+        self.measured = measured
+
+
+def publish(df: DataFrame, path: str, gate: Gate) -> dict:
+    """Writes df as Parquet under path, if it passes the gate, and returns what was measured.
+
+    The measures come with the write itself. Rows are written beside path and moved there only after they have
+    passed; else they are removed, NotPublished is raised, and what was there before stays.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}__unpublished"
+    seen = Observation()
+    compared, agree = (F.lit(False) if c is None else c for c in (gate.compared, gate.agree))
+    measures = [F.count("*").alias("rows"), F.count_if(gate.eligible).alias("eligible"), F.count_if(gate.eligible & gate.resolved).alias("resolved"), F.count_if(compared).alias("compared"), F.count_if(compared & agree).alias("agree")]
+    df.observe(seen, *measures).write.mode("overwrite").parquet(beside)
+    measured = dict(seen.get)
+    measured["coverage"] = measured["resolved"] / max(1, measured["eligible"])
+    measured["agreement"] = measured["agree"] / measured["compared"] if measured["compared"] else 1.0
+    measured["unresolved"] = measured["eligible"] - measured["resolved"]
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    why = None
+    if measured["coverage"] < gate.least_coverage:
+        why = "coverage"
+    elif measured["agreement"] < gate.least_agreement:
+        why = "agreement"
+    elif gate.most_unresolved is not None and measured["unresolved"] > gate.most_unresolved:
+        why = "unresolved"
+    if why:
+        fs.delete(source, True)
+        raise NotPublished(why, measured)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise NotPublished("could not be moved", measured)
+    return measured
