@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +77,16 @@ def count_bytes(data: Column | str, pattern: str) -> Column:
 
 def positions(data: Column | str, pattern: str) -> Column:
     """Where, from 0, the non-overlapping matches of a wildcard pattern begin in bytes."""
-    text = F.decode(_c(data), "ISO-8859-1")
-    width = len(pattern.split())
-    gaps = F.transform(F.split(text, wildcard(pattern), -1), F.length)
-    before = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
-    step = lambda acc, n: F.struct((acc["at"] + n + width).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out"))
-    return F.aggregate(before, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+    import re
+
+    parts = [b"." if set(p) == {"?"} else re.escape(bytes([int(p, 16)])) for p in pattern.split()]
+    find = re.compile(b"".join(parts), re.DOTALL).finditer
+
+    @F.pandas_udf("array<int>")
+    def found(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [m.start() for m in find(v)] for v in values])
+
+    return found(_c(data))
 
 
 def health(n_old: Column, n_new: Column) -> Column:
@@ -103,3 +108,24 @@ def pattern_health(corpus: DataFrame, text: str, patterns: DataFrame, mask: list
     counted = each.join(asked.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(F.count_if(F.col("old")).alias("n_old"), F.count_if(~F.col("old")).alias("n_new"))
     found = asked.join(counted, "__k", "left").na.fill(0, ["n_old", "n_new"])
     return found.select("pattern", "n_old", "n_new", health(F.col("n_old"), F.col("n_new")).alias("status"))
+
+
+def long_pattern_health(corpus: DataFrame, key: str, text: str, patterns: DataFrame, mask: list[bool], is_old: Column) -> DataFrame:
+    """pattern, n_old, n_new, status of patterns of words of any length; where mask is false any word fits, and words beyond mask count.
+
+    patterns: pattern and words. Places where a pattern's first words stand come from a join by these; only their texts are
+    looked at again, word by word. Patterns shorter than mask are TOO_SHORT.
+    """
+    own = lambda words, i: F.concat_ws("\x00", *(F.get(words, i + k) for k, fixed in enumerate(mask) if fixed))
+    asked = patterns.where(F.size("words") >= len(mask)).select("pattern", own(F.col("words"), F.lit(0)).alias("__k"), F.slice("words", F.lit(len(mask) + 1), F.size("words")).alias("__rest"))
+    held = corpus.select(F.col(key).alias("__key"), is_old.alias("old"), F.split(F.col(text), r"\s+", -1).alias("__w"))
+    n = F.size("__w") - len(mask) + 1
+    each = held.where(n > 0).select("__key", "old", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: own(F.col("__w"), i))).alias("__at", "__k"))
+    met = each.join(asked, "__k")
+    # the texts of such places, once each, and the words that follow there
+    there = held.join(met.select("__key", "old").distinct(), ["__key", "old"], "left_semi")
+    after = F.slice("__w", F.col("__at") + len(mask) + 1, F.size("__rest"))
+    same = F.when(F.size("__rest") == 0, True).otherwise(after == F.col("__rest"))
+    found = met.join(there, ["__key", "old"]).where(same).groupBy("pattern").agg(F.count_if(F.col("old")).alias("n_old"), F.count_if(~F.col("old")).alias("n_new"))
+    out = patterns.select("pattern", (F.size("words") < len(mask)).alias("__short")).join(found, "pattern", "left").na.fill(0, ["n_old", "n_new"])
+    return out.select("pattern", "n_old", "n_new", F.when(F.col("__short"), "TOO_SHORT").otherwise(health(F.col("n_old"), F.col("n_new"))).alias("status"))

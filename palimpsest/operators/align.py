@@ -6,8 +6,12 @@ width, so that no join compares everything with everything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import MOST, running
 from .staged import staged
@@ -50,18 +54,77 @@ def overlaps(a: DataFrame, b: DataFrame, group: str, member: str) -> DataFrame:
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, group: str, member: str, above: float) -> DataFrame:
     """overlaps with jaccard, to six places, strictly above a bound."""
+    rows = lambda df, k: df.select(F.col(group).alias(k), F.col(member).alias("m")).distinct()
+    found = similar_sets(rows(a, "a_key"), rows(b, "b_key"), [], "m", above).where(F.col("jaccard") > above)
+    return found.withColumn("jaccard", F.round("jaccard", 6))
+
+
+def similar_sets(a: DataFrame, b: DataFrame, by: list[str], member: str, least: float) -> DataFrame:
+    """by, a_key, b_key, shared, a_size, b_size, jaccard: all pairs of sets within by whose Jaccard similarity is at least that (over 0).
+
+    a: by, a_key, member; b: by, b_key, member; rows are distinct. With members in one order, rare ones first, similar sets share one among the first ones of
+    each: as many as may be lacking, and one. Sets meet by these alone, if their sizes allow, and what has met is counted.
+    """
+    sized = lambda df, k: df.join(df.groupBy(*by, f"{k}_key").agg(F.count("*").alias(f"{k}_size")), [*by, f"{k}_key"])
+    a, b = staged(sized(a, "a")), staged(sized(b, "b"))
+    counts = a.select(*by, member).unionByName(b.select(*by, member)).groupBy(*by, member).agg(F.count("*").alias("__n"))
+
+    def first(df: DataFrame, k: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by, f"{k}_key").orderBy("__n", member))
+        lacking = F.col(f"{k}_size") - F.ceil(F.col(f"{k}_size") * least - 1e-9) + 1
+        return df.join(counts, [*by, member]).withColumn("__at", place).where(F.col("__at") <= lacking).drop("__n", "__at")
+
+    sizes = (F.col("a_size") >= F.col("b_size") * least - 1e-9) & (F.col("b_size") >= F.col("a_size") * least - 1e-9)
+    met = first(a, "a").join(first(b, "b"), [*by, member]).where(sizes).select(*by, "a_key", "b_key").distinct()
+    # a pair's members meet again, whole
+    shared = met.join(a, [*by, "a_key"]).join(b, [*by, "b_key", member]).groupBy(*by, "a_key", "b_key", "a_size", "b_size").agg(F.count("*").alias("shared"))
     j = F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))
-    return overlaps(a, b, group, member).where(j > above).withColumn("jaccard", F.round(j, 6))
+    return shared.withColumn("jaccard", j).where(F.col("jaccard") >= least - 1e-9).select(*by, "a_key", "b_key", "shared", "a_size", "b_size", "jaccard")
+
+
+#: Places of a block of keys at least, and pairs that are counted one by one.
+PLACES, PAIRS = 4096, 1 << 21
+
+
+def shift_hits(old: np.ndarray, new: np.ndarray, reach: int) -> np.ndarray:
+    """For each shift below reach, how many of old's places it moves onto places of new; by differences where few, else by correlation."""
+    if len(old) * len(new) <= PAIRS:
+        apart = (new[None, :] - old[:, None]).ravel()
+        return np.bincount(apart[(apart >= 0) & (apart < reach)], minlength=reach)[:reach]
+    size = 1 << int(max(old.max(), new.max()) + reach + 1).bit_length()
+    x, y = np.zeros(size), np.zeros(size)
+    x[old], y[new] = 1, 1
+    return np.rint(np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x)), size)[:reach]).astype(np.int64)
 
 
 def best_shift(old: DataFrame, new: DataFrame, by: list[str], key: str, reach: int) -> DataFrame:
-    """Per group: the shift 0 <= shift < reach that maps most old keys onto new ones (the least of several), hits, and n old keys."""
-    o, n = (df.select(*by, F.col(key).alias(k)).distinct() for df, k in ((old, "o"), (new, "n")))
-    width = F.lit(reach)
-    left = o.withColumn("bucket", F.explode(F.array(F.floor(F.col("o") / width), F.floor(F.col("o") / width) + 1)))
-    right = n.withColumn("bucket", F.floor(F.col("n") / width))
-    pairs = left.join(right, [*by, "bucket"]).where((F.col("n") >= F.col("o")) & (F.col("n") < F.col("o") + reach))
-    hits = pairs.groupBy(*by, (F.col("n") - F.col("o")).alias("shift")).agg(F.count("*").alias("hits"))
+    """Per group: the shift 0 <= shift < reach that maps most old keys onto new ones (the least of several), hits, and n old keys.
+
+    Keys are cut into blocks of reach places at least; a block of old keys meets the new ones that it may move to, and
+    hits are counted for all shifts together, so that neither rows nor memory grow with reach times the keys.
+    """
+    o, n = (df.select(*by, F.col(key).cast("long").alias("k")).distinct() for df in (old, new))
+    width = max(reach, PLACES)
+    left = o.withColumn("__b", F.floor(F.col("k") / width))
+    right = n.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - reach + 1) / width), F.floor(F.col("k") / width)))))
+    names = [f"__{i}" for i in range(len(by) + 1)]
+    left, right = left.withColumnsRenamed(dict(zip([*by, "__b"], names))), right.withColumnsRenamed(dict(zip([*by, "__b"], names)))
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        hits = np.zeros(0, np.int64)
+        if x.num_rows and y.num_rows:
+            a, b = x.column("k").to_numpy(), y.column("k").to_numpy()
+            start = x.column(names[-1])[0].as_py() * width
+            b = b[b >= start]
+            if len(b):
+                hits = shift_hits(a - start, b - start, reach)
+        shifts = np.flatnonzero(hits)
+        one = [x.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(shifts), np.int64))) for c in names[:-1]]
+        return pa.Table.from_arrays([*one, pa.array(shifts), pa.array(hits[shifts])], names=[*names[:-1], "shift", "hits"])
+
+    kinds = ", ".join([*(f"{c} {o.schema[b].dataType.simpleString()}" for c, b in zip(names, by)), "shift bigint", "hits bigint"])
+    counted = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(count, kinds).withColumnsRenamed(dict(zip(names, by)))
+    hits = counted.groupBy(*by, "shift").agg(F.sum("hits").alias("hits"))
     best = hits.groupBy(*by).agg(F.min(F.struct((-F.col("hits")).alias("m"), "shift")).alias("b")).select(*by, F.col("b.shift").alias("shift"), (-F.col("b.m")).alias("hits"))
     return best.join(o.groupBy(*by).agg(F.count("*").alias("n")), by)
 
@@ -112,16 +175,24 @@ def nearest(rows: DataFrame, targets: DataFrame, by: list[str], at: str, window:
 def greedy_leaves(groups: DataFrame, old: str, new: str, ahead: int = 25) -> DataFrame:
     """groups: sorted arrays old and new. Adds leaves: (o, n) by a walk that carries its shift.
 
-    Each old key is looked for at the shift so far, then up to ahead places further; a hit sets the shift.
+    Each old key is looked for at the shift so far, then up to ahead places further; a hit sets the shift. What is tried
+    follows from the hit before, so a row is one walk, linear in its keys.
     """
-    start = F.struct(F.lit(0).cast("long").alias("shift"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("leaves"))
 
-    def step(acc: Column, o: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(0), F.lit(ahead)), lambda i: o + acc["shift"] + i)
-        hit = F.array_min(F.array_intersect(tries, F.col(new)))
-        return F.when(hit.isNotNull(), F.struct((hit - o).alias("shift"), F.array_append(acc["leaves"], F.struct(o.alias("o"), hit.alias("n"))).alias("leaves"))).otherwise(acc)
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("o", T.LongType()), T.StructField("n", T.LongType())])))
+    def walk(olds: pd.Series, news: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(olds, news):
+            there, shift, hits = set(b if b is not None else ()), 0, []
+            for o in a if a is not None else ():
+                found = next((o + shift + i for i in range(ahead + 1) if o + shift + i in there), None)
+                if found is not None:
+                    shift = found - o
+                    hits.append({"o": int(o), "n": int(found)})
+            out.append(hits)
+        return pd.Series(out)
 
-    return groups.withColumn("leaves", F.aggregate(F.col(old), start, step, lambda acc: acc["leaves"]))
+    return groups.withColumn("leaves", walk(old, new))
 
 
 def gap_fill(old: DataFrame, new: DataFrame, anchors: DataFrame, by: list[str], at: str, label: str, most: int = MOST) -> DataFrame:
@@ -141,20 +212,49 @@ def gap_fill(old: DataFrame, new: DataFrame, anchors: DataFrame, by: list[str],
     return moved.join(n, [*by, "new_at"]).where(F.col(label) == F.col("__label")).select(*by, "old_at", "new_at", label)
 
 
-def one_to_one(candidates: DataFrame, by: list[str], schema: str) -> DataFrame:
+def _fold(frame: pd.DataFrame) -> pd.DataFrame:
+    """One group's pairing: old keys in their order take their best new key that is free."""
+    rows = frame.sort_values(["old", "score", "new"], ascending=[True, False, True])
+    used, keep, served = set(), [], None
+    for i, (o, n) in enumerate(zip(rows["old"].tolist(), rows["new"].tolist())):
+        if o != served and n not in used:
+            used.add(n)
+            keep.append(i)
+            served = o
+    return rows.iloc[keep]
+
+
+def one_to_one(candidates: DataFrame, by: list[str], schema: str, most: int = 100_000) -> DataFrame:
     """Greedy pairing within each group: candidates (old, new, score) in the order of old take their best free new (the least of several).
 
-    The choice depends on what earlier ones took, so a group is one fold; groups are one parent's children.
+    Groups of more than most rows are paired in rounds over all of them: a new key never goes to a later old key than the first
+    whose best it is, so such rows go; a pair that is the old key's best, and has no earlier row for its new key, stands. What the
+    rounds leave in groups that have become small, and small groups, are one fold each. The choice is that of one old key after the other.
     """
-    import pandas as pd
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, rows in frame.sort_values(["old", "score", "new"], ascending=[True, False, True]).groupby("old", sort=False):
-            free = rows[~rows["new"].isin(used)]
-            if len(free):
-                used.add(free["new"].iloc[0])
-                out.append(free.iloc[0])
-        return pd.DataFrame(out, columns=frame.columns)
-
-    return candidates.groupBy(*by).applyInPandas(fold, schema)
+    columns = candidates.columns
+    sizes = lambda df: df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*by)
+    crowded = staged(sizes(candidates))
+    if crowded.isEmpty():
+        return candidates.groupBy(*by).applyInPandas(_fold, schema).select(columns)
+    done = []
+    small = candidates.join(crowded, by, "left_anti")
+    left = staged(candidates.join(crowded, by, "left_semi"))
+    while True:
+        best = left.groupBy(*by, "old").agg(F.max(F.struct("score", (-F.col("new")).alias("m"))).alias("b")).select(*by, "old", (-F.col("b.m")).alias("new"))
+        asked = best.groupBy(*by, "new").agg(F.min("old").alias("__asks"))
+        first = left.groupBy(*by, "new").agg(F.min("old").alias("__first"))
+        marked = left.join(best.withColumn("__best", F.lit(True)), [*by, "old", "new"], "left").join(asked, [*by, "new"], "left").join(first, [*by, "new"])
+        marked = staged(marked.withColumn("__stands", F.coalesce(F.col("__best") & (F.col("old") == F.col("__first")), F.lit(False))))
+        stands = staged(marked.where("__stands").select(columns))
+        done.append(stands)
+        rest = marked.where("NOT __stands AND (__asks IS NULL OR old <= __asks)").select(columns)
+        left = staged(rest.join(stands.select(*by, "old"), [*by, "old"], "left_anti").join(stands.select(*by, "new"), [*by, "new"], "left_anti"))
+        again = staged(sizes(left))
+        small = small.unionByName(left.join(again, by, "left_anti"))
+        if again.isEmpty():
+            break
+        left = staged(left.join(again, by, "left_semi"))
+    out = small.groupBy(*by).applyInPandas(_fold, schema).select(columns)
+    for d in done:
+        out = out.unionByName(d)
+    return out

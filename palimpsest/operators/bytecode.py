@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import containing
+from .scan import running
 from .staged import staged
 
 Table = dict[int, tuple[str, str]]
@@ -139,9 +141,10 @@ def address_map(old: DataFrame, new: DataFrame) -> DataFrame:
     left = lambda d, c: d.join(strict.select("script", c), ["script", c], "left_anti")
     loose = tier(left(o, "old_idx"), left(n, "new_idx"), "loose")
     known = staged(strict.unionByName(loose))
-    w = Window.partitionBy("script").orderBy("old_idx")
-    gaps = known.withColumns({"o2": F.lead("old_idx").over(w), "n2": F.lead("new_idx").over(w)}).where("o2 - old_idx = n2 - new_idx AND o2 - old_idx > 1")
-    places = gaps.select("script", "old_idx", "new_idx", F.explode(F.sequence(F.lit(1), F.col("o2") - F.col("old_idx") - 1)).alias("i")).select("script", (F.col("old_idx") + F.col("i")).alias("old_idx"), (F.col("new_idx") + F.col("i")).alias("new_idx"))
+    # a function finds its gap in one ordered pass, however wide that is
+    gaps = running(known, ["script"], [F.col("old_idx")], shifts={"o2": (F.col("old_idx"), -1), "n2": (F.col("new_idx"), -1)}).where("o2 - old_idx = n2 - new_idx")
+    spans = gaps.select("script", (F.col("old_idx") + 1).alias("lo"), F.col("o2").alias("hi"), (F.col("new_idx") - F.col("old_idx")).alias("shift"))
+    places = containing(o.select("script", "old_idx"), spans, ["script"], "old_idx", "lo", "hi", ["shift"]).where("shift IS NOT NULL").select("script", "old_idx", (F.col("old_idx") + F.col("shift")).alias("new_idx"))
     a = o.select("script", "old_idx", "old_len", F.col("params").alias("pa"), F.col("returns").alias("ra"))
     b = n.select("script", "new_idx", "new_len", F.col("params").alias("pb"), F.col("returns").alias("rb"))
     alike = F.col("pa").eqNullSafe(F.col("pb")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.abs(F.col("old_len") - F.col("new_len")) <= F.greatest(F.lit(6.0), F.greatest("old_len", "new_len") * 0.35))

@@ -92,10 +92,10 @@ def by_context(old: DataFrame, new: DataFrame, signature, distance: Column, step
     return out.groupBy("name", "value").agg(F.max("confidence").alias("confidence"), F.min_by("line_no", F.struct(-F.col("confidence"), "line_no")).alias("line_no"))
 
 
-def ranked(candidates: DataFrame, name: str, reasons: list[str], distance: Column) -> DataFrame:
-    """candidates with rank: by the reason's place in the list (others last), source_rank, confidence, distance, value."""
+def ranked(candidates: DataFrame, name: str, reasons: list[str], distance: Column, last: list[str] | None = None) -> DataFrame:
+    """candidates with rank: by the reason's place in the list (others last), source_rank, confidence, distance, value, and then the columns last."""
     from pyspark.sql import Window
 
     place = F.array_position(F.array(*map(F.lit, reasons)), F.col("reason"))
-    order = [F.when(place == 0, len(reasons) + 1).otherwise(place), F.asc("source_rank"), F.desc("confidence"), distance.asc_nulls_last(), F.asc("value")]
+    order = [F.when(place == 0, len(reasons) + 1).otherwise(place), F.asc("source_rank"), F.desc("confidence"), distance.asc_nulls_last(), F.asc("value"), *(last or [])]
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy(*order)))

@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df computed once and cut off from its lineage: a checkpoint in spark.checkpoint.dir, which must be set on a cluster.
-
-    Where it is unset and all runs in this one process's JVM, as in tests, a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir, which must be set on a cluster; where it is unset and all runs in this one process's JVM, as in tests, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+    return sc.getCheckpointDir()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once and cut off from its lineage: a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

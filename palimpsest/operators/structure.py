@@ -72,10 +72,9 @@ def match_roots(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _jaccard(old: DataFrame, new: DataFrame) -> DataFrame:
-    rows = lambda df, k: df.select("base", F.col("root").cast("long").alias(k), F.size("children").alias(f"{k}_n"), F.explode("children").alias("c"))
-    shared = rows(old, "old").join(rows(new, "new"), ["base", "c"]).groupBy("base", "old", "old_n", "new", "new_n").agg(F.count("*").alias("s"))
-    score = F.col("s") / (F.col("old_n") + F.col("new_n") - F.col("s"))
-    return shared.select("base", "old", "new", score.alias("score")).where("score > 0.6")
+    rows = lambda df, k: df.select("base", F.col("root").cast("long").alias(f"{k}_key"), F.explode("children").alias("c")).distinct()
+    found = align.similar_sets(rows(old, "a"), rows(new, "b"), ["base"], "c", 0.6)
+    return found.select("base", F.col("a_key").alias("old"), F.col("b_key").alias("new"), F.col("jaccard").alias("score")).where("score > 0.6")
 
 
 def resolve_arrays(entries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

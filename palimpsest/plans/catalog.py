@@ -1,3 +1,3 @@
 """Imports every module of queries, so that the registry is full."""
 
-from . import keyed, ordered, resolving, texts  # noqa: F401
+from . import deciding, keyed, ordered, resolving, texts  # noqa: F401

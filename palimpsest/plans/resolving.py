@@ -91,8 +91,7 @@ def switch_overlap_best(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("token"))
     t = c.groupBy((F.col("conv_id") % 5).alias("g"), "conv_id", "token").agg(F.count("*").alias("n"))
     half = lambda r, k: t.where(F.col("conv_id") % 2 == r).withColumnRenamed("conv_id", k)
-    s = context.multiset_overlap(half(0, "old_id"), half(1, "new_id"), ["g"], "old_id", "new_id")
-    return keyed.first_wins(s, ["g", "old_id"], [-F.col("score"), F.col("new_id")])
+    return context.best_overlap(half(0, "old_id"), half(1, "new_id"), ["g"], "old_id", "new_id")
 
 
 @query("literal_body_match", """WITH k AS (SELECT md5(text) AS body, length(text)::BIGINT AS n, doc_id FROM documents), a AS (SELECT body, n, min(doc_id) AS old_id FROM k WHERE doc_id % 2 = 0 GROUP BY ALL HAVING count(*) = 1), b AS (SELECT body, n, min(doc_id) AS new_id FROM k WHERE doc_id % 2 = 1 GROUP BY ALL HAVING count(*) = 1) SELECT n, old_id, new_id FROM a JOIN b USING (body, n)""")
@@ -104,11 +103,14 @@ def literal_body_match(spark, sf):
 
 @query("fuzzy_context_score")
 def fuzzy_context_score(spark, sf):
+    """Benchmark items' lines and the like lines of the document that each is nearest to; similar_names holds the similarity against SQL."""
+    from ..operators.similarity import similar_pairs
+
     near = anchor_vote(spark, sf).select("item_id", "doc_id")
-    both = near.join(table(spark, sf, "benchmark").withColumnRenamed("text", "a"), "item_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("b")), "doc_id")
-    each = both.select("item_id", "doc_id", F.explode(F.split("a", "\n")).alias("a"), "b").select("item_id", "doc_id", "a", F.explode(F.split("b", "\n")).alias("b"))
-    scored = each.withColumn("line", context.line_similarity("a", "b")).groupBy("item_id", "doc_id").agg(F.max("line").alias("line"))
-    found = scored.select(F.col("item_id").alias("name"), F.col("doc_id").cast("string").alias("value"), F.col("line").alias("confidence"), F.lit("context match").alias("reason"), F.lit(1).alias("source_rank"))
+    lines = lambda t, k: near.join(table(spark, sf, t).select(k, "text"), k).select("item_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("id", "text"))
+    scored = similar_pairs(lines("benchmark", "item_id"), lines("documents", "doc_id"), ["item_id", "doc_id"], candidates.LEAST_LINE)
+    best = scored.groupBy("item_id", "doc_id").agg(F.max("similarity").alias("line"))
+    found = best.select(F.col("item_id").alias("name"), F.col("doc_id").cast("string").alias("value"), F.col("line").alias("confidence"), F.lit("context match").alias("reason"), F.lit(1).alias("source_rank"), F.lit(0).alias("place"))
     return context.merge_candidates(found, "name", "value")
 
 
@@ -174,9 +176,11 @@ def state_statistics(spark, sf):
     return evidence.state_statistics(e.where("event_id % 3 > 0").withColumnRenamed("event_type", "state"), "user_id", "state", setters, calls)
 
 
-@query("cooccurrence_counts", "SELECT source, count(*) FILTER (contains(text, 'License') AND contains(text, 'the'))::BIGINT AS both_, count(*) FILTER (contains(text, '@'))::BIGINT AS at_sign FROM documents WHERE doc_id BETWEEN 100 AND 900 GROUP BY source")
+@query("cooccurrence_counts", "WITH l AS (SELECT source, x.line AS line, x.i AS i FROM (SELECT source, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'line': x, 'i': i - 1})) AS x FROM documents)) SELECT source, count(*) FILTER (contains(line, 'License') AND contains(line, 'the'))::BIGINT AS both_, count(*) FILTER (contains(line, '@'))::BIGINT AS at_sign FROM l WHERE i BETWEEN 1 AND 20 GROUP BY source")
 def cooccurrence_counts(spark, sf):
-    return evidence.cooccurrences(table(spark, sf, "documents"), ["source"], "text", {"both_": ["License", "the"], "at_sign": ["@"]}, "doc_id", 100, 900)
+    """Of all texts, the lines after the first and up to the twentieth."""
+    lines = table(spark, sf, "documents").select("source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return evidence.cooccurrences(lines, ["source"], "line", {"both_": ["License", "the"], "at_sign": ["@"]}, "i", 1, 20)
 
 
 @query("role_root", """WITH a AS (SELECT l_suppkey % 20 AS file, l_partkey % 50 AS root, l_linenumber AS field FROM lineitem WHERE l_linenumber <> 3), w(field, weight) AS (VALUES (1, 4.0::DOUBLE), (2, 1.5::DOUBLE), (5, 0.5::DOUBLE)),
@@ -256,10 +260,10 @@ def candidate_files(spark, sf):
     return candidates.candidate_files(matches, d.where("doc_id % 7 = 1").select(F.col("source").alias("file")), p)
 
 
-@query("semantic_path_join", r"""WITH s AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS file, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '')[1:1] AS path FROM pages), n AS (SELECT file, path, min(page_id) AS new_value, count(DISTINCT page_id)::BIGINT AS n FROM s WHERE page_id % 2 = 1 AND len(path) > 0 GROUP BY ALL)
+@query("semantic_path_join", r"""WITH s AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS file, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS own, list_transform(own, lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS path FROM pages), n AS (SELECT file, path, min(page_id) AS new_value, count(DISTINCT page_id)::BIGINT AS n FROM s WHERE page_id % 2 = 1 AND len(path) > 0 GROUP BY ALL)
   SELECT s.page_id AS name, n.new_value, n.n FROM s JOIN n ON n.file = s.file AND n.path = s.path WHERE s.page_id % 2 = 0""")
 def semantic_path_join(spark, sf):
-    s = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("file"), F.slice(text.segments("url"), 1, 1).alias("path"))
+    s = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("file"), F.transform(text.segments("url"), lambda x: F.regexp_replace(x, "[0-9]+", "#")).alias("path"))
     old, new = s.where("page_id % 2 = 0").withColumnRenamed("page_id", "name"), s.where("page_id % 2 = 1").withColumnRenamed("page_id", "value")
     return candidates.by_path(old, new)
 
@@ -284,14 +288,13 @@ def context_candidates(spark, sf):
     return candidates.by_context(old, new, lambda v: F.regexp_replace(v, "[0-9]+", "N"), root("a_value") - root("b_value"), [(10, 0.18), (100, 0.16)])
 
 
-@query("candidate_order", """WITH c AS (SELECT l_orderkey % 200 AS name, l_suppkey AS value, CASE l_linenumber % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'shape' ELSE 'other' END AS reason, l_linenumber % 2 AS source_rank, l_discount AS confidence, abs(l_suppkey - l_partkey) AS d, l_orderkey, l_linenumber FROM lineitem)
-  SELECT name, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE reason WHEN 'path' THEN 1 WHEN 'shape' THEN 2 ELSE 3 END, source_rank, confidence DESC, d, value)::INT AS rank, count(*) OVER (PARTITION BY name, reason, source_rank, confidence, d, value) AS ties FROM c) WHERE ties = 1 AND rank <= 3""")
+@query("candidate_order", """WITH c AS (SELECT l_orderkey % 200 AS name, l_suppkey AS value, CASE l_linenumber % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'shape' ELSE 'other' END AS reason, l_linenumber % 2 AS source_rank, l_discount AS confidence, abs(l_suppkey - l_partkey) AS d, l_orderkey, l_linenumber, l_partkey FROM lineitem)
+  SELECT name, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE reason WHEN 'path' THEN 1 WHEN 'shape' THEN 2 ELSE 3 END, source_rank, confidence DESC, d, value, l_orderkey, l_linenumber, l_partkey)::INT AS rank FROM c)""")
 def candidate_order(spark, sf):
     li = table(spark, sf, "lineitem")
     reason = F.when(F.col("l_linenumber") % 3 == 0, "path").when(F.col("l_linenumber") % 3 == 1, "shape").otherwise("other")
-    c = li.select((F.col("l_orderkey") % 200).alias("name"), F.col("l_suppkey").alias("value"), reason.alias("reason"), (F.col("l_linenumber") % 2).alias("source_rank"), F.col("l_discount").alias("confidence"), F.abs(F.col("l_suppkey") - F.col("l_partkey")).alias("d"), "l_orderkey", "l_linenumber")
-    ties = F.count("*").over(Window.partitionBy("name", "reason", "source_rank", "confidence", "d", "value"))
-    return candidates.ranked(c.withColumn("ties", ties), "name", ["path", "shape"], F.col("d")).where("ties = 1 AND rank <= 3").select("name", "l_orderkey", "l_linenumber", "rank")
+    c = li.select((F.col("l_orderkey") % 200).alias("name"), F.col("l_suppkey").alias("value"), reason.alias("reason"), (F.col("l_linenumber") % 2).alias("source_rank"), F.col("l_discount").alias("confidence"), F.abs(F.col("l_suppkey") - F.col("l_partkey")).alias("d"), "l_orderkey", "l_linenumber", "l_partkey")
+    return candidates.ranked(c, "name", ["path", "shape"], F.col("d"), ["l_orderkey", "l_linenumber", "l_partkey"]).select("name", "l_orderkey", "l_linenumber", "rank")
 
 
 @query("multiset_sum", f"SELECT event_type, sum(n)::BIGINT AS n FROM (SELECT event_type, count(*) AS n FROM {OLD} GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM {NEW} GROUP BY 1) GROUP BY event_type")

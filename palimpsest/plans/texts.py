@@ -143,12 +143,13 @@ def content_hash(spark, sf):
 
 
 @query("wildcard_scan_health", r"""WITH p AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark), d AS (SELECT doc_id % 2 = 0 AS old, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents)),
-  g AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 3] AS c, count(*) FILTER (old) AS o, count(*) FILTER (NOT old) AS n FROM d GROUP BY ALL),
-  j AS (SELECT item_id, coalesce(o, 0)::BIGINT AS n_old, coalesce(n, 0)::BIGINT AS n_new FROM p LEFT JOIN g ON g.a = p.w[1] AND g.b = p.w[2] AND g.c = p.w[4] WHERE len(p.w) >= 4)
-  SELECT item_id, n_old, n_new, CASE WHEN n_old = 0 THEN 'NOT_IN_OLD' WHEN n_old > 1 THEN 'AMBIG_OLD' WHEN n_new = 1 THEN 'OK' WHEN n_new = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS status FROM j""")
+  j AS (SELECT p.item_id, count(*) FILTER (d.old) AS o, count(*) FILTER (NOT d.old) AS n FROM p JOIN d ON d.w[i] = p.w[1] AND d.w[i + 1] = p.w[2] AND d.w[i + 3] = p.w[4] AND d.w[i + 3:i + len(p.w) - 1] = p.w[4:] WHERE len(p.w) >= 4 GROUP BY 1)
+  SELECT p.item_id, coalesce(o, 0)::BIGINT AS n_old, coalesce(n, 0)::BIGINT AS n_new, CASE WHEN len(p.w) < 4 THEN 'TOO_SHORT' WHEN coalesce(o, 0) = 0 THEN 'NOT_IN_OLD' WHEN o > 1 THEN 'AMBIG_OLD' WHEN coalesce(n, 0) = 1 THEN 'OK' WHEN coalesce(n, 0) = 0 THEN 'BROKEN' ELSE 'AMBIG_NEW' END AS status FROM p LEFT JOIN j USING (item_id)""")
 def wildcard_scan_health(spark, sf):
-    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern"), F.slice(F.split("text", r"\s+"), 1, 4).alias("words"))
-    return binary.pattern_health(table(spark, sf, "documents"), "text", p, [True, True, False, True], F.col("doc_id") % 2 == 0).withColumnRenamed("pattern", "item_id")
+    """Whole items as patterns of any length, in which the third word may be any."""
+    words = F.split("text", r"\s+", -1)
+    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern"), words.alias("words"))
+    return binary.long_pattern_health(table(spark, sf, "documents"), "doc_id", "text", p, [True, True, False, True], F.col("doc_id") % 2 == 0).withColumnRenamed("pattern", "item_id")
 
 
 @query("hex_fields", "SELECT doc_id, length(hex(encode(text)))::BIGINT AS digits, md5(upper(hex(encode(text)))) AS hex_md5 FROM documents")
@@ -182,10 +183,9 @@ def integer_views(spark, sf):
 
 @query("version_sort", "SELECT p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT, p_brand)::INT AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def version_sort(spark, sf):
-    from ..sources.versions import ordered_versions
+    from ..sources.versions import placed
 
-    labels = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().collect()]
-    return spark.createDataFrame([(b, i) for i, b in enumerate(ordered_versions(labels), 1)], "p_brand string, place int")
+    return placed(table(spark, sf, "part").select("p_brand").distinct(), "p_brand")
 
 
 @query("previous_version", "WITH b AS (SELECT DISTINCT p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS v FROM part) SELECT a.p_brand, arg_max(o.p_brand, o.v) AS previous FROM b a LEFT JOIN b o ON o.v < a.v GROUP BY a.p_brand")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import natural_key
+from ..operators.scan import MOST, running
 
 
 def version_key(label: str) -> tuple[int, ...]:
@@ -15,6 +19,12 @@ def ordered_versions(labels: list[str]) -> list[str]:
     return sorted(labels, key=lambda x: (version_key(x), x))
 
 
+def placed(labels: DataFrame, label: str, name: str = "place", most: int = MOST) -> DataFrame:
+    """label and its place, from 1, in the order of ordered_versions."""
+    rows = labels.select(label, natural_key(label).alias("__key"), F.lit(0).alias("__all"))
+    return running(rows, ["__all"], [F.col("__key"), F.col(label)], sums={name: F.lit(1)}, most=most).select(label, F.col(name).cast("int").alias(name))
+
+
 def list_versions(spark: SparkSession, root: str) -> list[str]:
     """The folders under root, through the file system that Spark reads it by; hidden ones are left out."""
     jvm = spark.sparkContext._jvm

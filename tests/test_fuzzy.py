@@ -187,3 +187,20 @@ def test_few_pairs_are_matched(spark, monkeypatch):
     monkeypatch.setattr(similarity, "verified", lambda pairs, least: asked.append(pairs.count()) or pairs.withColumn("similarity", F.lit(1.0)))
     similar_pairs(df, df, ["g"], 0.9).count()
     assert asked[0] < 0.1 * 400 * 400
+
+
+def test_the_query_equals_plain_loops(spark):
+    from palimpsest.plans import deciding
+
+    entries, lines, semantic, preferred = deciding.corpus(spark, "/root/testdata/sf0.001")
+    sides = {"old": {}, "new": {}}
+    for r in lines.orderBy("line_no").collect():
+        sides[r.version].setdefault(r.file, []).append(r.line)
+    pref = {}
+    for r in preferred.collect():
+        pref.setdefault(r["name"], []).append(r.file)
+    want = sorted(by_hand([tuple(r) for r in entries.collect()], sides["old"], sides["new"], {(r.version, r.file, r.line_no): tuple(r.path) for r in semantic.collect()}, pref))
+    columns = ["name", "old_value", "new_value", "confidence", "reason", "source_rank", "mentions", "file", "line_no", "rank"]
+    got = sorted(tuple(r[c] for c in columns) for r in deciding.fuzzy_resolve(spark, "/root/testdata/sf0.001").collect())
+    assert [(*g[:3], *g[4:]) for g in got] == [(*w[:3], *w[4:]) for w in want] and len(got) > 50
+    assert all(abs(g[3] - w[3]) < 3e-6 for g, w in zip(got, want))
