@@ -148,3 +148,19 @@ def whole_table_scan(spark, sf):
     flag = F.col("l_returnflag")
     out = running(li, ["g"], [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], sums={"total": F.col("l_linenumber")}, lasts={"last_a": F.when(flag == "A", F.col("l_suppkey"))}, nexts={"next_n": F.when(flag == "N", F.col("l_orderkey"))}, shifts={"two_before": (F.col("l_partkey"), 2)}, most=20_000)
     return out.select("l_orderkey", "l_linenumber", "total", "last_a", "two_before", "next_n")
+
+
+#: Named patterns, expressions or literals, of an indexed search.
+PATTERNS = {"license": ("License", True), "address": (r"[a-z]+@[a-z]+\.(com|org)", False), "either": (r"(Copyright|MIT) [A-Za-z]+", False), "short": ("##", True)}
+
+
+@query("indexed_search", "WITH l AS (SELECT doc_id, x.i::INT AS line_no, x.line AS line FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'line': x, 'i': i - 1})) AS x FROM documents)) " + " UNION ALL ".join(f"SELECT '{n}' AS name, doc_id, line_no FROM l WHERE " + (f"contains(line, '{p}')" if literal else f"regexp_matches(line, '{p}')") for n, (p, literal) in PATTERNS.items()))
+def indexed_search(spark, sf):
+    """Each document is a file; only those whose trigrams allow a match are read."""
+    from ..operators.staged import folder
+    from ..sources import trigrams
+
+    d = table(spark, sf, "documents").select(F.lit("v").alias("version"), F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    path = folder(spark, "trigrams")
+    trigrams.build(d, path)
+    return trigrams.search(d, path, PATTERNS).select("name", F.col("file").alias("doc_id"), "line_no")
