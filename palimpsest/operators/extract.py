@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sequence
+from .staged import staged
 
 
 @dataclass(frozen=True)
@@ -87,13 +88,13 @@ def _keyed(rows: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
     return seen.withColumns({"key": F.when(dynamic, F.col("held")).otherwise(F.nullif("literal", F.lit(""))), "dynamic": dynamic}).drop("literal", "label", "text", "is", "held", "raw")
 
 
-def containers(lines: DataFrame, g: Grammar, by: list[str]) -> DataFrame:
-    """by, line_no, container, parent, key, dynamic; the first creation of a container in its file counts."""
+def containers(lines: DataFrame, g: Grammar, by: list[str], held: DataFrame | None = None) -> DataFrame:
+    """by, line_no, container, parent, key, dynamic; the first creation of a container in its file counts. held: the labels, if they are known."""
     from .keyed import first_wins
 
     line = F.col("line")
     made = lines.select(*by, "line_no", _part(line, g.create, 1).alias("container"), _part(line, g.create, 2).alias("parent"), _part(line, g.create, 3).alias("raw")).where("container is not null")
-    return first_wins(_keyed(made, labels(lines, g, by), by), [*by, "container"], [F.col("line_no")])
+    return first_wins(_keyed(made, labels(lines, g, by) if held is None else held, by), [*by, "container"], [F.col("line_no")])
 
 
 def container_paths(found: DataFrame, by: list[str]) -> DataFrame:
@@ -113,8 +114,11 @@ def mappings(lines: DataFrame, g: Grammar | None = None, by: tuple[str, ...] = (
     """
     g, by = g or Grammar(), list(by)
     line = F.col("line")
-    held = labels(lines, g, by)
-    paths = container_paths(containers(lines, g, by), by).select(*by, "container", F.col("path").alias("parent"), F.col("dynamic").alias("outer"))
+    # lines that none of the patterns reads go, and what is left is written once for all that follows
+    told = "|".join(f"(?:{p})" for p in (g.create, g.put, g.append, g.load, g.call, g.header, g.forward, g.build, g.assign, g.extend))
+    lines = staged(lines.select(*by, "line_no", "line").where(line.rlike(told)))
+    held = staged(labels(lines, g, by))
+    paths = container_paths(containers(lines, g, by, held), by).select(*by, "container", F.col("path").alias("parent"), F.col("dynamic").alias("outer"))
     put = lines.select(*by, "line_no", _part(line, g.put, 1).alias("type"), _part(line, g.put, 2).alias("container"), _part(line, g.put, 3).alias("raw"), _part(line, g.put, 4).alias("value")).where("type is not null")
     loaded = lines.select(*by, "line_no", _part(line, g.load, 2).alias("type"), _part(line, g.load, 3).alias("container"), _part(line, g.load, 4).alias("raw"), _part(line, g.load, 1).alias("value")).where("type is not null")
     forwarded = called(lines, g, by, g.forward, ["container", "raw", "value"]).select(*by, "line_no", F.lit("call").alias("type"), "container", "raw", "value")

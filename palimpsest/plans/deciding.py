@@ -164,3 +164,12 @@ def indexed_search(spark, sf):
     path = folder(spark, "trigrams")
     trigrams.build(d, path)
     return trigrams.search(d, path, PATTERNS).select("name", F.col("file").alias("doc_id"), "line_no")
+
+
+@query("paged_decode", "WITH s AS (SELECT s_nationkey::VARCHAR AS script, s_suppkey % 3 AS params, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier) SELECT script, (7 * i)::INT AS seq, params::BIGINT AS value FROM s")
+def paged_decode(spark, sf):
+    """Where functions begin, in programs that are cut into pages of 64 bytes."""
+    from ..operators import paged
+    from .resolving import TABLE, programs
+
+    return paged.instructions(programs(spark, sf, "old"), TABLE, 64).where("kind = 'enter'").select("script", "seq", "value")
