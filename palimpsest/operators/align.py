@@ -233,9 +233,10 @@ def one_to_one(candidates: DataFrame, by: list[str], schema: str, most: int = 10
     """
     columns = candidates.columns
     sizes = lambda df: df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*by)
-    crowded = staged(sizes(candidates))
+    crowded = sizes(candidates)
     if crowded.isEmpty():
         return candidates.groupBy(*by).applyInPandas(_fold, schema).select(columns)
+    crowded = staged(crowded)
     done = []
     small = candidates.join(crowded, by, "left_anti")
     left = staged(candidates.join(crowded, by, "left_semi"))

@@ -68,11 +68,12 @@ def running(
         own = [c for c in df.columns if c not in values and c not in told]
         return out.select(*own, *(v.alias(k) for k, v in values.items()), *told)
 
-    crowded = staged(df.groupBy(*by).agg(F.count("*").alias("__rows")).where(F.col("__rows") > most))
+    crowded = df.groupBy(*by).agg(F.count("*").alias("__rows")).where(F.col("__rows") > most)
     total = crowded.agg(F.sum("__rows")).first()[0]
     if not total:
         return final(_inside(rows, by, order, s, n, t, told))
 
+    crowded = staged(crowded)
     apart = _same("r", "c", by)
     few = final(_inside(rows.alias("r").join(crowded.alias("c"), apart, "left_anti"), by, order, s, n, t, told))
     many = rows.alias("r").join(crowded.alias("c"), apart, "left_semi")
