@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from .staged import staged
 
 
-def postings(df: DataFrame, key: str, tokens) -> DataFrame:
-    """key, token, n: how often a row holds each of its tokens."""
-    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-
-
 def tokens_of(df: DataFrame, key: str, tokens) -> DataFrame:
     """key and token: each of a row's tokens once, without any shuffle."""
     return df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))

@@ -155,9 +155,12 @@ def resolve_struct_fields(entries: DataFrame, lines: DataFrame, containers: Data
     moved = staged(aligned_fields(old.select("base", "field"), new.select("base", "field"), 64, reach))
 
     asked = entries.join(pairs, "file").join(direct.withColumnRenamed("field", "value"), ["base", "value"], "left")
-    marks = lambda df, k: df.select("base", F.col("field").alias(k), F.explode("tokens").alias("token")).groupBy("base", k, "token").agg(F.count("*").alias("n"))
-    wanted = asked.where("uses > 0").select("base", F.col("value").alias("field")).distinct()
-    met = best_overlap(marks(old.join(wanted, ["base", "field"], "left_semi"), "o"), marks(new, "w"), ["base"], "o", "w", near=True).select("base", F.col("o").alias("value"), F.col("w").alias("__context"))
+    marks = staged(field_signatures(acc))
+    wanted = asked.where("uses > 0").select("base", F.col("value").alias("o")).distinct()
+    old_marks = marks.where("version = 'old'").join(pairs, ["file", "container"]).select("base", F.col("field").alias("o"), "token", "n").join(wanted, ["base", "o"], "left_semi")
+    into = pairs.select("file", F.col("new_container").alias("container"), "base")
+    new_marks = marks.where("version = 'new'").join(into, ["file", "container"]).select("base", F.col("field").alias("w"), "token", "n")
+    met = best_overlap(old_marks, new_marks, ["base"], "o", "w", near=True).select("base", F.col("o").alias("value"), F.col("w").alias("__context"))
     steps = align.as_of(asked.select("base", F.col("value").alias("field")).distinct(), moved.withColumn("shift", F.col("new_field") - F.col("field")), ["base"], "field", "shift")
     stepped = steps.where("as_of IS NOT NULL").select("base", F.col("field").alias("value"), (F.col("field") + F.col("as_of")).alias("__step"))
 

@@ -68,6 +68,21 @@ def test_families_are_repaired_in_root_number_and_next(spark):
     assert got == {r[0]: fixed.get(r[0], (r[3], None)) for r in rows}
 
 
+def test_conservative_paths_change_their_strides_alone(spark):
+    from palimpsest.operators import structure
+
+    array = "base string, root bigint, stride bigint, stride2 bigint, child bigint"
+    old = [("Root_1", 5, 10, None, c) for c in (1, 2, 3)] + [("Root_1", 60, 20, None, c) for c in (7, 8)]
+    new = [("Root_1", 5, 11, None, c) for c in (1, 2, 3)] + [("Root_1", 90, 20, None, c) for c in (7, 8)]
+    none = spark.createDataFrame([], "base string, root bigint, sub bigint, stride bigint, leaf bigint")
+    scalars = spark.createDataFrame([], "base string, field bigint")
+    values = spark.createDataFrame([("stride", "Root_1.f_5[i /*10*/].f_2"), ("root", "Root_1.f_60[i /*20*/].f_7")], "name string, value string")
+    run = lambda **how: {r["name"]: r.new_value for r in structure.resolve_paths(values, (spark.createDataFrame(old, array), spark.createDataFrame(new, array)), (none, none), (scalars, scalars), **how).collect()}
+    assert run() == {"stride": "Root_1.f_5[i /*11*/].f_2", "root": "Root_1.f_90[i /*20*/].f_7"}
+    assert run(conservative=True) == {"stride": "Root_1.f_5[i /*11*/].f_2", "root": None}
+    assert run(scalar_only=True) == {"stride": None, "root": None}
+
+
 def test_gates_publish_all_or_nothing(spark, tmp_path):
     df = spark.createDataFrame([(i, i if i % 4 else None, i % 3) for i in range(20)], "k int, v int, w int")
     path = f"file://{tmp_path}/out"
