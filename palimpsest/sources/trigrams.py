@@ -7,8 +7,11 @@ stays if it has all of some alternative's; an expression that asks for no trigra
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,21 +66,38 @@ def alternatives(pattern: str, literal: bool = False) -> list[frozenset[str]]:
     return [frozenset()] if frozenset() in found else found
 
 
+def code(trigram: str) -> int:
+    """Three characters as one number."""
+    x, y, z = map(ord, trigram)
+    return x << 42 | y << 21 | z
+
+
 def build(lines: DataFrame, path: str) -> None:
-    """The index of lines (version, file, line): version, file, trigram, in the order of trigrams, so that a look-up reads few parts of it."""
-    cut = F.transform(F.sequence(F.lit(1), F.length("line") - 2), lambda i: F.substring(F.col("line"), i, F.lit(3)))
-    held = lines.where(F.length("line") > 2).select("version", "file", F.explode(F.array_distinct(cut)).alias("trigram")).distinct()
-    held.repartitionByRange("trigram", "file").sortWithinPartitions("trigram", "file").write.mode("overwrite").parquet(path)
+    """The index of lines (version, file, line): version, file, trigram (see code). Each part of it is in the order of trigrams, so that a look-up reads few pages."""
+    rows = lines.select("version", "file", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for line in batch.column(2).to_pylist():
+                c = np.frombuffer((line or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                held.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0])
+            at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], names=["version", "file", "trigram"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("version", "file")]
+    found = rows.mapInArrow(run, f"version {kinds[0]}, file {kinds[1]}, trigram long").distinct()
+    found.sortWithinPartitions("trigram").write.mode("overwrite").parquet(path)
 
 
 def files(spark: SparkSession, path: str, patterns: dict[str, tuple[str, bool]], every: DataFrame) -> DataFrame:
     """name, version and file: which of every (version, file) may hold what each named pattern (expression or literal) asks for."""
-    asked = [(name, i, t) for name, (p, literal) in patterns.items() for i, c in enumerate(alternatives(p, literal)) for t in c]
+    asked = [(name, i, code(t)) for name, (p, literal) in patterns.items() for i, c in enumerate(alternatives(p, literal)) for t in c]
     sizes = [(name, i, len(c)) for name, (p, literal) in patterns.items() for i, c in enumerate(alternatives(p, literal)) if c]
     free = [name for name, (p, literal) in patterns.items() if frozenset() in alternatives(p, literal)]
     # patterns are configuration, so are their trigrams: they go to the scan as a filter
     index = spark.read.parquet(path).where(F.col("trigram").isin(sorted({t for *_, t in asked})))
-    wanted = spark.createDataFrame(asked, "name string, alternative int, trigram string")
+    wanted = spark.createDataFrame(asked, "name string, alternative int, trigram long")
     needed = spark.createDataFrame(sizes, "name string, alternative int, needed long")
     found = index.join(wanted, "trigram").groupBy("version", "file", "name", "alternative").agg(F.count("*").alias("n"))
     held = found.join(needed, ["name", "alternative"]).where("n = needed").select("name", "version", "file").distinct()
