@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import MOST, running
-from .staged import staged
+from .staged import staged, stored
 
 
 def ordinals(df: DataFrame, by: list[str], key: str, name: str = "ordinal", buckets: int = 1024) -> DataFrame:
@@ -52,30 +52,41 @@ def overlaps(a: DataFrame, b: DataFrame, group: str, member: str) -> DataFrame:
     return shared.join(sizes(left, "a"), "a_key").join(sizes(right, "b"), "b_key")
 
 
-def jaccard_pairs(a: DataFrame, b: DataFrame, group: str, member: str, above: float) -> DataFrame:
-    """overlaps with jaccard, to six places, strictly above a bound."""
+def jaccard_pairs(a: DataFrame, b: DataFrame, group: str, member: str, above: float, half: bool = False) -> DataFrame:
+    """overlaps with jaccard, to six places, strictly above a bound; with half only the pairs whose a_key is below b_key."""
     rows = lambda df, k: df.select(F.col(group).alias(k), F.col(member).alias("m")).distinct()
-    found = similar_sets(rows(a, "a_key"), rows(b, "b_key"), [], "m", above).where(F.col("jaccard") > above)
+    found = similar_sets(rows(a, "a_key"), rows(b, "b_key"), [], "m", above, half).where(F.col("jaccard") > above)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
-def similar_sets(a: DataFrame, b: DataFrame, by: list[str], member: str, least: float) -> DataFrame:
+#: Keys that a list of those which hold a member has, about.
+LISTED = 256
+
+
+def similar_sets(a: DataFrame, b: DataFrame, by: list[str], member: str, least: float, half: bool = False) -> DataFrame:
     """by, a_key, b_key, shared, a_size, b_size, jaccard: all pairs of sets within by whose Jaccard similarity is at least that (over 0).
 
-    a: by, a_key, member; b: by, b_key, member; rows are distinct. With members in one order, rare ones first, similar sets share one among the first ones of
-    each: as many as may be lacking, and one. Sets meet by these alone, if their sizes allow, and what has met is counted.
+    a: by, a_key, member; b: by, b_key, member; rows are distinct. half: only pairs whose a_key is below b_key. With members in one order, rare
+    ones first, similar sets share one among the first ones of each: as many as may be lacking, and one. Sets meet by these
+    alone, if their sizes allow. What they share of these is counted, and a pair goes on if that and all that either set has behind its
+    first ones could be enough; only then do whole sets meet. Members travel to a set's place as lists of keys, and pairs arise there.
     """
     sized = lambda df, k: df.join(df.groupBy(*by, f"{k}_key").agg(F.count("*").alias(f"{k}_size")), [*by, f"{k}_key"])
-    a, b = staged(sized(a, "a")), staged(sized(b, "b"))
+    a, b = stored(sized(a, "a")), stored(sized(b, "b"))
     counts = a.select(*by, member).unionByName(b.select(*by, member)).groupBy(*by, member).agg(F.count("*").alias("__n"))
+    behind = lambda k: (F.ceil(F.col(f"{k}_size") * least - 1e-9) - 1).cast("long")
 
     def first(df: DataFrame, k: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by, f"{k}_key").orderBy("__n", member))
-        lacking = F.col(f"{k}_size") - F.ceil(F.col(f"{k}_size") * least - 1e-9) + 1
-        return df.join(counts, [*by, member]).withColumn("__at", place).where(F.col("__at") <= lacking).drop("__n", "__at")
-
-    sizes = (F.col("a_size") >= F.col("b_size") * least - 1e-9) & (F.col("b_size") >= F.col("a_size") * least - 1e-9)
-    met = first(a, "a").join(first(b, "b"), [*by, member]).where(sizes).select(*by, "a_key", "b_key").distinct()
+        return df.join(counts, [*by, member]).withColumn("__at", place).where(F.col("__at") <= F.col(f"{k}_size") - behind(k)).drop("__at")
+
+    part = F.pmod(F.xxhash64("b_key"), F.ceil(F.col("__n") / LISTED))
+    lists = first(b, "b").groupBy(*by, member, part.alias("__part")).agg(F.collect_list(F.struct("b_key", "b_size")).alias("__list"))
+    sizes = lambda x: (F.col("a_size") >= x["b_size"] * least - 1e-9) & (x["b_size"] >= F.col("a_size") * least - 1e-9) & ((x["b_key"] > F.col("a_key")) if half else F.lit(True))
+    near = first(a, "a").join(lists, [*by, member]).select(*by, "a_key", "a_size", F.filter("__list", sizes).alias("__list")).where(F.size("__list") > 0)
+    each = near.repartition(*by, "a_key").select(*by, "a_key", "a_size", F.explode("__list").alias("x")).select(*by, "a_key", "a_size", "x.*")
+    enough = F.col("__c") + F.greatest(behind("a"), behind("b")) >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
+    met = stored(each.groupBy(*by, "a_key", "b_key", "a_size", "b_size").agg(F.count("*").alias("__c")).where(enough).select(*by, "a_key", "b_key"))
     # a pair's members meet again, whole
     shared = met.join(a, [*by, "a_key"]).join(b, [*by, "b_key", member]).groupBy(*by, "a_key", "b_key", "a_size", "b_size").agg(F.count("*").alias("shared"))
     j = F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))

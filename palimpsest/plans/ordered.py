@@ -136,7 +136,7 @@ def signature_ordinal_match(spark, sf):
   SELECT a_key, b_key, shared::BIGINT AS shared, x.n::BIGINT AS a_size, y.n::BIGINT AS b_size, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN z x ON x.l_suppkey = a_key JOIN z y ON y.l_suppkey = b_key WHERE shared / (x.n + y.n - shared) > 0.15""")
 def jaccard_pairs(spark, sf):
     s = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
-    return align.jaccard_pairs(s, s, "l_suppkey", "l_partkey", 0.15).where("a_key < b_key")
+    return align.jaccard_pairs(s, s, "l_suppkey", "l_partkey", 0.15, half=True)
 
 
 SHIFT = """WITH o AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS n FROM lineitem WHERE l_returnflag = 'N'),

@@ -69,3 +69,18 @@ def test_walks_carry_their_shift(spark):
     df = spark.createDataFrame([([1, 5, 9, 40], [3, 7, 30, 12]), ([], [1]), ([2], [])], "o array<bigint>, n array<bigint>")
     got = [[tuple(x) for x in r.leaves] for r in align.greedy_leaves(df, "o", "n").collect()]
     assert got == [[(1, 3), (5, 7), (9, 12)], [], []]
+
+
+def test_few_pairs_of_sets_meet_whole(spark, monkeypatch):
+    """Sets of a hundred of two thousand members: at a low bound nearly all share a first member, hardly any enough of them."""
+    rnd = random.Random(21)
+    rows = [(i, m) for i in range(120) for m in rnd.sample(range(2000), 100)] + [(i + 1000, m) for i in range(5) for m in range(5000, 5100 + i)]
+    df = spark.createDataFrame(rows, "k long, m long")
+    kept = []
+    own = align.stored
+    monkeypatch.setattr(align, "stored", lambda x: kept.append(own(x)) or kept[-1])
+    got = {(r.a_key, r.b_key) for r in align.jaccard_pairs(df, df, "k", "m", 0.15, half=True).collect()}
+    assert got == {(1000 + i, 1000 + j) for i in range(5) for j in range(i + 1, 5)}
+    assert kept[-1].count() < 100  # of 7,875
+    monkeypatch.setattr(align, "LISTED", 2)
+    assert {(r.a_key, r.b_key) for r in align.jaccard_pairs(df, df, "k", "m", 0.15).where("a_key < b_key").collect()} == got
