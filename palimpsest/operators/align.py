@@ -6,6 +6,8 @@ width, so that no join compares everything with everything.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -93,8 +95,8 @@ def similar_sets(a: DataFrame, b: DataFrame, by: list[str], member: str, least:
     return shared.withColumn("jaccard", j).where(F.col("jaccard") >= least - 1e-9).select(*by, "a_key", "b_key", "shared", "a_size", "b_size", "jaccard")
 
 
-#: Places of a block of keys at least, and pairs that are counted one by one.
-PLACES, PAIRS = 4096, 1 << 21
+#: Places of a block of keys at least, pairs that are counted one by one, and pairs of a block that is counted together with others.
+PLACES, PAIRS, SMALL = 4096, 1 << 21, 1 << 14
 
 
 def shift_hits(old: np.ndarray, new: np.ndarray, reach: int) -> np.ndarray:
@@ -108,36 +110,64 @@ def shift_hits(old: np.ndarray, new: np.ndarray, reach: int) -> np.ndarray:
     return np.rint(np.fft.irfft(np.fft.rfft(y) * np.conj(np.fft.rfft(x)), size)[:reach]).astype(np.int64)
 
 
+def _hits(olds: pa.Array, news: pa.Array, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shift and hits of blocks, each a list of old and of new places: all differences of small blocks at once, large ones by shift_hits."""
+    a, b = olds.flatten().to_numpy(), news.flatten().to_numpy()
+    many_a, many_b = (x.value_lengths().fill_null(0).to_numpy().astype(np.int64) for x in (olds, news))
+    first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+    found = []
+    large = many_a * many_b > SMALL
+    for i in np.flatnonzero(large).tolist():
+        y = b[first_b[i] : first_b[i] + many_b[i]] - starts[i]
+        y = y[y >= 0]
+        if len(y):
+            hits = shift_hits(a[first_a[i] : first_a[i] + many_a[i]] - starts[i], y, reach)
+            shifts = np.flatnonzero(hits)
+            found.append((np.full(len(shifts), i), shifts, hits[shifts]))
+    small = np.flatnonzero(~large & (many_a * many_b > 0))
+    ends = np.cumsum((many_a * many_b)[small])
+    # some blocks at a time, so that the differences have a bounded number
+    for some in np.split(small, np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS))) if len(small) else []:
+        times = (many_a * many_b)[some]
+        row = np.repeat(some, times)
+        within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        apart = b[first_b[row] + within % many_b[row]] - a[first_a[row] + within // many_b[row]]
+        near = (apart >= 0) & (apart < reach)
+        pairs, hits = np.unique(row[near] * reach + apart[near], return_counts=True)
+        found.append((pairs // reach, pairs % reach, hits))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def best_shift(old: DataFrame, new: DataFrame, by: list[str], key: str, reach: int) -> DataFrame:
     """Per group: the shift 0 <= shift < reach that maps most old keys onto new ones (the least of several), hits, and n old keys.
 
-    Keys are cut into blocks of reach places at least; a block of old keys meets the new ones that it may move to, and
-    hits are counted for all shifts together, so that neither rows nor memory grow with reach times the keys.
+    Keys are cut into blocks of reach places at least; a block of old keys, one row, meets the new ones that it may move to, and
+    hits are counted for all shifts together, many small blocks at once, so that neither rows nor memory grow with reach times the keys.
     """
-    o, n = (df.select(*by, F.col(key).cast("long").alias("k")).distinct() for df in (old, new))
     width = max(reach, PLACES)
-    left = o.withColumn("__b", F.floor(F.col("k") / width))
-    right = n.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - reach + 1) / width), F.floor(F.col("k") / width)))))
     names = [f"__{i}" for i in range(len(by) + 1)]
-    left, right = left.withColumnsRenamed(dict(zip([*by, "__b"], names))), right.withColumnsRenamed(dict(zip([*by, "__b"], names)))
-
-    def count(x: pa.Table, y: pa.Table) -> pa.Table:
-        hits = np.zeros(0, np.int64)
-        if x.num_rows and y.num_rows:
-            a, b = x.column("k").to_numpy(), y.column("k").to_numpy()
-            start = x.column(names[-1])[0].as_py() * width
-            b = b[b >= start]
-            if len(b):
-                hits = shift_hits(a - start, b - start, reach)
-        shifts = np.flatnonzero(hits)
-        one = [x.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(shifts), np.int64))) for c in names[:-1]]
-        return pa.Table.from_arrays([*one, pa.array(shifts), pa.array(hits[shifts])], names=[*names[:-1], "shift", "hits"])
-
-    kinds = ", ".join([*(f"{c} {o.schema[b].dataType.simpleString()}" for c, b in zip(names, by)), "shift bigint", "hits bigint"])
-    counted = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(count, kinds).withColumnsRenamed(dict(zip(names, by)))
+    k = F.col("k")
+    side = lambda df: df.select(*(F.col(c).alias(n) for c, n in zip(by, names)), F.col(key).cast("long").alias("k")).where("k IS NOT NULL")
+    blocks = lambda df, at, name: df.withColumn(names[-1], at).groupBy(*names).agg(F.collect_set("k").alias(name))
+    left = blocks(side(old), F.floor(k / width), "olds")
+    right = blocks(side(new), F.explode(F.array_distinct(F.array(F.floor((k - reach + 1) / width), F.floor(k / width)))), "news")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            olds, news = batch.column("olds"), batch.column("news")
+            row, shifts, hits = _hits(olds, news, batch.column(names[-1]).to_numpy() * width, reach)
+            # a row without a shift tells how many old keys there are
+            row = np.concatenate([row, np.arange(len(batch))])
+            told = pa.concat_arrays([pa.array(shifts, pa.int64()), pa.nulls(len(batch), pa.int64())])
+            counted = pa.concat_arrays([pa.array(hits, pa.int64()), olds.value_lengths().cast(pa.int64())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in names[:-1]), told, counted], names=[*names[:-1], "shift", "hits"])
+
+    kinds = ", ".join([*(f"{n} {old.schema[c].dataType.simpleString()}" for n, c in zip(names, by)), "shift bigint", "hits bigint"])
+    counted = left.join(right, names, "left").mapInArrow(run, kinds).withColumnsRenamed(dict(zip(names, by)))
     hits = counted.groupBy(*by, "shift").agg(F.sum("hits").alias("hits"))
-    best = hits.groupBy(*by).agg(F.min(F.struct((-F.col("hits")).alias("m"), "shift")).alias("b")).select(*by, F.col("b.shift").alias("shift"), (-F.col("b.m")).alias("hits"))
-    return best.join(o.groupBy(*by).agg(F.count("*").alias("n")), by)
+    best = F.min(F.when(F.col("shift").isNotNull(), F.struct((-F.col("hits")).alias("m"), "shift")))
+    out = hits.groupBy(*by).agg(best.alias("b"), F.max(F.when(F.col("shift").isNull(), F.col("hits"))).alias("n")).where("b IS NOT NULL")
+    return out.select(*by, F.col("b.shift").alias("shift"), (-F.col("b.m")).alias("hits"), "n")
 
 
 def aligned(old: DataFrame, new: DataFrame, by: list[str], key: str, reach: int) -> DataFrame:

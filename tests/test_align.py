@@ -84,3 +84,17 @@ def test_few_pairs_of_sets_meet_whole(spark, monkeypatch):
     assert kept[-1].count() < 100  # of 7,875
     monkeypatch.setattr(align, "LISTED", 2)
     assert {(r.a_key, r.b_key) for r in align.jaccard_pairs(df, df, "k", "m", 0.15).where("a_key < b_key").collect()} == got
+
+
+def test_many_small_blocks_are_counted_together(spark, monkeypatch):
+    """Keys far apart: a block is a row among others, no group of its own."""
+    rnd = random.Random(22)
+    old = [(g, rnd.randrange(-(10**8), 10**8)) for g in (1, 2, None) for _ in range(400)]
+    new = [(g, k + 5) for g, k in old] + [(1, k + 7) for g, k in old[:100]]
+    o, n = (spark.createDataFrame(x, "g int, k long") for x in (old + old[:50], new))
+    found = align.best_shift(o, n, ["g"], "k", 100)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    want = {(g, 5, 400, 400) for g in (1, 2)}
+    assert {tuple(r) for r in found.select("g", "shift", "hits", "n").collect()} == want
+    monkeypatch.setattr(align, "PAIRS", 3)
+    assert {tuple(r) for r in align.best_shift(o, n, ["g"], "k", 100).select("g", "shift", "hits", "n").collect()} == want
