@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import align, joins, sequence
+from palimpsest.operators import align, joins, scan, sequence
 from palimpsest.operators.scan import running
 
 
@@ -84,3 +84,15 @@ def test_as_of_and_bracketed_on_equal_keys(spark):
         told = align.bracketed(align.as_of(rows, anchors, ["g"], "k", "a", most=most), anchors, ["g"], "k", "a", most=most).orderBy("k").collect()
         assert [r.as_of for r in told] == [None, 7, 7, 7, 7, 8, None]
         assert [r.bracketed for r in told] == [None, 7, 7, 7, None, 8, None]
+
+
+def test_ranges_follow_the_rows_and_not_a_small_limit(spark, monkeypatch):
+    """A limit of ten rows cuts a group, but not into hundreds of tasks that each tell the driver of themselves."""
+    asked = []
+    kind = type(spark.range(1))
+    own = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *c: asked.append(n) or own(self, n, *c))
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("k"))
+    out = scan.running(df, ["g"], [F.col("k")], sums={"s": F.lit(1)}, shifts={"b": (F.col("k"), 2)}, most=10).collect()
+    assert {tuple(r) for r in out} == {("g", i, i + 1, i - 2 if i > 1 else None) for i in range(5000)}
+    assert asked == [scan.FEW]
