@@ -47,11 +47,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    group_rows: rows that are buffered at most as they are written and read, for rows of several MB.
+    """
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.row.count.limit": group_rows} if group_rows else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -334,7 +334,7 @@ def align(df: DataFrame, definition: str, model: bytes, key: str = "doc_id", tex
     occur; other columns play no part whatever their names; an empty table gives no rows. A text is
     aligned whole, whatever its length.
     """
-    held = stored(blocks(df, definition, model, key, text, whole_groups), "aligned")
+    held = stored(blocks(df, definition, model, key, text, whole_groups), "aligned", group_rows=1)
     totals = stored(pair_counts(held), "pair-totals")
     asked = held.select("block", F.explode("pairs").alias("pair")).join(totals, "pair").select("block", "pair", "n", "best")
     wanted = ["ids", "n_a", "n_b", "n_groups", "n_links", "shas", "starts", "chunks", "link_starts", "links"]
@@ -359,7 +359,7 @@ def align(df: DataFrame, definition: str, model: bytes, key: str = "doc_id", tex
 
 def links(df: DataFrame, definition: str, model: bytes, key: str = "doc_id", text: str = "text", whole_groups: bool = False) -> DataFrame:
     """a, b (ids), n (long), best: the crosswalk between the two vocabularies, a row for each pair that the table's texts link."""
-    held = stored(blocks(df, definition, model, key, text, whole_groups), "aligned")
+    held = stored(blocks(df, definition, model, key, text, whole_groups), "aligned", group_rows=1)
     out = stored(pair_counts(held), "pair-totals").select("a", "b", "n", "best")
     discard(held)
     return out

@@ -104,3 +104,24 @@ def test_the_query_covers_the_table(spark, files):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(tuple(r[c] for c in COLUMNS) for r in QUERIES["op13_cross_tokens"](spark, sf).collect()) == by_hand(rows, files)[0]
+
+
+def test_blocks_are_written_and_read_one_by_one(spark, files, monkeypatch):
+    """However many blocks a task has, one of them is buffered."""
+    import pyarrow.parquet as pq
+
+    from palimpsest.llm import cross_tokens as module
+
+    kept = []
+    own = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name, **more: kept.append((name, own(df, name, **more))) or kept[-1][1])
+    monkeypatch.setattr(module, "BLOCK_BYTES", 100)
+    df = spark.createDataFrame([(i, f"some words of text {i} " * 5) for i in range(20)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert align(df, *files).count() == 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in dict(kept)["aligned"].inputFiles()]
+    assert sum(m.num_rows for m in told) > 10
+    assert all(m.row_group(i).num_rows == 1 for m in told for i in range(m.num_row_groups))
