@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staged import staged
+from .staged import staged, stored
 
 
 def tokens_of(df: DataFrame, key: str, tokens) -> DataFrame:
@@ -43,51 +45,110 @@ def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str
     return met.groupBy(*by, old_key, new_key).agg(F.sum(F.least("na", "nb") / F.col("f")).alias("__s")).withColumn("score", F.round(F.col("__s") + bonus, 6)).drop("__s")
 
 
-def best_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, new_key: str, near: bool = False, places: int = 6, first: int = 16) -> DataFrame:
+#: Tokens of all rows of a block of one side, about; groups of fewer than an eighth are dealt out together.
+BLOCK = 1 << 21
+
+
+def _best_of_block(old: pa.Table, new: pa.Table, first: int, places: int, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of old rows, places of new rows and parts: for each old row those that may have its best score, of equal ones the first.
+
+    old: key, t (token numbers, rare ones first), f (their frequencies), n. new: key, t, n; its rows come by key. Tokens are met as best_overlap says.
+    """
+    many = lambda x: x.value_lengths().to_numpy().astype(np.int64)
+    flat = lambda x: x.flatten().to_numpy()
+    held, asked = ({c: x[c].combine_chunks() for c in ("t", "f", "n") if c in x.column_names} for x in (new, old))
+    counts, sizes = many(held["t"]), many(asked["t"])
+    row, t, n = np.repeat(np.arange(len(counts)), counts), flat(held["t"]), flat(held["n"])
+    by_row = np.lexsort((t, row))
+    row_t, row_n, row_end = t[by_row], n[by_row], np.cumsum(counts)
+    by_token = np.argsort(t, kind="stable")
+    t, row, n = t[by_token], row[by_token], n[by_token]
+    tokens, f, na = flat(asked["t"]), flat(asked["f"]), flat(asked["n"])
+    low, high, end = np.searchsorted(t, tokens), np.searchsorted(t, tokens, "right"), np.cumsum(sizes)
+    slack = 2 * 10.0**-places
+    keys = [x["key"].to_numpy().astype(float) for x in (old, new)] if near else None
+    out = []
+    for i in range(len(sizes)):
+        own = slice(end[i] - sizes[i], end[i])
+        lo, lengths, fo, no, to = low[own], high[own] - low[own], f[own], na[own], tokens[own]
+        if not lengths.any():
+            continue
+        at_most = np.concatenate([np.cumsum((no / fo)[::-1])[::-1], [0.0]])
+        up_to = first
+        while True:
+            k = int(np.searchsorted(fo, up_to, "right"))
+            some, best = lengths[:k], -1.0
+            if some.any():
+                at = np.repeat(lo[:k] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))
+                rows, which = np.unique(row[at], return_inverse=True)
+                part = np.bincount(which, np.minimum(n[at], np.repeat(no[:k], some)) / np.repeat(fo[:k], some))
+                best = part.max()
+            if k == len(fo) or at_most[k] + slack + (0.001 if near else 0.0) < best:
+                break
+            up_to *= max(first, 2)
+        may = part + at_most[k] + slack + (0.001 if near else 0.0) >= best
+        rows, part = rows[may], part[may]
+        if lengths[k:].any():
+            for j, r in enumerate(rows.tolist()):
+                has = slice(row_end[r] - counts[r], row_end[r])
+                found = np.minimum(np.searchsorted(row_t[has], to[k:]), counts[r] - 1)
+                both = row_t[has][found] == to[k:]
+                part[j] += (np.minimum(row_n[has][found], no[k:]) / fo[k:])[both].sum()
+        score = part + 0.001 / (1 + np.abs(keys[1][rows] - keys[0][i])) if near else part
+        rows, part, score = (x[score >= score.max() - slack] for x in (rows, part, score))
+        _, once = np.unique(score, return_index=True)
+        out.append((np.full(len(once), i), rows[once], part[once]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def best_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, new_key: str, near: bool = False, places: int = 6, first: int = 16, block: int = BLOCK) -> DataFrame:
     """by, old_key, new_key, score: of all that share a token with an old row, that of the greatest multiset_overlap, the least new_key of several.
 
-    old, new: by, key, token, n; a key's tokens are distinct. Tokens are met rare ones first: those in at most first rows of new
+    old, new: by, key, token, n; a key's tokens are distinct. A row and its tokens are one row; each side of a group is cut into blocks
+    of about so many tokens, and each block of old rows meets each of new ones in one task, so that pairs arise there and none is shuffled: what
+    is shuffled are the rows, as often as the other side has blocks. Small groups share a task. Within it tokens are met rare ones first: those in at most first rows of new
     within by, then in at most first times as many, and so on. Each new row met has a part of its score; what all
     tokens to come could add to one not yet met is known from old alone. Where that is less than the best part, no more are met: those
     that may still win get the rest of their score, by their own tokens. So a token that all rows hold makes
     pairs only where nothing rarer decides. The score is that of multiset_overlap, and the choice the same.
     """
-    keys = [*by, old_key]
-    freq = new.groupBy(*by, "token").agg(F.count("*").alias("f"))
-    a = staged(old.select(*keys, "token", F.col("n").alias("na")).join(freq, [*by, "token"]))
-    b = new.select(*by, new_key, "token", F.col("n").alias("nb"))
-    slack = 2 * 10.0**-places + (0.001 if near else 0.0)
-    part = F.sum(F.least("na", "nb") / F.col("f"))
-    most = a.agg(F.max("f")).first()[0] or 0
-    active, met, done = a.select(*keys).distinct(), None, []
-    low, high = 0, first
-    while True:
-        last = high >= most
-        asked = a.join(active, keys, "left_semi")
-        pairs = asked.where((F.col("f") > low) & (F.col("f") <= high)).join(b, [*by, "token"]).groupBy(*keys, new_key).agg(part.alias("part"))
-        if met is not None:
-            pairs = pairs.unionByName(met.join(active, keys, "left_semi")).groupBy(*keys, new_key).agg(F.sum("part").alias("part"))
-        met = staged(pairs)
-        rest = asked.where(F.col("f") > high).groupBy(*keys).agg(F.sum(F.col("na") / F.col("f")).alias("rest"))
-        told = met.groupBy(*keys).agg(F.max("part").alias("best")).join(rest, keys, "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-        ended = told if last else told.where(F.col("rest") + slack < F.col("best"))
-        ended = staged(ended)
-        left = met.join(ended, keys).where(F.col("part") + F.col("rest") + slack >= F.col("best")).select(*keys, new_key, "part")
-        more = left.join(a.where(F.col("f") > high), keys).join(b, [*by, new_key, "token"]).groupBy(*keys, new_key).agg(part.alias("part"))
-        done.append(staged(left.unionByName(more).groupBy(*keys, new_key).agg(F.sum("part").alias("part"))))
-        if last:
-            break
-        active = staged(active.join(ended, keys, "left_anti"))
-        low, high = high, high * first
-        if active.isEmpty():
-            break
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
+    freq = stored(new.groupBy(*by, "token").agg(F.count("*").alias("f")).withColumn("__t", F.monotonically_increasing_id()))
+
+    def listed(df: DataFrame, k: str) -> DataFrame:
+        each = df.select(*by, k, "token", F.col("n").cast("long").alias("n")).join(freq, [*by, "token"])
+        rows = each.groupBy(*by, k).agg(F.sort_array(F.collect_list(F.struct("f", "__t", "n"))).alias("x"))
+        return stored(rows.select(*by, k, *(F.col(f"x.{c}").alias(x) for c, x in (("__t", "t"), ("f", "f"), ("n", "n")))))
+
+    a, b = listed(old, old_key), listed(new, new_key)
+    sizes = lambda df, name: df.groupBy(*by).agg(F.sum(F.size("t")).alias(name))
+    groups = sizes(a, "__a").join(sizes(b, "__b"), by).withColumns({"__g": F.monotonically_increasing_id(), "__as": F.ceil(F.col("__a") / block), "__bs": F.ceil(F.col("__b") / block)})
+    groups = stored(groups)
+    alone = F.greatest("__a", "__b") > block // 8
+    shared = groups.agg(F.sum(F.when(~alone, F.col("__a") + F.col("__b")))).first()[0] or 0
+    place = F.when(alone, F.col("__g")).otherwise(-1 - F.pmod(F.xxhash64("__g"), F.lit(1 + shared // max(1, block // 8))))
+    cell = ["__c", "__i", "__j"]
+
+    def dealt(df: DataFrame, k: str, parts: str, others: str, at: tuple[str, str]) -> DataFrame:
+        out = df.join(groups, by).withColumns({"__c": place, at[0]: F.pmod(F.xxhash64(k), F.col(parts))})
+        out = out.withColumn(at[1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+        # aliased anew: both sides have these from one table
+        return out.select(*(F.col(c).alias(c) for c in [*cell, "__g"]), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col(k).alias("key"), "t", "f", "n")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("__g", "ascending"), ("key", "ascending")])
+        i, j, part = _best_of_block(left, right.drop_columns(["f"]), first, places, near)
+        told = left.select([f"__by{x}" for x in range(len(by))]).take(pa.array(i))
+        return pa.table([*told.columns, left["key"].take(pa.array(i)), right["key"].take(pa.array(j)), pa.array(part)], names=names)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    names = [*(f"__by{i}" for i in range(len(by))), "__old", "__new", "part"]
+    kinds = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kind(a, c) for c in by), kind(a, old_key), kind(b, new_key), "double"]))
+    met = dealt(a, old_key, "__as", "__bs", ("__i", "__j")).groupBy(*cell).cogroup(dealt(b, new_key, "__bs", "__as", ("__j", "__i")).groupBy(*cell))
+    every = met.applyInArrow(run, kinds).withColumnsRenamed(dict(zip(names, [*by, old_key, new_key])))
     bonus = 0.001 / (1 + F.abs(F.col(old_key) - F.col(new_key))) if near else F.lit(0.0)
     scored = every.withColumn("score", F.round(F.col("part") + bonus, places))
     best = F.min_by(F.struct(new_key, "score"), F.struct((-F.col("score")).alias("s"), F.col(new_key).alias("k")))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    return scored.groupBy(*by, old_key).agg(best.alias("b")).select(*by, old_key, "b.*")
 
 
 def merge_candidates(candidates: DataFrame, key: str, value: str) -> DataFrame:

@@ -79,3 +79,19 @@ def test_merged_confidence_is_at_most_one_and_reasons_keep_their_order(spark):
     (r,) = context.merge_candidates(df, "name", "value").collect()
     assert (r.confidence, r.reason, r.mentions) == (1.0, "z; a; m", 4)
     assert context.merge_candidates(df.where(F.col("reason") == "m"), "name", "value").first().confidence == 0.99
+
+
+def test_pairs_that_nothing_rare_decides_are_not_written(spark, monkeypatch):
+    """Rows of frequent tokens meet in blocks, whose copies are the same as one block."""
+    rnd = random.Random(16)
+    side = lambda n: [(rnd.choice("gh"), i, Counter(rnd.choice(range(30)) for _ in range(6))) for i in range(n)]
+    rows = [(g, i, Counter({f"t{t}": n for t, n in c.items()})) for g, i, c in side(300)]
+    written = []
+    for name in ("staged", "stored"):
+        monkeypatch.setattr(context, name, lambda df, plain=getattr(context, name): written.append(plain(df)) or written[-1])
+    got = context.best_overlap(frame(spark, rows, "o"), frame(spark, rows[:200], "w"), ["g"], "o", "w").collect()
+    assert {(r.g, r.o): r.w for r in got} == {k: j for k, (j, _) in by_hand(rows, rows[:200], False).items()}
+    assert sum(df.count() for df in written) < 3000
+    for block in (40, 400):
+        again = context.best_overlap(frame(spark, rows, "o"), frame(spark, rows[:200], "w"), ["g"], "o", "w", block=block).collect()
+        assert sorted(again) == sorted(got)
