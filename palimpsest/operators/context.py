@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, met
 from .staged import staged, stored
 
 
@@ -45,18 +46,14 @@ def multiset_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str
     return met.groupBy(*by, old_key, new_key).agg(F.sum(F.least("na", "nb") / F.col("f")).alias("__s")).withColumn("score", F.round(F.col("__s") + bonus, 6)).drop("__s")
 
 
-#: Tokens of all rows of a block of one side, about; groups of fewer than an eighth are dealt out together.
-BLOCK = 1 << 21
-
-
 def _best_of_block(old: pa.Table, new: pa.Table, first: int, places: int, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of old rows, places of new rows and parts: for each old row those that may have its best score, of equal ones the first.
 
-    old: key, t (token numbers, rare ones first), f (their frequencies), n. new: key, t, n; its rows come by key. Tokens are met as best_overlap says.
+    old: key, t (token numbers, rare ones first), f (their frequencies), n. new: the same; its rows come by key. Tokens are met as best_overlap says.
     """
     many = lambda x: x.value_lengths().to_numpy().astype(np.int64)
     flat = lambda x: x.flatten().to_numpy()
-    held, asked = ({c: x[c].combine_chunks() for c in ("t", "f", "n") if c in x.column_names} for x in (new, old))
+    held, asked = ({c: x[c].combine_chunks() for c in ("t", "f", "n")} for x in (new, old))
     counts, sizes = many(held["t"]), many(asked["t"])
     row, t, n = np.repeat(np.arange(len(counts)), counts), flat(held["t"]), flat(held["n"])
     by_row = np.lexsort((t, row))
@@ -120,31 +117,7 @@ def best_overlap(old: DataFrame, new: DataFrame, by: list[str], old_key: str, ne
         return stored(rows.select(*by, k, *(F.col(f"x.{c}").alias(x) for c, x in (("__t", "t"), ("f", "f"), ("n", "n")))))
 
     a, b = listed(old, old_key), listed(new, new_key)
-    sizes = lambda df, name: df.groupBy(*by).agg(F.sum(F.size("t")).alias(name))
-    groups = sizes(a, "__a").join(sizes(b, "__b"), by).withColumns({"__g": F.monotonically_increasing_id(), "__as": F.ceil(F.col("__a") / block), "__bs": F.ceil(F.col("__b") / block)})
-    groups = stored(groups)
-    alone = F.greatest("__a", "__b") > block // 8
-    shared = groups.agg(F.sum(F.when(~alone, F.col("__a") + F.col("__b")))).first()[0] or 0
-    place = F.when(alone, F.col("__g")).otherwise(-1 - F.pmod(F.xxhash64("__g"), F.lit(1 + shared // max(1, block // 8))))
-    cell = ["__c", "__i", "__j"]
-
-    def dealt(df: DataFrame, k: str, parts: str, others: str, at: tuple[str, str]) -> DataFrame:
-        out = df.join(groups, by).withColumns({"__c": place, at[0]: F.pmod(F.xxhash64(k), F.col(parts))})
-        out = out.withColumn(at[1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
-        # aliased anew: both sides have these from one table
-        return out.select(*(F.col(c).alias(c) for c in [*cell, "__g"]), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col(k).alias("key"), "t", "f", "n")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by([("__g", "ascending"), ("key", "ascending")])
-        i, j, part = _best_of_block(left, right.drop_columns(["f"]), first, places, near)
-        told = left.select([f"__by{x}" for x in range(len(by))]).take(pa.array(i))
-        return pa.table([*told.columns, left["key"].take(pa.array(i)), right["key"].take(pa.array(j)), pa.array(part)], names=names)
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    names = [*(f"__by{i}" for i in range(len(by))), "__old", "__new", "part"]
-    kinds = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kind(a, c) for c in by), kind(a, old_key), kind(b, new_key), "double"]))
-    met = dealt(a, old_key, "__as", "__bs", ("__i", "__j")).groupBy(*cell).cogroup(dealt(b, new_key, "__bs", "__as", ("__j", "__i")).groupBy(*cell))
-    every = met.applyInArrow(run, kinds).withColumnsRenamed(dict(zip(names, [*by, old_key, new_key])))
+    every = met(a, b, by, old_key, new_key, "t", lambda x, y: _best_of_block(x, y, first, places, near), "part double", block)
     bonus = 0.001 / (1 + F.abs(F.col(old_key) - F.col(new_key))) if near else F.lit(0.0)
     scored = every.withColumn("score", F.round(F.col("part") + bonus, places))
     best = F.min_by(F.struct(new_key, "score"), F.struct((-F.col("score")).alias("s"), F.col(new_key).alias("k")))

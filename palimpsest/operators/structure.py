@@ -5,13 +5,15 @@ A profile has a row per base and root: base, root, stride, children (sorted arra
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import align
+from . import align, blocks
 from .paths import without_strides
 from .sequence import islands
-from .staged import staged
+from .staged import staged, stored
 
 #: Roots: how far children may move together, the fewest children, the least share of them that must meet.
 REACH, LEAST_CHILDREN, LEAST_SHARE = 12, 4, 0.6
@@ -28,24 +30,52 @@ def profiles(paths: DataFrame) -> DataFrame:
     return out.select("base", "root", *names, "children")
 
 
-def by_delta(old: DataFrame, new: DataFrame, by: list[str], key: str, children: str, reach: int = REACH) -> DataFrame:
+def by_delta(old: DataFrame, new: DataFrame, by: list[str], key: str, children: str, reach: int = REACH, block: int = blocks.BLOCK) -> DataFrame:
     """Per old key: the new key and the shift of at most reach by which most of its children meet that key's; by, key, new_key, delta, hits, share.
 
-    Children are joined through buckets of reach. Keys with fewer than LEAST_CHILDREN on either
+    Rows with all their children meet in blocks, where a row's hits are counted at once (see blocks.met), so that neither children that are near
+    nor hits are shuffled. Keys with fewer than LEAST_CHILDREN on either
     side, or of which less than LEAST_SHARE meet, get none; ties go to the nearest shift, then the least key.
     """
-    big = lambda df, k, c: df.where(F.size(children) >= LEAST_CHILDREN).select(*by, F.col(key).alias(k), F.size(children).alias(f"{k}_n"), F.explode(children).alias(c))
-    width = F.lit(reach)
-    o = big(old, "o", "a").withColumn("b", F.explode(F.array(*(F.floor(F.col("a") / width) + i for i in (-1, 0, 1)))))
-    n = big(new, "n", "c").withColumn("b", F.floor(F.col("c") / width))
-    met = o.join(n, [*by, "b"]).where(F.abs(F.col("c") - F.col("a")) <= reach)
-    hits = met.groupBy(*by, "o", "o_n", "n", (F.col("c") - F.col("a")).alias("delta")).agg(F.count("*").alias("hits"))
+    known = F.filter(F.col(children).cast("array<bigint>"), lambda c: c.isNotNull()).alias("c")
+    big = lambda df, k: stored(df.where(F.size(children) >= LEAST_CHILDREN).select(*by, F.col(key).alias(k), F.size(children).alias("size"), known))
+    hits = blocks.met(big(old, "o"), big(new, "n"), by, "o", "n", "c", lambda x, y: _moved(x, y, reach), "o_n bigint, delta bigint, hits bigint", block)
     order = F.struct((-F.col("hits")).alias("h"), F.abs("delta").alias("d"), F.col("delta").alias("s"), F.col("n").alias("k"))
     best = hits.groupBy(*by, "o", "o_n").agg(F.min_by(F.struct("n", "delta", "hits"), order).alias("x"))
     out = best.select(*by, F.col("o").alias(key), F.col("x.n").alias("new_key"), F.col("x.delta").alias("delta"), F.col("x.hits").alias("hits"), F.round(F.col("x.hits") / F.col("o_n"), 6).alias("share"))
     return out.where(F.col("share") >= LEAST_SHARE)
 
 
+def _moved(old: pa.Table, new: pa.Table, reach: int) -> tuple[np.ndarray, ...]:
+    """Places of old and of new rows, size, shift and hits: for each old row of a block that meets any, the new row and the shift by_delta prefers."""
+    out, width = [], 2 * reach + 1
+    of_old, of_new = (x["__g"].to_numpy() for x in (old, new))
+    for g in np.unique(of_old).tolist():
+        mine = np.arange(*np.searchsorted(of_old, [g, g + 1]))
+        lo, hi = np.searchsorted(of_new, [g, g + 1])
+        there = new["c"].slice(lo, hi - lo).combine_chunks()
+        here = old["c"].take(pa.array(mine)).combine_chunks()
+        n = np.repeat(np.arange(lo, hi), there.value_lengths().to_numpy().astype(np.int64))
+        c = there.flatten().to_numpy()
+        in_order = np.argsort(c, kind="stable")
+        n, c = n[in_order], c[in_order]
+        many = here.value_lengths().to_numpy().astype(np.int64)
+        own, end = here.flatten().to_numpy(), np.cumsum(many)
+        first, last = np.searchsorted(c, own - reach), np.searchsorted(c, own + reach, "right")
+        for i, size, place in zip(end - many, many, mine):
+            start, times, a = first[i : i + size], (last - first)[i : i + size], own[i : i + size]
+            if not times.any():
+                continue
+            at = np.repeat(start - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            told, hits = np.unique(n[at] * width + (c[at] - np.repeat(a, times) + reach), return_counts=True)
+            told = told[hits == hits.max()]
+            shift, key = told % width - reach, told // width
+            best = np.lexsort((key, shift, np.abs(shift)))[0]
+            out.append((place, key[best], shift[best], hits.max()))
+    place, key, shift, hits = np.array(out, np.int64).reshape(-1, 4).T
+    return place, key, old["size"].to_numpy().astype(np.int64)[place], shift, hits
+
+
 def match_roots(old: DataFrame, new: DataFrame) -> DataFrame:
     """Profiles' roots matched within their base by four phases, each over what the ones before left: base, root, new_root, phase.
 
