@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,18 +73,39 @@ def code(trigram: str) -> int:
     return x << 42 | y << 21 | z
 
 
+#: Characters of lines whose trigrams are told at once, about.
+CHARACTERS = 1 << 20
+
+
+def _of_files(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """version, file and trigram of lines (version, file, line); of lines that follow one another in a file, each trigram once."""
+    lines = [x or "" for x in batch.column(2).to_pylist()]
+    lengths = np.array([len(x) for x in lines], np.int64)
+    same = lambda c: pc.equal(c.slice(1), c.slice(0, len(c) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+    begins = np.concatenate([[True], ~(same(batch.column(0)) & same(batch.column(1)))])
+    pieces = (np.cumsum(lengths) - lengths) // CHARACTERS
+    for lo, hi in zip(*(np.searchsorted(pieces, np.unique(pieces), side) for side in ("left", "right"))):
+        c = np.frombuffer("".join(lines[lo:hi]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        if len(c) < 3:
+            continue
+        row = np.repeat(np.arange(lo, hi), lengths[lo:hi])
+        inside = row[:-2] == row[2:]
+        # what stands on one line, by the runs of lines of one file
+        found, run = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[inside], np.cumsum(begins)[row[:-2]][inside]
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        held = [np.unique(x) for x in np.split(found, starts[1:])] if len(found) else []
+        at = pa.array(np.repeat(row[:-2][inside][starts], [len(h) for h in held]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], names=["version", "file", "trigram"])
+
+
 def build(lines: DataFrame, path: str) -> None:
     """The index of lines (version, file, line): version, file, trigram (see code). Each part of it is in the order of trigrams, so that a look-up reads few pages."""
     rows = lines.select("version", "file", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for line in batch.column(2).to_pylist():
-                c = np.frombuffer((line or "").encode("utf-32-le"), np.uint32).astype(np.int64)
-                held.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0])
-            at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], names=["version", "file", "trigram"])
+            if len(batch):
+                yield from _of_files(batch)
 
     kinds = [rows.schema[c].dataType.simpleString() for c in ("version", "file")]
     found = rows.mapInArrow(run, f"version {kinds[0]}, file {kinds[1]}, trigram long").distinct()

@@ -34,3 +34,15 @@ def test_search_reads_few_files_and_finds_all(spark, tmp_path):
     seen = {r["name"]: r.n for r in trigrams.files(spark, path, named, df).groupBy("name").agg(F.count("*").alias("n")).collect()}
     assert seen["long"] < 10 and seen["abc"] < 60 and seen["two"] == 202
     assert "trigram" in str(trigrams.files(spark, path, {"a": ("abc", True)}, df)._jdf.queryExecution().executedPlan()).split("PushedFilters")[1][:200]
+
+
+def test_a_file_tells_a_trigram_once_before_anything_is_shuffled(monkeypatch):
+    import pyarrow as pa
+
+    rows = [("v", f, line) for f in ("a", "b", "a", None, None) for line in ("", "abcd", "xy", None, "é漢😀", "abcd" * 3, "y" * 9)]
+    want = {(v, f, trigrams.code(line[i : i + 3])) for v, f, line in rows for i in range(len(line or "") - 2)}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["version", "file", "line"])
+    for characters, most in ((1 << 20, 8 * 7), (10, 100)):
+        monkeypatch.setattr(trigrams, "CHARACTERS", characters)
+        got = [tuple(r.values()) for b in trigrams._of_files(batch) for r in b.to_pylist()]
+        assert set(got) == want and len(got) <= most
