@@ -158,6 +158,20 @@ def test_equals_one_entry_after_the_other(spark):
     assert any(r[3] == 1.0 and not r[4].startswith("semantic") for r in want)  # the cap decides
 
 
+def test_contexts_are_made_of_asked_files_alone(spark, monkeypatch):
+    """A match that its path settles asks for no context; one without a path asks for that of its own file and kind."""
+    seen = []
+    told = fuzzy.context_scores
+    monkeypatch.setattr(fuzzy, "context_scores", lambda old, new, *rest: seen.append((old.count(), new.count())) or told(old, new, *rest))
+    text = {f"f{i}": [f"a(Root_{i}.f_1);", f"b(Root_{i}.f_2);", f"c(iLocal_{i});"] for i in range(6)}
+    semantic = {(v, "f0", 1): ("top",) for v in ("old", "new")}
+    given = [("A", "Root_0.f_1")], text, text, semantic, {}
+    assert [(r.new_value, r.reason) for r in run(spark, *given).collect()] == [("Root_0.f_1", "semantic path match: top; exact path still present")]
+    given = [("A", "Root_0.f_1"), ("B", "Root_3.f_2")], text, text, semantic, {}
+    assert {(r["name"], r.new_value) for r in run(spark, *given).collect()} >= {("A", "Root_0.f_1"), ("B", "Root_3.f_2")}
+    assert seen == [(0, 0), (1, 2)]
+
+
 def test_what_may_be_written_without_review(spark):
     rows = [("Root_5", "Root_9", "context match in same file", 0.996), ("Root_5", "Root_9", "context match in same file", 0.99), ("Root_5", "Root_9000", "context match in same file", 0.999), ("Root_5.f_1", "Root_6.f_1", "context match in same file", 0.999), ("Root_5.f_1", "Root_5.f_1", "exact path still present", 0.9), ("a", "b", "semantic path match: x", 0.1), ("a", "b", "verified special", 0.99), ("a", "b", "verified special", 0.98)]
     df = spark.createDataFrame(rows, "a string, b string, reason string, confidence double")
