@@ -191,7 +191,7 @@ class Encoder:
     holds a blank would be cut apart, so a tokenizer with such a token is refused.
     """
 
-    def __init__(self, definition: str, max_chunks: int = 600_000):
+    def __init__(self, definition: str, max_chunks: int = 690_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -243,7 +243,7 @@ class Encoder:
         """Ids of texts that are cut at every blank, one after the other, and how many each has."""
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
         codes = coded.indices.to_numpy(zero_copy_only=False)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         if self.n + len(names) > self.max_chunks:
@@ -251,9 +251,10 @@ class Encoder:
         heads = np.zeros(len(codes), bool)
         heads[offsets[:-1]] = True
         used = np.flatnonzero(np.bincount(codes[~heads], minlength=len(names))).tolist()
-        self._learn([names[c] for c in used if names[c] not in self.after])
+        asked = [names[c] for c in used]
+        self._learn([c for c in asked if c not in self.after])
         where = np.zeros(len(names), np.int64)
-        where[used] = [self.after[names[c]] for c in used]
+        where[used] = list(map(self.after.__getitem__, asked))
         at = where[codes]
         for i, c in zip(offsets[:-1].tolist(), codes[offsets[:-1]].tolist()):
             found = self.first.get(names[c])

@@ -81,3 +81,11 @@ def test_a_file_written_twice_stays(tmp_path):
     for data in (b"one", b"two"):
         ts._put(path, data)
     assert (tmp_path / "a").read_bytes() == b"two" and len(list(tmp_path.iterdir())) == 1
+
+
+def test_chunks_seen_are_kept_beyond_600_000():
+    """Most of the work is in chunks that are met anew, so what a worker can hold isn't thrown away."""
+    enc = ts.Encoder(open(PATH, encoding="utf-8").read())
+    for lo, hi in ((0, 320_000), (320_000, 640_000), (0, 3)):
+        enc.encode(" ".join(map(str, range(lo, hi))))
+    assert enc.n >= 640_000
