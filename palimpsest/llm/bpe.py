@@ -82,10 +82,14 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
     return bytes(out + _bytes(2, trainer) + _bytes(3, normaliser))
 
 
+#: Chunks that a worker keeps: of texts in many languages most of the work is in those met anew. Beside other stages, in the pipeline, fewer.
+SPELLED_CHUNKS, CHUNKS = 600_000, 250_000
+
+
 class Codec:
     """Encodes and decodes with one model; keeps what became of chunks, max_chunks at most: their ids, or if spelled, these as decimal digits and the bytes they decode to."""
 
-    def __init__(self, model: bytes, pattern: str, spelled: bool = False, max_chunks: int = 250_000):
+    def __init__(self, model: bytes, pattern: str, spelled: bool = False, max_chunks: int = CHUNKS):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -147,7 +151,7 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def _codec(model: bytes, pattern: str, spelled: bool) -> Codec:
-    return Codec(model, pattern, spelled)
+    return Codec(model, pattern, spelled, SPELLED_CHUNKS if spelled else CHUNKS)
 
 
 def codec(model: bytes, pattern: str, spelled: bool = False) -> Codec:

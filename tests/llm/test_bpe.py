@@ -44,3 +44,11 @@ def test_operator_handles_null_empty_repeated_and_extra_columns(spark):
     assert out.columns == ["doc_id", "text", "n_tokens", "ids"]
     assert all(r.ids == enc.encode_ordinary(r.text or "") for r in out.collect())
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_the_querys_codec_keeps_chunks_beyond_250_000():
+    """Most of the work is in chunks that are met anew, so what a worker can hold isn't thrown away."""
+    c = bpe.codec(bpe.sentencepiece_model(bpe.read_ranks(open(PATH, "rb").read())), P.PATTERN, spelled=True)
+    for lo, hi in ((0, 150_000), (150_000, 300_000), (0, 3)):
+        c.round_trip(" ".join(map(str, range(lo, hi))))
+    assert len(c.held) >= 300_000
