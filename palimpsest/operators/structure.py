@@ -46,36 +46,65 @@ def by_delta(old: DataFrame, new: DataFrame, by: list[str], key: str, children:
     return out.where(F.col("share") >= LEAST_SHARE)
 
 
-def _moved(old: pa.Table, new: pa.Table, reach: int) -> tuple[np.ndarray, ...]:
-    """Places of old and of new rows, size, shift and hits: for each old row of a block that meets any, the new row and the shift by_delta prefers."""
-    out, width = [], 2 * reach + 1
-    of_old, of_new = (x["__g"].to_numpy() for x in (old, new))
-    for g in np.unique(of_old).tolist():
-        mine = np.arange(*np.searchsorted(of_old, [g, g + 1]))
-        lo, hi = np.searchsorted(of_new, [g, g + 1])
-        there = new["c"].slice(lo, hi - lo).combine_chunks()
-        here = old["c"].take(pa.array(mine)).combine_chunks()
-        n = np.repeat(np.arange(lo, hi), there.value_lengths().to_numpy().astype(np.int64))
-        c = there.flatten().to_numpy()
-        in_order = np.argsort(c, kind="stable")
-        n, c = n[in_order], c[in_order]
-        many = here.value_lengths().to_numpy().astype(np.int64)
-        own, end = here.flatten().to_numpy(), np.cumsum(many)
-        first, last = np.searchsorted(c, own - reach), np.searchsorted(c, own + reach, "right")
-        for i, size, place in zip(end - many, many, mine):
-            start, times, a = first[i : i + size], (last - first)[i : i + size], own[i : i + size]
-            if not times.any():
-                continue
-            at = np.repeat(start - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-            told, hits = np.unique(n[at] * width + (c[at] - np.repeat(a, times) + reach), return_counts=True)
-            told = told[hits == hits.max()]
-            shift, key = told % width - reach, told // width
-            best = np.lexsort((key, shift, np.abs(shift)))[0]
-            out.append((place, key[best], shift[best], hits.max()))
-    place, key, shift, hits = np.array(out, np.int64).reshape(-1, 4).T
+#: Pairs of near children that are counted at once.
+PAIRS = 1 << 21
+
+
+def _moved(old: pa.Table, new: pa.Table, reach: int, most: int = PAIRS) -> tuple[np.ndarray, ...]:
+    """Places of old and of new rows, size, shift and hits: for each old row of a block that meets any, the new row and the shift by_delta prefers.
+
+    Many rows of many groups are counted together, as long as they have about most pairs of near children.
+    """
+    rows, children = [], []
+    for x in (old, new):
+        lists = x["c"].combine_chunks()
+        rows.append(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy().astype(np.int64)))
+        children.append(lists.flatten().to_numpy())
+    groups, of_old = np.unique(old["__g"].to_numpy(), return_inverse=True)
+    known = new["__g"].to_numpy()
+    of_new = np.searchsorted(groups, known)
+    known = (of_new < len(groups)) & (groups[np.minimum(of_new, len(groups) - 1)] == known) if len(groups) else known < known
+    kept = known[rows[1]]
+    (a_row, n_row), (a, c) = (rows[0], rows[1][kept]), (children[0], children[1][kept])
+    out = []
+    if len(a) and len(c):
+        # groups stand apart in one order of children, as many as 64 bits allow
+        lowest, width = int(min(a.min(), c.min())), 2 * reach + 1
+        span = int(max(a.max(), c.max())) - lowest + 2 * width
+        together = max(1, (1 << 62) // span)
+        a_group, c_group = of_old[a_row], of_new[n_row]
+        for g in range(0, len(groups), together):
+            mine, theirs = (slice(*np.searchsorted(x, [g, g + together])) for x in (a_group, c_group))
+            apart = lambda x, of: x if together == 1 else (of - g) * span + (x - lowest)  # noqa: E731, B023
+            here, there, n = apart(a[mine], a_group[mine]), apart(c[theirs], c_group[theirs]), n_row[theirs]
+            in_order = np.argsort(there, kind="stable")
+            there, n, row = there[in_order], n[in_order], a_row[mine]
+            first = np.searchsorted(there, here - reach)
+            times = np.searchsorted(there, here + reach, "right") - first
+            # cut between rows
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            upto = np.cumsum(times)[starts] - times[starts] if len(starts) else starts
+            cuts = starts[np.flatnonzero(np.diff(upto // most)) + 1]
+            for some in np.split(np.arange(len(here)), cuts):
+                out.append(_preferred(row[some], here[some], first[some], times[some], there, n, reach))
+    place, key, shift, hits = np.concatenate([np.zeros((0, 4), np.int64), *out]).T
     return place, key, old["size"].to_numpy().astype(np.int64)[place], shift, hits
 
 
+def _preferred(row: np.ndarray, here: np.ndarray, first: np.ndarray, times: np.ndarray, there: np.ndarray, n: np.ndarray, reach: int) -> np.ndarray:
+    """Row, new row, shift and hits of rows whose children each meet so many of there from first on."""
+    at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+    if not len(at):
+        return np.zeros((0, 4), np.int64)
+    width, low = 2 * reach + 1, n[at].min()
+    of = (int(n[at].max()) - int(low) + 1) * width
+    told, hits = np.unique((np.repeat(row, times) - row[0]) * of + (n[at] - low) * width + (there[at] - np.repeat(here, times) + reach), return_counts=True)
+    mine, shift, key = told // of + row[0], told % width - reach, told % of // width + low
+    order = np.lexsort((key, shift, np.abs(shift), -hits, mine))
+    order = order[np.diff(mine[order], prepend=-1) > 0]
+    return np.stack([mine[order], key[order], shift[order], hits[order]], axis=1)
+
+
 def match_roots(old: DataFrame, new: DataFrame) -> DataFrame:
     """Profiles' roots matched within their base by four phases, each over what the ones before left: base, root, new_root, phase.
 
@@ -86,19 +115,20 @@ def match_roots(old: DataFrame, new: DataFrame) -> DataFrame:
     nth = lambda df, k: align.ordinals(signed(df, k), ["base", "sig"], k, "i")
     done = nth(old, "root").join(nth(new, "new_root"), ["base", "sig", "i"]).select("base", "root", "new_root", F.lit("signature").alias("phase"))
 
-    def left() -> tuple[DataFrame, DataFrame]:
-        return old.join(done, ["base", "root"], "left_anti"), new.join(done.select("base", F.col("new_root").alias("root")), ["base", "root"], "left_anti")
+    def left(o: DataFrame, n: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return staged(o.join(told, ["base", "root"], "left_anti")), staged(n.join(told.select("base", F.col("new_root").alias("root")), ["base", "root"], "left_anti"))
 
-    o, n = left()
+    # what a phase told, and what it left, is read by all that follow
+    done = staged(done)
+    o, n = left(old, new, done)
     pairs = _jaccard(o, n)
     similar = align.one_to_one(pairs, ["base"], "base string, old bigint, new bigint, score double")
-    done = done.unionByName(similar.select("base", F.col("old").alias("root"), F.col("new").alias("new_root"), F.lit("similar").alias("phase")))
-    o, n = left()
-    same = o.select("base", "root").join(n.select("base", "root"), ["base", "root"]).select("base", "root", F.col("root").alias("new_root"), F.lit("same").alias("phase"))
-    done = done.unionByName(same)
-    o, n = left()
+    similar = staged(similar.select("base", F.col("old").alias("root"), F.col("new").alias("new_root"), F.lit("similar").alias("phase")))
+    o, n = left(o, n, similar)
+    same = staged(o.select("base", "root").join(n.select("base", "root"), ["base", "root"]).select("base", "root", F.col("root").alias("new_root"), F.lit("same").alias("phase")))
+    o, n = left(o, n, same)
     moved = by_delta(o, n, ["base"], "root", "children")
-    return done.unionByName(moved.select("base", "root", F.col("new_key").alias("new_root"), F.lit("delta").alias("phase")))
+    return done.unionByName(similar).unionByName(same).unionByName(moved.select("base", "root", F.col("new_key").alias("new_root"), F.lit("delta").alias("phase")))
 
 
 def _jaccard(old: DataFrame, new: DataFrame) -> DataFrame:
