@@ -36,8 +36,10 @@ def cascade(entries: DataFrame, resolvers: list[tuple[str, Resolver]], guard: Co
         told = resolver(left).select("name", "new_value", "confidence")
         found = left.join(told, "name").where(F.col("new_value").isNotNull() & (guard if guard is not None else F.lit(True)))
         found = staged(found)
+        if found.isEmpty():
+            continue
         done.append(found.withColumn("method", F.lit(label)))
-        left = left.join(found.select("name"), "name", "left_anti")
+        left = staged(left.join(found.select("name"), "name", "left_anti"))
     rest = left.withColumns({"new_value": F.lit(None).cast(entries.schema["value"].dataType), "confidence": F.lit(None).cast("double"), "method": F.lit(None).cast("string")})
     out = rest
     for d in done:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import anchors
 from .resolve import cascade
+from .staged import staged, stored
 
 VARIABLE = r"\b[a-z]*Local_([0-9]+)\b"
 MOST = 25
@@ -43,19 +44,24 @@ def _told(df: DataFrame, confidence: float) -> DataFrame:
     return df.select("name", F.col("new_var").alias("new_value"), F.lit(confidence).alias("confidence"))
 
 
+def _none(entries: DataFrame) -> DataFrame:
+    """What a strategy tells that finds nothing to go by; entries aren't moved for it."""
+    return entries.where(F.lit(False)).select("name", F.lit(None).cast("long").alias("new_value"), F.lit(None).cast("double").alias("confidence"))
+
+
 def by_vote(entries: DataFrame, occ: DataFrame, anch: DataFrame, window: int, confidence: float) -> DataFrame:
     """Anchors near the old variable vote for the variable nearest to them in the new file; rare and near ones weigh most."""
     old_occ = occ.where("version = 'old'").select("file", F.col("line_no").alias("ol"), F.col("var").alias("value"))
     old_anch = anch.where("version = 'old'").select("file", "anchor", F.col("line_no").alias("al"), F.col("freq").alias("fo"))
     new_anch = anch.where("version = 'new'").select("file", "anchor", F.col("line_no").alias("nl"), F.col("freq").alias("fn"))
     new_occ = occ.where("version = 'new'").select("file", F.col("line_no").alias("vl"), F.col("var").alias("new_var"))
+    # what is nearest to a new anchor is the same for all old variables, so it is told before these come
+    found = within(new_anch, new_occ, ["file"], "nl", "vl", window, window).withColumn("d2", F.abs(F.col("vl") - F.col("nl")))
+    nearest = found.groupBy("file", "anchor", "nl", "fn").agg(F.min(F.struct("d2", "vl", "new_var")).alias("b")).select("file", "anchor", "fn", "b.new_var", "b.d2")
     near = within(entries.select("name", "value").join(old_occ, "value"), old_anch, ["file"], "ol", "al", window, window)
-    met = near.join(new_anch, ["file", "anchor"])
-    found = within(met, new_occ, ["file"], "nl", "vl", window, window).withColumn("d2", F.abs(F.col("vl") - F.col("nl")))
-    key = ["name", "file", "ol", "al", "anchor", "nl"]
-    nearest = found.groupBy(*key, "fo", "fn").agg(F.min_by("new_var", F.struct("d2", "vl", "new_var")).alias("new_var"), F.min("d2").alias("d2"))
-    weight = 1.0 / (F.col("fo") * F.col("fn") * (1 + F.abs(F.col("al") - F.col("ol")))) / (1 + F.col("d2"))
-    score = nearest.groupBy("name", "new_var").agg(F.round(F.sum(weight), 9).alias("s"))
+    met = near.select("name", "file", "anchor", "fo", F.abs(F.col("al") - F.col("ol")).alias("d1")).join(nearest, ["file", "anchor"])
+    weight = 1.0 / (F.col("fo") * F.col("fn") * (1 + F.col("d1"))) / (1 + F.col("d2"))
+    score = met.groupBy("name", "new_var").agg(F.round(F.sum(weight), 9).alias("s"))
     return _told(score.groupBy("name").agg(F.min_by("new_var", F.struct((-F.col("s")).alias("s"), F.col("new_var").alias("v"))).alias("new_var")), confidence)
 
 
@@ -66,7 +72,8 @@ def by_initializer(entries: DataFrame, lines: DataFrame, confidence: float = 0.9
     rows = rows.where(F.size(F.split("body", ",")) > 5)
     once = lambda v, c: rows.where(F.col("version") == v).groupBy("file", "body").agg(F.min("var").alias(c), F.max("var").alias("o")).where(F.col(c) == F.col("o")).drop("o")
     both = once("old", "value").join(once("new", "new_var"), ["file", "body"]).groupBy("value").agg(F.min("new_var").alias("new_var"), F.max("new_var").alias("o")).where("new_var = o")
-    return _told(entries.join(both, "value"), confidence)
+    both = staged(both)
+    return _none(entries) if both.isEmpty() else _told(entries.join(both, "value"), confidence)
 
 
 def by_switch(entries: DataFrame, lines: DataFrame, anch: DataFrame, confidence: float = 0.9) -> DataFrame:
@@ -77,6 +84,9 @@ def by_switch(entries: DataFrame, lines: DataFrame, anch: DataFrame, confidence:
     over = r"switch \(([^)]*)"
     inside = F.regexp_extract_all(F.regexp_extract("line", over, 1), F.lit(VARIABLE), F.lit(1))
     found = lines.where(F.col("line").rlike(over)).select("version", "file", F.col("line_no").alias("at"), inside.alias("vars")).where(F.size("vars") > 0)
+    found = staged(found)
+    if found.isEmpty():
+        return _none(entries)
     heads = found.select("version", "file", "at", F.explode(F.when(F.col("version") == "old", F.array_distinct("vars")).otherwise(F.array(F.element_at("vars", -1)))).alias("v")).withColumn("var", F.col("v").cast("long")).drop("v")
     body = within(heads, anch.select("version", "file", F.col("line_no").alias("al"), "anchor", "freq"), ["version", "file"], "at", "al", 0, SWITCH_LINES).where("al > at")
     marks = body.groupBy("version", "file", "var", "anchor").agg(F.min("freq").alias("freq"))
@@ -90,6 +100,9 @@ def by_declaration(entries: DataFrame, lines: DataFrame, confidence: float = 0.8
     """The declaration at the same place from the end of the block of declarations, blanks and comments before the entry function."""
     declared = r"^\s*(?:\w+(?:<[0-9]+>)?\s+)?[a-z]*Local_([0-9]+)\b[^(]*;\s*$"
     entry = lines.where(F.col("line").rlike(r"^void main\(|^void __EntryFunction__\(")).groupBy("version", "file").agg(F.min("line_no").alias("entry"))
+    entry = staged(entry)
+    if entry.isEmpty():
+        return _none(entries)
     head = lines.join(entry, ["version", "file"]).where("line_no < entry")
     other = ~F.col("line").rlike(declared) & ~F.col("line").rlike(r"^\s*(#.*|//.*)?$")
     w = Window.partitionBy("version", "file").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,7 +114,8 @@ def by_declaration(entries: DataFrame, lines: DataFrame, confidence: float = 0.8
 
 def resolve_variables(entries: DataFrame, lines: DataFrame, pattern: str = VARIABLE) -> DataFrame:
     """entries: name, value (a variable's number). The cascade of the five strategies; see resolve.cascade for what it returns."""
-    occ, anch = occurrences(lines, pattern), anchor_lines(lines)
+    # both are read by most strategies
+    occ, anch = stored(occurrences(lines, pattern)), stored(anchor_lines(lines))
     return cascade(
         entries,
         [

@@ -95,3 +95,20 @@ def test_pairs_that_nothing_rare_decides_are_not_written(spark, monkeypatch):
     for block in (40, 400):
         again = context.best_overlap(frame(spark, rows, "o"), frame(spark, rows[:200], "w"), ["g"], "o", "w", block=block).collect()
         assert sorted(again) == sorted(got)
+
+
+def test_lines_are_read_once_for_all_strategies_that_find_nothing(spark):
+    """A line is not parsed anew for each strategy and side; what they tell stays."""
+    rows = [(v, "f", 100 * i + j, line) for v, s in (("old", 0), ("new", 1000)) for i in range(40) for j, line in enumerate((f'say("tag{i}");', "", f"x = iLocal_{i + s};") if i % 2 else (f'if (iLocal_{i + s}) say("tag{i}");',))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    kinds = "version string, file string, line_no long, line string"
+    lines = spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)
+    told = unnamed.resolve_variables(spark.createDataFrame([(f"V_{i}", i) for i in range(41)], "name string, value long"), lines).collect()
+    want = {f"V_{i}": (i + 1000, "window" if i % 2 else "same_line") for i in range(40)} | {"V_40": (None, None)}
+    assert {r.name: (r.new_value, r.method) for r in told} == want and read.value <= 8 * len(rows)
