@@ -21,6 +21,8 @@ from .staged import staged
 
 #: Bytes of a page, and more than the longest instruction has.
 PAGE, LONGEST = 1 << 16, 2048
+#: Bytes and pages of a task, about, and rows that are handed on together.
+TASK_BYTES, TASK_PAGES, ROWS = 1 << 22, 512, 1 << 14
 
 
 def next_offsets(code: np.ndarray, table: Table, n: int) -> np.ndarray:
@@ -53,18 +55,39 @@ def pages(programs: DataFrame, page: int = PAGE) -> DataFrame:
     return cut.select("script", "version", "size", "page", F.substring(F.col("code"), F.col("page") * page + 1, F.lit(page + LONGEST)).alias("bytes"))
 
 
+def dealt(df: DataFrame, tasks: int) -> DataFrame:
+    """Pages over so many tasks, however few bytes they have: decoding costs time, not bytes."""
+    return df.repartition(tasks, "script", "version", "page")
+
+
 def instructions(programs: DataFrame, table: Table, page: int = PAGE) -> DataFrame:
     """programs: script, version, code (binary). One row per instruction, as bytecode.instructions tells, numbered from 0; an unknown or cut one is an error."""
     key = ["script", "version"]
-    held = staged(pages(programs, page))
+    programs = staged(programs)
+    size = F.length("code")
+    many, total = programs.agg(F.sum(F.ceil(size / page)), F.sum(size)).first()
+    tasks = max(1, -(-int(many or 0) // TASK_PAGES), -(-int(total or 0) // TASK_BYTES))
+    held = staged(dealt(pages(programs, page), tasks))
 
     def entrances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(told: list[tuple[int, np.ndarray]], f: pd.DataFrame) -> pd.DataFrame:
+            many = [len(ends) for _, ends in told]
+            start = np.repeat(f["page"].to_numpy().astype(np.int64)[[i for i, _ in told]] * page, many)
+            at, to = start + np.concatenate([np.arange(n) for n in many]), np.concatenate([ends for _, ends in told])
+            which = np.repeat([i for i, _ in told], many)
+            return pd.DataFrame({"script": f["script"].to_numpy()[which], "version": f["version"].to_numpy()[which], "at": at, "to": np.where(to < 0, -1, start + to)})
+
         for f in frames:
-            for r in f.itertuples():
-                code = np.frombuffer(bytes(r.bytes), np.uint8)
-                n = min(page, len(code))
-                ends = leaps(code, table, n)[: LONGEST if r.page else 1]
-                yield pd.DataFrame({"script": r.script, "version": r.version, "at": r.page * page + np.arange(len(ends)), "to": np.where(ends < 0, -1, r.page * page + ends)})
+            told, n = [], 0
+            for i, (number, data) in enumerate(zip(f["page"], f["bytes"])):
+                code = np.frombuffer(bytes(data), np.uint8)
+                told.append((i, leaps(code, table, min(page, len(code)))[: LONGEST if number else 1]))
+                n += len(told[-1][1])
+                if n >= ROWS:
+                    yield rows(told, f)
+                    told, n = [], 0
+            if told:
+                yield rows(told, f)
 
     jump = staged(held.mapInPandas(entrances, f"script {_kind(held, 'script')}, version {_kind(held, 'version')}, at long, to long").where("to >= 0"))
     # the offsets at which pages are entered: each round doubles how far leaps go
@@ -80,6 +103,7 @@ def instructions(programs: DataFrame, table: Table, page: int = PAGE) -> DataFra
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            held_back = []
             for r in f.itertuples():
                 code, base, rows = bytes(r.bytes), r.page * page, []
                 at, end = r.at - base, min(page, r.size - base)
@@ -93,9 +117,17 @@ def instructions(programs: DataFrame, table: Table, page: int = PAGE) -> DataFra
                     operands = code[at + 1 : at + 1 + n]
                     rows.append((r.script, r.version, len(rows), base + at, code[at], name, kind, operands, operand_value(kind, operands, base + at + 1 + n), r.page))
                     at += 1 + n
-                yield pd.DataFrame(rows, columns=[*names, "page"]).astype({"value": "Int64"})
+                held_back += rows
+                if len(held_back) >= ROWS:
+                    yield framed(held_back)
+                    held_back = []
+            if held_back:
+                yield framed(held_back)
+
+    framed = lambda rows: pd.DataFrame(rows, columns=[*names, "page"]).astype({"value": "Int64"})
 
-    entered = held.join(first, [*key, "page"])
+    # told anew where pages go, as a join would gather small ones in few tasks
+    entered = dealt(held.join(first, [*key, "page"]), tasks)
     told = staged(entered.mapInPandas(decode, f"{ROW}, page int"))
     counts = running(told.groupBy(*key, "page").agg(F.count("*").alias("n")), key, [F.col("page")], sums={"upto": F.col("n")})
     return told.join(counts, [*key, "page"]).withColumn("seq", (F.col("seq") + F.col("upto") - F.col("n")).cast("int")).select(*names)

@@ -57,3 +57,14 @@ def test_programs_are_decoded_in_sql(spark):
     spark.createDataFrame([("a", b"\x01\x07\x00\x02\x01\x01")], "script string, code binary").createOrReplaceTempView("programs_in_sql")
     got = spark.sql("SELECT script, d.offset, d.mnemonic, d.value FROM programs_in_sql, LATERAL decode_program(code) d WHERE d.kind <> '' ORDER BY d.offset").collect()
     assert [tuple(r) for r in got] == [("a", 0, "push1", 7), ("a", 3, "push2", 257)]
+
+
+def test_pages_of_one_program_are_dealt_over_tasks(spark, monkeypatch):
+    """Small pages are few bytes, but each is work."""
+    seen, staged = [], paged.staged
+    monkeypatch.setattr(paged, "staged", lambda df: seen.append(staged(df)) or seen[-1])
+    code = program(random.Random(29), 140_000)
+    df = spark.createDataFrame([("a", "x", code)], "script string, version string, code binary")
+    assert paged.instructions(df, TABLE, 64).count() == bytecode.instructions(df, TABLE).count()
+    (pages,) = [x for x in seen if "bytes" in x.columns]
+    assert sum(n > 0 for n in pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4
