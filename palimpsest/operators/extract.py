@@ -45,7 +45,7 @@ def labels(lines: DataFrame, g: Grammar, by: list[str]) -> DataFrame:
     own = lines.select(*by, "line_no", F.coalesce(_part(line, g.assign, 1), _part(line, g.extend, 1)).alias("label"), line.rlike(g.assign).alias("reset"), F.coalesce(_part(line, g.assign, 2), _part(line, g.extend, 2)).alias("piece"))
     built = called(lines, g, by, g.build, ["label", "piece"])
     built = built.select(*by, "line_no", F.regexp_extract("label", r"^&(\w+)$", 1).alias("label"), F.lit(True).alias("reset"), F.regexp_extract("piece", r'^"([^"]*)"$', 1).alias("piece")).where("label <> '' AND piece <> ''")
-    changes = own.where("label is not null").unionByName(built)
+    changes = staged(own.where("label is not null").unionByName(built))
     return sequence.running_label(changes, [*by, "label"], [F.col("line_no")], F.col("reset"), F.col("piece"), "", "text").select(*by, "line_no", "label", "text")
 
 
@@ -58,7 +58,8 @@ def forwarding(lines: DataFrame, by: list[str], header: str, body: str, names: l
 
     line = F.col("line")
     head = F.when(line.rlike(header), F.struct(F.regexp_extract(line, header, 1).alias("f"), F.split(F.regexp_extract(line, header, 2), r",\s*").alias("args")))
-    own = sequence.last_before(lines, by, [F.col("line_no")], head, "own")
+    # no other line tells which function a match lies in
+    own = sequence.last_before(lines.where(line.rlike(header) | line.rlike(body)), by, [F.col("line_no")], head, "own")
     held = own.where(line.rlike(body) & F.col("own").isNotNull()).select(*by, "line_no", F.col("own.f").alias("function"), F.transform(F.col("own.args"), lambda a: F.regexp_extract(a, r"(\w+)$", 1)).alias("args"), *(F.regexp_extract(line, body, i).alias(f"p{i}") for i in range(1, len(names) + 1)))
     places = held.withColumns({f"{n}_at": F.nullif(F.array_position("args", F.col(f"p{i}")), F.lit(0)) - 1 for i, n in enumerate(names, 1)})
     some = places.where(F.col(f"{names[-1]}_at").isNotNull() & F.col(f"{names[-2]}_at").isNotNull())
@@ -139,10 +140,13 @@ def forward_and_backward(found: DataFrame, order: list[str]) -> tuple[DataFrame,
 
 def with_variants(backward: DataFrame) -> DataFrame:
     """backward (value, path) with the other ways in which values are written (see paths.variants); a way that a value has itself is that value's alone."""
-    from .paths import canonical, variants
+    from .paths import canonical, variants_of_whole, without_iteration
 
-    told = backward.select(F.posexplode(variants(canonical("value"))).alias("__at", "value"), "path")
-    own = backward.select(canonical("value").alias("value")).distinct().withColumn("__own", F.lit(True))
+    # step by step, as each form is read several times by the next
+    known = staged(backward.select(canonical("value").alias("value"), "path"))
+    whole = known.select(without_iteration("value").alias("value"), "path")
+    told = whole.select(F.posexplode(variants_of_whole("value")).alias("__at", "value"), "path")
+    own = known.select("value").distinct().withColumn("__own", F.lit(True))
     return told.join(own, "value", "left").where((F.col("__at") == 0) | F.col("__own").isNull()).select("value", "path").distinct()
 
 

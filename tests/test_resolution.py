@@ -113,3 +113,13 @@ def test_parent_paths_of_deep_chains_are_whole(spark):
     chain = spark.createDataFrame([(i, i - 1, f"k{i}") for i in range(36)] + [(100, 101, "a"), (101, 100, "b")], "id int, up int, label string").coalesce(1)
     got = {r.id: (r.path, r.depth) for r in parent_paths(chain, "id", "up", "label").collect()}
     assert got[35] == (".".join(f"k{i}" for i in range(36)), 36) and got[0] == ("k0", 1) and got[100] == ("b.a", 2)
+
+
+def test_only_headers_and_bodies_are_scanned_for_forwarding_functions(spark, monkeypatch):
+    """Calls, most of a file's lines, don't tell which function a line lies in."""
+    text = ["void save(char* k, int n, int v, int d)", "    put_int(d, k, v);", "void other(int v, int d)", '    put_int(d, "x", v);', "void main()"] + [f'save("k{i}", 5, Root_{i}, d);' for i in range(60)]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text)], "file string, line_no long, line string")
+    scanned, real = [], extract.sequence.last_before
+    monkeypatch.setattr(extract.sequence, "last_before", lambda df, *a, **k: scanned.append(df.count()) or real(df, *a, **k))
+    (row,) = extract.wrapper_roles(lines, ["file"]).collect()
+    assert (row.function, row.container_at, row.key_at, row.value_at) == ("save", 3, 0, 2) and scanned[0] <= 5
